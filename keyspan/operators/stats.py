@@ -64,10 +64,10 @@ def largest_partitions(df: DataFrame, keys: list[str], n: int = 10) -> DataFrame
     )
 
 
-def partition_count(df: DataFrame, keys: list[str], approximate: bool = False) -> DataFrame:
-    """Number of partitions, exact unless ``approximate``."""
+def partition_count(df: DataFrame, keys: list[str], approximate: bool = False, error: float = 0.01) -> DataFrame:
+    """Number of partitions, exact unless ``approximate`` (then with a relative standard ``error``)."""
     key = F.struct(*keys)
-    counted = F.approx_count_distinct(F.xxhash64(*keys)) if approximate else F.count_distinct(key)
+    counted = F.approx_count_distinct(F.xxhash64(*keys), error) if approximate else F.count_distinct(key)
     return df.agg(counted.alias("partitions"))
 
 
