@@ -73,7 +73,7 @@ def apply_aggregate(df: DataFrame, keys: list[str], arguments: list[str], aggreg
     from pyspark.sql.types import StructType
 
     partial_schema = StructType.fromDDL(state_schema)
-    arrow_schema = to_arrow_schema(partial_schema, timezone="UTC")
+    arrow_schema = to_arrow_schema(partial_schema)
 
     def fold(batches):
         import copy
@@ -103,7 +103,7 @@ def apply_aggregate(df: DataFrame, keys: list[str], arguments: list[str], aggreg
 
     result_type = aggregate.return_type or aggregate.state_type
     result_schema = StructType.fromDDL(f"{key_schema}, `{out}` {result_type}" if keys else f"`{out}` {result_type}")
-    arrow_result = to_arrow_schema(result_schema, timezone="UTC")
+    arrow_result = to_arrow_schema(result_schema)
     del pa
 
     def finish(key, batches):
@@ -120,7 +120,7 @@ def apply_aggregate(df: DataFrame, keys: list[str], arguments: list[str], aggreg
         )
 
     partial = df.select(*keys, *arguments).mapInArrow(fold, partial_schema)
-    grouped = partial.groupBy(*keys) if keys else partial.groupBy(F.lit(1))
+    grouped = partial.groupBy(*keys) if keys else partial.withColumn("_all", F.lit(0)).groupBy("_all")
     if not keys:
 
         def finish_all(key, batches):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -98,9 +98,7 @@ def stream_latest(changes: DataFrame, keys: list[str], ts: str, ttl_ms: int) ->
                     newest = values
             if newest is not None and newest != before:
                 self.held.update(newest)
-                from pyspark.sql import Row
-
-                yield Row(*newest)
+                yield Row(*names)(*newest)
 
         def close(self) -> None:
             pass
