@@ -10,9 +10,6 @@ from keyspan.session import work_path
 from keyspan.sources import exports
 from keyspan.streaming import streams
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def _stream(t, name: str):
     """A table as a file stream."""
     schema = getattr(t, name).schema
@@ -69,19 +66,9 @@ def stream_partition_counts(t):
     """,
 )
 def stream_latest(t):
-    before = t.spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    try:
-        changes = _stream(t, "events").select(
-            "user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts")
-        )
-        latest = streams.stream_latest(changes, ["user_id"], "ts", ttl_ms=24 * 3600 * 1000)
-        return _run_updates(t, latest, ["user_id"])
-    finally:
-        if before is None:
-            t.spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    changes = _stream(t, "events").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    latest = _run_updates(t, streams.stream_latest(changes, ["user_id"], "ts", 7 * 86400), ["user_id"])
+    return latest.withColumn("ts", F.unix_micros("ts"))
 
 
 @query(

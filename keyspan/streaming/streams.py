@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from keyspan.model import Codec, TableSpec
 from keyspan.sources.imports import MAX_ERRORS, load
@@ -72,37 +73,42 @@ def stream_partition_counts(
     )
 
 
-def stream_latest(changes: DataFrame, keys: list[str], ts: str, ttl_ms: int) -> DataFrame:
-    """The latest row per key, kept for ``ttl_ms`` after its last change; write in update mode.
+def stream_latest(changes: DataFrame, keys: list[str], event_time: str, ttl_seconds: int, delay: str = "10 minutes") -> DataFrame:
+    """The latest row per key, forgotten ``ttl_seconds`` after its time; write in update mode.
 
-    A row is emitted whenever it becomes the latest of its key; one that is older than the row held
-    is ignored. State per key is a single row and disappears after the time to live. Needs the
-    RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    A row is emitted whenever it becomes the latest of its key; one that is older than the row held,
+    or expired on arrival, is ignored. Time is event time: a key expires when the watermark passes
+    the row's time plus its lifetime, so a replay gives the same result. The rows of a key pass
+    through its task in Arrow batches; state per key is a single row.
     """
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
     names = changes.columns
-    schema = changes.schema
-    at = names.index(ts)
-
-    class Latest(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.held = handle.getValueState("held", schema, ttlDurationMs=ttl_ms)
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator:
-            newest = tuple(self.held.get()) if self.held.exists() else None
-            before = newest
-            for row in rows:
-                values = tuple(row)
-                if newest is None or values[at] >= newest[at]:
-                    newest = values
-            if newest is not None and newest != before:
-                self.held.update(newest)
-                yield Row(*names)(*newest)
-
-        def close(self) -> None:
-            pass
-
-    return changes.groupBy(*keys).transformWithState(
-        statefulProcessor=Latest(), outputStructType=schema, outputMode="Update", timeMode="ProcessingTime"
+    at = names.index(event_time)
+
+    def keep(key, batches: Iterator, state):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = tuple(state.get) if state.exists else None
+        best = None
+        for batch in batches:
+            row = batch.sort_values(event_time, kind="stable").iloc[-1:]
+            if best is None or row[event_time].iloc[0] >= best[event_time].iloc[0]:
+                best = row
+        if best is None:
+            return
+        plain = [None if pd.isna(v) else v for v in best.astype(object).iloc[0].tolist()]
+        newest = tuple(v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in plain)
+        if held is not None and (newest[at] < held[at] or newest == held):
+            return
+        expires = int(best[event_time].iloc[0].timestamp() * 1000) + ttl_seconds * 1000
+        if expires <= state.getCurrentWatermarkMs():
+            return
+        state.update(newest)
+        state.setTimeoutTimestamp(expires)
+        yield best
+
+    return changes.withWatermark(event_time, delay).groupBy(*keys).applyInPandasWithState(
+        keep, changes.schema, changes.schema, "update", GroupStateTimeout.EventTimeTimeout
     )
