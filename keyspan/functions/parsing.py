@@ -168,46 +168,57 @@ def _time(text: Column, codec: Codec) -> Column:
     )
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+# What a unit of a duration is worth.
+_MONTHS = {"y": 12, "mo": 1}
+_DAYS = {"w": 7, "d": 1}
+_NANOS = {
+    "h": 3_600_000_000_000, "m": 60_000_000_000, "s": 1_000_000_000, "ms": 1_000_000, "us": 1_000, "µs": 1_000, "ns": 1,
+}
+
+
 def _duration(text: Column) -> Column:
     """Durations as ``1y2mo3w4d5h6m7s8ms9us10ns`` or ISO ``P1Y2M3DT4H5M6S``."""
-    trimmed = F.trim(text)
-    sign = F.when(F.startswith(trimmed, F.lit("-")), -1).otherwise(1)
-    low = F.lower(trimmed)
     units = r"^-?(\d+y)?(\d+mo)?(\d+w)?(\d+d)?(\d+h)?(\d+m)?(\d+s)?(\d+ms)?(\d+(us|µs))?(\d+ns)?$"
-    iso = r"^-?[pP](\d+[yY])?(\d+[mM])?(\d+[wW])?(\d+[dD])?([tT](\d+[hH])?(\d+[mM])?(\d+(\.\d+)?[sS])?)?$"
-
-    def take(source: Column, pattern: str) -> Column:
-        return F.coalesce(F.regexp_extract(source, pattern, 1).try_cast("bigint"), F.lit(0).cast("bigint"))
-
-    date_part = F.regexp_extract(low, "^-?p([^t]*)", 1)
-    time_part = F.regexp_extract(low, "t(.*)$", 1)
-    seconds = F.coalesce(F.regexp_extract(time_part, r"(\d+(?:\.\d+)?)s", 1).try_cast("decimal(28,9)"), F.lit(0))
-    from_iso = F.struct(
-        (sign * (take(date_part, r"(\d+)y") * 12 + take(date_part, r"(\d+)m"))).cast("int").alias("months"),
-        (sign * (take(date_part, r"(\d+)w") * 7 + take(date_part, r"(\d+)d"))).cast("int").alias("days"),
-        (
-            sign * (take(time_part, r"(\d+)h") * 3600 + take(time_part, r"(\d+)m") * 60) * 1_000_000_000
-            + sign * (seconds * 1_000_000_000).cast("bigint")
-        ).cast("bigint").alias("nanos"),
-    )
-    from_units = F.struct(
-        (sign * (take(low, r"(\d+)y") * 12 + take(low, r"(\d+)mo"))).cast("int").alias("months"),
-        (sign * (take(low, r"(\d+)w") * 7 + take(low, r"(\d+)d"))).cast("int").alias("days"),
-        (
-            sign
-            * (
-                take(low, r"(\d+)h") * 3_600_000_000_000
-                + take(low, r"(\d+)m(?![os])") * 60_000_000_000
-                + take(low, r"(\d+)s") * 1_000_000_000
-                + take(low, r"(\d+)ms") * 1_000_000
-                + take(low, r"(\d+)(?:us|µs)") * 1_000
-                + take(low, r"(\d+)ns")
-            )
-        ).cast("bigint").alias("nanos"),
-    )
-    return F.when(trimmed.rlike(iso) & ~trimmed.rlike(r"^-?[pP]$"), from_iso).when(
-        low.rlike(units) & low.rlike(r"\d"), from_units
-    )
+    iso = r"^-?p(\d+y)?(\d+m)?(\d+w)?(\d+d)?(t(\d+h)?(\d+m)?(\d+(\.\d{1,9})?s)?)?$"
+
+    def from_text(low: Column) -> Column:
+        # The ISO form is spelled like the other one: its month becomes ``mo``.
+        is_iso = low.rlike(iso)
+        date_part = F.regexp_replace(F.regexp_replace(low, "t.*$", ""), r"(\d)m", "$1mo")
+        respelled = F.when(is_iso, F.concat(date_part, F.regexp_extract(low, "t(.*)$", 1))).otherwise(low)
+        listed = F.regexp_replace(F.regexp_replace(respelled, "[-p]", ""), r"([0-9.]+)([a-zµ]+)", "$2:$1,")
+        ok = (is_iso | low.rlike(units)) & low.rlike(r"\d")
+        sign = F.when(F.startswith(low, F.lit("-")), -1).otherwise(1)
+        parts = _bound(
+            F.str_to_map(listed, F.lit(","), F.lit(":")),
+            lambda m: F.struct(
+                _worth(m, _MONTHS).cast("int").alias("months"),
+                _worth(m, _DAYS).cast("int").alias("days"),
+                _worth(m, _NANOS).cast("bigint").alias("nanos"),
+            ),
+        )
+        signed = _bound(
+            parts,
+            lambda v: F.struct(
+                (v["months"] * sign).alias("months"), (v["days"] * sign).alias("days"), (v["nanos"] * sign).alias("nanos")
+            ),
+        )
+        return F.when(ok, signed)
+
+    return _bound(F.lower(F.trim(text)), from_text)
+
+
+def _worth(units: Column, worth: dict[str, int]) -> Column:
+    total = F.lit(0).cast("decimal(38,9)")
+    for unit, value in worth.items():
+        found = F.coalesce(F.try_element_at(units, F.lit(unit)).try_cast("decimal(18,9)"), F.lit(0))
+        total = (total + found * F.lit(value)).cast("decimal(38,9)")
+    return total
 
 
 def _blob(text: Column, codec: Codec) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyspan.model import KeyspanError, TableSpec
+from keyspan.session import materialize
 
 BATCH_STATEMENTS = 32
 
@@ -307,16 +308,20 @@ def plan_batches(
     limit = 1 if spec.counter else (max_statements or BATCH_STATEMENTS)
     pk = list(spec.partition_key)
     counts = changes.groupBy(*pk).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    hot = counts.select(*pk, F.ceil(F.col("_n") / hot_rows).cast("bigint").alias("_slices"))
+    # Written out, so that Spark knows its true size when it plans the join below.
+    hot = materialize(counts.select(*pk, F.ceil(F.col("_n") / hot_rows).cast("bigint").alias("_slices")), "hot")
+    place = F.row_number()
+    if hot.isEmpty():
+        window = Window.partitionBy(*pk).orderBy(*spec.clustering_names)
+        return changes.withColumn("batch", F.floor((place.over(window) - 1) / limit).cast("bigint"))
     sliced = changes.join(hot, pk, "left").withColumn(
         "_slice",
-        F.when(
-            F.col("_slices").isNotNull(), F.pmod(F.xxhash64(*spec.clustering_names), F.col("_slices"))
-        ).otherwise(F.lit(0).cast("bigint")),
+        F.coalesce(F.pmod(F.xxhash64(*spec.clustering_names), F.col("_slices")), F.lit(0).cast("bigint")),
     )
     window = Window.partitionBy(*pk, "_slice").orderBy(*spec.clustering_names)
-    number = F.floor((F.row_number().over(window) - 1) / limit).cast("bigint")
-    return sliced.withColumn("batch", F.col("_slice") * F.lit(2**40) + number).drop("_slice", "_slices")
+    number = F.floor((place.over(window) - 1) / limit).cast("bigint")
+    batch = F.col("_slice") * F.lit(2**40) + number
+    return sliced.withColumn("batch", batch).select(*changes.columns, "batch")
 
 
 def attach_static(rows: DataFrame, statics: DataFrame, partition_key: list[str]) -> DataFrame:

@@ -85,7 +85,7 @@ def token_range_counts(t):
     """,
 )
 def split_audit(t):
-    return stats.audit_summary(t.events, ["user_id"], 64)
+    return stats.audit_summary(t.events, ["user_id"], 64, per_key=True)
 
 
 @query(

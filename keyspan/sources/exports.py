@@ -7,10 +7,9 @@ cluster's Hadoop filesystems know.
 from __future__ import annotations
 
 import json
-import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,7 +80,7 @@ def export(
     rows = seen.get["rows"]
     report = ExportReport(rows, 0, path, fmt, warnings)
     if verify:
-        written = read_back(spark, path, fmt, header, delimiter, row)
+        written = read_back(spark, path, fmt, header, delimiter, row, out.schema, bool(split_keys))
         found = written.count()
         if found != rows:
             raise KeyspanError(f"{rows} rows were read but {found} were written to {path}")
@@ -105,20 +104,30 @@ def _check_splits(source: DataFrame, written: DataFrame, keys: list[str], splits
     return splits
 
 
-def read_back(spark: SparkSession, path: str, fmt: str, header: bool = True, delimiter: str = ",", row: str = "row") -> DataFrame:
-    """The exported rows, for the audit."""
+def read_back(
+    spark: SparkSession, path: str, fmt: str, header: bool = True, delimiter: str = ",", row: str = "row",
+    schema: T.StructType | None = None, values: bool = True,
+) -> DataFrame:
+    """The exported rows, for the audit. With the schema at hand no pass over the files infers one;
+    without need of ``values`` JSON Lines are read as lines."""
+    reader = spark.read
+    if fmt == "parquet":
+        return reader.parquet(path)
+    if fmt == "jsonl" and not values:
+        return reader.text(path)
+    if fmt == "xml":
+        if schema is not None:
+            cell = T.StructType([T.StructField("_VALUE", T.StringType()), T.StructField("_null", T.StringType())])
+            reader = reader.schema(T.StructType([T.StructField(element_name(f.name), cell) for f in schema]))
+        return reader.format("xml").option("rowTag", element_name(row)).load(path)
+    if schema is not None:
+        reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema]))
     if fmt == "csv":
-        return spark.read.options(
+        return reader.options(
             header=header, sep=delimiter, quote='"', escape='"', multiLine=True,
             ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
         ).csv(path)
-    if fmt == "jsonl":
-        return spark.read.json(path)
-    if fmt == "json":
-        return spark.read.option("multiLine", "true").json(path)
-    if fmt == "parquet":
-        return spark.read.parquet(path)
-    return spark.read.format("xml").option("rowTag", element_name(row)).load(path)
+    return reader.option("multiLine", str(fmt == "json").lower()).json(path)
 
 
 def _array_document(pretty: bool):
@@ -231,9 +240,3 @@ def restore(
         rows = export(data, place, "parquet", mode="overwrite").rows
         report.append((name, rows))
     return spark.createDataFrame(report, "table string, rows bigint")
-
-
-def csv_field(c: Column, delimiter: str = ",") -> Column:
-    """One field as it must stand in a CSV line: quoted only where it has to be."""
-    special = c.rlike("[" + re.escape(delimiter) + '"\r\n]')
-    return F.when(special, F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyspan.model import KeyspanError
+from keyspan.session import materialize
 
 CODECS = {"none", "gzip", "bzip2", "lz4", "snappy", "zstd", "xz", "deflate", "auto"}
 
@@ -159,7 +160,11 @@ def window_records(df: DataFrame, skip: int = 0, limit: int = -1) -> DataFrame:
     )
     blocks = located.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # Written out: its true size decides whether it is broadcast, and the scan is then not shuffled.
+    offsets = materialize(
+        blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")),
+        "blocks",
+    )
     number = F.col("_id") - F.col("_first") + F.col("_before")
     kept = located.join(offsets, ["_file", "_block"]).where(number >= skip)
     if limit >= 0:

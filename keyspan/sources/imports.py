@@ -84,24 +84,31 @@ def convert(df: DataFrame, schema: dict[str, str], codec: Codec = Codec(), carry
     A failure is a text that is not null but gives no value. The source text is tested, so a real
     null is no failure.
     """
-    errors, values = [], []
+    kept = [F.col(f"`{c}`") for c in carry if c not in schema]
+    # Projections in steps, so that a text is cleaned once and parsed once.
+    texts = df.select(
+        *kept, *[F.col(f"`{n}`").cast("string").alias(f"_raw_{n}") for n in schema],
+    ).withColumns({f"_text_{n}": clean(F.col(f"`_raw_{n}`"), codec) for n in schema})
+    typed = texts.withColumns({n: parse(F.col(f"`_text_{n}`"), t, codec) for n, t in schema.items()})
+    errors = []
     for name, declared in schema.items():
-        text = F.col(f"`{name}`").cast("string")
-        value = parse(text, declared, codec)
-        failed = clean(text, codec).isNotNull() & value.isNull()
-        values.append(value.alias(name))
+        raw = F.col(f"`_raw_{name}`")
+        failed = F.col(f"`_text_{name}`").isNotNull() & F.col(f"`{name}`").isNull()
         errors.append(
             F.when(
                 failed,
                 F.struct(
                     F.lit(name).alias("field"),
-                    text.alias("value"),
-                    F.concat(F.lit("Cannot read '"), text, F.lit(f"' as {declared}")).alias("message"),
+                    raw.alias("value"),
+                    F.concat(F.lit("Cannot read '"), raw, F.lit(f"' as {declared}")).alias("message"),
                 ),
             )
         )
     found = F.array_compact(F.array(*errors))
-    return df.select(*[F.col(f"`{c}`") for c in carry if c not in schema], *values, found.alias("_errors"))
+    # A generator of one row. Without it a filter on the errors would be pushed below the parsing,
+    # and every text would be parsed once for the filter and once more for the value.
+    row = F.struct(*[F.col(f"`{n}`") for n in schema], found.alias("_errors"))
+    return typed.select(*kept, F.inline(F.array(row)))
 
 
 def error_rows(converted: DataFrame, row_id: str) -> DataFrame:
@@ -119,62 +126,65 @@ def typed_import(
     ``row_id`` names the column that identifies a record in error rows; without it a number that
     grows in file order is used.
     """
-    if row_id is None:
-        row_id = "_row"
-        df = df.withColumn(row_id, F.monotonically_increasing_id())
-    converted = convert(df, schema, codec, carry=[row_id])
-    names = list(schema)
-    errors = error_rows(_with_row(df, schema, codec, row_id), row_id if row_id not in schema else "_row_text")
-    return converted.where(F.size("_errors") == 0).select(*names), errors
-
-
-def _with_row(df: DataFrame, schema: dict[str, str], codec: Codec, row_id: str) -> DataFrame:
-    if row_id not in schema:
-        return convert(df, schema, codec, carry=[row_id])
-    return convert(df.withColumn("_row_text", F.col(row_id)), schema, codec, carry=["_row_text"])
+    number = F.col(f"`{row_id}`") if row_id else F.monotonically_increasing_id()
+    converted = convert(df.withColumn("_row", number), schema, codec, carry=["_row"])
+    good = converted.where(F.size("_errors") == 0).select(*[F.col(f"`{n}`") for n in schema])
+    return good, error_rows(converted, "_row")
 
 
 def infer_schema(df: DataFrame, sample: float | None = None, seed: int = 42) -> DataFrame:
-    """The narrowest type that fits every non-null text of each column.
+    """The narrowest type that fits every non-blank text of each column.
 
-    One aggregate over all columns at once: field, index, inferred_type, nullable, values. With
-    ``sample`` only that share of the rows is looked at.
+    Every text is put into its narrowest class; one aggregate then counts the classes of all
+    columns at once: field, index, inferred_type, nullable, values. With ``sample`` only that share
+    of the rows is looked at.
     """
     looked = df if sample is None else df.sample(sample, seed)
     names = df.columns
-    counts = []
-    for i, name in enumerate(names):
-        text = F.col(f"`{name}`").cast("string")
-        present = text.isNotNull() & (F.trim(text) != "")
-        counts.append(F.count(F.when(present, 1)).alias(f"p{i}"))
-        for t in INFERRED[:-1]:
-            fits = _strict(text, t)
-            counts.append(F.count(F.when(present & fits, 1)).alias(f"c{i}_{t}"))
-    counted = looked.agg(F.count(F.lit(1)).alias("n"), *counts)
+    # A class is one bit; the classes that occur in a column are the union of its bits.
+    classed = looked.select([_text_class(F.trim(F.col(f"`{n}`").cast("string"))).alias(f"k{i}") for i, n in enumerate(names)])
+    seen = classed.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count(f"k{i}").alias(f"p{i}") for i in range(len(names))],
+        *[F.bit_or(f"k{i}").alias(f"b{i}") for i in range(len(names))],
+    )
     fields = []
     for i, name in enumerate(names):
+        present = F.col(f"p{i}")
         kind = F.lit("text")
         for t in reversed(INFERRED[:-1]):
-            kind = F.when((F.col(f"p{i}") > 0) & (F.col(f"c{i}_{t}") == F.col(f"p{i}")), F.lit(t)).otherwise(kind)
+            held = sum(_BIT[x] for x in (t, *_WIDENS.get(t, ())))
+            fits = F.col(f"b{i}").bitwiseAND(F.lit(~held)) == 0
+            kind = F.when((present > 0) & fits, F.lit(t)).otherwise(kind)
         fields.append(
             F.struct(
                 F.lit(name).alias("field"), F.lit(i).alias("index"), kind.alias("inferred_type"),
-                (F.col(f"p{i}") < F.col("n")).alias("nullable"), F.col(f"p{i}").alias("values"),
+                (present < F.col("n")).alias("nullable"), present.alias("values"),
             )
         )
-    return counted.select(F.explode(F.array(*fields)).alias("f")).select("f.*")
-
-
-def _strict(text: Column, kind: str) -> Column:
-    """Does a text look like the type: narrower than what the conversion would accept."""
-    trimmed = F.trim(text)
-    if kind == "boolean":
-        return F.lower(trimmed).isin("true", "false")
-    if kind == "double":
-        return trimmed.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$") & parse(text, kind).isNotNull()
-    if kind == "timestamp":
-        return trimmed.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}") & parse(text, kind).isNotNull()
-    return parse(text, kind).isNotNull()
+    return seen.select(F.explode(F.array(*fields)).alias("f")).select("f.*")
+
+
+# The narrower classes that a type also holds, and the bit of each class.
+_WIDENS = {"bigint": ("int",), "varint": ("int", "bigint"), "double": ("int", "bigint", "varint")}
+_BIT = {name: 1 << i for i, name in enumerate(INFERRED)}
+
+
+def _text_class(text: Column) -> Column:
+    """The bit of the narrowest type a trimmed text reads as; null for a blank one."""
+    digits = text.rlike(r"^[+-]?\d+$")
+    return (
+        F.when(text.isNull() | (text == ""), F.lit(None).cast("int"))
+        .when(digits & text.try_cast("int").isNotNull(), _BIT["int"])
+        .when(digits & text.try_cast("bigint").isNotNull(), _BIT["bigint"])
+        .when(digits, _BIT["varint"])
+        .when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), _BIT["double"])
+        .when(F.lower(text).isin("true", "false"), _BIT["boolean"])
+        .when(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & text.try_cast("date").isNotNull(), _BIT["date"])
+        .when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}") & text.try_cast("timestamp").isNotNull(), _BIT["timestamp"])
+        .when(parse(text, "uuid").isNotNull(), _BIT["uuid"])
+        .otherwise(_BIT["text"])
+    )
 
 
 def sniff_nulls(df: DataFrame, columns: list[str] | None = None, sample: float | None = None) -> DataFrame:
@@ -227,19 +237,16 @@ def preview_import(
         mapping = parse_mapping(mapping)
     chosen = mapping if mapping is not None else infer_mapping(source.columns, list(target))
     mapped = [target_column for target_column in target if target_column in chosen.values()]
-    carried = source if row_id else source.withColumn("_row", F.monotonically_increasing_id())
-    rid = row_id or "_row"
-    renamed = carried.select(
-        F.col(rid).alias("_row_text"), *[F.col(f"`{f}`").alias(c) for f, c in chosen.items()]
-    )
-    converted = convert(renamed, {c: target[c] for c in mapped}, codec, carry=["_row_text"])
+    number = F.col(f"`{row_id}`") if row_id else F.monotonically_increasing_id()
+    renamed = source.select(number.alias("_row"), *[F.col(f"`{f}`").alias(c) for f, c in chosen.items()])
+    converted = convert(renamed, {c: target[c] for c in mapped}, codec, carry=["_row"])
     return ImportPreview(
         fields=infer_schema(source),
         mapping=chosen,
         unmapped_fields=[f for f in source.columns if f not in chosen and f != row_id],
         missing_key_columns=[k for k in spec.key if k not in chosen.values()],
         sample_rows=converted.where(F.size("_errors") == 0).select(*mapped).limit(n),
-        errors=error_rows(converted, "_row_text"),
+        errors=error_rows(converted, "_row"),
         rows=source.agg(F.count(F.lit(1)).alias("rows")),
     )
 
