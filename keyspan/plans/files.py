@@ -94,16 +94,9 @@ def parquet_round_trip(t):
 def xml_round_trip(t):
     path = work_path(t.spark, "xml")
     exports.export(t.pages, path, "xml", root="pages", row="page")
-    back = exports.read_back(t.spark, path, "xml", row="page")
-    return back.select(*[_element(back, c).alias(c) for c in ("page_id", "url", "html")]).withColumn(
-        "page_id", F.col("page_id").cast("bigint")
-    )
-
-
-def _element(df, name: str):
-    """An element's text; a column that never had the null attribute reads back as plain text."""
-    kind = dict(df.dtypes)[name]
-    return F.col(f"{name}._VALUE") if kind.startswith("struct") else F.col(name)
+    back = exports.read_back(t.spark, path, "xml", row="page", schema=t.pages.schema)
+    texts = back.select(*[F.col(f"{c}.`{exports.XML_TEXT}`").alias(c) for c in back.columns])
+    return texts.withColumn("page_id", F.col("page_id").cast("bigint"))
 
 
 @query("xml_nulls", "SELECT event_id, nullif(event_type, 'error') AS kind FROM events")
@@ -111,11 +104,9 @@ def xml_nulls(t):
     path = work_path(t.spark, "xml")
     shown = t.events.select("event_id", F.when(F.col("event_type") != "error", F.col("event_type")).alias("kind"))
     exports.export(shown, path, "xml")
-    back = (
-        t.spark.read.format("xml").option("rowTag", "row")
-        .schema("event_id bigint, kind struct<_VALUE: string, _null: string>").load(path)
-    )
-    return back.select("event_id", F.when(F.col("kind._null").isNull(), F.col("kind._VALUE")).alias("kind"))
+    back = exports.read_back(t.spark, path, "xml", schema=shown.schema)
+    kind = F.when(F.col(f"kind.`{exports.XML_NULL}`").isNull(), F.col(f"kind.`{exports.XML_TEXT}`"))
+    return back.select(F.col(f"event_id.`{exports.XML_TEXT}`").cast("bigint").alias("event_id"), kind.alias("kind"))
 
 
 @query(

@@ -22,6 +22,10 @@ from keyspan.session import path_exists
 FORMATS = ("csv", "jsonl", "json", "parquet", "xml")
 ROW_GROUP_BYTES = 128 * 1024 * 1024
 
+# Neither mark can begin an element name, so a column is never taken for an attribute.
+XML_NULL, XML_TEXT = "@null", "#text"
+XML_OPTIONS = {"attributePrefix": "@", "valueTag": XML_TEXT, "ignoreSurroundingSpaces": "false"}
+
 
 def export(
     df: DataFrame,
@@ -75,7 +79,7 @@ def export(
         watched.write.mode(mode).options(**{"compression": "snappy", **options, "parquet.block.size": row_group_bytes}).parquet(path)
     else:
         xml_ready(watched).write.mode(mode).options(
-            rootTag=element_name(root), rowTag=element_name(row), **options
+            rootTag=element_name(root), rowTag=element_name(row), **XML_OPTIONS, **options
         ).format("xml").save(path)
     rows = seen.get["rows"]
     report = ExportReport(rows, 0, path, fmt, warnings)
@@ -117,9 +121,9 @@ def read_back(
         return reader.text(path)
     if fmt == "xml":
         if schema is not None:
-            cell = T.StructType([T.StructField("_VALUE", T.StringType()), T.StructField("_null", T.StringType())])
+            cell = T.StructType([T.StructField(XML_TEXT, T.StringType()), T.StructField(XML_NULL, T.StringType())])
             reader = reader.schema(T.StructType([T.StructField(element_name(f.name), cell) for f in schema]))
-        return reader.format("xml").option("rowTag", element_name(row)).load(path)
+        return reader.format("xml").options(rowTag=element_name(row), **XML_OPTIONS).load(path)
     if schema is not None:
         reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema]))
     if fmt == "csv":
@@ -170,7 +174,7 @@ def xml_ready(df: DataFrame) -> DataFrame:
     for f in df.schema:
         text = F.regexp_replace(flat_text(F.col(f"`{f.name}`"), f.dataType), _NOT_XML, "�")
         out.append(
-            F.struct(F.when(text.isNull(), F.lit("true")).alias("_null"), text.alias("_VALUE")).alias(element_name(f.name))
+            F.struct(F.when(text.isNull(), F.lit("true")).alias(XML_NULL), text.alias(XML_TEXT)).alias(element_name(f.name))
         )
     return df.select(*out)
 

@@ -46,7 +46,8 @@ def read_csv(
     recursive: bool = False,
     url_file: str | None = None,
 ) -> DataFrame:
-    """CSV as text columns. Short rows are padded with nulls.
+    """CSV as text columns. Short rows are padded with nulls; an empty field that is not quoted is
+    null, ``empty_value`` says what a quoted empty one is.
 
     A quoted field may span lines (``multiline``), which keeps one file in one task; files known to
     hold one record per line can turn it off and are then split. Without a header the columns are
@@ -59,7 +60,6 @@ def read_csv(
     )
     if comment:
         reader = reader.option("comment", comment)
-    # Spark takes an empty field for null unless told which text means null.
     reader = reader.option("nullValue", "" if null_value is None else null_value)
     reader = reader.option("emptyValue", "" if empty_value is None else empty_value)
     if max_columns:
