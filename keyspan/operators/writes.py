@@ -88,8 +88,11 @@ def with_delta(base: DataFrame, delta: DataFrame, key: list[str]) -> DataFrame:
 
     The result is that of a full outer join. It is written as a left join plus the unmatched delta
     rows, because Spark can broadcast a small delta in these joins and then leaves the base where it
-    is, while a full outer join always shuffles and sorts both sides.
+    is, while a full outer join always shuffles and sorts both sides. The delta is written to the
+    work folder first: it is needed three times, and the size of its files is what Spark compares
+    with its broadcast limit.
     """
+    delta = materialize(delta, "delta")
     renamed = delta.select(*[F.col(f"`{c}`").alias(f"d_{c}") for c in delta.columns], F.lit(True).alias("d__hit"))
     keys = [f"d_{k}" for k in key]
     on = [F.col(f"`{k}`") == F.col(f"`d_{k}`") for k in key]

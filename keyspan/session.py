@@ -45,7 +45,13 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark)}/keyspan/{label}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder."""
+    return f"{work_dir(spark)}/keyspan/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_work_tables(spark: SparkSession) -> bool:
+    """Delete all work tables of this application. DataFrames that read them become unusable."""
+    return delete_path(spark, f"{work_dir(spark)}/keyspan/{spark.sparkContext.applicationId}")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

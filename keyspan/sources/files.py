@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -145,28 +146,38 @@ def query_scan(spark: SparkSession, sql: str, views: dict[str, DataFrame] | None
 def window_records(df: DataFrame, skip: int = 0, limit: int = -1) -> DataFrame:
     """Per file: leave out the first ``skip`` records and stop after ``limit`` (-1: no stop).
 
-    ``df`` is a fresh scan of files. A record's number is its place in its block plus the records
-    of the blocks before it; block sizes come from one count, a row per input split, so nothing of
-    the data is shuffled or ordered.
+    ``df`` is a fresh scan of files. Parquet knows the number of each record. In text formats it is
+    the record's place in its block plus the records of the blocks before it; block sizes come from
+    one count, a row per input split, so nothing of the data is shuffled or ordered.
     """
     if skip <= 0 and limit < 0:
         return df
-    columns = df.columns
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    try:
+        numbered, number = df, F.col("_metadata.row_index")
+        df.select(number)
+    except AnalysisException:
+        numbered, number = _numbered_by_block(df), F.col("_number")
+    kept = number >= skip
+    if limit >= 0:
+        kept = kept & (number < skip + limit)
+    return numbered.where(kept).select(*columns)
+
+
+def _numbered_by_block(df: DataFrame) -> DataFrame:
+    at = F.monotonically_increasing_id()
     located = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_id"),
-    )
-    blocks = located.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), at.alias("_id")
+    ).withColumn("_task", F.shiftright("_id", 33))
+    place = ["_file", "_block", "_task"]
+    blocks = located.groupBy(*place).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     # Written out: its true size decides whether it is broadcast, and the scan is then not shuffled.
     offsets = materialize(
-        blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")),
-        "blocks",
+        blocks.select(*place, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "blocks"
     )
     number = F.col("_id") - F.col("_first") + F.col("_before")
-    kept = located.join(offsets, ["_file", "_block"]).where(number >= skip)
-    if limit >= 0:
-        kept = kept.where(number < skip + limit)
-    return kept.select(*[F.col(f"`{c}`") for c in columns])
+    moved = F.raise_error(F.lit("the files were split differently between the two passes"))
+    return located.join(offsets, place, "left").withColumn(
+        "_number", F.when(F.col("_first").isNull(), moved.cast("bigint")).otherwise(number)
+    )

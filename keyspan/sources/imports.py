@@ -265,6 +265,7 @@ def load(
     dry_run: bool = False,
     ts: str | None = None,
     seq: str | None = None,
+    staging: str | None = None,
 ) -> LoadReport:
     """Read, map, convert, check and upsert into the keyed Parquet table at ``target``.
 
@@ -272,7 +273,8 @@ def load(
     (``100`` rows or ``"5%"``, -1 for none) is known before anything is committed, and the text is
     parsed once. Within the budget the good rows are applied and the rejects stay in their own
     table; beyond it the target is left alone. ``seq`` orders records of one key; without ``ts`` or
-    ``seq`` the later record of a file wins.
+    ``seq`` the later record of a file wins. ``staging`` is a folder for the converted rows and the
+    rejects; without it they are in the work folder.
     """
     spark = source.sparkSession
     mapped = map_fields(source, mapping, list(schema), allow_extra, allow_missing)
@@ -291,7 +293,7 @@ def load(
         "_errors",
         F.when((F.size("_errors") == 0) & no_key, F.array(keyless)).otherwise(F.col("_errors")),
     )
-    staged_path = work_path(spark, "load")
+    staged_path = staging or work_path(spark, "load")
     # Rejects go to a folder of their own, so the commit never reads them.
     converted.withColumn("_rejected", F.size("_errors") > 0).write.partitionBy("_rejected").parquet(staged_path)
     staged = spark.read.schema(converted.schema.add("_rejected", "boolean")).parquet(staged_path)
