@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyspan.model import Codec, KeyspanError
 
@@ -44,6 +45,29 @@ def spark_type(name: str) -> str:
     raise KeyspanError(f"unknown type {name}")
 
 
+# The declared type of a Spark type, for tables made from another source.
+_DECLARED = {
+    T.StringType: "text", T.IntegerType: "int", T.ShortType: "smallint", T.ByteType: "tinyint", T.LongType: "bigint",
+    T.FloatType: "float", T.DoubleType: "double", T.BooleanType: "boolean", T.TimestampType: "timestamp",
+    T.TimestampNTZType: "timestamp", T.DateType: "date", T.BinaryType: "blob", T.VarcharType: "text", T.CharType: "text",
+}
+
+
+def declared_type(dtype: T.DataType) -> str:
+    """Declared type for a Spark type, the way back from ``spark_type``."""
+    if type(dtype) in _DECLARED:
+        return _DECLARED[type(dtype)]
+    if isinstance(dtype, T.DecimalType):
+        return "varint" if dtype.scale == 0 else f"decimal({dtype.precision},{dtype.scale})"
+    if isinstance(dtype, T.ArrayType):
+        return f"list<{declared_type(dtype.elementType)}>"
+    if isinstance(dtype, T.MapType):
+        return f"map<{declared_type(dtype.keyType)},{declared_type(dtype.valueType)}>"
+    if isinstance(dtype, T.StructType):
+        return "tuple<" + ",".join(declared_type(f.dataType) for f in dtype.fields) + ">"
+    raise KeyspanError(f"no declared type for {dtype.simpleString()}")
+
+
 def _split_type(name: str) -> tuple[str, str]:
     text = name.strip()
     for left, right in (("<", ">"), ("(", ")")):

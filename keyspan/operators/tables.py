@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keyspan.functions.parsing import declared_type
 from keyspan.functions.rendering import blob_text, timestamp_text
 from keyspan.model import KeyspanError, TableSpec
 from keyspan.operators.views import order_columns
@@ -92,6 +93,20 @@ def check_keys(df: DataFrame, spec: TableSpec) -> DataFrame:
     )
 
 
+def suggest_columns(df: DataFrame, source_key: list[str]) -> DataFrame:
+    """Column proposal for a table made from another source: name, source type, declared type,
+    nullable and the place in the source's key. It describes the schema; no row is read."""
+    rows = [
+        (
+            f.name, f.dataType.simpleString(), declared_type(f.dataType), f.nullable and f.name not in source_key,
+            source_key.index(f.name) + 1 if f.name in source_key else None,
+        )
+        for f in df.schema
+    ]
+    schema = "name string, source_type string, suggested_type string, nullable boolean, key_position int"
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
 def suggest_keys(df: DataFrame, source_key: list[str]) -> DataFrame:
     """Key proposal from a source table's primary key, with the facts to judge it.
 
@@ -186,12 +201,14 @@ def duplicate_table(
 
 
 def copy_tables(
-    spark: SparkSession, src: str, dst: str, tables: list[str], truncate: bool = False, verify_keys: dict | None = None
+    spark: SparkSession, src: str, dst: str, tables: list[str], truncate: bool = False, verify_keys: dict | None = None,
+    copy_data: bool = True,
 ) -> DataFrame:
     """Copy Parquet tables from one folder to another: table, rows read, rows in copy, warning.
 
     The loop is over table names; each copy is a Spark write whose rows are counted on the way and
     again in the result. ``verify_keys`` also compares contents of the tables it names by key.
+    Without ``copy_data`` only the (empty) tables are made.
     """
     from pyspark.sql import Observation
 
@@ -199,6 +216,7 @@ def copy_tables(
     for name in tables:
         seen = Observation(f"copy-{uuid.uuid4().hex}")
         source = spark.read.parquet(f"{src}/{name}.parquet" if path_exists(spark, f"{src}/{name}.parquet") else f"{src}/{name}")
+        source = source if copy_data else source.where(F.lit(False))
         target = f"{dst}/{name}"
         before = spark.read.parquet(target).count() if not truncate and path_exists(spark, target) else 0
         source.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(

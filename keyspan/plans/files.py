@@ -173,6 +173,19 @@ def bulk_load(t):
     return t.spark.read.parquet(target)
 
 
+@query(
+    "bulk_load_new_table",
+    "SELECT p_partkey AS id, p_name AS name, p_size AS size, p_retailprice AS price FROM part",
+)
+def bulk_load_new_table(t):
+    # No types are given: the table takes those of the texts.
+    path, target = work_path(t.spark, "in"), work_path(t.spark, "table")
+    exports.export(t.part, path, "csv", verify=False)
+    mapping = "p_partkey=id, p_name=name, p_size=size, p_retailprice=price"
+    imports.load(files.read_csv(t.spark, path), target, None, TableSpec(("id",)), mapping)
+    return t.spark.read.parquet(target).withColumn("id", F.col("id").cast("bigint"))
+
+
 @query(
     "bulk_load_report",
     """

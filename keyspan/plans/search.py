@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from keyspan.functions import vectors
@@ -27,14 +29,14 @@ def _row_vector(t, vec_id: int = 0) -> list[float]:
     """
     SELECT o_orderkey, o_custkey, o_totalprice FROM orders
     WHERE o_totalprice >= 100000 AND o_totalprice < 300000 AND o_orderstatus = 'F' AND o_custkey > 100
-      AND o_orderkey <= 14000
+      AND o_orderdate <= TIMESTAMP '1999-06-30'
     """,
 )
 def predicates(t):
     found = views.apply_predicates(
         t.orders,
         [("o_totalprice", ">=", 100000.0), ("o_totalprice", "<", 300000.0), ("o_orderstatus", "=", "F"),
-         ("o_custkey", ">", 100), ("o_orderkey", "<=", 14000)],
+         ("o_custkey", ">", 100), ("o_orderdate", "<=", dt.datetime(1999, 6, 30))],
     )
     return views.project(found, ["o_orderkey", "o_custkey", "o_totalprice"])
 
@@ -52,11 +54,12 @@ def predicates_in(t):
 
 @query(
     "predicates_long_list",
-    "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT range * 3 FROM range(12000))",
+    "SELECT event_id, user_id FROM events WHERE value IN (SELECT range::DOUBLE / 100 FROM range(12000))",
 )
 def predicates_long_list(t):
-    found = views.apply_predicates(t.lineitem, [("l_orderkey", "IN", [i * 3 for i in range(12000)])])
-    return found.select("l_orderkey", "l_linenumber", "l_partkey")
+    # Every amount in cents up to 120, too many for a plain filter.
+    found = views.apply_predicates(t.events, [("value", "IN", [cents / 100 for cents in range(12000)])])
+    return found.select("event_id", "user_id")
 
 
 @query(
@@ -396,13 +399,13 @@ def knn_dot_product(t):
     "hybrid_knn",
     f"""
     SELECT vec_id, label, round({COSINE}, 6) AS cosine_score FROM embeddings
-    WHERE label IN (1, 2, 7) AND vec_id > 10 ORDER BY {COSINE} DESC, vec_id LIMIT 10
+    WHERE label IN (1, 2, 7) AND label <= 5 ORDER BY {COSINE} DESC, vec_id LIMIT 10
     """,
 )
 def hybrid_knn(t):
     found = nn.knn(
         t.embeddings, "embedding", _row_vector(t), 10, key=["vec_id"], select=["vec_id", "label"],
-        where=[("label", "IN", [1, 2, 7]), ("vec_id", ">", 10)],
+        where=[("label", "IN", [1, 2, 7]), ("label", "<=", 5)],
     )
     return found.withColumn("cosine_score", F.round("cosine_score", 6))
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from keyspan.functions.builtins import register_builtins
 from keyspan.functions.parsing import parse, timeuuid_ts
 from keyspan.functions.rendering import render_text, row_json
 from keyspan.functions.udfs import Aggregate, apply_aggregate, register_function
 from keyspan.model import Codec, TableSpec
 from keyspan.plans.registry import query
 from keyspan.sources import imports
+from keyspan.sources.files import query_scan
 
 EVENT_TYPES = {"event_id": "bigint", "user_id": "int", "value": "double", "happened": "timestamp", "kind": "text"}
 
@@ -209,15 +211,18 @@ def sniff_nulls(t):
     """,
 )
 def timeuuid_time(t):
-    # A version 1 uuid is made from each event's time; errors get version 4.
+    return t.events.select("event_id", F.unix_millis(timeuuid_ts(_timeuuid())).alias("millis"))
+
+
+def _timeuuid():
+    """A version 1 uuid made from each event's time; errors get version 4."""
     ticks = F.unix_micros(F.col("ts").cast("timestamp")) * 10 + F.lit(122192928000000000)
     word = F.lpad(F.lower(F.hex(ticks)), 15, "0")
     version = F.when(F.col("event_type") == "error", "4").otherwise("1")
-    made = F.concat(
+    return F.concat(
         F.substring(word, 8, 8), F.lit("-"), F.substring(word, 4, 4), F.lit("-"), version, F.substring(word, 1, 3),
         F.lit("-8aaa-0123456789ab"),
     )
-    return t.events.select("event_id", F.unix_millis(timeuuid_ts(made)).alias("millis"))
 
 
 @query(
@@ -233,6 +238,47 @@ def time_functions(t):
     )
 
 
+@query(
+    "sql_builtins",
+    """
+    SELECT event_id, CASE WHEN event_type <> 'error' THEN epoch_us(ts) // 1000 END AS uuid_millis,
+           CASE WHEN event_type <> 'error' THEN strftime(ts, '%Y-%m-%d') END AS uuid_day,
+           strftime(ts, '%Y-%m-%d') AS day, epoch_us(ts) // 1000 AS millis
+    FROM events
+    """,
+)
+def sql_builtins(t):
+    register_builtins(t.spark)
+    shown = t.events.select("event_id", _timeuuid().alias("id"), F.col("ts").cast("timestamp").alias("at"))
+    return query_scan(
+        t.spark,
+        """
+        SELECT event_id, unixtimestampof(id) AS uuid_millis, CAST(todate(id) AS STRING) AS uuid_day,
+               CAST(todate(at) AS STRING) AS day, tounixtimestamp(at) AS millis FROM keyspan_timed
+        """,
+        {"keyspan_timed": shown},
+    )
+
+
+@query(
+    "sql_similarity",
+    """
+    SELECT a.vec_id, round((1 + list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) / 2, 6) AS score
+    FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
+    """,
+)
+def sql_similarity(t):
+    register_builtins(t.spark)
+    return query_scan(
+        t.spark,
+        """
+        SELECT a.vec_id, round(similarity_cosine(a.embedding, b.embedding), 6) AS score
+        FROM keyspan_vectors a JOIN keyspan_vectors b ON b.vec_id = a.vec_id + 1
+        """,
+        {"keyspan_vectors": t.embeddings},
+    )
+
+
 @query(
     "map_fields",
     "SELECT c_custkey AS id, c_mktsegment AS segment, c_acctbal AS balance FROM customer",

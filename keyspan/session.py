@@ -19,9 +19,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf) -
         SparkSession.builder.master(f"local[{cores}]")
         .appName("keyspan")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("KEYSPAN_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # Wide projections are then compiled in pieces the JVM can optimise.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.session.timeZone", "UTC")
     )
     for key, value in conf.items():

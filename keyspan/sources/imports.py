@@ -140,29 +140,47 @@ def infer_schema(df: DataFrame, sample: float | None = None, seed: int = 42) ->
     of the rows is looked at.
     """
     looked = df if sample is None else df.sample(sample, seed)
-    names = df.columns
+    cells = _cells(looked, df.columns)
     # A class is one bit; the classes that occur in a column are the union of its bits.
-    classed = looked.select([_text_class(F.trim(F.col(f"`{n}`").cast("string"))).alias(f"k{i}") for i, n in enumerate(names)])
-    seen = classed.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count(f"k{i}").alias(f"p{i}") for i in range(len(names))],
-        *[F.bit_or(f"k{i}").alias(f"b{i}") for i in range(len(names))],
+    classed = cells.select("index", _text_class(F.col("text")).alias("bit"))
+    seen = classed.groupBy("index").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("bit").alias("values"), F.coalesce(F.bit_or("bit"), F.lit(0)).alias("bits")
     )
-    fields = []
-    for i, name in enumerate(names):
-        present = F.col(f"p{i}")
-        kind = F.lit("text")
-        for t in reversed(INFERRED[:-1]):
-            held = sum(_BIT[x] for x in (t, *_WIDENS.get(t, ())))
-            fits = F.col(f"b{i}").bitwiseAND(F.lit(~held)) == 0
-            kind = F.when((present > 0) & fits, F.lit(t)).otherwise(kind)
-        fields.append(
-            F.struct(
-                F.lit(name).alias("field"), F.lit(i).alias("index"), kind.alias("inferred_type"),
-                (present < F.col("n")).alias("nullable"), present.alias("values"),
-            )
-        )
-    return seen.select(F.explode(F.array(*fields)).alias("f")).select("f.*")
+    kind = F.lit("text")
+    for t in reversed(INFERRED[:-1]):
+        held = sum(_BIT[x] for x in (t, *_WIDENS.get(t, ())))
+        fits = F.col("bits").bitwiseAND(F.lit(~held)) == 0
+        kind = F.when((F.col("values") > 0) & fits, F.lit(t)).otherwise(kind)
+    every = _fields(df).join(seen, "index", "left")
+    return every.select(
+        "field", "index", F.coalesce(kind, F.lit("text")).alias("inferred_type"),
+        F.coalesce(F.col("values") < F.col("rows"), F.lit(True)).alias("nullable"),
+        F.coalesce("values", F.lit(0)).alias("values"),
+    )
+
+
+def inferred_types(df: DataFrame, mapping: dict[str, str] | str | None = None) -> dict[str, str]:
+    """Inferred type of every (mapped) column, as ``load`` and ``typed_import`` take them."""
+    if isinstance(mapping, str):
+        mapping = parse_mapping(mapping)
+    named = df.columns
+    found = {r["field"]: r["inferred_type"] for r in infer_schema(df).collect()}
+    if mapping is None:
+        return {c: found[c] for c in named}
+    place = lambda f: named[int(f)] if f not in found and f.isdigit() else f
+    return {column: found[place(field)] for field, column in mapping.items()}
+
+
+def _fields(df: DataFrame) -> DataFrame:
+    rows = [(i, c) for i, c in enumerate(df.columns)]
+    return df.sparkSession.createDataFrame(rows, "index int, field string")
+
+
+def _cells(df: DataFrame, names: list[str]) -> DataFrame:
+    """One row per cell: the column's number and its trimmed text. What is done to a text is then
+    compiled once, however wide the table."""
+    cells = [F.struct(F.lit(i).alias("index"), F.col(f"`{c}`").cast("string").alias("raw")) for i, c in enumerate(names)]
+    return df.select(F.inline(F.array(*cells))).select("index", F.trim("raw").alias("text"))
 
 
 # The narrower classes that a type also holds, and the bit of each class.
@@ -188,25 +206,19 @@ def _text_class(text: Column) -> Column:
 
 
 def sniff_nulls(df: DataFrame, columns: list[str] | None = None, sample: float | None = None) -> DataFrame:
-    """Null words that occur in each column: field, words. One aggregate of flags."""
-    names = columns or df.columns
-    looked = df if sample is None else df.sample(sample, 42)
-    flags = [
-        F.bool_or(F.trim(F.col(f"`{name}`").cast("string")) == w).alias(f"f{i}_{j}")
-        for i, name in enumerate(names)
-        for j, w in enumerate(NULL_WORDS)
-    ]
-    seen = looked.agg(*flags)
-    rows = [
-        F.struct(
-            F.lit(name).alias("field"),
-            F.array_compact(F.array(*[F.when(F.col(f"f{i}_{j}"), F.lit(w)) for j, w in enumerate(NULL_WORDS)])).alias(
-                "words"
-            ),
-        )
-        for i, name in enumerate(names)
-    ]
-    return seen.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    """Null words that occur in each column: field, words. One aggregate of flags per column."""
+    named = df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
+    looked = named if sample is None else named.sample(sample, 42)
+    words = F.array(*[F.lit(w) for w in NULL_WORDS])
+    place = F.array_position(words, F.col("text")).cast("int")
+    bit = F.when(F.col("place") > 0, F.expr("shiftleft(1, place - 1)"))
+    flagged = _cells(looked, named.columns).select("index", place.alias("place")).select("index", bit.alias("bit"))
+    seen = flagged.groupBy("index").agg(F.coalesce(F.bit_or("bit"), F.lit(0)).alias("bits"))
+    found = [F.when(F.col("bits").bitwiseAND(F.lit(1 << j)) != 0, F.lit(w)) for j, w in enumerate(NULL_WORDS)]
+    bits = F.coalesce(F.col("bits"), F.lit(0)).alias("bits")
+    return _fields(named).join(seen, "index", "left").select("field", "index", bits).orderBy("index").select(
+        "field", F.array_compact(F.array(*found)).alias("words")
+    )
 
 
 @dataclass
@@ -254,7 +266,7 @@ def preview_import(
 def load(
     source: DataFrame,
     target: str,
-    schema: dict[str, str],
+    schema: dict[str, str] | None,
     spec: TableSpec,
     mapping: dict[str, str] | str | None = None,
     codec: Codec = Codec(),
@@ -274,9 +286,12 @@ def load(
     parsed once. Within the budget the good rows are applied and the rejects stay in their own
     table; beyond it the target is left alone. ``seq`` orders records of one key; without ``ts`` or
     ``seq`` the later record of a file wins. ``staging`` is a folder for the converted rows and the
-    rejects; without it they are in the work folder.
+    rejects; without it they are in the work folder. Without ``schema`` the table is made from the
+    types that the source's texts have.
     """
     spark = source.sparkSession
+    if schema is None:
+        schema = inferred_types(source, mapping)
     mapped = map_fields(source, mapping, list(schema), allow_extra, allow_missing)
     spec.require_key(mapped.columns)
     held = {c: t for c, t in schema.items() if c in mapped.columns}

@@ -294,3 +294,14 @@ def test_duplicate_refuses_an_existing_target(spark, place):
     assert tables.duplicate_table(spark, src, dst, copy_data=False).count() == 0
     with pytest.raises(Exception, match="exists"):
         tables.duplicate_table(spark, src, dst)
+
+
+def test_table_proposal_for_another_source(spark):
+    df = spark.createDataFrame([], "id bigint, at timestamp, amount decimal(12,2), tags array<string>, n decimal(38,0)")
+    rows = {r["name"]: tuple(r)[2:] for r in tables.suggest_columns(df, ["id", "at"]).collect()}
+    assert rows == {
+        "id": ("bigint", False, 1), "at": ("timestamp", False, 2), "amount": ("decimal(12,2)", True, None),
+        "tags": ("list<text>", True, None), "n": ("varint", True, None),
+    }
+    with pytest.raises(KeyspanError):
+        tables.suggest_keys(df, [])
