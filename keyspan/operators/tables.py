@@ -143,6 +143,16 @@ def _row_hashes(df: DataFrame, columns: list[str]) -> list[Column]:
     return [F.xxhash64(flags, *values), F.xxhash64(F.lit(7919), *values, flags)]
 
 
+def _pieces(value: Column) -> list[Column]:
+    """A 64-bit hash as three numbers small enough to be summed over trillions of rows."""
+    mask = F.lit(2**22 - 1)
+    return [
+        F.shiftrightunsigned(value, 44).bitwiseAND(mask),
+        F.shiftrightunsigned(value, 22).bitwiseAND(mask),
+        value.bitwiseAND(mask),
+    ]
+
+
 def reconcile(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
     """Keys that differ between two tables: ``status`` is missing, extra or changed.
 
@@ -155,24 +165,20 @@ def reconcile(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str] |
     if missing:
         raise KeyspanError("columns only on one side: " + ", ".join(missing))
 
+    marks = [f"_{h}{i}" for h in (1, 2) for i in range(3)]
+
     def digest(df: DataFrame, side: str) -> DataFrame:
         one, two = _row_hashes(df, compared)
-        return (
-            df.select(*keys, one.cast("decimal(20,0)").alias("_h1"), two.cast("decimal(20,0)").alias("_h2"))
-            .groupBy(*keys)
-            .agg(
-                F.count(F.lit(1)).alias(f"{side}_rows"),
-                F.sum("_h1").alias(f"_{side}1"),
-                F.sum("_h2").alias(f"_{side}2"),
-            )
+        hashed = df.select(*keys, one.alias("_one"), two.alias("_two"))
+        pieces = [*_pieces(F.col("_one")), *_pieces(F.col("_two"))]
+        return hashed.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias(f"{side}_rows"), *[F.sum(p).alias(f"{side}{m}") for p, m in zip(pieces, marks)]
         )
 
     joined = digest(a, "left").join(digest(b, "right"), keys, "full_outer")
-    same = (
-        (F.col("left_rows") == F.col("right_rows"))
-        & (F.col("_left1") == F.col("_right1"))
-        & (F.col("_left2") == F.col("_right2"))
-    )
+    same = F.col("left_rows") == F.col("right_rows")
+    for m in marks:
+        same = same & (F.col(f"left{m}") == F.col(f"right{m}"))
     status = (
         F.when(F.col("right_rows").isNull(), "missing")
         .when(F.col("left_rows").isNull(), "extra")
@@ -234,10 +240,11 @@ def copy_tables(
 
 
 def replace_table(df: DataFrame, path: str, keep_old: bool = False) -> str | None:
-    """Write ``df`` beside the table at ``path`` and swap it in; returns the old version's path.
+    """Write ``df`` beside the table at ``path``, then swap the folders by two renames.
 
-    Readers of ``path`` see the old rows or the new ones. ``df`` may read from ``path`` itself.
-    The old version stays beside it until the caller deletes it when ``keep_old``.
+    ``df`` may read from ``path`` itself. If the write fails the table is untouched; if the job dies
+    between the renames the old version is beside it as ``<path>.old-...``. With ``keep_old`` it
+    stays there and its path is returned.
     """
     from keyspan.session import delete_path
 
@@ -315,6 +322,15 @@ def _collection(c: Column, element: T.DataType, left: str, right: str, kind: str
     return F.coalesce(F.concat(F.lit(left), F.array_join(items, ", "), F.lit(right)), F.lit("null"))
 
 
+def batch_statements(planned: DataFrame, spec: TableSpec) -> DataFrame:
+    """One batch text per planned batch, from rows with ``statement`` and ``batch``. A batch is
+    bounded by the plan, so collecting its statements is too."""
+    listed = F.array_sort(F.collect_list(F.struct(*spec.clustering_names, "statement")))
+    body = F.array_join(F.transform(listed, lambda r: r["statement"]), "\n  ")
+    text = F.concat(F.lit("BEGIN BATCH\n  "), body, F.lit("\nAPPLY BATCH;"))
+    return planned.groupBy(*spec.partition_key, "batch").agg(text.alias("statement"))
+
+
 def generate_statements(
     df: DataFrame,
     table: str,

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyspan.model import TableSpec
-from keyspan.operators import cells, tables, writes
+from keyspan.operators import buckets, cells, tables, writes
 from keyspan.plans.registry import query
+from keyspan.session import work_path
 
 CUSTOMER = TableSpec(("c_custkey",))
 ORDERS = TableSpec(("o_custkey",), ("o_orderkey",))
@@ -413,6 +414,24 @@ def cell_lifetimes(t):
     return cells.live_rows(_cell_table(t), CUSTOMER, as_of=moment)
 
 
+@query("upsert_buckets", f"WITH {CHANGES}, {_merged("list_contains(set_cols, '{c}')")}")
+def upsert_buckets(t):
+    place = work_path(t.spark, "buckets")
+    buckets.write_buckets(t.customer, place, CUSTOMER, 16)
+    buckets.upsert_buckets(t.spark, place, _changes(t), CUSTOMER, 16, ts="ts", seq="seq", set_cols="set_cols")
+    return buckets.read_buckets(t.spark, place)
+
+
+@query(
+    "lookup_bucket",
+    "SELECT event_id, user_id, event_type FROM events WHERE user_id = 41",
+)
+def lookup_bucket(t):
+    place, spec = work_path(t.spark, "buckets"), TableSpec(("user_id",), ("ts", "event_id"))
+    buckets.write_buckets(t.events, place, spec, 32)
+    return buckets.lookup_partition(t.spark, place, spec, 32, {"user_id": 41}).select("event_id", "user_id", "event_type")
+
+
 # --- statements -----------------------------------------------------------------------------------
 
 
@@ -451,3 +470,19 @@ def update_statements(t):
 )
 def delete_statements(t):
     return tables.generate_statements(t.orders, "app.orders", "DELETE", ORDERS, timestamp=9)
+
+
+@query(
+    "batch_statements",
+    r"""
+    WITH s AS (SELECT o_custkey, o_orderkey, 'DELETE FROM app.orders WHERE o_custkey = ' || o_custkey || ' AND o_orderkey = '
+                      || o_orderkey || ';' AS statement,
+                      (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 8 AS batch FROM orders)
+    SELECT o_custkey, batch::BIGINT AS batch, 'BEGIN BATCH' || chr(10) || '  '
+           || string_agg(statement, chr(10) || '  ' ORDER BY o_orderkey) || chr(10) || 'APPLY BATCH;' AS statement
+    FROM s GROUP BY 1, 2
+    """,
+)
+def batch_statements(t):
+    texts = tables.generate_statements(t.orders, "app.orders", "DELETE", ORDERS)
+    return tables.batch_statements(writes.plan_batches(texts, ORDERS, 8), ORDERS)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from keyspan.functions.parsing import clean, parse
 from keyspan.model import Codec, KeyspanError, LoadReport, TableSpec
+from keyspan.operators.buckets import upsert_buckets, write_buckets
 from keyspan.operators.tables import replace_table
-from keyspan.operators.writes import upsert
+from keyspan.operators.writes import apply_counters, upsert
 from keyspan.session import path_exists, work_path
 
 # Words that may stand for null, in the order they are reported.
@@ -278,6 +279,7 @@ def load(
     ts: str | None = None,
     seq: str | None = None,
     staging: str | None = None,
+    buckets: int | None = None,
 ) -> LoadReport:
     """Read, map, convert, check and upsert into the keyed Parquet table at ``target``.
 
@@ -287,7 +289,8 @@ def load(
     table; beyond it the target is left alone. ``seq`` orders records of one key; without ``ts`` or
     ``seq`` the later record of a file wins. ``staging`` is a folder for the converted rows and the
     rejects; without it they are in the work folder. Without ``schema`` the table is made from the
-    types that the source's texts have.
+    types that the source's texts have. With ``buckets`` the table is laid out by bucket and only
+    the buckets with changes are rewritten.
     """
     spark = source.sparkSession
     if schema is None:
@@ -325,11 +328,25 @@ def load(
         if path_exists(spark, target)
         else changes.drop("_seq").where(F.lit(False))
     )
-    merged = upsert(base, changes, spec, ts=ts, seq=seq or "_seq", null_to_unset=null_to_unset)
-    replace_table(merged, target)
+    if buckets:
+        options = {} if spec.counter else {"ts": ts, "seq": seq or "_seq", "null_to_unset": null_to_unset}
+        if path_exists(spark, target):
+            upsert_buckets(spark, target, changes, spec, buckets, **options)
+        else:
+            write_buckets(_applied(base, changes, spec, options), target, spec, buckets)
+    else:
+        options = {"ts": ts, "seq": seq or "_seq", "null_to_unset": null_to_unset}
+        replace_table(_applied(base, changes, spec, options), target)
     return LoadReport("WITH_REJECTS" if bad else "SUCCESS", good + bad, good, bad, rejects, target)
 
 
+def _applied(base: DataFrame, changes: DataFrame, spec: TableSpec, options: dict) -> DataFrame:
+    """Changes on a table: counters add up, other columns are replaced."""
+    if spec.counter:
+        return apply_counters(base, changes, spec.key, [c for c in base.columns if c not in spec.key])
+    return upsert(base, changes, spec, **options)
+
+
 def _over_budget(bad: int, total: int, budget: int | str) -> bool:
     if isinstance(budget, str) and budget.strip().endswith("%"):
         return total > 0 and bad * 100.0 / total > float(budget.strip()[:-1])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from keyspan.model import Codec, TableSpec
+from keyspan.model import Codec, KeyspanError, TableSpec
 from keyspan.sources.imports import MAX_ERRORS, load
 
 
@@ -26,13 +26,17 @@ def stream_load(
     header: bool = True,
     files_per_batch: int | None = None,
     reports: list | None = None,
+    buckets: int | None = None,
 ) -> DataStreamWriter:
     """Load files as they arrive into a keyed table; start the returned writer.
 
     Each micro-batch is one ``load``: rejects are kept, and a batch beyond its error budget fails
     the query instead of being skipped. A batch that is run again after a failure upserts the same
-    rows, so the table ends up the same.
+    rows, so the table ends up the same; increments of a counter table would count twice and are
+    refused. With ``buckets`` a batch rewrites only the buckets it has rows for.
     """
+    if spec.counter:
+        raise KeyspanError("a replayed batch would count increments twice; use stream_counters")
     text = ", ".join(f"`{c}` string" for c in schema)
     reader = spark.readStream.format(fmt).schema(text)
     if fmt == "csv":
@@ -41,7 +45,7 @@ def stream_load(
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def apply(batch: DataFrame, number: int) -> None:
-        report = load(batch, target, schema, spec, codec=codec, max_errors=max_errors)
+        report = load(batch, target, schema, spec, codec=codec, max_errors=max_errors, buckets=buckets)
         if reports is not None:
             reports.append(report)
         if report.status == "ABORTED":
