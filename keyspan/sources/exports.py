@@ -64,9 +64,14 @@ def export(
     if compression:
         options["compression"] = compression
     if fmt == "csv":
+        # A line without any character would not be read as a record, so the only field of a row is
+        # written as a quoted empty one.
+        empty = '""' if len(out.columns) == 1 else ""
         render_text(watched).write.mode(mode).options(
-            header=header, sep=delimiter, nullValue=null_string, emptyValue="", quote='"', escape='"',
-            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n", **options,
+            header=header, sep=delimiter, nullValue=null_string or empty, emptyValue=empty, quote='"', escape='"',
+            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n",
+            # The writer would quote a first field that begins with its comment mark, by default "#".
+            comment="\x01", **options,
         ).csv(path)
     elif fmt == "jsonl":
         watched.select(row_json(watched).alias("value")).write.mode(mode).options(**options).text(path)
@@ -84,7 +89,7 @@ def export(
     rows = seen.get["rows"]
     report = ExportReport(rows, 0, path, fmt, warnings)
     if verify:
-        written = read_back(spark, path, fmt, header, delimiter, row, out.schema, bool(split_keys))
+        written = read_back(spark, path, fmt, header, delimiter, row, out.schema, bool(split_keys), pretty)
         found = written.count()
         if found != rows:
             raise KeyspanError(f"{rows} rows were read but {found} were written to {path}")
@@ -110,15 +115,25 @@ def _check_splits(source: DataFrame, written: DataFrame, keys: list[str], splits
 
 def read_back(
     spark: SparkSession, path: str, fmt: str, header: bool = True, delimiter: str = ",", row: str = "row",
-    schema: T.StructType | None = None, values: bool = True,
+    schema: T.StructType | None = None, values: bool = True, pretty: bool = False,
 ) -> DataFrame:
-    """The exported rows, for the audit. With the schema at hand no pass over the files infers one;
-    without need of ``values`` JSON Lines are read as lines."""
+    """The exported rows, for the audit. With the schema at hand no pass over the files infers one.
+
+    JSON is read as lines, which splits large files: a row of an array document begins with the
+    bracket or comma before it, and no other line does. Only values of indented documents need the
+    files to be read whole.
+    """
     reader = spark.read
     if fmt == "parquet":
         return reader.parquet(path)
     if fmt == "jsonl" and not values:
         return reader.text(path)
+    if fmt == "json" and schema is not None and not (values and pretty):
+        lines = reader.text(path).where(F.startswith("value", F.lit("[{")) | F.startswith("value", F.lit(",{")))
+        if not values:
+            return lines
+        texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+        return lines.select(F.from_json(F.expr("substr(value, 2)"), texts).alias("r")).select("r.*")
     if fmt == "xml":
         if schema is not None:
             cell = T.StructType([T.StructField(XML_TEXT, T.StringType()), T.StructField(XML_NULL, T.StringType())])

@@ -224,3 +224,19 @@ def test_sources_read_what_sinks_write(spark, place):
     path = place()
     exports.export(one(spark), path, "csv")
     assert files.read_csv(spark, path, empty_value="").count() == 4
+
+
+def test_single_column_csv_keeps_empty_rows(spark, place):
+    path = place()
+    df = spark.createDataFrame([("a",), (None,), ("",), ("#x",)], "t string").coalesce(1)
+    assert exports.export(df, path, "csv").rows == 4
+    assert read(path)[0] == 't\na\n""\n""\n#x\n'
+    assert files.read_csv(spark, path).count() == 4
+
+
+def test_hash_sign_is_no_comment(spark, place):
+    path = place()
+    df = spark.createDataFrame([("#a", "x"), ("b\\", "#")], "t string, u string").coalesce(1)
+    exports.export(df, path, "csv", header=False)
+    assert read(path)[0] == "#a,x\nb\\,#\n"
+    assert {tuple(r) for r in files.read_csv(spark, path, header=False).collect()} == {("#a", "x"), ("b\\", "#")}
