@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,13 +30,30 @@ def project(df: DataFrame, columns: list[str] | None) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
-def words(text: Column, case_sensitive: bool = False, normalize: bool = False, ascii: bool = False) -> Column:
-    """The words of a text as an array: runs of letters, marks, digits and underscores."""
+# Fixed value: what a word is made of.
+_WORD = r"\p{L}\p{M}\p{N}_"
+
+
+def _analysed(text: Column, case_sensitive: bool, normalize: bool, ascii: bool) -> Column:
     if normalize or ascii:
         text = _unicode_folded(ascii)(text)
-    if not case_sensitive:
-        text = F.lower(text)
-    return F.filter(F.split(text, r"[^\p{L}\p{M}\p{N}_]+"), lambda w: w != "")
+    return text if case_sensitive else F.lower(text)
+
+
+def words(text: Column, case_sensitive: bool = False, normalize: bool = False, ascii: bool = False) -> Column:
+    """The words of a text as an array: runs of letters, marks, digits and underscores."""
+    split = F.split(_analysed(text, case_sensitive, normalize, ascii), f"[^{_WORD}]+")
+    return F.filter(split, lambda w: w != "")
+
+
+def has_word(text: Column, word: str, case_sensitive: bool = False, normalize: bool = False, ascii: bool = False) -> Column:
+    """Is the word among ``words(text)``? Most texts fail the plain search and are not analysed."""
+    wanted = word if case_sensitive else word.lower()
+    if not wanted or not all(ch == "_" or unicodedata.category(ch)[0] in "LMN" for ch in wanted):
+        return F.lit(False) & text.isNotNull()
+    analysed = _analysed(text, case_sensitive, normalize, ascii)
+    alone = f"(?<![{_WORD}])" + wanted + f"(?![{_WORD}])"
+    return F.contains(analysed, F.lit(wanted)) & analysed.rlike(alone)
 
 
 def _unicode_folded(ascii: bool):
@@ -73,9 +92,7 @@ def predicate(df: DataFrame, column: str, op: str, value, text_options: dict | N
     if op == "CONTAINS KEY":
         return F.map_contains_key(c, F.lit(value))
     if op == ":":
-        options = text_options or {}
-        needle = value if options.get("case_sensitive") else value.lower()
-        return F.array_contains(words(c, **options), F.lit(needle))
+        return has_word(c, value, **(text_options or {}))
     if op == "LIKE":
         return c.like(value)
     raise KeyspanError(f"unknown operator {op}")

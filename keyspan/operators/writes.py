@@ -82,7 +82,7 @@ def winning_changes(
     return reduced
 
 
-def with_delta(base: DataFrame, delta: DataFrame, key: list[str]) -> DataFrame:
+def with_delta(base: DataFrame, delta: DataFrame, key: list[str], stage: bool = True) -> DataFrame:
     """Every base row and every delta-only row, side by side: base columns, delta columns prefixed
     ``d_``, and the flags ``_in_base`` and ``d__hit``.
 
@@ -90,9 +90,10 @@ def with_delta(base: DataFrame, delta: DataFrame, key: list[str]) -> DataFrame:
     rows, because Spark can broadcast a small delta in these joins and then leaves the base where it
     is, while a full outer join always shuffles and sorts both sides. The delta is written to the
     work folder first: it is needed three times, and the size of its files is what Spark compares
-    with its broadcast limit.
+    with its broadcast limit. Without ``stage`` nothing runs before the result is asked for.
     """
-    delta = materialize(delta, "delta")
+    if stage:
+        delta = materialize(delta, "delta")
     renamed = delta.select(*[F.col(f"`{c}`").alias(f"d_{c}") for c in delta.columns], F.lit(True).alias("d__hit"))
     keys = [f"d_{k}" for k in key]
     on = [F.col(f"`{k}`") == F.col(f"`d_{k}`") for k in key]
@@ -105,7 +106,8 @@ def with_delta(base: DataFrame, delta: DataFrame, key: list[str]) -> DataFrame:
 
 
 def merge_rows(
-    base: DataFrame, delta: DataFrame, key: list[str], update: dict[str, Column], insert: dict[str, Column]
+    base: DataFrame, delta: DataFrame, key: list[str], update: dict[str, Column], insert: dict[str, Column],
+    stage: bool = True,
 ) -> DataFrame:
     """``base`` with ``delta`` (one row per key) applied.
 
@@ -117,7 +119,7 @@ def merge_rows(
         added = insert.get(c, F.lit(None)).cast(base.schema[c].dataType)
         kept = F.when(F.col("d__hit"), update[c]).otherwise(F.col(f"`{c}`")) if c in update else F.col(f"`{c}`")
         out.append(F.when(F.col("_in_base"), kept).otherwise(added).alias(c))
-    return with_delta(base, delta, key).select(out)
+    return with_delta(base, delta, key, stage).select(out)
 
 
 def upsert(
@@ -129,6 +131,7 @@ def upsert(
     set_cols: str | None = None,
     null_to_unset: bool = False,
     base_ts: str | None = None,
+    stage: bool = True,
 ) -> DataFrame:
     """Insert or update rows by full key and return the new table.
 
@@ -152,7 +155,7 @@ def upsert(
     if base_ts:
         update[base_ts] = F.greatest(F.col(f"`{base_ts}`"), F.col("d__ts"))
         insert[base_ts] = F.col("d__ts")
-    return merge_rows(base, delta, spec.key, update, insert)
+    return merge_rows(base, delta, spec.key, update, insert, stage)
 
 
 def update(base: DataFrame, changes: DataFrame, spec: TableSpec, columns: list[str], **options) -> DataFrame:
@@ -239,7 +242,9 @@ def conditional_upsert(
         current = F.when(~F.col("applied"), F.col("current"))
         table_changes = joined.where("applied").select(*changes.columns)
     outcome = joined.select(*key, *([seq] if seq else []), "applied", current.alias("current"))
-    return upsert(base, table_changes, spec, seq=seq if seq in table_changes.columns else None), outcome
+    # Not staged: who asks only for the outcome does not pay for the table.
+    table = upsert(base, table_changes, spec, seq=seq if seq in table_changes.columns else None, stage=False)
+    return table, outcome
 
 
 def _inserted_row(base: DataFrame, key: list[str], columns: list[str]) -> Column:

@@ -191,12 +191,14 @@ _BIT = {name: 1 << i for i, name in enumerate(INFERRED)}
 
 def _text_class(text: Column) -> Column:
     """The bit of the narrowest type a trimmed text reads as; null for a blank one."""
-    digits = text.rlike(r"^[+-]?\d+$")
+    # A failed cast costs far more than a comparison, so an int is told from its bigint value.
+    whole = text.try_cast("bigint")
+    size = (
+        F.when(whole.between(-(2**31), 2**31 - 1), _BIT["int"]).when(whole.isNotNull(), _BIT["bigint"]).otherwise(_BIT["varint"])
+    )
     return (
         F.when(text.isNull() | (text == ""), F.lit(None).cast("int"))
-        .when(digits & text.try_cast("int").isNotNull(), _BIT["int"])
-        .when(digits & text.try_cast("bigint").isNotNull(), _BIT["bigint"])
-        .when(digits, _BIT["varint"])
+        .when(text.rlike(r"^[+-]?\d+$"), size)
         .when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), _BIT["double"])
         .when(F.lower(text).isin("true", "false"), _BIT["boolean"])
         .when(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & text.try_cast("date").isNotNull(), _BIT["date"])

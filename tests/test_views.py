@@ -178,3 +178,14 @@ def test_result_view_order(spark):
     assert [r["user"] for r in shown.collect()] == ["u3", "u1", "u2"]
     up = views.result_view(df, None, {}, ("logins", "asc"), numeric_text=True)
     assert [r["user"] for r in up.collect()] == ["u2", "u1", "v4", "u3"]
+
+
+def test_word_match_equals_the_list_of_words(spark):
+    texts = ["the cat", "The-cat", "cathedral cat_1", "x\ncat.", "concat", "", None, "Çat cat2 CAT"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for word in ("cat", "CAT", "cat_1", "the cat", "", "çat", "c.t"):
+        both = df.select(
+            F.coalesce(views.has_word(F.col("t"), word), F.lit(False)),
+            F.coalesce(F.array_contains(views.words(F.col("t")), word.lower()), F.lit(False)),
+        ).collect()
+        assert all(a == b for a, b in both), word
