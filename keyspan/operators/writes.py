@@ -117,7 +117,10 @@ def merge_rows(
     out = []
     for c in base.columns:
         added = insert.get(c, F.lit(None)).cast(base.schema[c].dataType)
-        kept = F.when(F.col("d__hit"), update[c]).otherwise(F.col(f"`{c}`")) if c in update else F.col(f"`{c}`")
+        kept = F.col(f"`{c}`")
+        if c in update:
+            # The table keeps its types; a value that does not fit is an error.
+            kept = F.when(F.col("d__hit"), update[c].cast(base.schema[c].dataType)).otherwise(kept)
         out.append(F.when(F.col("_in_base"), kept).otherwise(added).alias(c))
     return with_delta(base, delta, key, stage).select(out)
 
@@ -302,31 +305,35 @@ def counter_totals(deltas: DataFrame, keys: list[str], counters: list[str], delt
 
 
 def plan_batches(
-    changes: DataFrame, spec: TableSpec, max_statements: int | None = None, hot_rows: int = 1_000_000
+    changes: DataFrame, spec: TableSpec, max_statements: int | None = None, hot_rows: int = 1_000_000,
+    by: list[str] | None = None,
 ) -> DataFrame:
     """Add ``batch``: rows of one partition key, at most ``max_statements`` per batch.
 
+    ``by`` groups by other columns instead, such as the owners of a split (replica sets).
+
     A counter table gets one statement per batch; a table without a clustering key is not batched
     (``batch`` is null). A partition key with more than ``hot_rows`` changes is cut into slices that
     are numbered on their own, so no task orders a whole hot partition; its batch numbers then have
     gaps but stay unique within the key.
     """
-    if not spec.clustering:
+    if not spec.clustering and by is None:
         return changes.withColumn("batch", F.lit(None).cast("bigint"))
     limit = 1 if spec.counter else (max_statements or BATCH_STATEMENTS)
-    pk = list(spec.partition_key)
+    pk = by or list(spec.partition_key)
+    order = spec.clustering_names if by is None else spec.key
     counts = changes.groupBy(*pk).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     # Written out, so that Spark knows its true size when it plans the join below.
     hot = materialize(counts.select(*pk, F.ceil(F.col("_n") / hot_rows).cast("bigint").alias("_slices")), "hot")
     place = F.row_number()
     if hot.isEmpty():
-        window = Window.partitionBy(*pk).orderBy(*spec.clustering_names)
+        window = Window.partitionBy(*pk).orderBy(*order)
         return changes.withColumn("batch", F.floor((place.over(window) - 1) / limit).cast("bigint"))
     sliced = changes.join(hot, pk, "left").withColumn(
         "_slice",
-        F.coalesce(F.pmod(F.xxhash64(*spec.clustering_names), F.col("_slices")), F.lit(0).cast("bigint")),
+        F.coalesce(F.pmod(F.xxhash64(*order), F.col("_slices")), F.lit(0).cast("bigint")),
     )
-    window = Window.partitionBy(*pk, "_slice").orderBy(*spec.clustering_names)
+    window = Window.partitionBy(*pk, "_slice").orderBy(*order)
     number = F.floor((place.over(window) - 1) / limit).cast("bigint")
     batch = F.col("_slice") * F.lit(2**40) + number
     return sliced.withColumn("batch", batch).select(*changes.columns, "batch")

@@ -40,6 +40,7 @@ def export(
     row: str = "row",
     compression: str | None = None,
     max_records_per_file: int = 0,
+    max_file_bytes: int = 0,
     row_group_bytes: int = ROW_GROUP_BYTES,
     split_keys: list[str] | None = None,
     splits: int = 64,
@@ -51,6 +52,9 @@ def export(
     The rows are counted while they pass to the writer; with ``verify`` the files are read back and
     must hold as many. With ``split_keys`` the counts of every key range are compared as well (the
     formats that keep those columns' values: Parquet and JSON). A difference is an error.
+
+    Spark rolls to a new file by rows; ``max_file_bytes`` is turned into rows by the mean length of
+    a row as text, so files are about that size before compression.
     """
     fmt = fmt.lower()
     if fmt not in FORMATS:
@@ -60,6 +64,9 @@ def export(
     seen = Observation(f"export-{uuid.uuid4().hex}")
     watched = out.observe(seen, F.count(F.lit(1)).alias("rows"))
     warnings: list[str] = []
+    if max_file_bytes and not max_records_per_file:
+        mean = out.agg(F.avg(F.octet_length(row_json(out)))).first()[0]
+        max_records_per_file = max(1, int(max_file_bytes / mean)) if mean else 0
     options = {"maxRecordsPerFile": max_records_per_file}
     if compression:
         options["compression"] = compression

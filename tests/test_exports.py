@@ -240,3 +240,11 @@ def test_hash_sign_is_no_comment(spark, place):
     exports.export(df, path, "csv", header=False)
     assert read(path)[0] == "#a,x\nb\\,#\n"
     assert {tuple(r) for r in files.read_csv(spark, path, header=False).collect()} == {("#a", "x"), ("b\\", "#")}
+
+
+def test_files_roll_at_about_the_asked_size(spark, place):
+    path = place()
+    df = spark.range(2000).select(F.lit("x" * 89).alias("t")).coalesce(1)
+    exports.export(df, path, "jsonl", max_file_bytes=20_000)
+    sizes = [len(t) for t in read(path)]
+    assert len(sizes) == 10 and max(sizes) <= 22_000

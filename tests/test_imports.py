@@ -251,3 +251,26 @@ def test_record_without_key_is_rejected(spark, place):
     assert imports.rejected(spark, report).first()["message"] == "the key is incomplete"
     with pytest.raises(MissingKeyError):
         imports.load(df.drop("id"), place("other"), TYPES, SPEC, allow_missing=True)
+
+
+def test_load_of_nothing_makes_an_empty_table(spark, place):
+    target = place("table")
+    df = spark.createDataFrame([], "id string, email string, age string")
+    report = imports.load(df, target, TYPES, SPEC)
+    assert (report.status, report.read) == ("SUCCESS", 0)
+    table = spark.read.parquet(target)
+    assert table.count() == 0 and table.columns == ["id", "email", "age"]
+
+
+def test_load_with_inferred_types(spark, place):
+    target = place("table")
+    df = spark.createDataFrame([("1", "x", "2024-01-01"), ("2", "y", "2024-01-02")], "id string, name string, day string")
+    imports.load(df, target, None, TableSpec("key"), "0=key, day=day")
+    assert dict(spark.read.parquet(target).dtypes) == {"key": "int", "day": "date"}
+
+
+def test_staging_folder_keeps_rejects(spark, place):
+    target, staging = place("table"), place("staging")
+    df = spark.createDataFrame([("1", "m", "x")], "id string, email string, age string")
+    report = imports.load(df, target, TYPES, SPEC, staging=staging)
+    assert report.rejects_path.startswith(staging) and report.status == "WITH_REJECTS"

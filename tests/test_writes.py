@@ -305,3 +305,19 @@ def test_table_proposal_for_another_source(spark):
     }
     with pytest.raises(KeyspanError):
         tables.suggest_keys(df, [])
+
+
+def test_table_keeps_its_types(spark):
+    base = spark.createDataFrame([(1, 1, "a", 1)], BASE_DDL)
+    change = spark.createDataFrame([(1, 1, 7)], "p bigint, c bigint, b bigint")
+    got = writes.upsert(base, change, SPEC)
+    assert got.dtypes == base.dtypes and as_dict(got) == {(1, 1): ("a", 7)}
+    with pytest.raises(Exception, match="OVERFLOW"):
+        writes.upsert(base, spark.createDataFrame([(1, 1, 2**40)], "p int, c int, b bigint"), SPEC).collect()
+
+
+def test_batches_by_replica_set(spark):
+    df = spark.range(100).select(F.col("id").alias("p"), F.lit(0).alias("c"), (F.col("id") % 2).alias("owners"))
+    planned = writes.plan_batches(df, SPEC, by=["owners"])
+    sizes = {(r["owners"], r["batch"]): r["count"] for r in planned.groupBy("owners", "batch").count().collect()}
+    assert sizes == {(o, b): 32 if b == 0 else 18 for o in (0, 1) for b in (0, 1)}
