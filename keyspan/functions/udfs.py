@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from keyspan.model import KeyspanError
 
@@ -65,15 +68,11 @@ def apply_aggregate(df: DataFrame, keys: list[str], arguments: list[str], aggreg
     """
     sfunc, init, merge, final = aggregate.sfunc, aggregate.init, aggregate.merge, aggregate.final
     width = len(keys)
-    key_schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    state_schema = f"{key_schema}, _state {aggregate.state_type}" if keys else f"_state {aggregate.state_type}"
-
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    partial_schema = StructType.fromDDL(state_schema)
-    arrow_schema = to_arrow_schema(partial_schema)
+    named = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+    state_schema = StructType.fromDDL(", ".join([*named, f"_state {aggregate.state_type}"]))
+    result_type = aggregate.return_type or aggregate.state_type
+    result_schema = StructType.fromDDL(", ".join([*named, f"`{out}` {result_type}"]))
+    state_arrow, result_arrow = to_arrow_schema(state_schema), to_arrow_schema(result_schema)
 
     def fold(batches):
         import copy
@@ -83,15 +82,12 @@ def apply_aggregate(df: DataFrame, keys: list[str], arguments: list[str], aggreg
         states: dict = {}
 
         def flush():
-            columns = [list(c) for c in zip(*states)] if width else []
-            columns.append(list(states.values()))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, type=f.type) for c, f in zip(columns, arrow_schema)], schema=arrow_schema
-            )
+            columns = [*([list(c) for c in zip(*states)] if width else []), list(states.values())]
+            arrays = [pa.array(c, type=f.type) for c, f in zip(columns, state_arrow)]
+            return pa.RecordBatch.from_arrays(arrays, schema=state_arrow)
 
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for row in zip(*columns):
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
                 key = row[:width]
                 state = states[key] if key in states else copy.deepcopy(init)
                 states[key] = sfunc(state, *row[width:])
@@ -101,11 +97,6 @@ def apply_aggregate(df: DataFrame, keys: list[str], arguments: list[str], aggreg
         if states:
             yield flush()
 
-    result_type = aggregate.return_type or aggregate.state_type
-    result_schema = StructType.fromDDL(f"{key_schema}, `{out}` {result_type}" if keys else f"`{out}` {result_type}")
-    arrow_result = to_arrow_schema(result_schema)
-    del pa
-
     def finish(key, batches):
         import pyarrow as pa
 
@@ -114,31 +105,15 @@ def apply_aggregate(df: DataFrame, keys: list[str], arguments: list[str], aggreg
             for item in batch.column(width).to_pylist():
                 state, seen = (merge(state, item), True) if seen else (item, True)
         value = final(state) if final else state
-        columns = [[k.as_py()] for k in key] + [[value]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, type=f.type) for c, f in zip(columns, arrow_result)], schema=arrow_result
-        )
-
-    partial = df.select(*keys, *arguments).mapInArrow(fold, partial_schema)
-    grouped = partial.groupBy(*keys) if keys else partial.withColumn("_all", F.lit(0)).groupBy("_all")
-    if not keys:
+        columns = [*[[k.as_py()] for k in key[:width]], [value]]
+        arrays = [pa.array(c, type=f.type) for c, f in zip(columns, result_arrow)]
+        yield pa.RecordBatch.from_arrays(arrays, schema=result_arrow)
 
-        def finish_all(key, batches):
-            yield from finish((), batches)
-
-        finish_all.__annotations__ = _iterator_types(with_key=True)
-        return grouped.applyInArrow(finish_all, result_schema)
-    finish.__annotations__ = _iterator_types(with_key=True)
-    return grouped.applyInArrow(finish, result_schema)
-
-
-def _iterator_types(with_key: bool) -> dict:
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-
-    return {
-        "key": tuple[pa.Scalar, ...],
-        "batches": Iterator[pa.RecordBatch],
-        "return": Iterator[pa.RecordBatch],
+    # Spark tells from the types that the states of a key come batch by batch.
+    finish.__annotations__ = {
+        "key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]
     }
+    partial = df.select(*keys, *arguments).mapInArrow(fold, state_schema)
+    if not keys:
+        partial = partial.withColumn("_all", F.lit(0))
+    return partial.groupBy(*(keys or ["_all"])).applyInArrow(finish, result_schema)
