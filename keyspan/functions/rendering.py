@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +55,10 @@ def grid_text(c: Column, dtype: T.DataType) -> Column:
             F.concat(F.lit(f.name + ": "), grid_text(c[f.name], f.dataType)) for f in dtype.fields
         ]
         body = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+        if is_tuple(dtype):
+            items = [grid_text(c[f.name], f.dataType) for f in dtype.fields]
+            body = F.concat(F.lit("["), F.concat_ws(", ", *items), F.lit("]"))
+        body = F.when(c.isNotNull(), body)
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         body = timestamp_text(c)
     else:
@@ -124,12 +130,64 @@ def _json_ready(c: Column, dtype: T.DataType, wire: bool) -> Column:
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
+def is_tuple(dtype: T.DataType) -> bool:
+    """A struct with fields ``_1``, ``_2``, .. stands for a tuple."""
+    if not isinstance(dtype, T.StructType) or not dtype.fields:
+        return False
+    return [f.name for f in dtype.fields] == [f"_{i + 1}" for i in range(len(dtype.fields))]
+
+
+def _holds_tuple(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.ArrayType):
+        return _holds_tuple(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return _holds_tuple(dtype.keyType) or _holds_tuple(dtype.valueType)
+    if isinstance(dtype, T.StructType):
+        return is_tuple(dtype) or any(_holds_tuple(f.dataType) for f in dtype.fields)
+    return False
+
+
+def json_text(c: Column, dtype: T.DataType, wire: bool) -> Column:
+    """A value as JSON text. Tuples are arrays of mixed types, which ``to_json`` cannot write, so
+    values that hold one are put together from the texts of their parts."""
+    if not _holds_tuple(dtype):
+        # The text of a list of one, without its brackets, is the text of any value.
+        listed = F.to_json(F.array(_json_ready(c, dtype, wire)), _KEEP_NULLS)
+        return F.substr(listed, F.lit(2), F.length(listed) - 2)
+    if isinstance(dtype, T.ArrayType):
+        parts = F.array_join(F.transform(c, lambda x: json_text(x, dtype.elementType, wire)), ",")
+        body = F.concat(F.lit("["), parts, F.lit("]"))
+    elif isinstance(dtype, T.MapType):
+        pairs = F.transform(
+            F.map_entries(c),
+            lambda e: F.concat(
+                json_text(e["key"].cast("string"), T.StringType(), wire), F.lit(":"),
+                json_text(e["value"], dtype.valueType, wire),
+            ),
+        )
+        body = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+    else:
+        fields = [json_text(c[f.name], f.dataType, wire) for f in dtype.fields]
+        if is_tuple(dtype):
+            body = F.concat(F.lit("["), F.concat_ws(",", *fields), F.lit("]"))
+        else:
+            body = _object_text([f.name for f in dtype.fields], fields)
+    return F.when(c.isNull(), F.lit("null")).otherwise(body)
+
+
+def _object_text(names: list[str], values: list[Column]) -> Column:
+    members = [F.concat(F.lit(json.dumps(n, ensure_ascii=False) + ":"), v) for n, v in zip(names, values)]
+    return F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+
+
 def flat_text(c: Column, dtype: T.DataType) -> Column:
     """Flat text of one cell for text formats. Null stays null; nested values become JSON."""
     if isinstance(dtype, T.StringType):
         return c
     if isinstance(dtype, T.BinaryType):
         return blob_text(c)
+    if _holds_tuple(dtype):
+        return F.when(c.isNotNull(), json_text(c, dtype, wire=False))
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
         return F.to_json(_json_ready(c, dtype, wire=False), _KEEP_NULLS)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
@@ -152,6 +210,9 @@ def render_wire(df: DataFrame) -> DataFrame:
 
 def row_json(df: DataFrame, wire: bool = True, pretty: bool = False) -> Column:
     """One JSON document per row, columns in order, nulls written out."""
+    if any(_holds_tuple(f.dataType) for f in df.schema):
+        texts = [json_text(F.col(_q(f.name)), f.dataType, wire) for f in df.schema]
+        return _object_text(df.columns, texts)
     options = dict(_KEEP_NULLS, **({"pretty": "true"} if pretty else {}))
     fields = [_json_ready(F.col(_q(f.name)), f.dataType, wire).alias(f.name) for f in df.schema]
     return F.to_json(F.struct(*fields), options)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyspan.functions.parsing import declared_type
-from keyspan.functions.rendering import blob_text, timestamp_text
+from keyspan.functions.rendering import blob_text, is_tuple, timestamp_text
 from keyspan.model import KeyspanError, TableSpec
 from keyspan.operators.views import order_columns
 from keyspan.session import path_exists, rename_path
@@ -305,7 +305,7 @@ def literal(c: Column, dtype: T.DataType, kind: str | None = None) -> Column:
         )
         body = F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
     elif isinstance(dtype, T.StructType):
-        tuple_like = [f.name for f in dtype.fields] == [f"_{i + 1}" for i in range(len(dtype.fields))]
+        tuple_like = is_tuple(dtype)
         parts = [
             F.concat(F.lit("" if tuple_like else identifier(f.name) + ": "), literal(c[f.name], f.dataType))
             for f in dtype.fields

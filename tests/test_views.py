@@ -22,7 +22,8 @@ def rendered(spark, ddl, value):
         ("double", 1.5e-7, "1.5e-7"), ("double", 0.00001, "0.00001"), ("double", -0.0, "0"), ("double", -2500000000.0, "-2500000000"),
         ("float", 0.1, "0.1"), ("boolean", True, "true"), ("binary", b"\x01\xff", "0x01ff"), ("array<int>", [1, None], "[1, null]"),
         ("map<string,int>", {"a": 1}, "{a: 1}"), ("struct<a:int,b:string>", (1, None), "{a: 1, b: null}"),
-        ("array<array<string>>", [["x"], []], "[[x], []]"),
+        ("array<array<string>>", [["x"], []], "[[x], []]"), ("struct<_1:int,_2:string>", (1, "a"), "[1, a]"),
+        ("struct<a:int,b:string>", None, "null"),
     ],
 )
 def test_grid_text(spark, ddl, value, text):
@@ -189,3 +190,18 @@ def test_word_match_equals_the_list_of_words(spark):
             F.coalesce(F.array_contains(views.words(F.col("t")), word.lower()), F.lit(False)),
         ).collect()
         assert all(a == b for a, b in both), word
+
+
+def test_tuples_are_json_arrays_at_any_depth(spark):
+    df = spark.createDataFrame(
+        [(("a\"", 1, None), [(2.5, True)], {"k": ("x", 7)}, (3, ("y", 2**60)), None, 5, "t")],
+        "t struct<_1:string,_2:int,_3:int>, l array<struct<_1:double,_2:boolean>>, m map<string,struct<_1:string,_2:int>>, "
+        "u struct<n:int,p:struct<_1:string,_2:bigint>>, gone struct<_1:int>, i int, s string",
+    )
+    flat = render_text(df).first()
+    assert tuple(flat)[:5] == ('["a\\"",1,null]', "[[2.5,true]]", '{"k":["x",7]}', '{"n":3,"p":["y",1152921504606846976]}', None)
+    line = df.select(row_json(df)).first()[0]
+    assert line == (
+        '{"t":["a\\"",1,null],"l":[[2.5,true]],"m":{"k":["x",7]},"u":{"n":3,"p":["y","1152921504606846976"]},'
+        '"gone":null,"i":5,"s":"t"}'
+    )
