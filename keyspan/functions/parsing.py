@@ -40,6 +40,8 @@ def spark_type(name: str) -> str:
     if head == "map":
         key, value = _top_level(inner)
         return f"map<{spark_type(key)},{spark_type(value)}>"
+    if head == "udt":
+        return "struct<" + ",".join(f"{f}:{spark_type(t)}" for f, t in map(_field, _top_level(inner))) + ">"
     if head == "tuple":
         return "struct<" + ",".join(f"_{i + 1}:{spark_type(t)}" for i, t in enumerate(_top_level(inner))) + ">"
     raise KeyspanError(f"unknown type {name}")
@@ -293,25 +295,78 @@ def parse(text: Column, name: str, codec: Codec = Codec()) -> Column:
         return _blob(text, codec)
     if head == "frozen":
         return parse(text, inner, codec)
-    held = F.from_json(trimmed, spark_type(name), {"mode": "PERMISSIVE"})
     if head in ("list", "set"):
-        good = F.when(trimmed.rlike(r"^\["), held)
+        good = _bound(
+            F.when(trimmed.rlike(r"^\["), F.from_json(trimmed, "array<string>")),
+            lambda raw: _all_read(raw, F.transform(raw, lambda x: parse(x, inner, codec))),
+        )
         return F.array_sort(F.array_distinct(good)) if head == "set" else good
     if head == "vector":
+        held = F.from_json(trimmed, spark_type(name))
         size = int(inner.rsplit(",", 1)[1])
-        return F.when(
-            trimmed.rlike(r"^\[") & (F.size(held) == size) & ~F.exists(held, lambda x: x.isNull()), held
-        )
+        whole = (F.size(held) == size) & ~F.exists(held, lambda x: x.isNull())
+        return F.when(trimmed.rlike(r"^\[") & whole, held)
     if head == "map":
-        return F.when(trimmed.rlike(r"^\{"), held)
+        return _map(trimmed, inner, codec)
     if head == "tuple":
-        count = len(_top_level(inner))
-        named = F.from_json(trimmed, "array<string>")
-        fields = [parse(F.get(named, F.lit(i)), t, codec).alias(f"_{i + 1}") for i, t in enumerate(_top_level(inner))]
-        return F.when(trimmed.rlike(r"^\[") & (F.size(named) <= count), F.struct(*fields))
+        types = _top_level(inner)
+        raw = F.when(trimmed.rlike(r"^\["), F.from_json(trimmed, "array<string>"))
+
+        def items(raw: Column) -> Column:
+            texts = [F.get(raw, F.lit(i)) for i in range(len(types))]
+            values = [parse(x, t, codec) for x, t in zip(texts, types)]
+            made = F.struct(*[v.alias(f"_{i + 1}") for i, v in enumerate(values)])
+            return F.when((F.size(raw) <= len(types)) & _none_failed(texts, values), made)
+
+        return _bound(raw, items)
+    if head == "udt":
+        fields = [_field(f) for f in _top_level(inner)]
+        raw = F.when(trimmed.rlike(r"^\{"), F.from_json(trimmed, "map<string,string>"))
+
+        def members(raw: Column) -> Column:
+            texts = [F.try_element_at(raw, F.lit(f)) for f, _ in fields]
+            values = [parse(x, t, codec) for x, (_, t) in zip(texts, fields)]
+            made = F.struct(*[v.alias(f) for v, (f, _) in zip(values, fields)])
+            return F.when(raw.isNotNull() & _none_failed(texts, values), made)
+
+        return _bound(raw, members)
     raise KeyspanError(f"unknown type {name}")
 
 
+def _field(text: str) -> tuple[str, str]:
+    name, _, kind = text.partition(":")
+    return name.strip(), kind.strip()
+
+
+def _none_failed(texts: list[Column], values: list[Column]) -> Column:
+    ok = F.lit(True)
+    for text, value in zip(texts, values):
+        ok = ok & (text.isNull() | value.isNotNull())
+    return ok
+
+
+def _all_read(texts: Column, values: Column) -> Column:
+    """The values, unless one of them is missing though its text is there."""
+    counts = F.size(F.array_compact(texts)) == F.size(F.array_compact(values))
+    return F.when(counts, values)
+
+
+def _map(text: Column, inner: str, codec: Codec) -> Column:
+    """A map from a JSON object, or from a list of key and value pairs."""
+    key, value = _top_level(inner)
+    pairs = "array<struct<key:string,value:string>>"
+    listed = F.when(text.rlike(r"^\["), F.from_json(text, pairs)).otherwise(
+        F.map_entries(F.when(text.rlike(r"^\{"), F.from_json(text, "map<string,string>")))
+    )
+
+    def read(raw: Column) -> Column:
+        keys = F.transform(raw, lambda e: parse(e["key"], key, codec))
+        values = _all_read(F.transform(raw, lambda e: e["value"]), F.transform(raw, lambda e: parse(e["value"], value, codec)))
+        return F.when(~F.exists(keys, lambda k: k.isNull()), F.map_from_arrays(keys, values))
+
+    return _bound(listed, read)
+
+
 def timeuuid_ts(c: Column) -> Column:
     """Time inside a version 1 uuid; null for any other text. Milliseconds, as the clock has it."""
     bare = F.regexp_replace(c, "-", "")

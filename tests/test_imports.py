@@ -29,6 +29,10 @@ GOOD = [
     ("duration", "-2mo3s", (-2, 0, -3 * 10**9)), ("duration", "PT36H", (0, 0, 129600 * 10**9)),
     ("list<int>", "[1,2,2]", [1, 2, 2]), ("set<text>", '["b","a","b"]', ["a", "b"]), ("map<text,int>", '{"a":1}', {"a": 1}),
     ("tuple<text,int>", '["x",3]', ("x", 3)), ("vector<float,2>", "[0.5,1]", [0.5, 1.0]), ("frozen<list<text>>", '["q"]', ["q"]),
+    ("list<tuple<text,int>>", '[["x",1],["y",null]]', [("x", 1), ("y", None)]), ("list<int>", "[]", []), ("list<int>", "[1,null]", [1, None]),
+    ("map<int,text>", '[{"key":1,"value":"a"}]', {1: "a"}), ("map<int,text>", '{"2":"b"}', {2: "b"}), ("set<int>", "[3,1,3]", [1, 3]),
+    ("udt<street:text, geo:tuple<double,double>>", '{"street":"S","geo":[1.5,2]}', ("S", (1.5, 2.0))),
+    ("udt<a:int,b:list<blob>>", '{"b":["0x01"]}', (None, [b"\x01"])), ("map<text,list<int>>", '{"a":[1]}', {"a": [1]}),
     ("text", "  kept ", "  kept "), ("ascii", "abc", "abc"),
 ]
 BAD = [
@@ -36,6 +40,8 @@ BAD = [
     ("timestamp", "yesterday"), ("date", "2024-02-30"), ("date", "2024-2-3"), ("time", "24:00"), ("uuid", "8f2b1c6e"),
     ("timeuuid", "8f2b1c6e-2a55-4f47-9f2a-4c1c3f0d9a11"), ("inet", "256.1.1.1"), ("blob", "0xABC"), ("duration", "soon"),
     ("duration", "P"), ("list<int>", "1,2"), ("vector<float,2>", "[1,2,3]"), ("vector<float,2>", "[1,null]"), ("varint", "1.0"), ("ascii", "ä"),
+    ("list<int>", '[1,"x"]'), ("tuple<int,int>", "[1,2,3]"), ("tuple<int,int>", '["x",2]'), ("map<int,text>", '{"x":"b"}'),
+    ("udt<a:int>", "[1]"), ("udt<a:int>", '{"a":"x"}'), ("list<uuid>", '["no"]'), ("map<text,int>", '{"a":"x"}'),
 ]
 
 
