@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def runs(batch: pa.RecordBatch, text: str = "text", chars: int = RUN_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of a batch with about ``chars`` characters each (at least one row), with their texts as a list."""
-    sizes = pa.compute.binary_length(batch.column(text)).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False)
     start = total = 0
     for i, size in enumerate(sizes):
         if i > start and total + size > chars:

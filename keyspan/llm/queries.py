@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from keyspan.llm.common import table
 
@@ -21,10 +22,61 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(table(spark, sf_dir, "documents"), piece_model()))
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyspan.llm.secrets import digests, secret_spans
+
+    return digests(secret_spans(table(spark, sf_dir, "documents")))
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation is a tree with one branch: a turn answers the one before it."""
+    from keyspan.llm.chat import format_trees, read_back
+
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    order = Window.partitionBy("conv_id").orderBy(
+        F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text")
+    )
+    messages = rows.withColumn("node", F.row_number().over(order)).select(
+        F.col("conv_id").alias("tree"), "node", (F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score")
+    )
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read_back(format_trees(messages)).select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(spoken.cast("binary"), 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP10_SQL = r"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]'
+),
+sized AS (
+    SELECT *, length(text) + len(regexp_extract_all(text, '(<|\[)\\*(/?s>|/?INST\]|</?SYS>>)')) AS n,
+           length(role) + len(regexp_extract_all(role, '(<|\[)\\*(/?s>|/?INST\]|</?SYS>>)')) AS m
+    FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(CASE role WHEN 'user' THEN 15 + n WHEN 'assistant' THEN 4 + n ELSE 19 + m + n END))::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op3_sentencepiece]
+    named = [op3_sentencepiece, op9_secret_scans, op10_chat_formatting]
     return {fn.__name__: fn for fn in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_chat_formatting": OP10_SQL}
