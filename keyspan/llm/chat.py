@@ -38,15 +38,11 @@ def branches(nodes: DataFrame, top: int = 1) -> DataFrame:
     ties go to the longer branch, then to the smaller leaf id. A message whose parent is null, missing or
     itself is a root. Messages on or below a cycle of replies have no way to a root and are in no branch.
     """
-    spark = nodes.sparkSession
-    known = nodes.select("tree", F.col("node").alias("up"))
-    state = nodes.join(
-        known.withColumn("there", F.lit(True)),
-        nodes["tree"].eqNullSafe(known["tree"]) & (nodes["parent"] == known["up"]) & (nodes["parent"] != nodes["node"]),
-        "left",
-    ).select(
-        nodes["tree"], nodes["node"], F.when(F.col("there"), F.col("parent")).alias("up"),
-        F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score"),
+    known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
+    answers = F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")) & (F.col("parent") != F.col("node"))
+    state = nodes.join(known, answers, "left").select(
+        "tree", "node", F.col("n").alias("up"), F.lit(1).cast("long").alias("depth"),
+        F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"),
     )
     state = materialize(state, "replies")
     parents = state.select("tree", F.col("up").alias("node")).where("node IS NOT NULL").distinct()
@@ -83,7 +79,7 @@ def branches(nodes: DataFrame, top: int = 1) -> DataFrame:
             .select("tree", "branch", "score", F.explode(F.filter(F.array(here, there), lambda x: x["node"].isNotNull())).alias("x"))
             .select("tree", "branch", "score", "x.node", "x.pos")
         )
-    return path.repartition(spark.sparkContext.defaultParallelism) if not levels else path
+    return path
 
 
 def format_trees(messages: DataFrame, top: int = 1) -> DataFrame:
