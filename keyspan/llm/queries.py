@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyspan.llm.common import table
+from keyspan.llm.common import fold, table
 
 
 def piece_model() -> str:
@@ -22,6 +22,25 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(table(spark, sf_dir, "documents"), piece_model()))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyspan.llm.toxicity import FOLDS, toxic_spans, train
+
+    docs = table(spark, sf_dir, "documents")
+    scored = toxic_spans(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"),
+    )
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyspan.llm.langid import FOLDS, languages, train
+
+    docs = table(spark, sf_dir, "documents")
+    found = languages(docs, train(docs))
+    return found.select("doc_id", (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyspan.llm.secrets import digests, secret_spans
 
@@ -74,7 +93,7 @@ FROM sized GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op3_sentencepiece, op9_secret_scans, op10_chat_formatting]
+    named = [op3_sentencepiece, op4_toxicity, op7_language_id, op9_secret_scans, op10_chat_formatting]
     return {fn.__name__: fn for fn in named}
 
 
