@@ -33,6 +33,27 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyspan.llm.topk import quantised, top_k
+
+    vectors = quantised(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+OP5_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyspan.llm.langid import FOLDS, languages, train
 
@@ -41,6 +62,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from keyspan.llm.counts import token_counts
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_counts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyspan.llm.secrets import digests, secret_spans
 
@@ -93,9 +123,9 @@ FROM sized GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op3_sentencepiece, op4_toxicity, op7_language_id, op9_secret_scans, op10_chat_formatting]
+    named = [op3_sentencepiece, op4_toxicity, op5_top_k, op7_language_id, op8_token_counts, op9_secret_scans, op10_chat_formatting]
     return {fn.__name__: fn for fn in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_formatting": OP10_SQL}
+    return {"op5_top_k": OP5_SQL, "op10_chat_formatting": OP10_SQL}
