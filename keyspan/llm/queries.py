@@ -16,6 +16,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyspan.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyspan.llm.pieces import digests, encode_decode
 
@@ -123,7 +129,7 @@ FROM sized GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op3_sentencepiece, op4_toxicity, op5_top_k, op7_language_id, op8_token_counts, op9_secret_scans, op10_chat_formatting]
+    named = [op2_decontamination, op3_sentencepiece, op4_toxicity, op5_top_k, op7_language_id, op8_token_counts, op9_secret_scans, op10_chat_formatting]
     return {fn.__name__: fn for fn in named}
 
 
