@@ -45,12 +45,12 @@ def runs(batch: pa.RecordBatch, text: str = "text", chars: int = RUN_CHARS) -> I
         yield part, part.column(text).to_pylist()
 
 
-def map_runs(df: DataFrame, fn: Callable[[pa.RecordBatch, list[str]], dict], schema: str) -> DataFrame:
+def map_runs(df: DataFrame, fn: Callable[[pa.RecordBatch, list[str]], dict], schema: str, chars: int = RUN_CHARS) -> DataFrame:
     """``fn`` on each run of texts; it returns columns of the same rows, without those of the input it repeats."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in runs(batch):
+            for part, texts in runs(batch, chars=chars):
                 columns = fn(part, texts)
                 yield pa.RecordBatch.from_pydict(columns)
 

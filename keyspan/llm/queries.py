@@ -16,6 +16,30 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyspan.llm.neardup import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+grams AS (
+    SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + 4], ' ')) AS g
+    FROM words, unnest(range(1, greatest(2, len(w) - 3))) AS r(i) WHERE len(w) > 0
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE k >= 0.8 * (s.n + t.n - k)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+classes AS (SELECT x, min(y) AS class_id FROM reach GROUP BY x)
+SELECT doc_id, class_id, (SELECT count(*) FROM links l WHERE l.x = doc_id) AS n_links FROM documents JOIN classes ON x = doc_id
+"""
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyspan.llm.decontaminate import contaminated
 
@@ -129,9 +153,9 @@ FROM sized GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_decontamination, op3_sentencepiece, op4_toxicity, op5_top_k, op7_language_id, op8_token_counts, op9_secret_scans, op10_chat_formatting]
+    named = [op1_ngram_jaccard, op2_decontamination, op3_sentencepiece, op4_toxicity, op5_top_k, op7_language_id, op8_token_counts, op9_secret_scans, op10_chat_formatting]
     return {fn.__name__: fn for fn in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_top_k": OP5_SQL, "op10_chat_formatting": OP10_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op5_top_k": OP5_SQL, "op10_chat_formatting": OP10_SQL}
