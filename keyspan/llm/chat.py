@@ -48,20 +48,22 @@ def branches(nodes: DataFrame, top: int = 1) -> DataFrame:
     parents = state.select("tree", F.col("up").alias("node")).where("node IS NOT NULL").distinct()
     levels: list[DataFrame] = []
     rounds = state.count().bit_length() + 1
-    while len(levels) < rounds and not (level := state.where("up IS NOT NULL")).isEmpty():
-        levels.append(level)
-        above = state.select(
+    # Only messages that have not reached their root are joined again.
+    done, active = state.where("up IS NULL"), state.where("up IS NOT NULL")
+    while len(levels) < rounds and not active.isEmpty():
+        levels.append(active)
+        above = done.unionByName(active).select(
             F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"),
             F.col("depth").alias("depth2"), F.col("score").alias("score2"),
         )
-        state = state.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left").select(
+        moved = active.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n"))).select(
             "tree", "node", F.col("up2").alias("up"),
-            (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
-            (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"),
+            (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("score") + F.col("score2")).alias("score"),
         )
-        state = materialize(state, "replies")
+        moved = materialize(moved, "replies")
+        done, active = done.unionByName(moved.where("up IS NULL")), moved.where("up IS NOT NULL")
     inner = parents.select(F.col("tree").alias("t"), F.col("node").alias("n"))
-    leaves = state.where("up IS NULL").join(
+    leaves = done.join(
         inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti"
     )
     best = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("depth"), F.asc("node"))
