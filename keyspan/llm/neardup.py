@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from keyspan.llm.common import map_runs, texts_of
 from keyspan.llm.graph import _forest, components
+from keyspan.llm.words import mix, word_hashes
 from keyspan.session import materialize
 
 WORDS, THRESHOLD = 5, 0.8
@@ -38,45 +39,13 @@ AGREE = 0.58
 #: Nodes and characters of a block; larger components are compared block by block.
 BLOCK, BLOCK_CHARS = 1024, 8_000_000
 RUN = 1_000_000
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, RUN * 2)
-        inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, x, np.uint64)]), dtype=np.uint64) for x in (_ODD, inverse)]
-    return _POWERS[0], _POWERS[1]
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(32))
-
-
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
-_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-
-
 def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of word n-grams, how many each text has), repeats included.
 
     Words are runs of anything but ASCII white space, with A-Z in lower case. A text with fewer words than ``words``
     has one n-gram of all of them; a text without words has none.
     """
-    data = [t.encode("utf-8", "replace").lower() for t in texts]
-    flat = np.frombuffer(b"\n" + b"\n".join(data) + b"\n", np.uint8)
-    power, inverse = _powers(len(flat) + 1)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[flat] * power[: len(flat)], dtype=np.uint64)])
-    blank = _BLANK[flat]
-    edge = np.flatnonzero(blank[:-1] != blank[1:]) + 1
-    start, end = edge[0::2], edge[1::2]
-    word = _mix((total[end] - total[start]) * inverse[start])
-    doc_start = np.cumsum([1] + [len(d) + 1 for d in data])
-    count = np.diff(np.searchsorted(start, doc_start))
+    word, count = word_hashes(texts)
     first = np.cumsum(count) - count
     n = np.where(count >= words, count - words + 1, np.minimum(count, 1))
     at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
@@ -86,7 +55,7 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
         here = at + k
         inside = k < left
         out = out * np.uint64(0x100000001B3) + np.where(inside, word[np.where(inside, here, 0)] if len(word) else 0, np.uint64(0))
-    return _mix(out), n
+    return mix(out), n
 
 
 def _seeds(n: int) -> np.ndarray:

@@ -84,6 +84,12 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <=
 """
 
 
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyspan.llm.katz import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyspan.llm.langid import FOLDS, languages, train
 
@@ -153,7 +159,7 @@ FROM sized GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_ngram_jaccard, op2_decontamination, op3_sentencepiece, op4_toxicity, op5_top_k, op7_language_id, op8_token_counts, op9_secret_scans, op10_chat_formatting]
+    named = [op1_ngram_jaccard, op2_decontamination, op3_sentencepiece, op4_toxicity, op5_top_k, op6_katz, op7_language_id, op8_token_counts, op9_secret_scans, op10_chat_formatting]
     return {fn.__name__: fn for fn in named}
 
 
