@@ -32,7 +32,7 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def runs(batch: pa.RecordBatch, text: str = "text", chars: int = RUN_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of a batch with about ``chars`` characters each (at least one row), with their texts as a list."""
-    sizes = pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     start = total = 0
     for i, size in enumerate(sizes):
         if i > start and total + size > chars:
@@ -55,3 +55,14 @@ def map_runs(df: DataFrame, fn: Callable[[pa.RecordBatch, list[str]], dict], sch
                 yield pa.RecordBatch.from_pydict(columns)
 
     return df.mapInArrow(work, schema)
+
+
+def keep_rows(docs: DataFrame, keep: Callable[[list[str]], Iterable[bool]], text_col: str = "text", chars: int = RUN_CHARS) -> DataFrame:
+    """The rows of ``docs`` whose text (null: empty) ``keep`` says to keep, with all their columns as they are."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in runs(batch, text_col, chars):
+                yield part.filter(pa.array(list(keep([t or "" for t in texts])), pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)

@@ -16,10 +16,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyspan.llm.common import runs, texts_of
+from keyspan.llm.common import keep_rows, runs, texts_of
 
 Q = 10
 #: Edits allowed per character of a passage.
@@ -239,24 +240,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     nothing; null, empty and very short items are not searched; repeated items and documents each give their rows; empty
     tables give no rows; other columns are not read. Texts are scanned whole, very long ones included.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // BLOCK_CHARS))
     rows = texts_of(docs, id_col, text_col)
     out = None
-    for n in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).collect()
-        sent = spark.sparkContext.broadcast([(r[0], r[1]) for r in block])
+    for sent in _blocks(benchmark):
 
         def work(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             bench = Benchmark(sent.value)
             for batch in batches:
                 for part, texts in runs(batch, chars=RUN):
                     ids = part.column("doc_id").to_pylist()
-                    got = list(_found(bench, texts))
-                    columns = list(zip(*got)) or [()] * 6
+                    columns = list(zip(*_found(bench, texts))) or [()] * 6
                     yield pa.RecordBatch.from_pydict(
                         {
                             "doc_id": pa.array([ids[i] for i in columns[0]], pa.int64()), "item_id": pa.array(columns[1], pa.int64()),
@@ -268,3 +261,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         part = rows.mapInArrow(work, "doc_id long, item_id long, start long, end long, passages int, edits int")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no passage of the benchmark. Same rules as ``contaminated``."""
+    for sent in _blocks(benchmark):
+
+        def keep(texts: list[str], sent=sent) -> np.ndarray:
+            out = np.ones(len(texts), bool)
+            out[[found[0] for found in _found(_opened(sent), texts)]] = False
+            return out
+
+        docs = keep_rows(docs, keep, text_col, RUN)
+    return docs
+
+
+_OPEN: list[tuple[Broadcast, Benchmark]] = []
+
+
+def _opened(sent: Broadcast) -> Benchmark:
+    """The benchmark of a broadcast block, kept while the worker works on it."""
+    if not _OPEN or _OPEN[0][0] is not sent:
+        _OPEN[:] = [(sent, Benchmark(sent.value))]
+    return _OPEN[0][1]
+
+
+def _blocks(benchmark: DataFrame) -> list[Broadcast]:
+    """The benchmark in blocks of about ``BLOCK_CHARS`` characters, each sent to the executors; one block if it is empty."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = items.where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-chars // BLOCK_CHARS))
+    place = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    return [spark.sparkContext.broadcast([(r[0], r[1]) for r in items.where(place == n).collect()]) for n in range(blocks)]

@@ -359,3 +359,10 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     alone = described.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     unnamed = texts.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return described.select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "n_links").unionByName(alone).unionByName(unnamed)
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, without those whose class has a document with a smaller id."""
+    classes = jaccard_classes(docs.select("doc_id", "text"), threshold)
+    extra = classes.where("doc_id <> class_id").select("doc_id").distinct()
+    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)

@@ -14,13 +14,14 @@ import hashlib
 import lzma
 import re
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyspan.llm.common import map_runs, texts_of
+from keyspan.llm.common import map_runs, runs, texts_of
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -231,6 +232,31 @@ def secret_spans(docs: DataFrame, mark: str | None = None, id_col: str = "doc_id
     return map_runs(texts_of(docs, id_col, text_col), work, schema + (", clean string" if mark is not None else ""))
 
 
+def redacted_documents(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """``docs`` with each stretch of secrets put as ``mark``, and its size in ``size_col`` if there is such a column.
+
+    Rows without a find, null texts among them, stay as they are.
+    """
+    at = docs.columns.index(text_col)
+    size = docs.columns.index(size_col) if size_col in docs.columns else None
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in runs(batch, text_col):
+                found = [find_secrets(t)[0] if t else [] for t in texts]
+                if any(found):
+                    columns = part.columns
+                    columns[at] = pa.array([redacted(t, f, mark) if f else t for t, f in zip(texts, found)], columns[at].type)
+                    if size is not None:
+                        old = columns[size].to_pylist()
+                        new = [len(t) if f else n for t, f, n in zip(columns[at].to_pylist(), found, old)]
+                        columns[size] = pa.array(new, columns[size].type)
+                    part = pa.RecordBatch.from_arrays(columns, schema=part.schema)
+                yield part
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def digests(spans: DataFrame) -> DataFrame:
     """Counts and digest of the base spans, and all spans as text."""
 

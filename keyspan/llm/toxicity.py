@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyspan.llm.common import fold, map_runs, texts_of
+from keyspan.llm.common import fold, keep_rows, map_runs, texts_of
 
 #: Labelled documents used for fitting: (not toxic, toxic) at most, those with the least hash of their id.
 SAMPLE = (3000, 2000)
@@ -362,6 +362,17 @@ def toxic_spans(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col:
     return map_runs(texts_of(docs, id_col, text_col), work, "doc_id long, score double, spans array<struct<start:long,end:long,p:double>>")
 
 
+def clean_documents(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below 0.5. Same rules as ``toxic_spans``."""
+    sent = docs.sparkSession.sparkContext.broadcast(field)
+
+    def keep(texts: list[str]) -> np.ndarray:
+        p, lengths, _ = token_marginals(sent.value, _cache_of(sent.value), texts)
+        return _sigmoid(aggregate(p, lengths) @ sent.value.curve) < 0.5
+
+    return keep_rows(docs, keep, text_col)
+
+
 _CACHES: dict[str, Unary] = {}
 
 
