@@ -36,8 +36,8 @@ TARGET = 0.9999
 #: Pairs whose signatures agree in less than this share of their values are not verified. With 96 values, a pair at
 #: the threshold stays below it with a chance of about 1e-8.
 AGREE = 0.58
-#: Nodes and characters of a block; larger components are compared block by block.
-BLOCK, BLOCK_CHARS = 1024, 8_000_000
+#: Nodes of a block; larger components are compared block by block.
+BLOCK = 512
 RUN = 1_000_000
 def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of word n-grams, how many each text has), repeats included.
