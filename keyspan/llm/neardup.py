@@ -39,6 +39,7 @@ AGREE = 0.58
 #: Nodes of a block; larger components are compared block by block.
 BLOCK = 512
 RUN = 1_000_000
+FILTER_BITS = 1 << 23
 def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of word n-grams, how many each text has), repeats included.
 
@@ -231,7 +232,8 @@ def _verified(docs: DataFrame, members: DataFrame, threshold: float) -> DataFram
     mine = F.pmod(F.xxhash64("node"), "blocks")
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.struct(F.least(b, mine).alias("i"), F.greatest(b, mine).alias("j")))
     spread = members.withColumn("mine", mine.cast("int")).withColumn("pair", F.explode(pairs))
-    rows = docs.join(members.select(F.col("rep").alias("doc_id"), "node"), "doc_id").select("node", "text")
+    reps = members.select(F.col("rep").alias("doc_id"), "node")
+    rows = _likely(docs, reps).join(reps, "doc_id").select("node", "text")
     rows = rows.join(spread.select("node", "mult", "old", "comp", "mine", F.col("pair.i").cast("int").alias("i"), F.col("pair.j").cast("int").alias("j")), "node")
     rows = rows.withColumn("cell", F.xxhash64("comp", "i", "j"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -286,6 +288,28 @@ def _verified(docs: DataFrame, members: DataFrame, threshold: float) -> DataFram
     return rows.select("comp", "i", "j", "mine", "node", "mult", "old", "text").mapInArrow(work, "kind int, a long, b long")
 
 
+def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` without most of the rows whose id is not wanted, so that the join after it moves few texts.
+
+    A bit set of fixed size (``FILTER_BITS``, 1 MiB) goes to the executors, whatever the number of ids; if there
+    are so many that it fills up, it lets all rows pass and the join sorts them out.
+    """
+    spark = docs.sparkSession
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words = wanted.select(slot.alias("s")).select((F.col("s") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(s % 64 as int))").alias("bit"))
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    for part in words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        bits[part["w"]] = part["bits"]
+    sent = spark.sparkContext.broadcast(np.packbits(np.unpackbits(bits.view(np.uint8), bitorder="little")).tobytes())
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(np.frombuffer(sent.value, np.uint8)).view(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(known[batch.column("slot").to_numpy()])).select(["doc_id", "text"])
+
+    return docs.where("doc_id IS NOT NULL").withColumn("slot", slot).mapInArrow(work, "doc_id long, text string")
+
+
 def _batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     kind, a, b = zip(*rows)
     return pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
