@@ -45,26 +45,26 @@ def shortened(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """(node, comp): every node of an edge (u, v) with the least node of its connected component.
+    """(node, comp): every node of an edge (u, v), u <> v, with the least node of its connected component.
 
     Rounds of large and small stars: each node links its larger neighbours, then all its smaller ones, to the least
-    neighbour. The number of rounds grows with the logarithm of the component's size, each is written to the
-    shared folder, and no neighbourhood is ever gathered: least neighbours are sums made in the tasks first.
+    neighbour, until every node has one edge and it leads to a node without one. The number of rounds grows with the
+    logarithm of the component's size, each is written to the shared folder, and no neighbourhood is ever gathered:
+    least neighbours are minima made in the tasks first.
     """
     now = materialize(shortened(edges).distinct(), label)
-    before = None
     while True:
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+        ends = ends.unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        ends = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+        if ends.where("out > 1 OR (out > 0 AND into = 1)").isEmpty():
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), label)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = materialize(shortened(small.unionByName(least.select("u", F.col("m").alias("v")))).distinct(), label)
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
     )
