@@ -43,7 +43,7 @@ def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     ends = points == 10
     owner = np.cumsum(ends) - 1
     alpha = _letter_table()[points]
-    points = np.where(alpha, points, np.uint32(32))
+    points = np.where(alpha, points, np.uint32(32)).astype(np.uint32)
     keep = alpha | ends | np.append(False, alpha[:-1])
     return points[keep], owner[keep]
 

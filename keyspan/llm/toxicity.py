@@ -164,15 +164,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _apart(docs: list[list[str]]) -> list[int]:
-    """Documents that are not near copies of an earlier one (4 of 16 minimum hashes of their words agree), so that a
-    group of copies counts once when evidence is weighed."""
+    """Documents that are not near copies of an earlier one (4 of 16 minimum hashes of their runs of three words agree),
+    so that a group of copies counts once when evidence is weighed."""
     rng = np.random.default_rng(4)
     mix = rng.integers(1, 2**62, 16, dtype=np.uint64) | np.uint64(1)
     seen: dict[tuple[int, int], list[int]] = {}
     kept = []
     for i, tokens in enumerate(docs):
-        words = np.array([zlib.crc32(w.encode("utf-8", "replace")) for w in set(tokens)], np.uint64)
-        least = ((words[:, None] * mix) >> np.uint64(20)).min(axis=0).tolist() if len(words) else [0] * 16
+        words = np.array([zlib.crc32(w.encode("utf-8", "replace")) for w in tokens], np.uint64)
+        n = max(1, len(words) - 2)
+        runs = words[:n] + sum(words[k : k + n] * np.uint64(2654435761**k) for k in (1, 2) if len(words) > 2)
+        least = ((runs[:, None] * mix) >> np.uint64(20)).min(axis=0).tolist() if len(words) else [0] * 16
         agree = Counter(d for key in enumerate(least) for d in seen.get(key, ()))
         if agree and max(agree.values()) >= 4:
             continue
