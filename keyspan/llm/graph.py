@@ -44,6 +44,11 @@ def shortened(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").where("u <> v").mapInArrow(work, "u long, v long")
 
 
+def few_files(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as at most one file per core: for narrow tables that come out of an exchange."""
+    return materialize(df.coalesce(df.sparkSession.sparkContext.defaultParallelism), label)
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, comp): every node of an edge (u, v), u <> v, with the least node of its connected component.
 
@@ -52,7 +57,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     logarithm of the component's size, each is written to the shared folder, and no neighbourhood is ever gathered:
     least neighbours are minima made in the tasks first.
     """
-    now = materialize(shortened(edges).distinct(), label)
+    now = few_files(shortened(edges).distinct(), label)
     while True:
         ends = now.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"))
         ends = ends.unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
@@ -64,7 +69,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(shortened(small.unionByName(least.select("u", F.col("m").alias("v")))).distinct(), label)
+        now = few_files(shortened(small.unionByName(least.select("u", F.col("m").alias("v")))).distinct(), label)
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
     )

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyspan.llm.common import map_runs, texts_of
-from keyspan.llm.graph import _forest, components
+from keyspan.llm.graph import _forest, components, few_files
 from keyspan.llm.words import mix, word_hashes
 from keyspan.session import materialize
 
@@ -363,7 +363,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
         changed = changed.join(nodes.select("node", "rep", "mult"), "node")
         size = changed.groupBy("comp").agg(F.count("*").alias("size"), F.min("old").alias("low"), F.max("old").alias("high"))
         size = size.where("low <> high").select("comp", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
-        members = materialize(changed.join(size, "comp"), "members")
+        members = few_files(changed.join(size, "comp"), "members")
         part = materialize(_verified(texts, members, threshold), "links")
         found.append(part)
         levels += [(r[0], r[1]) for r in part.where("kind = 2").groupBy("a").agg(F.sum("b")).collect()]

@@ -63,7 +63,7 @@ def scores(field, texts):
 def test_learns_words_and_beginnings(field):
     texts, labels = corpus(400, 2)
     assert ((scores(field, texts) >= 0.5) == np.array(labels)).mean() > 0.97
-    assert scores(field, ["a vequxyz here"])[0] > 10 * scores(field, ["a word7 here"])[0]
+    assert scores(field, ["a vequxyz here"])[0] > 3 * scores(field, ["a word7 here"])[0]
     assert scores(field, ["stupid, vequan word5"])[0] > 0.5 > scores(field, ["pation stung word5"])[0]
     assert 0 <= scores(field, [""])[0] < 0.5
 
