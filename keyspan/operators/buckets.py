@@ -2,25 +2,48 @@
 
 A row's bucket is a hash of its partition key. Such a table is plain Parquet partitioned by
 ``_bucket``; a lookup by partition key reads one folder, and a small change set leaves most of a
-large table as it is on disk.
+large table as it is on disk. The number of buckets and the key are kept in a file of the table,
+because a write that counted otherwise would replace folders it has not read.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyspan.model import KeyspanError, TableSpec
 from keyspan.operators.writes import apply_counters, upsert
-from keyspan.session import path_exists
+from keyspan.session import path_exists, read_text, write_text
 
 BUCKET = "_bucket"
+LAYOUT = "_layout.json"  # readers of Parquet skip names that begin with an underscore
 
 
 def bucket_of(spec: TableSpec, buckets: int) -> Column:
     return F.pmod(F.xxhash64(*spec.partition_key), F.lit(buckets)).cast("int")
 
 
+def layout(spark: SparkSession, path: str) -> dict | None:
+    """What a bucketed table says of itself: ``buckets`` and ``partition_key``. None for any other path."""
+    text = read_text(spark, f"{path}/{LAYOUT}")
+    return None if text is None else json.loads(text)
+
+
+def _buckets(spark: SparkSession, path: str, spec: TableSpec, asked: int | None = None) -> int:
+    """The table's number of buckets; another number or key than the table's is refused."""
+    held = layout(spark, path)
+    if held is None:
+        raise KeyspanError(f"{path} is not a bucketed table")
+    if [k.lower() for k in spec.partition_key] != [k.lower() for k in held["partition_key"]]:
+        raise KeyspanError(f"{path} is laid out by {', '.join(held['partition_key'])}, not {', '.join(spec.partition_key)}")
+    if asked is not None and asked != held["buckets"]:
+        raise KeyspanError(f"{path} has {held['buckets']} buckets, not {asked}")
+    return held["buckets"]
+
+
 def _write(df: DataFrame, path: str, spec: TableSpec, buckets: int) -> None:
     placed = df.withColumn(BUCKET, bucket_of(spec, buckets))
     # Rebalancing gathers the rows of a bucket, and splits a bucket that is too large for one task.
@@ -32,22 +55,38 @@ def _write(df: DataFrame, path: str, spec: TableSpec, buckets: int) -> None:
 
 def write_buckets(df: DataFrame, path: str, spec: TableSpec, buckets: int) -> DataFrame:
     """Write a new bucketed table; a path that exists is refused."""
-    if path_exists(df.sparkSession, path):
+    spark = df.sparkSession
+    if path_exists(spark, path):
         raise KeyspanError(f"{path} exists")
+    if buckets < 1:
+        raise KeyspanError("a table needs at least one bucket")
     _write(df, path, spec, buckets)
-    return read_buckets(df.sparkSession, path)
+    write_text(spark, f"{path}/{LAYOUT}", _described(df, spec, buckets))
+    return read_buckets(spark, path)
+
+
+def _described(df: DataFrame, spec: TableSpec, buckets: int) -> str:
+    return json.dumps({"buckets": buckets, "partition_key": list(spec.partition_key), "schema": df.schema.jsonValue()})
+
+
+def _with_bucket(spark: SparkSession, path: str) -> DataFrame:
+    """A bucketed table with its bucket column. Its types are kept with it, so a table without a row has them too."""
+    schema = T.StructType.fromJson(layout(spark, path)["schema"])
+    return spark.read.schema(schema.add(BUCKET, T.IntegerType())).parquet(path)
 
 
 def read_buckets(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop(BUCKET)
+    """The rows of a table, bucketed or not."""
+    return _with_bucket(spark, path).drop(BUCKET) if layout(spark, path) else spark.read.parquet(path)
 
 
-def lookup_partition(spark: SparkSession, path: str, spec: TableSpec, buckets: int, key: dict) -> DataFrame:
+def lookup_partition(spark: SparkSession, path: str, spec: TableSpec, key: dict) -> DataFrame:
     """The rows of one partition; only its bucket is read."""
     missing = [k for k in spec.partition_key if k not in key]
     if missing:
         raise KeyspanError("the partition key is incomplete; missing " + ", ".join(missing))
-    table = spark.read.parquet(path)
+    buckets = _buckets(spark, path, spec)
+    table = _with_bucket(spark, path)
     named = spark.range(1).select(
         *[F.lit(key[k]).cast(table.schema[k].dataType).alias(k) for k in spec.partition_key]
     )
@@ -59,21 +98,22 @@ def lookup_partition(spark: SparkSession, path: str, spec: TableSpec, buckets: i
 
 
 def upsert_buckets(
-    spark: SparkSession, path: str, changes: DataFrame, spec: TableSpec, buckets: int, **options
+    spark: SparkSession, path: str, changes: DataFrame, spec: TableSpec, buckets: int | None = None, **options
 ) -> list[int]:
     """Upsert into a bucketed table in place; returns the buckets that were rewritten.
 
     Only touched buckets are read and written. Spark writes them beside the table and moves each in
     when the job commits; a job that fails before leaves the table as it was. A counter table adds
-    its increments instead.
+    its increments instead. The table knows its buckets; naming another number is refused.
     """
     spec.require_key(changes.columns)
+    buckets = _buckets(spark, path, spec, buckets)
     numbers = changes.select(bucket_of(spec, buckets).alias(BUCKET)).distinct()
-    # At most one row per bucket, and the bucket count is a setting.
+    # At most one row per bucket.
     touched = sorted(r[0] for r in numbers.collect())
     if not touched:
         return []
-    base = spark.read.parquet(path).where(F.col(BUCKET).isin(touched)).drop(BUCKET)
+    base = _with_bucket(spark, path).where(F.col(BUCKET).isin(touched)).drop(BUCKET)
     if spec.counter:
         counters = [c for c in base.columns if c not in spec.key and c in changes.columns]
         merged = apply_counters(base, changes, spec.key, counters, options.get("delta_id"))

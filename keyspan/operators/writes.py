@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyspan.model import KeyspanError, TableSpec
 from keyspan.session import materialize
@@ -18,6 +19,43 @@ from keyspan.session import materialize
 BATCH_STATEMENTS = 32
 
 
+def _holds_map(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(_holds_map(f.dataType) for f in dtype)
+    return isinstance(dtype, T.MapType) or isinstance(dtype, T.ArrayType) and _holds_map(dtype.elementType)
+
+
+def orderable(value: Column, dtype: T.DataType) -> Column:
+    """A value that Spark can compare and sort: maps, at any depth, become their sorted entries."""
+    if not _holds_map(dtype):
+        return value
+    if isinstance(dtype, T.MapType):
+        entries = F.transform(
+            F.map_entries(value),
+            lambda e: F.struct(orderable(e["key"], dtype.keyType).alias("k"), orderable(e["value"], dtype.valueType).alias("v")),
+        )
+        return F.array_sort(entries)
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda x: orderable(x, dtype.elementType))
+    fields = [orderable(value[f.name], f.dataType).alias(f.name) for f in dtype]
+    return F.when(value.isNotNull(), F.struct(*fields))
+
+
+def _ordered(df: DataFrame, names) -> list[Column]:
+    return [orderable(F.col(f"`{c}`"), df.schema[c].dataType).alias(c) for c in names]
+
+
+def nullable(dtype: T.DataType) -> T.DataType:
+    """The type with nulls allowed inside; a cast to fewer nulls is refused whatever the values are."""
+    if isinstance(dtype, T.MapType):
+        return T.MapType(nullable(dtype.keyType), nullable(dtype.valueType), True)
+    if isinstance(dtype, T.ArrayType):
+        return T.ArrayType(nullable(dtype.elementType), True)
+    if isinstance(dtype, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType), True) for f in dtype])
+    return dtype
+
+
 def _named(df: DataFrame, names) -> list[str]:
     """Column names as the table spells them; matching ignores case."""
     actual = {c.lower(): c for c in df.columns}
@@ -59,14 +97,12 @@ def winning_changes(
     made = []
     if set_cols or null_to_unset:
         for c in columns:
-            place = F.struct(*order, F.col(c))
+            place = F.struct(*order, *_ordered(changes, [c]))
             made.append(F.max_by(F.when(is_set(c), F.col(c)), F.when(is_set(c), place)).alias(c))
             made.append(F.coalesce(F.bool_or(is_set(c)), F.lit(False)).alias(f"_set_{c}"))
     elif columns:
         row = F.struct(*[F.col(c) for c in columns])
-        held = dict(changes.dtypes)
-        place = [*order, *[F.col(c) for c in columns if not held[c].startswith("map")]]
-        made.append(F.max_by(row, F.struct(*place)).alias("_row"))
+        made.append(F.max_by(row, F.struct(*order, *_ordered(changes, columns))).alias("_row"))
     if ts:
         made.append(F.max(ts).alias("_ts"))
     if not made:
@@ -116,11 +152,12 @@ def merge_rows(
     """
     out = []
     for c in base.columns:
-        added = insert.get(c, F.lit(None)).cast(base.schema[c].dataType)
-        kept = F.col(f"`{c}`")
+        dtype = nullable(base.schema[c].dataType)
+        added = insert.get(c, F.lit(None)).cast(dtype)
+        kept = F.col(f"`{c}`").cast(dtype)
         if c in update:
             # The table keeps its types; a value that does not fit is an error.
-            kept = F.when(F.col("d__hit"), update[c].cast(base.schema[c].dataType)).otherwise(kept)
+            kept = F.when(F.col("d__hit"), update[c].cast(dtype)).otherwise(kept)
         out.append(F.when(F.col("_in_base"), kept).otherwise(added).alias(c))
     return with_delta(base, delta, key, stage).select(out)
 
@@ -152,7 +189,9 @@ def upsert(
     newer = F.col("d__ts") >= F.col(f"`{base_ts}`") if base_ts else F.lit(True)
     newer = F.coalesce(newer, F.lit(True))
     update = {
-        c: F.when(F.col(f"`d__set_{c}`") & newer, F.col(f"`d_{c}`")).otherwise(F.col(f"`{c}`")) for c in columns
+        c: F.when(F.col(f"`d__set_{c}`") & newer, F.col(f"`d_{c}`").cast(nullable(base.schema[c].dataType)))
+        .otherwise(F.col(f"`{c}`").cast(nullable(base.schema[c].dataType)))
+        for c in columns
     }
     insert = {**{k: F.col(f"`d_{k}`") for k in spec.key}, **{c: F.col(f"`d_{c}`") for c in columns}}
     if base_ts:
@@ -220,17 +259,18 @@ def conditional_upsert(
     key = spec.key
     columns = [c for c in base.columns if c in changes.columns and c not in key]
     found = current_rows(base, changes, key).select(
-        *key, F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("current"), F.lit(True).alias("_found")
+        *key,
+        F.struct(*[F.col(f"`{c}`").cast(nullable(base.schema[c].dataType)).alias(c) for c in base.columns]).alias("current"),
+        F.lit(True).alias("_found"),
     )
     joined = changes.join(found, key, "left")
     exists = F.coalesce(F.col("_found"), F.lit(False))
     if condition == "not_exists":
-        place = F.struct(*([F.col(seq)] if seq else []), *[F.col(f"`{c}`") for c in columns])
-        first = changes.groupBy(*key).agg(
-            F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")
-        )
+        place = F.struct(*([F.col(seq).alias("_seq")] if seq else []), *_ordered(changes, columns), F.lit(0).alias("_end"))
+        values = F.struct(*[F.col(f"`{c}`") for c in columns], F.lit(0).alias("_end"))
+        first = changes.groupBy(*key).agg(F.min(place).alias("_place"), F.min_by(values, place).alias("_first"))
         # Identical first changes are one write: a repeated request.
-        joined = joined.join(first, key).withColumn("applied", ~exists & (place == F.col("_first")))
+        joined = joined.join(first, key).withColumn("applied", ~exists & place.eqNullSafe(F.col("_place")))
         seen = F.when(exists, F.col("current")).otherwise(_inserted_row(base, key, columns))
         current = F.when(~F.col("applied"), seen)
         table_changes = joined.where("applied").select(*key, *columns)
@@ -254,8 +294,8 @@ def _inserted_row(base: DataFrame, key: list[str], columns: list[str]) -> Column
     fields = []
     for c in base.columns:
         dtype = base.schema[c].dataType
-        value = F.col(f"`{c}`") if c in key else F.col(f"_first.{c}") if c in columns else F.lit(None)
-        fields.append(value.cast(dtype).alias(c))
+        value = F.col(f"`{c}`") if c in key else F.col("_first")[c] if c in columns else F.lit(None)
+        fields.append(value.cast(nullable(dtype)).alias(c))
     return F.struct(*fields)
 
 
@@ -305,38 +345,35 @@ def counter_totals(deltas: DataFrame, keys: list[str], counters: list[str], delt
 
 
 def plan_batches(
-    changes: DataFrame, spec: TableSpec, max_statements: int | None = None, hot_rows: int = 1_000_000,
-    by: list[str] | None = None,
+    changes: DataFrame, spec: TableSpec, max_statements: int | None = None, by: list[str] | None = None
 ) -> DataFrame:
-    """Add ``batch``: rows of one partition key, at most ``max_statements`` per batch.
+    """Add ``batch``: rows of one partition key in clustering order, at most ``max_statements`` per batch.
 
     ``by`` groups by other columns instead, such as the owners of a split (replica sets).
 
     A counter table gets one statement per batch; a table without a clustering key is not batched
-    (``batch`` is null). A partition key with more than ``hot_rows`` changes is cut into slices that
-    are numbered on their own, so no task orders a whole hot partition; its batch numbers then have
-    gaps but stay unique within the key.
+    (``batch`` is null). Rows are dealt out by ranges of key and order, so a partition key with a third of
+    all rows is numbered by many tasks: within a range, plus what earlier ranges hold of the same key.
     """
     if not spec.clustering and by is None:
         return changes.withColumn("batch", F.lit(None).cast("bigint"))
     limit = 1 if spec.counter else (max_statements or BATCH_STATEMENTS)
     pk = by or list(spec.partition_key)
     order = spec.clustering_names if by is None else spec.key
-    counts = changes.groupBy(*pk).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    # Written out, so that Spark knows its true size when it plans the join below.
-    hot = materialize(counts.select(*pk, F.ceil(F.col("_n") / hot_rows).cast("bigint").alias("_slices")), "hot")
-    place = F.row_number()
-    if hot.isEmpty():
-        window = Window.partitionBy(*pk).orderBy(*order)
-        return changes.withColumn("batch", F.floor((place.over(window) - 1) / limit).cast("bigint"))
-    sliced = changes.join(hot, pk, "left").withColumn(
-        "_slice",
-        F.coalesce(F.pmod(F.xxhash64(*order), F.col("_slices")), F.lit(0).cast("bigint")),
-    )
-    window = Window.partitionBy(*pk, "_slice").orderBy(*order)
-    number = F.floor((place.over(window) - 1) / limit).cast("bigint")
-    batch = F.col("_slice") * F.lit(2**40) + number
-    return sliced.withColumn("batch", batch).select(*changes.columns, "batch")
+    dealt = changes.repartitionByRange(*dict.fromkeys([*pk, *order])).withColumn("_range", F.spark_partition_id())
+    # Written out: the bounds of the ranges are sampled, and both passes must see the same ones.
+    dealt = materialize(dealt, "batches")
+    before = Window.partitionBy(*pk).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*pk, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(*pk, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    starts = starts.select(*[F.col(k).alias(f"_{k}") for k in pk], F.col("_range").alias("__range"), "_before")
+    same = F.col("_range") == F.col("__range")
+    for k in pk:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    place = F.row_number().over(Window.partitionBy(*pk, "_range").orderBy(*order))
+    numbered = dealt.withColumn("_place", place).join(starts, same)
+    batch = F.floor((F.col("_before") + F.col("_place") - 1) / limit).cast("bigint")
+    return numbered.select(*changes.columns, batch.alias("batch"))
 
 
 def attach_static(rows: DataFrame, statics: DataFrame, partition_key: list[str]) -> DataFrame:
@@ -347,6 +384,7 @@ def attach_static(rows: DataFrame, statics: DataFrame, partition_key: list[str])
 def static_values(rows: DataFrame, spec: TableSpec, ts: str) -> DataFrame:
     """The static columns of each partition: per column the latest value written on any row."""
     made = [
-        F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.col(ts), F.col(c)))).alias(c) for c in spec.static
+        F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.col(ts).alias("_ts"), *_ordered(rows, [c])))).alias(c)
+        for c in spec.static
     ]
     return rows.groupBy(*spec.partition_key).agg(*made)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from keyspan.functions.rendering import render_wire
 from keyspan.model import TableSpec
+from keyspan.operators.buckets import read_buckets
 from keyspan.plans.registry import query
 from keyspan.session import work_path
 from keyspan.sources import exports, files, imports
@@ -170,7 +171,7 @@ def bulk_load(t):
     spec = TableSpec(("o_custkey",), ("o_orderkey",))
     types = {k: v for k, v in ORDER_TYPES.items() if k != "o_orderdate"}
     imports.load(files.read_csv(t.spark, path), target, types, spec, max_errors="60%")
-    return t.spark.read.parquet(target)
+    return read_buckets(t.spark, target)
 
 
 @query(
@@ -183,7 +184,7 @@ def bulk_load_new_table(t):
     exports.export(t.part, path, "csv", verify=False)
     mapping = "p_partkey=id, p_name=name, p_size=size, p_retailprice=price"
     imports.load(files.read_csv(t.spark, path), target, None, TableSpec(("id",)), mapping)
-    return t.spark.read.parquet(target).withColumn("id", F.col("id").cast("bigint"))
+    return read_buckets(t.spark, target).withColumn("id", F.col("id").cast("bigint"))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyspan.model import TableSpec
+from keyspan.operators.buckets import read_buckets
 from keyspan.plans.registry import query
 from keyspan.session import work_path
 from keyspan.sources import exports
@@ -89,4 +90,4 @@ def stream_load(t):
         TableSpec(("c_custkey",)), work_path(t.spark, "checkpoint"), max_errors="50%", files_per_batch=2,
     )
     writer.start().awaitTermination()
-    return t.spark.read.parquet(target)
+    return read_buckets(t.spark, target)

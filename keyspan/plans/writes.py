@@ -305,19 +305,14 @@ def batch_plan(t):
 @query(
     "batch_plan_hot",
     """
-    SELECT user_id, count(*) AS statements, count(*) <= 32 * count(DISTINCT event_id // 1) AS fits, true AS small
-    FROM events GROUP BY 1
+    SELECT event_type, event_id, ((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 32)::BIGINT AS batch
+    FROM events
     """,
 )
 def batch_plan_hot(t):
-    # Every user counts as hot here, so every partition is planned in slices.
-    spec = TableSpec(("user_id",), ("event_id",))
-    planned = writes.plan_batches(t.events.select("user_id", "event_id"), spec, hot_rows=40)
-    sizes = planned.groupBy("user_id", "batch").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.groupBy("user_id").agg(
-        F.sum("n").alias("statements"), (F.sum("n") <= 32 * F.count(F.lit(1))).alias("fits"),
-        (F.max("n") <= 32).alias("small"),
-    )
+    # Five keys hold all events, so every key lies in several ranges.
+    spec = TableSpec(("event_type",), ("event_id",))
+    return writes.plan_batches(t.events.select("event_type", "event_id"), spec)
 
 
 @query(
@@ -418,7 +413,7 @@ def cell_lifetimes(t):
 def upsert_buckets(t):
     place = work_path(t.spark, "buckets")
     buckets.write_buckets(t.customer, place, CUSTOMER, 16)
-    buckets.upsert_buckets(t.spark, place, _changes(t), CUSTOMER, 16, ts="ts", seq="seq", set_cols="set_cols")
+    buckets.upsert_buckets(t.spark, place, _changes(t), CUSTOMER, ts="ts", seq="seq", set_cols="set_cols")
     return buckets.read_buckets(t.spark, place)
 
 
@@ -429,7 +424,68 @@ def upsert_buckets(t):
 def lookup_bucket(t):
     place, spec = work_path(t.spark, "buckets"), TableSpec(("user_id",), ("ts", "event_id"))
     buckets.write_buckets(t.events, place, spec, 32)
-    return buckets.lookup_partition(t.spark, place, spec, 32, {"user_id": 41}).select("event_id", "user_id", "event_type")
+    return buckets.lookup_partition(t.spark, place, spec, {"user_id": 41}).select("event_id", "user_id", "event_type")
+
+
+# --- map columns ------------------------------------------------------------------------------------
+
+# Each event writes a map of its properties on its user; the map is shown as its sorted entries.
+_MAPS = """
+    e AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) AS at,
+                 '[' || event_type || '=' || value || ',id=' || event_id || ']' AS props FROM events),
+    old AS (SELECT user_id, event_id, props FROM e WHERE event_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1)
+"""
+
+
+def _with_map(t):
+    entries = F.create_map(
+        F.col("event_type"), F.col("value").cast("string"), F.lit("id"), F.col("event_id").cast("string")
+    )
+    return t.events.select("user_id", "event_id", entries.alias("props"), _micros("ts").alias("at"))
+
+
+def _oldest(t):
+    third = _with_map(t).where("event_id % 3 = 0")
+    return third.groupBy("user_id").agg(F.min_by(F.struct("event_id", "props"), "event_id").alias("r")).select("user_id", "r.*")
+
+
+def _shown(df):
+    shown = F.transform(F.array_sort(F.map_entries("props")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    # "id" sorts among the event types, so the entries are put in the order of the SQL.
+    last = F.filter(shown, lambda x: x.startswith("id="))
+    first = F.filter(shown, lambda x: ~x.startswith("id="))
+    return df.withColumn("props", F.concat(F.lit("["), F.array_join(F.concat(first, last), ","), F.lit("]")))
+
+
+USERS = TableSpec(("user_id",))
+_LATEST = "latest AS (SELECT user_id, arg_max(event_id, (at, event_id)) AS event_id, arg_max(props, (at, event_id)) AS props FROM e GROUP BY 1)"
+
+
+@query("upsert_maps", f"WITH {_MAPS}, {_LATEST} SELECT user_id, event_id, props FROM latest")
+def upsert_maps(t):
+    changes = _with_map(t).withColumn("seq", F.col("event_id"))
+    return _shown(writes.upsert(_oldest(t), changes, USERS, ts="at", seq="seq", null_to_unset=True))
+
+
+@query(
+    "insert_maps_if_absent",
+    f"""
+    WITH {_MAPS}, firsts AS (SELECT user_id, arg_min(event_id, event_id) AS event_id, arg_min(props, event_id) AS props FROM e GROUP BY 1)
+    SELECT user_id, event_id, props FROM old
+    UNION ALL SELECT user_id, event_id, props FROM firsts WHERE user_id NOT IN (SELECT user_id FROM old)
+    """,
+)
+def insert_maps_if_absent(t):
+    changes = _with_map(t).withColumn("seq", F.col("event_id")).drop("at")
+    return _shown(writes.conditional_upsert(_oldest(t), changes, USERS, "not_exists", "seq")[0])
+
+
+@query("static_maps", f"WITH {_MAPS}, {_LATEST} SELECT user_id, props FROM latest")
+def static_maps(t):
+    # Times repeat; the identifier inside the map's structure of the write time decides.
+    rows = _with_map(t).withColumn("at", F.struct("at", "event_id"))
+    spec = TableSpec(("user_id",), ("event_id",), static=("props",))
+    return _shown(writes.static_values(rows, spec, "at"))
 
 
 # --- statements -----------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from keyspan.functions.parsing import clean, parse
 from keyspan.model import Codec, KeyspanError, LoadReport, TableSpec
-from keyspan.operators.buckets import upsert_buckets, write_buckets
+from keyspan.operators.buckets import layout, read_buckets, upsert_buckets, write_buckets
 from keyspan.operators.tables import replace_table
 from keyspan.operators.writes import apply_counters, upsert
 from keyspan.session import path_exists, work_path
@@ -224,6 +224,10 @@ def sniff_nulls(df: DataFrame, columns: list[str] | None = None, sample: float |
     )
 
 
+#: Bucket folders of a new table.
+BUCKETS = 32
+
+
 @dataclass
 class ImportPreview:
     """What an import would do. Nothing is written."""
@@ -291,8 +295,9 @@ def load(
     table; beyond it the target is left alone. ``seq`` orders records of one key; without ``ts`` or
     ``seq`` the later record of a file wins. ``staging`` is a folder for the converted rows and the
     rejects; without it they are in the work folder. Without ``schema`` the table is made from the
-    types that the source's texts have. With ``buckets`` the table is laid out by bucket and only
-    the buckets with changes are rewritten.
+    types that the source's texts have. A new table is laid out in ``buckets`` bucket folders (0:
+    none), and a later load rewrites only the buckets it has rows for; a table that is there keeps its layout,
+    and naming another number of buckets is refused. ``operators.buckets.read_buckets`` reads either kind.
     """
     spark = source.sparkSession
     if schema is None:
@@ -326,19 +331,20 @@ def load(
         return LoadReport("DRY_RUN", good + bad, 0, bad, rejects)
     changes = staged.where(~F.col("_rejected")).drop("_rejected", "_errors")
     base = (
-        spark.read.parquet(target)
+        read_buckets(spark, target)
         if path_exists(spark, target)
         else changes.drop("_seq").where(F.lit(False))
     )
-    if buckets:
-        options = {} if spec.counter else {"ts": ts, "seq": seq or "_seq", "null_to_unset": null_to_unset}
-        if path_exists(spark, target):
-            upsert_buckets(spark, target, changes, spec, buckets, **options)
-        else:
-            write_buckets(_applied(base, changes, spec, options), target, spec, buckets)
-    else:
-        options = {"ts": ts, "seq": seq or "_seq", "null_to_unset": null_to_unset}
+    options = {"ts": ts, "seq": seq or "_seq", "null_to_unset": null_to_unset}
+    there = path_exists(spark, target)
+    if there and layout(spark, target):
+        upsert_buckets(spark, target, changes, spec, buckets, **({} if spec.counter else options))
+    elif there and buckets:
+        raise KeyspanError(f"{target} is a table without buckets")
+    elif there or buckets == 0:
         replace_table(_applied(base, changes, spec, options), target)
+    else:
+        write_buckets(_applied(base, changes, spec, options), target, spec, buckets or BUCKETS)
     return LoadReport("WITH_REJECTS" if bad else "SUCCESS", good + bad, good, bad, rejects, target)
 
 

@@ -33,7 +33,7 @@ def stream_load(
     Each micro-batch is one ``load``: rejects are kept, and a batch beyond its error budget fails
     the query instead of being skipped. A batch that is run again after a failure upserts the same
     rows, so the table ends up the same; increments of a counter table would count twice and are
-    refused. With ``buckets`` a batch rewrites only the buckets it has rows for.
+    refused. A batch rewrites only the buckets it has rows for (see ``load``).
     """
     if spec.counter:
         raise KeyspanError("a replayed batch would count increments twice; use stream_counters")

@@ -27,27 +27,57 @@ def test_only_touched_buckets_are_rewritten(spark, place):
     buckets.write_buckets(base(spark), path, SPEC, 16)
     before = files_of(path)
     changes = spark.createDataFrame([("k1", 1, "new"), ("k1", 9999, "add")], "k string, id bigint, v string")
-    touched = buckets.upsert_buckets(spark, path, changes, SPEC, 16)
+    touched = buckets.upsert_buckets(spark, path, changes, SPEC)
     kept = {f for f in before if f"_bucket={touched[0]}/" not in f}
     assert len(touched) == 1 and kept <= files_of(path) and not (before - kept) & files_of(path)
     want = writes.upsert(base(spark), changes, SPEC)
     got = buckets.read_buckets(spark, path)
     assert got.count() == 2001 and tables.reconcile(got, want, SPEC.key).count() == 0
-    assert buckets.upsert_buckets(spark, path, changes.where("id < 0"), SPEC, 16) == []
+    assert buckets.upsert_buckets(spark, path, changes.where("id < 0"), SPEC) == []
 
 
 def test_lookup_reads_one_bucket(spark, place):
     path = place("table")
     buckets.write_buckets(base(spark), path, SPEC, 16)
-    rows = buckets.lookup_partition(spark, path, SPEC, 16, {"k": "HOT"})
+    rows = buckets.lookup_partition(spark, path, SPEC, {"k": "HOT"})
     assert rows.count() == 667
     assert "PartitionFilters: [isnotnull(_bucket" in rows._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(KeyspanError):
-        buckets.lookup_partition(spark, path, SPEC, 16, {})
+        buckets.lookup_partition(spark, path, SPEC, {})
     with pytest.raises(KeyspanError):
         buckets.write_buckets(base(spark), path, SPEC, 16)
 
 
+@pytest.mark.parametrize("other", [8, 24, 32])
+def test_another_number_of_buckets_is_refused(spark, place, other):
+    path = place("table")
+    buckets.write_buckets(base(spark), path, SPEC, 16)
+    changes = spark.range(700).select(F.concat(F.lit("k"), F.col("id") % 40).alias("k"), "id", F.lit("new").alias("v"))
+    with pytest.raises(KeyspanError, match="16 buckets"):
+        buckets.upsert_buckets(spark, path, changes, SPEC, other)
+    with pytest.raises(KeyspanError, match="laid out by"):
+        buckets.upsert_buckets(spark, path, changes, TableSpec("id", "k"))
+    texts = changes.select([F.col(c).cast("string").alias(c) for c in ("k", "id", "v")])
+    with pytest.raises(KeyspanError, match="16 buckets"):
+        imports.load(texts, path, {"k": "text", "id": "bigint", "v": "text"}, SPEC, buckets=other)
+    assert tables.reconcile(buckets.read_buckets(spark, path), base(spark), SPEC.key).count() == 0
+    buckets.upsert_buckets(spark, path, changes, SPEC, 16)
+    want = writes.upsert(base(spark), changes, SPEC)
+    assert tables.reconcile(buckets.read_buckets(spark, path), want, SPEC.key).count() == 0
+
+
+def test_plain_tables_stay_plain(spark, place):
+    path, types = place("plain"), {"k": "text", "id": "bigint", "v": "text"}
+    texts = base(spark).select([F.col(c).cast("string").alias(c) for c in ("k", "id", "v")])
+    imports.load(texts, path, types, SPEC, buckets=0)
+    imports.load(texts.withColumn("v", F.lit("new")), path, types, SPEC)
+    assert spark.read.parquet(path).where("v = 'new'").count() == 2000
+    with pytest.raises(KeyspanError):
+        imports.load(texts, path, types, SPEC, buckets=4)
+    with pytest.raises(KeyspanError):
+        buckets.lookup_partition(spark, path, SPEC, {"k": "HOT"})
+
+
 def test_loads_into_buckets(spark, place):
     path = place("table")
     types = {"k": "text", "id": "bigint", "v": "text"}
@@ -59,13 +89,13 @@ def test_loads_into_buckets(spark, place):
     assert got.count() == 2000 and got.where("v = 'newer'").count() == 10
 
 
-@pytest.mark.parametrize("number", [None, 4])
+@pytest.mark.parametrize("number", [0, None, 4])
 def test_counter_loads_add_up(spark, place, number):
     path, spec = place("counters"), TableSpec("k", counter=True)
     texts = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "5")], "k string, n string")
     for _ in range(2):
         imports.load(texts, path, {"k": "text", "n": "counter"}, spec, buckets=number)
-    table = buckets.read_buckets(spark, path) if number else spark.read.parquet(path)
+    table = buckets.read_buckets(spark, path)
     assert {tuple(r) for r in table.select("k", "n").collect()} == {("a", 6), ("b", 10)}
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from keyspan.functions.parsing import parse, spark_type, timeuuid_ts
 from keyspan.model import Codec, KeyspanError, MissingKeyError, TableSpec
+from keyspan.operators.buckets import read_buckets
 from keyspan.sources import files, imports
 
 
@@ -232,9 +233,9 @@ def test_load_upserts_and_later_records_win(spark, place):
     assert (report.status, report.read, report.loaded, report.rejected) == ("SUCCESS", 2, 2, 0)
     second = spark.createDataFrame([("2", None, "7"), ("3", "x", None), ("3", "c", None)], "id string, email string, age string").coalesce(1)
     imports.load(second, target, TYPES, SPEC)
-    assert sorted(tuple(r) for r in spark.read.parquet(target).collect()) == [(1, "a", 5), (2, "b", 7), (3, "c", None)]
+    assert sorted(tuple(r) for r in read_buckets(spark, target).collect()) == [(1, "a", 5), (2, "b", 7), (3, "c", None)]
     imports.load(second.limit(1), target, TYPES, SPEC, null_to_unset=False)
-    assert (2, None, 7) in {tuple(r) for r in spark.read.parquet(target).collect()}
+    assert (2, None, 7) in {tuple(r) for r in read_buckets(spark, target).collect()}
 
 
 def test_load_budget(spark, place):
@@ -246,7 +247,7 @@ def test_load_budget(spark, place):
     dry = imports.load(df, target, TYPES, SPEC, max_errors=5, dry_run=True)
     assert dry.status == "DRY_RUN" and dry.rejected == 5 and not os.path.exists(target)
     done = imports.load(df, target, TYPES, SPEC, max_errors="25%")
-    assert done.status == "WITH_REJECTS" and done.loaded == 15 and spark.read.parquet(target).count() == 15
+    assert done.status == "WITH_REJECTS" and done.loaded == 15 and read_buckets(spark, target).count() == 15
     assert imports.rejected(spark, done).select("field", "value").distinct().first() == ("id", "bad")
 
 
@@ -264,7 +265,7 @@ def test_load_of_nothing_makes_an_empty_table(spark, place):
     df = spark.createDataFrame([], "id string, email string, age string")
     report = imports.load(df, target, TYPES, SPEC)
     assert (report.status, report.read) == ("SUCCESS", 0)
-    table = spark.read.parquet(target)
+    table = read_buckets(spark, target)
     assert table.count() == 0 and table.columns == ["id", "email", "age"]
 
 
@@ -272,7 +273,7 @@ def test_load_with_inferred_types(spark, place):
     target = place("table")
     df = spark.createDataFrame([("1", "x", "2024-01-01"), ("2", "y", "2024-01-02")], "id string, name string, day string")
     imports.load(df, target, None, TableSpec("key"), "0=key, day=day")
-    assert dict(spark.read.parquet(target).dtypes) == {"key": "int", "day": "date"}
+    assert dict(read_buckets(spark, target).dtypes) == {"key": "int", "day": "date"}
 
 
 def test_staging_folder_keeps_rejects(spark, place):

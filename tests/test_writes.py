@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keyspan.model import KeyspanError, MissingKeyError, TableSpec
@@ -131,15 +132,44 @@ def test_counters_ignore_replays_and_keep_untouched_rows(spark):
     assert {tuple(r) for r in got.collect()} == {("home", 13, 2), ("about", 5, 4), ("new", 7, 1)}
 
 
-@pytest.mark.parametrize("hot", [1_000_000, 500])
-def test_batches_hold_one_partition_and_few_statements(spark, hot):
+@pytest.mark.parametrize("parts", [1, 7])
+def test_batches_hold_one_partition_and_few_statements(spark, parts):
     df = spark.range(3000).select(F.when(F.col("id") < 1000, "HOT").otherwise(F.concat(F.lit("k"), (F.col("id") % 100))).alias("p"), F.col("id").alias("c"))
-    planned = writes.plan_batches(df, SPEC, hot_rows=hot)
-    assert planned.count() == 3000 and planned.columns == ["p", "c", "batch"]
-    sizes = planned.groupBy("p", "batch").count()
-    assert sizes.agg(F.max("count")).first()[0] <= 32
-    assert sizes.where("p = 'HOT'").count() <= -(-1000 // 32) + 2
-    assert sizes.where("p = 'k7'").count() == 1
+    planned = writes.plan_batches(df.repartition(parts), SPEC)
+    assert planned.columns == ["p", "c", "batch"]
+    place = F.row_number().over(Window.partitionBy("p").orderBy("c"))
+    want = df.withColumn("batch", F.floor((place - 1) / 32))
+    assert sorted(map(tuple, planned.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_batches_of_null_keys(spark):
+    df = spark.createDataFrame([(None, i) for i in range(70)] + [("a", None)], "p string, c int")
+    got = [(r["p"], r["batch"]) for r in writes.plan_batches(df, SPEC).collect()]
+    assert sorted(b for p, b in got if p is None) == [0] * 32 + [1] * 32 + [2] * 6 and ("a", 0) in got
+
+
+MAP_DDL = "p int, c int, m map<string,array<int>>, s struct<x:map<int,string>>"
+
+
+def test_map_columns_in_every_write(spark):
+    base = spark.sql("SELECT 1 AS p, 1 AS c, map('a', array(1)) AS m, named_struct('x', map(1, 'u')) AS s")
+    rows = [(1, 1, {"b": [2, None], "a": None}, ({2: None},), 5, ["m"]), (1, 1, {"z": []}, None, 4, ["m", "s"]), (2, 2, None, ({},), 1, ["s"])]
+    changes = spark.createDataFrame(rows, MAP_DDL + ", at int, cols array<string>")
+    got = as_maps(writes.upsert(base, changes, SPEC, ts="at", set_cols="cols"))
+    assert got == {(1, 1): ({"b": [2, None], "a": None}, None), (2, 2): (None, ({},))}
+    got = as_maps(writes.upsert(base, changes.drop("cols"), SPEC, ts="at", null_to_unset=True))
+    assert got == {(1, 1): ({"b": [2, None], "a": None}, ({2: None},)), (2, 2): (None, ({},))}
+    got = as_maps(writes.upsert(base, changes.drop("cols"), SPEC))
+    assert set(got) == {(1, 1), (2, 2)}
+    table, outcome = writes.conditional_upsert(base, changes.drop("cols"), SPEC, "not_exists", "at")
+    assert as_maps(table) == {(1, 1): ({"a": [1]}, ({1: "u"},)), (2, 2): (None, ({},))}
+    assert sorted((r["at"], r["applied"]) for r in outcome.collect()) == [(1, True), (4, False), (5, False)]
+    statics = writes.static_values(changes, TableSpec("p", "c", static=("m",)), "at")
+    assert {r["p"]: r["m"] for r in statics.collect()} == {1: {"b": [2, None], "a": None}, 2: None}
+
+
+def as_maps(df):
+    return {(r["p"], r["c"]): (r["m"], r["s"] and tuple(r["s"])) for r in df.collect()}
 
 
 def test_batch_rules(spark):
