@@ -20,8 +20,21 @@ SCALARS = {
 
 _UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 _IPV4 = r"^((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)$"
-_IPV6 = r"^(?=.*:.*:)[0-9a-fA-F:]{2,39}$"
+
+
+def _ipv6() -> str:
+    """The IPv6address rule of RFC 3986: eight groups, of which one run may be left out, the last two perhaps an IPv4 address."""
+    group, four = "[0-9a-fA-F]{1,4}", _IPV4[1:-1]
+    tail = f"({group}:{group}|{four})"
+    forms = [f"({group}:){{6}}{tail}", f"::({group}:){{5}}{tail}"]
+    forms += [f"(({group}:){{0,{n}}}{group})?::({group}:){{{4 - n}}}{tail}" for n in range(5)]
+    forms += [f"(({group}:){{0,5}}{group})?::{group}", f"(({group}:){{0,6}}{group})?::"]
+    return "^(" + "|".join(forms) + ")$"
+
+
+_IPV6 = _ipv6()
 _TIME = r"^([01]\d|2[0-3]):([0-5]\d)(?::([0-5]\d)(?:\.(\d{1,9}))?)?$"
+_FLOAT = r"(?i)^([+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?|nan|[+-]?inf(inity)?)$"
 _GROUPED = r"^[+-]?(\d{1,3}(,\d{3})+|\d+)(\.\d+)?$"
 _RANGES = {"tinyint": 7, "smallint": 15, "int": 31, "bigint": 63, "counter": 63}
 
@@ -136,13 +149,41 @@ def _integer(text: Column, name: str, codec: Codec) -> Column:
     exact = _rounded(number.try_cast("decimal(38,10)"), codec.rounding)
     limit = 2 ** _RANGES[name]
     if codec.overflow == "TRUNCATE":
+        # Only a number has bounds: a text that is none, or a fraction that may not be rounded, stays unread.
+        exact = F.coalesce(exact.cast("decimal(38,0)"), _huge(number))
         bounded = F.greatest(F.lit(-limit).cast("decimal(38,0)"), F.least(F.lit(limit - 1).cast("decimal(38,0)"), exact.cast("decimal(38,0)")))
-        return F.coalesce(direct, bounded.cast(target))
+        return F.coalesce(direct, F.when(exact.isNotNull(), bounded.cast(target)))
     if codec.rounding == "UNNECESSARY":
         return direct
     return F.coalesce(direct, exact.cast("decimal(38,0)").cast("string").try_cast(target))
 
 
+def _huge(number: Column) -> Column:
+    """The bound of its sign for a whole number of more digits than a decimal holds."""
+    bound = F.lit("9" * 38).cast("decimal(38,0)")
+    return F.when(number.rlike(r"^[+-]?0*[1-9]\d{28,}(\.0*)?$"), F.when(number.startswith("-"), -bound).otherwise(bound))
+
+
+def _decimal(text: Column, name: str, codec: Codec) -> Column:
+    """A decimal that keeps every digit of the text; a rounding mode allows fewer."""
+    number, target = _plain_number(text, codec), spark_type(name)
+    value = number.try_cast(target)
+    if codec.rounding == "HALF_UP":
+        return value
+    scale = int(target[:-1].split(",")[1]) if "," in target else 0
+    if codec.rounding == "UNNECESSARY":
+        mantissa = F.regexp_extract(number, r"^[+-]?\d*\.?(\d*?)0*(?:[eE][+-]?\d+)?$", 1)
+        exponent = F.coalesce(F.regexp_extract(number, r"[eE]([+-]?\d+)$", 1).try_cast("int"), F.lit(0))
+        zero = number.rlike(r"^[+-]?[0.]*([eE].*)?$")
+        trailing = F.length(F.regexp_extract(number, r"^[+-]?\d*?(0*)(?:\.0*)?(?:[eE]|$)", 1))
+        places = F.when(mantissa == "", -trailing).otherwise(F.length(mantissa)) - exponent
+        return F.when(zero | (places <= scale), value)
+    if scale > 18:
+        raise KeyspanError("a rounding mode needs a decimal of at most 18 places")
+    wide = number.try_cast("decimal(38,18)") * F.lit(10**scale).cast("decimal(19,0)")
+    return (_rounded(wide.cast("decimal(38,10)"), codec.rounding) / F.lit(10**scale).cast("decimal(19,0)")).try_cast(target)
+
+
 def _boolean(text: Column, codec: Codec) -> Column:
     pairs = [p.split(":") for p in codec.boolean_strings]
     word = F.upper(F.trim(text))
@@ -269,9 +310,11 @@ def parse(text: Column, name: str, codec: Codec = Codec()) -> Column:
         number = _plain_number(text, codec)
         return F.when(number.rlike(r"^[+-]?\d+$"), F.regexp_replace(number, r"^\+?(-?)0*(?=\d)", "$1"))
     if head == "decimal":
-        return _plain_number(text, codec).try_cast(spark_type(name))
+        return _decimal(text, name, codec)
     if head in ("float", "double"):
-        return _plain_number(text, codec).try_cast(head)
+        # The cast alone would read Java's 1d and 1f.
+        number = _plain_number(text, codec)
+        return F.when(number.rlike(_FLOAT), number.try_cast(head))
     if head == "boolean":
         return _boolean(text, codec)
     if head == "timestamp":
@@ -362,7 +405,9 @@ def _map(text: Column, inner: str, codec: Codec) -> Column:
     def read(raw: Column) -> Column:
         keys = F.transform(raw, lambda e: parse(e["key"], key, codec))
         values = _all_read(F.transform(raw, lambda e: e["value"]), F.transform(raw, lambda e: parse(e["value"], value, codec)))
-        return F.when(~F.exists(keys, lambda k: k.isNull()), F.map_from_arrays(keys, values))
+        # A key that is there twice (also as 1 and 01) would end the job, so it is an error of this row.
+        once = F.size(F.array_distinct(keys)) == F.size(keys)
+        return F.when(once & ~F.exists(keys, lambda k: k.isNull()), F.map_from_arrays(keys, values))
 
     return _bound(listed, read)
 

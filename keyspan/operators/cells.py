@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyspan.model import TableSpec
-from keyspan.operators.writes import with_delta
+from keyspan.operators.writes import orderable, with_delta
 
 OPERATIONS = ("insert", "update", "delete_cells", "delete_row")
 
@@ -41,8 +41,9 @@ def merge_cells(
     A change is an ``insert`` or ``update`` of the columns in ``set_cols``, ``delete_cells`` of
     them, or ``delete_row``. A row deletion at time t removes cells written at or before t and
     loses to later ones. Changes win against equal times in the base; among themselves ``seq``
-    decides. The result keeps deleted rows (see ``live_rows``), so late changes still lose.
+    decides, then the larger value. The result keeps deleted rows (see ``live_rows``), so late changes still lose.
     """
+    spec.require_key(changes.columns)
     columns = [c for c in base.columns if c not in spec.key and not c.startswith("_")]
     writes = F.col(op).isin("insert", "update")
     life = F.when(F.col(ttl) > 0, F.col(ttl).cast("int")) if ttl else F.lit(None).cast("int")
@@ -55,7 +56,9 @@ def merge_cells(
             value.cast(base.schema[c].dataType).alias("value"),
             F.when(writes & value.isNotNull(), life).alias("life"),
         )
-        made.append(F.max_by(cell, F.when(touched, F.struct(cell["at"], cell["seq"]))).alias(c))
+        # Equal times and sequence numbers: the larger value, as in an upsert.
+        order = F.struct(cell["at"], cell["seq"], orderable(cell["value"], base.schema[c].dataType).alias("value"), cell["life"])
+        made.append(F.max_by(cell, F.when(touched, order)).alias(c))
     made.append(F.max(F.when(F.col(op) == "insert", F.col(ts).cast("bigint"))).alias("_row_ts"))
     made.append(F.max(F.when(F.col(op) == "delete_row", F.col(ts).cast("bigint"))).alias("_gone_ts"))
     delta = changes.groupBy(*spec.key).agg(*made)

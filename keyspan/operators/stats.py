@@ -233,12 +233,12 @@ def table_statistics(
     top: int = 10,
     owners: DataFrame | None = None,
     computed_at: Column | None = None,
-    detail_cap: int = DETAIL_CAP,
+    detail_cap: int | None = None,
 ) -> DataFrame:
     """A statistics snapshot ready to be stored: the report plus identity, partition count and time.
 
-    Detail sections are capped for display; the figures ``reported`` and ``truncated`` say so, and
-    the total and the partition count are always those of the whole table.
+    Every range is kept. With ``detail_cap`` sections are cut for display; the figures ``reported`` and
+    ``truncated`` say so, and the total and the partition count are always those of the whole table.
     """
     modes = ["global", "ranges", "partitions"] + (["hosts"] if owners is not None else [])
     report = count_stats(df, keys, modes, splits, top, owners)
@@ -257,10 +257,12 @@ def table_statistics(
             "rank": F.row_number().over(section.orderBy(F.desc("rows"), "item")),
         }
     )
-    return ranked.where(F.col("rank") <= detail_cap).select(
+    if detail_cap is not None:
+        ranked = ranked.where(F.col("rank") <= detail_cap)
+    return ranked.select(
         F.lit(identity).alias("identity"),
         "section", "rank", "item", "range_start", "range_end", "rows", "percent", "reported",
-        (F.col("reported") > F.lit(detail_cap)).alias("truncated"),
+        (F.col("reported") > F.lit(detail_cap) if detail_cap is not None else F.lit(False)).alias("truncated"),
         (F.current_timestamp() if computed_at is None else computed_at).alias("computed_at"),
     )
 

@@ -208,12 +208,13 @@ def duplicate_table(
 
 def copy_tables(
     spark: SparkSession, src: str, dst: str, tables: list[str], truncate: bool = False, verify_keys: dict | None = None,
-    copy_data: bool = True,
+    copy_data: bool = True, keys: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """Copy Parquet tables from one folder to another: table, rows read, rows in copy, warning.
 
     The loop is over table names; each copy is a Spark write whose rows are counted on the way and
-    again in the result. ``verify_keys`` also compares contents of the tables it names by key.
+    again in the result. A target with rows is replaced with ``truncate``; with ``keys`` of the table its rows
+    with the same key are replaced and the others stay; otherwise it is refused. ``verify_keys`` also compares contents of the tables it names by key.
     Without ``copy_data`` only the (empty) tables are made.
     """
     from pyspark.sql import Observation
@@ -224,11 +225,18 @@ def copy_tables(
         source = spark.read.parquet(f"{src}/{name}.parquet" if path_exists(spark, f"{src}/{name}.parquet") else f"{src}/{name}")
         source = source if copy_data else source.where(F.lit(False))
         target = f"{dst}/{name}"
-        before = spark.read.parquet(target).count() if not truncate and path_exists(spark, target) else 0
-        source.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(
-            "overwrite" if truncate else "append"
-        ).parquet(target)
-        copied = spark.read.parquet(target).count() - before
+        watched = source.observe(seen, F.count(F.lit(1)).alias("rows"))
+        old = spark.read.parquet(target) if not truncate and path_exists(spark, target) else None
+        kept = 0
+        if old is None or old.isEmpty():
+            watched.write.mode("overwrite").parquet(target)
+        elif keys and name in keys:
+            others = old.join(source.select(*keys[name]).distinct(), keys[name], "left_anti")
+            kept = others.count()
+            replace_table(others.unionByName(watched), target)
+        else:
+            raise KeyspanError(f"{target} has rows; name the table's key or truncate it")
+        copied = spark.read.parquet(target).count() - kept
         read = seen.get["rows"]
         warning = None if copied == read else f"{read} rows read but {copied} written"
         if warning is None and verify_keys and name in verify_keys:

@@ -48,6 +48,11 @@ def words(text: Column, case_sensitive: bool = False, normalize: bool = False, a
 
 def has_word(text: Column, word: str, case_sensitive: bool = False, normalize: bool = False, ascii: bool = False) -> Column:
     """Is the word among ``words(text)``? Most texts fail the plain search and are not analysed."""
+    # The word is folded like the text.
+    if normalize or ascii:
+        word = unicodedata.normalize("NFKD" if ascii else "NFC", word)
+    if ascii:
+        word = "".join(ch for ch in word if not "\u0300" <= ch <= "\u036f")
     wanted = word if case_sensitive else word.lower()
     if not wanted or not all(ch == "_" or unicodedata.category(ch)[0] in "LMN" for ch in wanted):
         return F.lit(False) & text.isNotNull()
@@ -67,6 +72,17 @@ def _unicode_folded(ascii: bool):
     return fold
 
 
+def _listed(values, dtype: T.DataType) -> list:
+    """The values of a list as the column's type has them; those no value of the column can equal are left out."""
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return [float(v) for v in values if v is not None]
+    if isinstance(dtype, T.IntegralType):
+        held = [v for v in values if v is not None and v == v and v not in (float("inf"), float("-inf"))]
+        bits = {"tinyint": 7, "smallint": 15, "int": 31}.get(dtype.simpleString(), 63)
+        return [int(v) for v in held if int(v) == v and -(2**bits) <= v < 2**bits]
+    return [v for v in values if v is not None]
+
+
 def predicate(df: DataFrame, column: str, op: str, value, text_options: dict | None = None) -> Column:
     """One condition of a predicate list."""
     c = F.col(column)
@@ -85,7 +101,7 @@ def predicate(df: DataFrame, column: str, op: str, value, text_options: dict | N
     if op == "IN":
         if not isinstance(value, (list, tuple)):
             raise KeyspanError("IN needs a list")
-        return c.isin(list(value))
+        return c.isin(_listed(value, dtype))
     if op == "CONTAINS":
         held = F.map_values(c) if isinstance(dtype, T.MapType) else c
         return F.array_contains(held, F.lit(value))
@@ -109,7 +125,7 @@ def apply_predicates(df: DataFrame, predicates: list[tuple], text_options: dict
         long_list = op.upper() == "IN" and isinstance(value, (list, tuple)) and len(value) > IN_LIST_LIMIT
         if long_list:
             field = T.StructType([T.StructField(column, df.schema[column].dataType)])
-            listed = df.sparkSession.createDataFrame([(v,) for v in value], field)
+            listed = df.sparkSession.createDataFrame([(v,) for v in _listed(value, df.schema[column].dataType)], field)
             out = out.join(listed, column, "left_semi")
         else:
             out = out.where(predicate(out, column, op, value, text_options))
@@ -171,20 +187,22 @@ def natural_key(text: Column) -> Column:
 
 
 def number_key(text: Column) -> Column:
-    """Sort key of a number kept as text, for any number of digits. Compares the whole number."""
-    negative = F.startswith(text, F.lit("-"))
-    whole = F.regexp_replace(F.regexp_extract(text, r"^[+-]?0*([0-9]*)", 1), "^$", "0")
-    fraction = F.regexp_replace(F.regexp_extract(text, r"\.([0-9]*)", 1), "0+$", "")
-    digits = F.concat(whole, F.lit("."), fraction)
+    """Sort key of a number kept as text, for any number of digits, with or without an exponent. Compares the
+    whole number: its sign, the place of its first digit, its digits."""
+    mantissa = r"^\s*[+-]?([0-9]*)\.?([0-9]*)"
+    whole, fraction = F.regexp_extract(text, mantissa, 1), F.regexp_extract(text, mantissa, 2)
+    exponent = F.coalesce(F.regexp_extract(text, r"[0-9.][eE]([+-]?[0-9]+)\s*$", 1).try_cast("bigint"), F.lit(0))
+    joined = F.concat(whole, fraction)
+    significant = F.regexp_replace(joined, "^0+", "")
+    digits = F.regexp_replace(significant, "0+$", "")
+    place = F.length(whole) - (F.length(joined) - F.length(significant)) + exponent
+    zero, negative = digits == "", text.rlike(r"^\s*-")
     flipped = F.concat(F.translate(digits, "0123456789", "9876543210"), F.lit("~"))
-    zero = (whole == "0") & (fraction == "")
-    return F.when(text.isNull(), F.lit(None)).otherwise(
-        F.struct(
-            F.when(negative & ~zero, 0).otherwise(1).alias("sign"),
-            F.when(negative & ~zero, -F.length(whole)).otherwise(F.length(whole)).alias("size"),
-            F.when(negative & ~zero, flipped).otherwise(digits).alias("digits"),
-        )
-    )
+    return F.when(text.isNotNull(), F.struct(
+        F.when(zero, 0).when(negative, -1).otherwise(1).alias("sign"),
+        F.when(zero, 0).when(negative, -place).otherwise(place).alias("place"),
+        F.when(negative & ~zero, flipped).otherwise(digits).alias("digits"),
+    ))
 
 
 def sort_key(df: DataFrame, column: str, numeric_text: bool = False) -> Column:
@@ -206,9 +224,20 @@ def sort_view(
     A tie-break is always added (the named columns, else a hash of the row), so equal values get a
     repeatable order and Spark's range partitioner can spread one frequent value over many tasks.
     """
+    return df.orderBy(*_sort_columns(df, column, direction, numeric_text, tie))
+
+
+def sorted_places(
+    df: DataFrame, column: str, direction: str = "asc", numeric_text: bool = False, tie: list[str] | None = None
+) -> DataFrame:
+    """Every row with its ``place`` (from 1) in the order of ``sort_view``."""
+    return Pages(df, _sort_columns(df, column, direction, numeric_text, tie)).places()
+
+
+def _sort_columns(df: DataFrame, column: str, direction: str, numeric_text: bool, tie: list[str] | None) -> list[Column]:
     key = sort_key(df, column, numeric_text)
     first = key.asc_nulls_last() if direction == "asc" else key.desc_nulls_first()
-    return df.orderBy(first, *_tie_break(df, tie))
+    return [first, *_tie_break(df, tie)]
 
 
 def _tie_break(df: DataFrame, tie: list[str] | None) -> list[Column]:
@@ -298,6 +327,11 @@ class Pages:
         numbered = self.stored.join(offsets, "_part")
         return numbered.select(*self.columns, (F.floor(position / self.size) + 1).cast("bigint").alias("page"))
 
+    def places(self) -> DataFrame:
+        """The whole table with ``place`` (from 1), the number of a row in the order."""
+        offsets = self.stored.sparkSession.createDataFrame([o[:2] for o in self.offsets], "_part bigint, _offset bigint")
+        return self.stored.join(offsets, "_part").select(*self.columns, (F.col("_offset") + F.col("_at") + 1).alias("place"))
+
     def page(self, number: int) -> DataFrame:
         """One page. The filter is on stored columns, so all other partitions are skipped."""
         lo, hi = (number - 1) * self.size, number * self.size

@@ -57,6 +57,34 @@ def csv_round_trip(t):
     return good
 
 
+@query(
+    "jsonl_lines",
+    """
+    SELECT '{"event_id":' || event_id || ',"half":' || event_id || '.5,"raw":"0x' || lower(hex(event_type)) || '","kind":'
+           || CASE WHEN event_type = 'error' THEN 'null' ELSE '"' || event_type || '"' END || '}' AS value
+    FROM events
+    """,
+)
+def jsonl_lines(t):
+    # The lines as they are in the files: 64-bit numbers are numbers, blobs are 0x and hex.
+    path = work_path(t.spark, "jsonl")
+    shown = t.events.select(
+        "event_id", (F.col("event_id") + F.lit(0.5).cast("decimal(2,1)")).alias("half"),
+        F.col("event_type").cast("binary").alias("raw"),
+        F.when(F.col("event_type") != "error", F.col("event_type")).alias("kind"),
+    )
+    exports.export(shown, path, "jsonl")
+    return t.spark.read.text(path)
+
+
+@query("json_documents", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def json_documents(t):
+    # Array documents of 100 rows, each one file that is read whole.
+    path = work_path(t.spark, "json")
+    exports.export(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), path, "json", max_records_per_file=100)
+    return t.spark.read.schema("o_orderkey bigint, o_custkey bigint, o_totalprice double").option("multiLine", True).json(path)
+
+
 @query("csv_null_marker", "SELECT event_id, nullif(event_type, 'error') AS event_type FROM events")
 def csv_null_marker(t):
     path = work_path(t.spark, "csv")

@@ -10,6 +10,7 @@ from keyspan.functions import vectors
 from keyspan.operators import knn as nn
 from keyspan.operators import views
 from keyspan.plans.registry import query
+from keyspan.session import work_path
 
 DIMS = 64
 # The search vector of the top-k queries is that of row 0, looked up by its key.
@@ -57,8 +58,9 @@ def predicates_in(t):
     "SELECT event_id, user_id FROM events WHERE value IN (SELECT range::DOUBLE / 100 FROM range(12000))",
 )
 def predicates_long_list(t):
-    # Every amount in cents up to 120, too many for a plain filter.
-    found = views.apply_predicates(t.events, [("value", "IN", [cents / 100 for cents in range(12000)])])
+    # Every amount in cents up to 120, too many for a plain filter; every hundredth is a whole number.
+    listed = [cents // 100 if cents % 100 == 0 else cents / 100 for cents in range(12000)]
+    found = views.apply_predicates(t.events, [("value", "IN", listed)])
     return found.select("event_id", "user_id")
 
 
@@ -102,7 +104,7 @@ def contains_word(t):
     """,
 )
 def contains_word_folded(t):
-    return views.apply_predicates(t.documents, [("text", ":", "etion")], {"ascii": True}).select("doc_id")
+    return views.apply_predicates(t.documents, [("text", ":", "Étion")], {"ascii": True}).select("doc_id")
 
 
 @query("like_match", "SELECT c_custkey, c_name FROM customer WHERE c_name LIKE '%00_7%'")
@@ -153,41 +155,37 @@ def filter_columns(t):
 
 @query(
     "sorted_first_rows",
-    """
-    SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_acctbal DESC NULLS FIRST, s_suppkey)::INTEGER AS place
-    FROM supplier ORDER BY place LIMIT 20
-    """,
+    "SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_acctbal DESC NULLS FIRST, s_suppkey) AS place FROM supplier",
 )
 def sorted_first_rows(t):
-    best = views.sort_view(t.supplier, "s_acctbal", "desc", tie=["s_suppkey"]).limit(20)
-    window = F.row_number().over(views.Window.orderBy(F.desc("s_acctbal"), "s_suppkey"))
-    return best.select("s_suppkey", "s_acctbal", window.alias("place"))
+    return views.sorted_places(t.supplier, "s_acctbal", "desc", tie=["s_suppkey"]).select("s_suppkey", "s_acctbal", "place")
 
 
 @query(
     "natural_sort",
     r"""
-    SELECT p_partkey, p_brand FROM part
-    ORDER BY CAST(regexp_extract(p_brand, '#(\d+)', 1) AS INTEGER), p_partkey LIMIT 300
+    SELECT p_partkey, p_brand, row_number() OVER (ORDER BY CAST(regexp_extract(p_brand, '#(\d+)', 1) AS INTEGER), p_partkey) AS place
+    FROM part
     """,
 )
 def natural_sort(t):
-    return views.sort_view(t.part, "p_brand", "asc", tie=["p_partkey"]).limit(300).select("p_partkey", "p_brand")
+    return views.sorted_places(t.part, "p_brand", "asc", tie=["p_partkey"]).select("p_partkey", "p_brand", "place")
 
 
 @query(
     "sort_number_text",
     """
-    SELECT c_custkey FROM customer
-    ORDER BY CAST(c_acctbal * 100 - 300000 AS BIGINT) DESC, c_custkey LIMIT 100
+    SELECT c_custkey, row_number() OVER (ORDER BY CAST(c_acctbal * 100 - 300000 AS BIGINT) DESC, c_custkey) AS place FROM customer
     """,
 )
 def sort_number_text(t):
-    # A decimal with up to 41 digits and a sign, kept as text.
+    # A decimal with up to 41 digits and a sign, kept as text; every third one is written with an exponent.
     cents = F.round(F.col("c_acctbal") * 100).cast("bigint") - 300000
     text = F.concat(cents.cast("string"), F.lit("000000000000000000000000000000000.50"))
-    shown = t.customer.withColumn("big", F.when(cents == 0, F.lit("0.50")).otherwise(text))
-    return views.sort_view(shown, "big", "desc", numeric_text=True, tie=["c_custkey"]).limit(100).select("c_custkey")
+    short = F.concat(cents.cast("string"), F.lit(".0000000000000000000000000000000005E+33"))
+    written = F.when(F.col("c_custkey") % 3 == 0, short).otherwise(text)
+    shown = t.customer.withColumn("big", F.when(cents == 0, F.lit("5e-1")).otherwise(written))
+    return views.sorted_places(shown, "big", "desc", numeric_text=True, tie=["c_custkey"]).select("c_custkey", "place")
 
 
 @query(
@@ -241,9 +239,19 @@ def page_backwards(t):
     return pages.page(4).select("event_id", "user_id")
 
 
-@query("cluster_sort", "SELECT user_id, ts, event_id FROM events")
+@query(
+    "cluster_sort",
+    """
+    SELECT user_id, ts, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS before FROM events
+    """,
+)
 def cluster_sort(t):
-    return views.cluster_sort(t.events, ["user_id"], ["ts desc", "event_id"]).select("user_id", "ts", "event_id")
+    # The row before each one, as it lies in the files: the order itself is compared.
+    path = work_path(t.spark, "clustered")
+    views.cluster_sort(t.events, ["user_id"], ["ts desc", "event_id"]).write.parquet(path)
+    stored = t.spark.read.parquet(path).select("*", "_metadata.file_name", "_metadata.row_index")
+    lies = views.Window.partitionBy("user_id").orderBy("file_name", "row_index")
+    return stored.select("user_id", "ts", "event_id", F.lag("event_id").over(lies).alias("before"))
 
 
 @query(
@@ -253,12 +261,11 @@ def cluster_sort(t):
     WHERE (c_custkey::VARCHAR LIKE '%1%' OR c_name LIKE '%1%' OR c_nationkey::VARCHAR LIKE '%1%'
            OR lower(c_mktsegment) LIKE '%1%' OR regexp_replace(c_acctbal::VARCHAR, '[.]0$', '') LIKE '%1%')
       AND lower(c_mktsegment) LIKE '%mach%'
-    ORDER BY c_name DESC LIMIT 40
     """,
 )
 def result_view(t):
     shown = views.result_view(t.customer, "1", {"c_mktsegment": "mach"}, ("c_name", "desc"), tie=["c_custkey"])
-    return views.limit_rows(shown, 40).select("c_custkey", "c_name", "c_mktsegment")
+    return shown.select("c_custkey", "c_name", "c_mktsegment")
 
 
 # --- vectors --------------------------------------------------------------------------------------
@@ -340,8 +347,8 @@ def downsample_vectors(t):
     "parse_vector_text",
     """
     SELECT vec_id, label, len(embedding)::INTEGER AS dimensions,
-           CASE WHEN label = 3 THEN '"x" at position 65 is not a number'
-                WHEN label = 4 THEN 'expected 64 dimensions, found 65' END AS vector_error,
+           CASE WHEN label = 3 THEN 'element 65 is not a finite number: x'
+                WHEN label = 4 THEN '65 elements instead of 64' END AS vector_error,
            label NOT IN (3, 4) AS same
     FROM embeddings
     """,

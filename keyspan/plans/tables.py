@@ -32,11 +32,32 @@ def copy_tables(t):
     )
 
 
-@query("truncate_table", "SELECT count(*) - count(*) AS rows FROM supplier")
+@query(
+    "copy_tables_twice",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE 0 END AS o_totalprice FROM orders",
+)
+def copy_tables_twice(t):
+    # The copy holds other prices first; a second copy of half the table replaces the rows with its keys.
+    source, place = work_path(t.spark, "source"), work_path(t.spark, "copies")
+    prices = t.orders.select("o_orderkey", "o_totalprice")
+    tables.replace_table(prices.withColumn("o_totalprice", F.lit(0.0)), f"{place}/orders")
+    prices.where("o_orderkey % 2 = 0").write.parquet(f"{source}/orders")
+    tables.copy_tables(t.spark, source, place, ["orders"], keys={"orders": ["o_orderkey"]})
+    return t.spark.read.parquet(f"{place}/orders")
+
+
+@query(
+    "truncate_table",
+    "SELECT count(*) AS rows_before, 0::BIGINT AS rows_after, 's_suppkey, s_name, s_nationkey, s_acctbal' AS columns FROM supplier",
+)
 def truncate_table(t):
     place = work_path(t.spark, "table")
     tables.replace_table(t.supplier, place)
-    return tables.truncate_table(t.spark, place).agg(F.count(F.lit(1)).alias("rows"))
+    before = t.spark.read.parquet(place).count()
+    after = tables.truncate_table(t.spark, place)
+    return after.agg(F.count(F.lit(1)).alias("rows_after")).select(
+        F.lit(before).cast("bigint").alias("rows_before"), "rows_after", F.lit(", ".join(after.columns)).alias("columns")
+    )
 
 
 @query("replace_table", "SELECT o_orderkey, o_totalprice * 2 AS o_totalprice FROM orders")
@@ -147,7 +168,21 @@ def reconcile_summary(t):
     return tables.reconcile_summary(t.part, _changed_parts(t), ["p_partkey"])
 
 
-@query("reconcile_repeated_keys", "SELECT 0::BIGINT AS missing, 0::BIGINT AS extra, count(*) - count(*) AS changed FROM lineitem")
+@query(
+    "reconcile_repeated_keys",
+    """
+    WITH k AS (SELECT l_orderkey, l_linenumber, count(*) AS n, count(*) FILTER (WHERE l_quantity > 40) AS gone FROM lineitem GROUP BY 1, 2)
+    SELECT (SELECT count(*) FROM k WHERE n > 1 AND gone > 0 AND gone < n) > 0 AS repeated_keys_differ,
+           (SELECT count(*) FROM k WHERE gone = n) > 0 AS whole_keys_missing
+    """,
+)
 def reconcile_repeated_keys(t):
-    shuffled = t.lineitem.orderBy("l_shipdate", "l_extendedprice")
-    return tables.reconcile_summary(t.lineitem, shuffled, ["l_orderkey", "l_linenumber"])
+    # Some rows of repeated keys are taken away, so both kinds of difference are there to be found.
+    left = t.lineitem.orderBy("l_shipdate", "l_extendedprice").where("l_quantity <= 40")
+    key = ["l_orderkey", "l_linenumber"]
+    same = tables.reconcile_summary(t.lineitem, t.lineitem.orderBy("l_shipdate"), key).first()
+    if any(same):
+        raise AssertionError(f"a table differs from itself: {same}")
+    return tables.reconcile_summary(t.lineitem, left, key).select(
+        (F.col("missing") + F.col("changed") > 0).alias("repeated_keys_differ"), (F.col("missing") > 0).alias("whole_keys_missing")
+    )

@@ -308,6 +308,44 @@ def import_preview_errors(t):
     return preview.errors
 
 
+@query(
+    "codec_truncate",
+    """
+    SELECT event_id, CASE event_id % 5 WHEN 0 THEN 2147483647 WHEN 1 THEN -2147483648 WHEN 2 THEN event_id END::INTEGER AS number FROM events
+    """,
+)
+def codec_truncate(t):
+    # Only readable numbers are bounded; words, NaN and fractions stay unread.
+    number = F.col("event_id") % 5
+    text = (
+        F.when(number == 0, F.concat(F.lit("99999999999"), F.repeat(F.lit("9"), (F.col("event_id") % 40).cast("int"))))
+        .when(number == 1, F.concat(F.lit("-3000000"), F.col("event_id"))).when(number == 2, F.col("event_id").cast("string"))
+        .when(number == 3, F.when(F.col("event_id") % 2 == 0, "abc").otherwise("NaN")).otherwise("1.9")
+    )
+    text = F.when(number == 1, F.concat(F.lit("-30000000000"), F.col("event_id"))).otherwise(text)
+    return t.events.select("event_id", parse(text, "int", Codec(overflow="TRUNCATE")).alias("number"))
+
+
+@query(
+    "import_rejects_nested",
+    """
+    SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'm' WHEN 1 THEN 'd' WHEN 2 THEN 'i' END AS failed FROM events
+    """,
+)
+def import_rejects_nested(t):
+    # A repeated map key, a decimal that would lose digits, an address that is none, and good rows.
+    number = F.col("event_id") % 4
+    texts = t.events.select(
+        "event_id",
+        F.when(number == 0, '{"1":"a","01":"b"}').otherwise('{"1":"a","2":"b"}').alias("m"),
+        F.when(number == 1, "1.2345678901234").otherwise("1.2300000000000").alias("d"),
+        F.when(number == 2, F.when(F.col("event_id") % 8 == 2, "1::2::3").otherwise(":::")).otherwise("::ffff:1.2.3.4").alias("i"),
+    )
+    kinds = {"m": "map<int,text>", "d": "decimal", "i": "inet"}
+    failed = [F.when(parse(F.col(c), kind).isNull(), F.lit(c)) for c, kind in kinds.items()]
+    return texts.select("event_id", F.nullif(F.concat_ws(",", *failed), F.lit("")).alias("failed"))
+
+
 @query("import_preview_rows", "SELECT count(*) AS rows FROM events")
 def import_preview_rows(t):
     return imports.preview_import(_event_texts(t), {"kind": "text"}, TableSpec(("kind",))).rows

@@ -431,7 +431,7 @@ def lookup_bucket(t):
 
 # Each event writes a map of its properties on its user; the map is shown as its sorted entries.
 _MAPS = """
-    e AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) AS at,
+    e AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) AS moment,
                  '[' || event_type || '=' || value || ',id=' || event_id || ']' AS props FROM events),
     old AS (SELECT user_id, event_id, props FROM e WHERE event_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1)
 """
@@ -458,7 +458,7 @@ def _shown(df):
 
 
 USERS = TableSpec(("user_id",))
-_LATEST = "latest AS (SELECT user_id, arg_max(event_id, (at, event_id)) AS event_id, arg_max(props, (at, event_id)) AS props FROM e GROUP BY 1)"
+_LATEST = "latest AS (SELECT user_id, arg_max(event_id, (moment, event_id)) AS event_id, arg_max(props, (moment, event_id)) AS props FROM e GROUP BY 1)"
 
 
 @query("upsert_maps", f"WITH {_MAPS}, {_LATEST} SELECT user_id, event_id, props FROM latest")

@@ -7,6 +7,7 @@ cluster's Hadoop filesystems know.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -57,15 +58,22 @@ def export(
     a row as text, so files are about that size before compression.
     """
     fmt = fmt.lower()
+    # Everything that can be refused is refused before a file is written.
     if fmt not in FORMATS:
         raise KeyspanError(f"unknown format {fmt}; use one of {', '.join(FORMATS)}")
+    if split_keys and fmt not in ("parquet", "json", "jsonl"):
+        raise KeyspanError("a split audit needs a format that keeps the key values")
     spark = df.sparkSession
     out = project(df, columns)
+    if split_keys and not set(split_keys) <= set(out.columns):
+        raise KeyspanError("a split audit needs its keys among the exported columns")
     seen = Observation(f"export-{uuid.uuid4().hex}")
     watched = out.observe(seen, F.count(F.lit(1)).alias("rows"))
     warnings: list[str] = []
     if max_file_bytes and not max_records_per_file:
-        mean = out.agg(F.avg(F.octet_length(row_json(out)))).first()[0]
+        # Sizes are about: the mean length of a thousand rows, so that the table is not read twice.
+        shown = out.select(F.octet_length(row_json(out, wire=False)).alias("bytes")).limit(1000)
+        mean = shown.agg(F.avg("bytes")).first()[0]
         max_records_per_file = max(1, int(max_file_bytes / mean)) if mean else 0
     options = {"maxRecordsPerFile": max_records_per_file}
     if compression:
@@ -74,6 +82,8 @@ def export(
         # A line without any character would not be read as a record, so the only field of a row is
         # written as a quoted empty one.
         empty = '""' if len(out.columns) == 1 else ""
+        if not null_string:
+            warnings.append("null and empty text look alike; set null_string to tell them apart")
         render_text(watched).write.mode(mode).options(
             header=header, sep=delimiter, nullValue=null_string or empty, emptyValue=empty, quote='"', escape='"',
             ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n",
@@ -81,15 +91,18 @@ def export(
             comment="\x01", **options,
         ).csv(path)
     elif fmt == "jsonl":
-        watched.select(row_json(watched).alias("value")).write.mode(mode).options(**options).text(path)
+        watched.select(row_json(watched, wire=False).alias("value")).write.mode(mode).options(**options).text(path)
     elif fmt == "json":
-        if max_records_per_file:
-            raise KeyspanError("a JSON array document is one per task; use jsonl to roll files by rows")
-        lines = watched.select(row_json(watched, pretty=pretty).alias("value"))
-        lines.mapInArrow(_array_document(pretty), "value string").write.mode(mode).options(**options).text(path)
+        lines = watched.select(row_json(watched, wire=False, pretty=pretty).alias("value"))
+        # A document of n rows has n + 1 lines, so files that roll by lines end where documents do.
+        options["maxRecordsPerFile"] = max_records_per_file + 1 if max_records_per_file else 0
+        documents = _array_documents(max_records_per_file)
+        lines.mapInArrow(documents, "value string").write.mode(mode).options(**options).text(path)
     elif fmt == "parquet":
         watched.write.mode(mode).options(**{"compression": "snappy", **options, "parquet.block.size": row_group_bytes}).parquet(path)
     else:
+        renamed = [f"{c} is written as {e}" for c, e in zip(out.columns, element_names(out.columns)) if c != e]
+        warnings += renamed
         xml_ready(watched).write.mode(mode).options(
             rootTag=element_name(root), rowTag=element_name(row), **XML_OPTIONS, **options
         ).format("xml").save(path)
@@ -106,8 +119,6 @@ def export(
 
 
 def _check_splits(source: DataFrame, written: DataFrame, keys: list[str], splits: int, fmt: str) -> int:
-    if fmt not in ("parquet", "json", "jsonl"):
-        raise KeyspanError("a split audit needs a format that keeps the key values")
     typed = written.select([F.col(k).cast(source.schema[k].dataType).alias(k) for k in keys])
 
     def per_split(df: DataFrame, name: str) -> DataFrame:
@@ -144,7 +155,7 @@ def read_back(
     if fmt == "xml":
         if schema is not None:
             cell = T.StructType([T.StructField(XML_TEXT, T.StringType()), T.StructField(XML_NULL, T.StringType())])
-            reader = reader.schema(T.StructType([T.StructField(element_name(f.name), cell) for f in schema]))
+            reader = reader.schema(T.StructType([T.StructField(e, cell) for e in element_names(schema.names)]))
         return reader.format("xml").options(rowTag=element_name(row), **XML_OPTIONS).load(path)
     if schema is not None:
         reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema]))
@@ -156,34 +167,59 @@ def read_back(
     return reader.option("multiLine", str(fmt == "json").lower()).json(path)
 
 
-def _array_document(pretty: bool):
-    """Turn the JSON rows of one task into the lines of one array document."""
+def _array_documents(rows: int):
+    """Turn the JSON rows of one task into the lines of array documents of at most ``rows`` rows (0: one document)."""
 
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        begun = False
+        held, any_row = 0, False  # rows of the document that is open
         for batch in batches:
-            rows = batch.column(0)
-            if len(rows) == 0:
-                continue
-            marks = pa.array(["," if begun or i else "[" for i in range(len(rows))])
-            begun = True
-            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(marks, rows, "")], names=["value"])
-        yield pa.RecordBatch.from_arrays([pa.array(["]" if begun else "[]"])], names=["value"])
+            values = batch.column(0)
+            at = 0
+            while at < len(values):
+                part = values.slice(at, min(len(values) - at, rows - held) if rows else len(values) - at)
+                marks = pa.array(["," if held or i else "[" for i in range(len(part))])
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(marks, part, "")], names=["value"])
+                held, at, any_row = held + len(part), at + len(part), True
+                if held == rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["value"])
+                    held = 0
+        if held or not any_row:
+            yield pa.RecordBatch.from_arrays([pa.array(["]" if held else "[]"])], names=["value"])
 
     return run
 
 
+# The Name production of XML 1.0 without the colon, which would be a prefix.
+_NAME_START = (
+    "A-Z_a-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u02FF\u0370-\u037D\u037F-\u1FFF\u200C-\u200D\u2070-\u218F"
+    "\u2C00-\u2FEF\u3001-\uD7FF\uF900-\uFDCF\uFDF0-\uFFFD\U00010000-\U000EFFFF"
+)
+_NAME = _NAME_START + "\\-.0-9\u00B7\u0300-\u036F\u203F-\u2040"
+
+
 def element_name(column: str) -> str:
-    """A legal XML element name for a column: other characters become underscores."""
-    if not column:
-        return "column"
-    name = "".join(
-        ch if ch.isalnum() or ch in "_-" or (ch == "." and i) else "_" for i, ch in enumerate(column)
-    )
-    return name if name[0].isalpha() or name[0] == "_" else "_" + name
+    """A name that XML allows for an element: what it does not allow is an underscore, and one leads a name that
+    begins with a digit, a dot or a hyphen."""
+    name = re.sub(f"[^{_NAME}]", "_", column)
+    return name if re.match(f"[{_NAME_START}]", name) else f"_{name}"
+
+
+def element_names(columns: list[str]) -> list[str]:
+    """A name for each column; those that would be the same but for case get a number."""
+    taken: set[str] = set()
+    out = []
+    for column in columns:
+        first = name = element_name(column)
+        number = 1
+        while name.lower() in taken:
+            number += 1
+            name = f"{first}_{number}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 # Characters that XML 1.0 cannot hold in any form.
@@ -193,10 +229,10 @@ _NOT_XML = r"[^\t\n\r\x{20}-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]"
 def xml_ready(df: DataFrame) -> DataFrame:
     """Every column as an element with text, or with the attribute ``null="true"``."""
     out = []
-    for f in df.schema:
+    for f, name in zip(df.schema, element_names(df.columns)):
         text = F.regexp_replace(flat_text(F.col(f"`{f.name}`"), f.dataType), _NOT_XML, "�")
         out.append(
-            F.struct(F.when(text.isNull(), F.lit("true")).alias(XML_NULL), text.alias(XML_TEXT)).alias(element_name(f.name))
+            F.struct(F.when(text.isNull(), F.lit("true")).alias(XML_NULL), text.alias(XML_TEXT)).alias(name)
         )
     return df.select(*out)
 
@@ -231,7 +267,10 @@ def dump(
             line.coalesce(1).write.text(f"{directory}/schema/{name}")
         rows, warning = None, None
         if mode != "SCHEMA_ONLY":
-            rows = export(df, f"{directory}/data/{name}", "parquet", compression=compression).rows
+            written = export(df, f"{directory}/data/{name}", "parquet", compression=compression)
+            rows, warning = written.rows, "; ".join(written.warnings) or None
+            if rows == 0:
+                warning = "the table has no rows"
         report.append((name, rows, warning))
     if spark is None:
         raise KeyspanError("no tables to dump")

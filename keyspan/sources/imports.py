@@ -198,6 +198,8 @@ def _text_class(text: Column) -> Column:
     )
     return (
         F.when(text.isNull() | (text == ""), F.lit(None).cast("int"))
+        # A leading zero is part of a code, which a number would lose.
+        .when(text.rlike(r"^[+-]?0\d"), F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & text.try_cast("date").isNotNull(), _BIT["date"]).otherwise(_BIT["text"]))
         .when(text.rlike(r"^[+-]?\d+$"), size)
         .when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), _BIT["double"])
         .when(F.lower(text).isin("true", "false"), _BIT["boolean"])

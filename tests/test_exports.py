@@ -79,10 +79,42 @@ def test_xml_nulls_names_and_escapes(spark, place):
 
 def test_element_names():
     assert [exports.element_name(c) for c in ("ok", "a.b", ".a", "9x", "", "x y", "-d", "é")] == [
-        "ok", "a.b", "_a", "_9x", "column", "x_y", "_-d", "é"
+        "ok", "a.b", "_.a", "_9x", "_", "x_y", "_-d", "é"
     ]
 
 
+def test_equal_element_names_are_numbered(spark, place):
+    path = place()
+    df = spark.createDataFrame([(1, 2, 3, None)], "`a b` int, a_b int, `A b` int, `x:y` int").coalesce(1)
+    report = exports.export(df, path, "xml")
+    row = ET.fromstring(read(path)[0]).find("row")
+    assert [(c.tag, c.text) for c in row] == [("a_b", "1"), ("a_b_2", "2"), ("A_b_3", "3"), ("x_y", None)]
+    assert len(report.warnings) == 4
+
+
+def test_nothing_is_written_when_arguments_are_refused(spark, place):
+    for fmt, keys in (("csv", ["id"]), ("xml", ["id"]), ("parquet", ["nope"])):
+        path = place()
+        with pytest.raises(KeyspanError):
+            exports.export(one(spark), path, fmt, split_keys=keys)
+        assert not glob.glob(f"{path}*")
+
+
+@pytest.mark.parametrize("pretty", [False, True])
+def test_json_documents_roll(spark, place, pretty):
+    path = place()
+    report = exports.export(spark.range(25).coalesce(1), path, "json", pretty=pretty, max_records_per_file=10)
+    found = [json.loads(text) for text in read(path)]
+    assert report.rows == 25 and sorted(len(d) for d in found) == [5, 10, 10]
+    assert sorted(r["id"] for d in found for r in d) == list(range(25))
+
+
+def test_json_in_the_export_form(spark, place):
+    path = place()
+    exports.export(spark.sql("SELECT 5000000000 AS a, unhex('0AFF') AS b").coalesce(1), path, "jsonl")
+    assert read(path) == ['{"a":5000000000,"b":"0x0aff"}\n']
+
+
 def test_compression_and_rolling(spark, place):
     path = place()
     exports.export(spark.range(100).coalesce(1), path, "csv", compression="gzip", max_records_per_file=30)

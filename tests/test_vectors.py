@@ -59,11 +59,11 @@ def test_parse_vectors(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     rows = {r["i"]: r for r in vectors.parse_vectors(df, "t", 3).collect()}
     assert rows[0]["vector"] == [1.0, 2.5, 3.0] and rows[1]["vector"] == [1.0, 2.0, 3.0] == rows[2]["vector"]
-    assert rows[3]["vector_error"] == '"x" at position 2 is not a number'
-    assert rows[4]["vector_error"] == rows[5]["vector_error"] == "no vector text"
-    assert rows[6]["vector_error"] == "the vector is empty"
-    assert rows[7]["vector_error"] == "expected 3 dimensions, found 2"
-    assert rows[8]["vector_error"] == '"Infinity" at position 2 is not a number'
+    assert rows[3]["vector_error"] == "element 2 is not a finite number: x"
+    assert rows[4]["vector_error"] == rows[5]["vector_error"] == "nothing to read"
+    assert rows[6]["vector_error"] == "a vector without elements"
+    assert rows[7]["vector_error"] == "2 elements instead of 3"
+    assert rows[8]["vector_error"] == "element 2 is not a finite number: Infinity"
 
 
 def test_vector_round_trip_is_exact(spark, place):
