@@ -159,9 +159,9 @@ def _integer(text: Column, name: str, codec: Codec) -> Column:
 
 
 def _huge(number: Column) -> Column:
-    """The bound of its sign for a whole number of more digits than a decimal holds."""
-    bound = F.lit("9" * 38).cast("decimal(38,0)")
-    return F.when(number.rlike(r"^[+-]?0*[1-9]\d{28,}(\.0*)?$"), F.when(number.startswith("-"), -bound).otherwise(bound))
+    """A number beyond every bound, with the sign of a whole number of more digits than a decimal holds."""
+    beyond = F.when(number.startswith("-"), F.lit("-1" + "0" * 30)).otherwise(F.lit("1" + "0" * 30)).cast("decimal(38,0)")
+    return F.when(number.rlike(r"^[+-]?0*[1-9]\d{28,}(\.0*)?$"), beyond)
 
 
 def _decimal(text: Column, name: str, codec: Codec) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +12,7 @@ from keyspan.functions.rendering import grid_text
 from keyspan.functions.tokens import in_range as token_in_range
 from keyspan.functions.tokens import token
 from keyspan.model import KeyspanError, MissingKeyError
-from keyspan.session import materialize
+from keyspan.session import work_path
 
 # Page size limits, and the longest IN list kept as a plain filter.
 DEFAULT_PAGE = 500
@@ -294,21 +294,33 @@ class Pages:
     """Stable pages of a table: every row on exactly one page, pages in ``order``.
 
     ``order`` must end in a unique column. The rows are range-partitioned, sorted and written once
-    to the work folder with their position in their partition; a count per partition then gives
+    to ``path`` (else the work folder) with their position in their partition; a count per partition then gives
     each its offset. No task sees more than its own range, and the write fixes the sampled bounds.
     """
 
-    def __init__(self, df: DataFrame, order: list, size: int = DEFAULT_PAGE):
-        if not 0 < size <= MAX_PAGE:
-            raise KeyspanError(f"the page size must be between 1 and {MAX_PAGE}")
-        self.size = size
-        self.columns = df.columns
+    def __init__(self, df: DataFrame, order: list, size: int = DEFAULT_PAGE, path: str | None = None):
         columns = order_columns(order)
         ranged = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
         numbered = ranged.withColumn("_id", F.monotonically_increasing_id()).withColumns(
             {"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit(2**33 - 1))}
         )
-        self.stored = materialize(numbered.drop("_id"), "pages")
+        path = path or work_path(df.sparkSession, "pages")
+        numbered.drop("_id").write.parquet(path)
+        self._open(df.sparkSession, path, size)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, size: int = DEFAULT_PAGE) -> Pages:
+        """The pages stored at ``path`` by an earlier call, of any size, without sorting the table again."""
+        self = cls.__new__(cls)
+        self._open(spark, path, size)
+        return self
+
+    def _open(self, spark: SparkSession, path: str, size: int) -> None:
+        if not 0 < size <= MAX_PAGE:
+            raise KeyspanError(f"the page size must be between 1 and {MAX_PAGE}")
+        self.size, self.path = size, path
+        self.stored = spark.read.parquet(path)
+        self.columns = [c for c in self.stored.columns if c not in ("_part", "_at")]
         # One row per task of the write: as long as the partition count, whatever the data.
         counted = self.stored.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part")
         self.offsets: list[tuple[int, int, int]] = []

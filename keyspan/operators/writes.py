@@ -118,21 +118,30 @@ def winning_changes(
     return reduced
 
 
+def _fits_broadcast(written: DataFrame) -> bool:
+    """Whether the files of a written table are within Spark's broadcast limit."""
+    execution = written._jdf.queryExecution()
+    limit = written.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(execution.optimizedPlan().stats().sizeInBytes())) <= limit
+
+
 def with_delta(base: DataFrame, delta: DataFrame, key: list[str], stage: bool = True) -> DataFrame:
     """Every base row and every delta-only row, side by side: base columns, delta columns prefixed
     ``d_``, and the flags ``_in_base`` and ``d__hit``.
 
-    The result is that of a full outer join. It is written as a left join plus the unmatched delta
-    rows, because Spark can broadcast a small delta in these joins and then leaves the base where it
-    is, while a full outer join always shuffles and sorts both sides. The delta is written to the
-    work folder first: it is needed three times, and the size of its files is what Spark compares
-    with its broadcast limit. Without ``stage`` nothing runs before the result is asked for.
+    The result is that of a full outer join. The delta is written to the work folder first, and the size
+    of its files decides the plan, not the rows: one that Spark can broadcast is joined as a left join plus
+    the unmatched delta rows, which leaves the base where it is; a larger one in a full outer join, which
+    reads and shuffles the base once. Without ``stage`` nothing runs before the result is asked for.
     """
     if stage:
         delta = materialize(delta, "delta")
     renamed = delta.select(*[F.col(f"`{c}`").alias(f"d_{c}") for c in delta.columns], F.lit(True).alias("d__hit"))
     keys = [f"d_{k}" for k in key]
     on = [F.col(f"`{k}`") == F.col(f"`d_{k}`") for k in key]
+    if stage and not _fits_broadcast(delta):
+        both = base.withColumn("_in_base", F.lit(True)).join(renamed, on, "full_outer")
+        return both.withColumn("_in_base", F.coalesce("_in_base", F.lit(False)))
     joined = base.withColumn("_in_base", F.lit(True)).join(renamed, on, "left")
     known = base.select(*key).join(renamed.select(*keys), on).select(*keys)
     fresh = renamed.join(known, keys, "left_anti")
@@ -270,7 +279,9 @@ def conditional_upsert(
         values = F.struct(*[F.col(f"`{c}`") for c in columns], F.lit(0).alias("_end"))
         first = changes.groupBy(*key).agg(F.min(place).alias("_place"), F.min_by(values, place).alias("_first"))
         # Identical first changes are one write: a repeated request.
-        joined = joined.join(first, key).withColumn("applied", ~exists & place.eqNullSafe(F.col("_place")))
+        joined = joined.join(first, key).withColumn("applied", ~exists & place.eqNullSafe(F.col("_place"))).drop("_place")
+        # Written once: both results read what the changes met, neither looks it up again.
+        joined = materialize(joined, "conditional")
         seen = F.when(exists, F.col("current")).otherwise(_inserted_row(base, key, columns))
         current = F.when(~F.col("applied"), seen)
         table_changes = joined.where("applied").select(*key, *columns)
@@ -281,11 +292,11 @@ def conditional_upsert(
             text = condition.strip()
             text = text[3:] if text.upper().startswith("IF ") else text
             ok = exists & F.coalesce(_over_current(text), F.lit(False))
-        joined = joined.withColumn("applied", ok)
+        joined = materialize(joined.withColumn("applied", ok), "conditional")
         current = F.when(~F.col("applied"), F.col("current"))
         table_changes = joined.where("applied").select(*changes.columns)
     outcome = joined.select(*key, *([seq] if seq else []), "applied", current.alias("current"))
-    # Not staged: who asks only for the outcome does not pay for the table.
+    # Not staged again: who asks only for the outcome does not pay for the table.
     table = upsert(base, table_changes, spec, seq=seq if seq in table_changes.columns else None, stage=False)
     return table, outcome
 

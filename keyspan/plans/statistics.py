@@ -72,9 +72,20 @@ def token_range_total(t):
     )
 
 
-@query("token_range_counts")
+@query(
+    "token_range_counts",
+    "SELECT l_orderkey, 1::BIGINT AS ranges, count(*) AS rows, true AS counted FROM lineitem GROUP BY 1",
+)
 def token_range_counts(t):
-    return stats.range_counts(t.lineitem, ["l_orderkey"], 128)
+    # A key's token has no SQL, but each key lies in one range, and a range counts the rows of its keys.
+    counts = stats.range_counts(t.lineitem, ["l_orderkey"], 128).select("split_id", F.col("rows").alias("in_range"))
+    scanned = stats.split_scan(t.lineitem.select("l_orderkey"), ["l_orderkey"], 128).join(counts, "split_id")
+    by_key = scanned.groupBy("l_orderkey", "split_id", "in_range").agg(F.count(F.lit(1)).alias("n"))
+    whole = by_key.groupBy("split_id", "in_range").agg(F.sum("n").alias("in_keys"))
+    told = by_key.join(whole, ["split_id", "in_range"])
+    return told.groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("ranges"), F.sum("n").alias("rows"), F.bool_and(F.col("in_range") == F.col("in_keys")).alias("counted")
+    )
 
 
 @query(

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from keyspan.model import KeyspanError
 from keyspan.session import materialize
 
-CODECS = {"none", "gzip", "bzip2", "lz4", "snappy", "zstd", "xz", "deflate", "auto"}
-
-
 def _paths(spark: SparkSession, path, url_file: str | None) -> list[str]:
     """The paths to read: one, several, or those listed in a text file, one per line."""
     if url_file:

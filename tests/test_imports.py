@@ -281,3 +281,31 @@ def test_staging_folder_keeps_rejects(spark, place):
     df = spark.createDataFrame([("1", "m", "x")], "id string, email string, age string")
     report = imports.load(df, target, TYPES, SPEC, staging=staging)
     assert report.rejects_path.startswith(staging) and report.status == "WITH_REJECTS"
+
+
+@pytest.mark.parametrize(
+    ("kind", "good", "bad"),
+    [
+        ("decimal", ["1.2345678901", "1e3", "12", "0.50000000000000", "1.5E-9", "-0", "100000000000"], ["1.23456789012", "1e-11", "x", ""]),
+        ("decimal(4,1)", ["99.9", "1.0000", "1.25e1", "120"], ["1.25", "12345", "1e-2"]),
+        ("double", ["1", "1.", ".5", "-1e3", "NaN", "Infinity"], ["1d", "1f", "0x1p3", "1e"]),
+        ("inet", ["::", "::1", "1::", "1:2:3:4:5:6:7:8", "::ffff:1.2.3.4", "1::8", "10.0.0.1"], [":::", "1::2::3", "12345::", "1:2:3:4:5:6:7", "256.1.1.1", "1:2:3:4:5:6:7:8:9"]),
+        ("map<int,text>", ['{"1":"a","2":"b"}', "{}"], ['{"1":"a","01":"b"}', '{"x":"a"}']),
+    ],
+)
+def test_texts_that_are_kept_and_texts_that_are_refused(spark, kind, good, bad):
+    df = spark.createDataFrame([(t, True) for t in good] + [(t, False) for t in bad], "t string, ok boolean")
+    rows = df.select("t", "ok", parse(F.col("t"), kind).isNotNull().alias("read")).collect()
+    assert [(r["t"], r["read"]) for r in rows] == [(r["t"], r["ok"]) for r in rows]
+
+
+def test_truncation_bounds_numbers_only(spark):
+    texts = {"abc": None, "NaN": None, "1.9": None, "99999999999": 2**31 - 1, "-" + "9" * 60: -(2**31), "7": 7, "": None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["n"] for r in df.select("t", parse(F.col("t"), "int", Codec(overflow="TRUNCATE")).alias("n")).collect()}
+    assert got == texts
+
+
+def test_leading_zeros_are_text(spark):
+    df = spark.createDataFrame([("00123", "0", "2024-01-01", "0.5"), ("00456", "12", "0024-02-01", "1")], "zip string, n string, d string, x string")
+    assert imports.inferred_types(df) == {"zip": "text", "n": "int", "d": "date", "x": "double"}

@@ -205,3 +205,33 @@ def test_tuples_are_json_arrays_at_any_depth(spark):
         '{"t":["a\\"",1,null],"l":[[2.5,true]],"m":{"k":["x",7]},"u":{"n":3,"p":["y","1152921504606846976"]},'
         '"gone":null,"i":5,"s":"t"}'
     )
+
+
+def test_stored_pages_are_reopened(spark, place):
+    path = place()
+    df = spark.range(95).select((F.col("id") * 7 % 95).alias("n"))
+    first = views.Pages(df, ["n"], 10, path)
+    again = views.Pages.open(spark, path, 30)
+    assert again.pages == 4 and again.columns == ["n"] and first.pages == 10
+    assert [r["n"] for r in again.page(2).orderBy("n").collect()] == list(range(30, 60))
+
+
+def test_numbers_as_text_with_exponents(spark):
+    texts = ["1E-7", "5", "1E+3", "200", "-1e2", "-99.5", "0", "0e9", "2.00e2", "-1E-9", "12345678901234567890123.1", "1.2e22", None, "0.00000009"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["t"] for r in views.sorted_places(df, "t", numeric_text=True, tie=["i"]).orderBy("place").collect()]
+    assert got == ["-1e2", "-99.5", "-1E-9", "0", "0e9", "0.00000009", "1E-7", "5", "200", "2.00e2", "1E+3", "1.2e22", "12345678901234567890123.1", None]
+
+
+@pytest.mark.parametrize("count", [40, 12_000])
+def test_whole_numbers_find_doubles_in_lists_of_any_length(spark, count):
+    df = spark.createDataFrame([(1.0,), (2.5,), (39.0,), (None,)], "v double")
+    assert sorted(r["v"] for r in views.apply_predicates(df, [("v", "IN", [*range(count), 2.5, None])]).collect()) == [1.0, 2.5, 39.0]
+    ints = spark.range(5)
+    assert sorted(r["id"] for r in views.apply_predicates(ints, [("id", "IN", [1.0, 2.5, 2**70, *range(4, count)])]).collect()) == [1, 4]
+
+
+def test_a_word_is_folded_like_the_text(spark):
+    df = spark.createDataFrame([("Création du monde",), ("creation",), ("recreation",)], "t string")
+    for word in ("création", "CREATION", "Creátion"):
+        assert views.apply_predicates(df, [("t", ":", word)], {"ascii": True}).count() == 2

@@ -351,3 +351,21 @@ def test_batches_by_replica_set(spark):
     planned = writes.plan_batches(df, SPEC, by=["owners"])
     sizes = {(r["owners"], r["batch"]): r["count"] for r in planned.groupBy("owners", "batch").count().collect()}
     assert sizes == {(o, b): 32 if b == 0 else 18 for o in (0, 1) for b in (0, 1)}
+
+
+def test_a_large_change_set_reads_the_table_once(spark, place):
+    path = place()
+    spark.range(5000).select(F.col("id").cast("int").alias("p"), F.lit(0).alias("c"), F.lit("old").alias("v")).write.parquet(path)
+    base = spark.read.parquet(path)
+    changes = spark.range(2500, 7500).select(F.col("id").cast("int").alias("p"), F.lit(0).alias("c"), F.lit("new").alias("v"))
+    small = writes.upsert(base, changes, SPEC)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = writes.upsert(base, changes, SPEC)
+        rows = sorted(map(tuple, large.collect()))
+        plan = large._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert rows == sorted(map(tuple, small.collect())) and len(rows) == 7500
+    assert plan.count("Join") == 1 and plan.count("Relation") == 2
