@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Texts of one Arrow batch are worked on in runs of about so many characters, so that a task's memory
 #: follows this number and the longest single text, not the number of rows in a batch.
-RUN_CHARS = 4_000_000
+RUN_CHARS = 1_500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,8 +28,9 @@ NONE = np.int32(2**31 - 1)
 #: Segments above so many symbols (a run of thousands of equal signs) are merged one pair at a time from a heap:
 #: the same merges in the same order, in n log n steps instead of n rounds.
 LONG_SEGMENT = 2_000
-#: A worker keeps the ids of so many different words at most; then it starts again with none.
-CACHED_WORDS = 400_000
+#: A worker keeps the ids of words up to so many characters, and of so many words at most; then it starts again with
+#: none. Longer words are rarely met again; they are encoded once per run of texts.
+CACHED_LENGTH, CACHED_WORDS = 10, 150_000
 
 
 class PieceModel:
@@ -306,7 +307,11 @@ def encode_texts(model: PieceModel, texts: list[str], words: dict[str, bytes]) -
         part = new[at : at + 200_000]
         marked = [k.replace(" ", SPACE) if k[0] == " " else SPACE + k for k in part]
         words.update(zip(part, model.encode_segments(marked)))
-    return [b"".join(map(words.__getitem__, s)) for s in split]
+    out = [b"".join(map(words.__getitem__, s)) for s in split]
+    for word in new:
+        if len(word) > CACHED_LENGTH:
+            del words[word]
+    return out
 
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

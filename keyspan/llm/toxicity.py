@@ -32,7 +32,7 @@ CHAINS = 4000
 WIDTH = 64
 FOLDS = 5
 #: A worker keeps the weights of so many different words at most; then it starts again with none.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
 WORD = re.compile(r"\S+")
 STRIP = re.compile(r"^\W+|\W+$")
 
