@@ -30,7 +30,7 @@ NONE = np.int32(2**31 - 1)
 LONG_SEGMENT = 2_000
 #: A worker keeps the ids of words up to so many characters, and of so many words at most; then it starts again with
 #: none. Longer words are rarely met again; they are encoded once per run of texts.
-CACHED_LENGTH, CACHED_WORDS = 10, 150_000
+CACHED_LENGTH, CACHED_WORDS = 14, 150_000
 
 
 class PieceModel:
@@ -57,6 +57,7 @@ class PieceModel:
         self.size, self.begin, self.end = len(pieces), processor.bos_id(), processor.eos_id()
         byte_ids = [i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE]
         self.byte_id = {int(pieces[i][1:-1], 16): i for i in byte_ids}
+        self.ascii_id = np.array([self.byte_id[b] for b in range(128)], np.int32)
         self.is_byte = np.zeros(self.size, bool)
         self.is_byte[byte_ids] = True
 
@@ -138,7 +139,9 @@ class PieceModel:
         points = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.fromiter(map(len, segments), np.int64, len(segments))
         numbers = self.char_no[points]
-        symbols = self.char_id[numbers]
+        # A character outside the vocabulary becomes its byte, or waits as a number beyond the ids; neither ever merges.
+        foreign = np.where(points < 128, self.ascii_id[np.minimum(points, 127)], self.size + points.astype(np.int64)).astype(np.int32)
+        symbols = np.where(numbers == 0, foreign, self.char_id[numbers])
         # Cut where no piece holds both characters: no merge can cross that place.
         first = np.zeros(len(points) + 1, bool)
         starts = np.cumsum(lengths) - lengths
@@ -147,21 +150,16 @@ class PieceModel:
         first[-1] = True
         at = np.flatnonzero(first[:-1])
         ids, owner = self._merge(symbols, at, np.diff(np.append(at, len(points))))
-        outside = np.flatnonzero(numbers[at] == 0)  # a character outside the vocabulary is a segment of its own
-        segment_of = np.searchsorted(starts, at, "right") - 1
-        words = segment_of[owner]
-        if not len(outside):
-            flat = ids.astype("<u4").tobytes()
-            ends = np.cumsum(np.bincount(words, minlength=len(segments))) * 4
-            return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-        foreign = dict(zip(outside.tolist(), points[at[outside]].tolist()))
-        out: list[list[int]] = [[] for _ in segments]
-        for word, part, i in zip(words.tolist(), owner.tolist(), ids.tolist()):
-            if part in foreign:
-                out[word].extend(self.byte_id[b] for b in chr(foreign[part]).encode("utf-8", "replace"))
-            else:
-                out[word].append(i)
-        return [np.array(x, "<u4").tobytes() for x in out]
+        words = (np.searchsorted(starts, at, "right") - 1)[owner]
+        ends = np.cumsum(np.bincount(words, minlength=len(segments))).tolist()
+        flat = ids.astype("<u4").tobytes()
+        out = [flat[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends)]
+        for word in np.unique(words[ids >= self.size]).tolist():
+            spelled: list[int] = []
+            for i in ids[ends[word - 1] if word else 0 : ends[word]].tolist():
+                spelled.extend([i] if i < self.size else (self.byte_id[b] for b in chr(i - self.size).encode("utf-8", "replace")))
+            out[word] = np.array(spelled, "<u4").tobytes()
+        return out
 
     def _merge(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge rounds over flat symbols. Returns the symbols left and the number of each one's segment."""
@@ -208,7 +206,9 @@ class PieceModel:
             lengths = lengths - np.bincount(owner[hits], minlength=len(lengths))
             moved = hits - np.arange(len(hits))
             symbols, value, owner = symbols[left], value[left], owner[left]
-            fresh = np.unique(np.concatenate([moved, moved[moved > 0] - 1]))
+            near = np.zeros(len(symbols) + 1, bool)
+            near[moved] = near[moved - 1] = True  # -1 is the extra place at the end
+            fresh = np.flatnonzero(near[:-1])
             value[fresh] = -1
             fresh = fresh[fresh + 1 < len(symbols)]
             fresh = fresh[owner[fresh] == owner[fresh + 1]]
