@@ -6,7 +6,7 @@ per task (per query), never the scores of the table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyspan.functions.vectors import check_metric, check_vector, score_against, score_name
@@ -14,6 +14,8 @@ from keyspan.model import KeyspanError
 from keyspan.operators.views import apply_predicates, lookup
 
 # The limits of k, and the dimension above which projecting a vector is reported.
+#: Results that a task of a batch join holds at most: queries times k.
+HELD_RESULTS = 4_000_000
 DEFAULT_K = 10
 MAX_K = 10_000
 LARGE_VECTOR = 256
@@ -124,7 +126,8 @@ def knn_join(
             query_key, corpus_key, k,
         )
     dims = first[0][0]
-    fit = max(1, query_bytes // (4 * dims + 16))
+    # A task holds k results of each query it is asked, so their number is bounded as well.
+    fit = max(1, min(query_bytes // (4 * dims + 16), HELD_RESULTS // k))
     asked = queries.where(F.col(vec).isNotNull()).select(
         F.col(query_key).alias("_qid"), F.col(vec).alias("_qvec")
     )
@@ -154,7 +157,7 @@ def _ranked(part: DataFrame, query_key: str, corpus_key: str, k: int) -> DataFra
 
 def _grid(asked: DataFrame, rows: DataFrame, k: int, metric: str, dims: int, cell_bytes: int, schema: str) -> DataFrame:
     per_cell = max(1, cell_bytes // (4 * dims + 16))
-    blocks = -(-asked.count() // per_cell)
+    blocks = -(-asked.count() // max(1, min(per_cell, HELD_RESULTS // k)))
     chunks = -(-rows.count() // per_cell)
     left = asked.withColumn("_b", F.pmod(F.xxhash64("_qid"), F.lit(blocks))).withColumn(
         "_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint")))
@@ -302,8 +305,8 @@ def vector_buckets(vec: Column | str, dims: int, tables: int, bits: int) -> Colu
 
 
 def build_ann_index(df: DataFrame, vec: str, dims: int, tables: int = 8, bits: int = 6) -> DataFrame:
-    """The table with one bucket column per hash table (``bucket_0`` ..). Write it sorted by
-    ``bucket_0`` and a search skips most row groups for that table."""
+    """The table with one bucket column per hash table (``bucket_0`` ..). A search of it reads every row's bucket
+    numbers, as a row may match in any table; ``write_ann_index`` makes one that a search reads in part."""
     hashed = df.withColumn("_buckets", vector_buckets(vec, dims, tables, bits))
     return hashed.withColumns({f"bucket_{t}": F.col("_buckets")[t] for t in range(tables)}).drop("_buckets")
 
@@ -326,12 +329,8 @@ def ann(
     crowded bucket is scanned by many tasks like any filter result.
     """
     query = check_vector(query)
-    signs = plane_signs(len(query), tables, bits)
-    sides = [1 if sum(s * x for s, x in zip(row, query)) > 0 else 0 for row in signs]
     hit = F.lit(False)
-    for t in range(tables):
-        number = sum(side << b for b, side in enumerate(sides[t * bits : (t + 1) * bits]))
-        visited = [n for n in range(1 << bits) if bin(n ^ number).count("1") <= probes]
+    for t, visited in enumerate(_visited(query, tables, bits, probes)):
         hit = hit | F.col(f"bucket_{t}").isin(visited)
     columns = [c for c in index.columns if not c.startswith("bucket_")]
     return knn(index.where(hit), vec, query, k, metric, key=key, where=where, select=None).select(
@@ -339,6 +338,39 @@ def ann(
     )
 
 
+def write_ann_index(df: DataFrame, vec: str, dims: int, path: str, tables: int = 8, bits: int = 6) -> None:
+    """An index in folders ``_table=t/_bucket=b``: each row once per hash table, so a search reads the folders it visits only.
+
+    It takes ``tables`` times the space of the rows. A bucket with very many rows is split over tasks and files.
+    """
+    numbers = vector_buckets(vec, dims, tables, bits)
+    spread = df.where(F.col(vec).isNotNull()).select("*", F.posexplode(numbers).alias("_table", "_bucket"))
+    spread.hint("rebalance", "_table", "_bucket").write.partitionBy("_table", "_bucket").parquet(path)
+
+
+def ann_stored(
+    spark: SparkSession, path: str, vec: str, query, k: int = DEFAULT_K, tables: int = 8, bits: int = 6,
+    metric: str = "cosine", key: list[str] = (), probes: int = 0, where: list[tuple] = (),
+) -> DataFrame:
+    """``ann`` over a written index: only the folders of the visited buckets are read. ``key`` names a row, which may
+    be found in several tables."""
+    if not key:
+        raise KeyspanError("a stored index needs the key of its rows")
+    query = check_vector(query)
+    hit = F.lit(False)
+    for table, visited in enumerate(_visited(query, tables, bits, probes)):
+        hit = hit | ((F.col("_table") == table) & F.col("_bucket").isin(visited))
+    found = spark.read.parquet(path).where(hit).drop("_table", "_bucket").dropDuplicates(list(key))
+    return knn(found, vec, query, k, metric, key=key, where=where, select=None)
+
+
+def _visited(query, tables: int, bits: int, probes: int) -> list[list[int]]:
+    """The buckets of each table that a query looks into."""
+    sides = [1 if sum(s * x for s, x in zip(row, query)) > 0 else 0 for row in plane_signs(len(query), tables, bits)]
+    own = [sum(side << b for b, side in enumerate(sides[t * bits : (t + 1) * bits])) for t in range(tables)]
+    return [[n for n in range(1 << bits) if bin(n ^ number).count("1") <= probes] for number in own]
+
+
 def ann_recall(exact: DataFrame, approximate: DataFrame, key: list[str]) -> DataFrame:
     """Share of the exact neighbours that the approximation found. Both sides are top-k results."""
     found = exact.select(*key).join(approximate.select(*key), key, "left_semi")

@@ -498,6 +498,21 @@ def ann_10(t):
     return found.select("vec_id", F.round("cosine_score", 6).alias("cosine_score"))
 
 
+@query(
+    "ann_stored_10",
+    f"""
+    WITH {_PLANES}, {_CANDIDATES}
+    SELECT vec_id, round({COSINE}, 6) AS cosine_score FROM embeddings WHERE vec_id IN (SELECT vec_id FROM hits)
+    ORDER BY {COSINE} DESC, vec_id LIMIT 10
+    """,
+)
+def ann_stored_10(t):
+    path = work_path(t.spark, "ann")
+    nn.write_ann_index(t.embeddings, "embedding", DIMS, path, ANN_TABLES, ANN_BITS)
+    found = nn.ann_stored(t.spark, path, "embedding", _row_vector(t), 10, ANN_TABLES, ANN_BITS, key=["vec_id"])
+    return found.select("vec_id", F.round("cosine_score", 6).alias("cosine_score"))
+
+
 @query(
     "ann_recall",
     f"""

@@ -343,14 +343,16 @@ CELL_CHANGES = """
     changes AS (
       SELECT user_id * 10 AS c_custkey, event_type, value, event_id AS seq, epoch_us(ts) AS ts FROM events),
     gone AS (SELECT c_custkey, max(ts) AS gone FROM changes WHERE event_type = 'signup' GROUP BY 1),
-    seg AS (SELECT c_custkey, max(ts) AS at, arg_max(event_type, ts) AS v FROM changes
+    seg AS (SELECT c_custkey, max(ts) AS at, arg_max(event_type, ts) AS v, arg_max(seq % 3 * 86400, ts) AS life FROM changes
             WHERE event_type IN ('view', 'click') GROUP BY 1),
-    bal AS (SELECT c_custkey, max(ts) AS at, arg_max_null(CASE WHEN event_type <> 'error' THEN value END, ts) AS v
+    bal AS (SELECT c_custkey, max(ts) AS at, arg_max_null(CASE WHEN event_type <> 'error' THEN value END, ts) AS v,
+                   arg_max(seq % 3 * 86400, ts) AS life
             FROM changes WHERE event_type IN ('purchase', 'click', 'error') GROUP BY 1),
     row_at AS (SELECT c_custkey, max(ts) AS at FROM changes WHERE event_type = 'purchase' GROUP BY 1),
     keys AS (SELECT c_custkey FROM customer UNION SELECT c_custkey FROM changes),
     merged AS (
-      SELECT k.c_custkey, gone,
+      SELECT k.c_custkey, gone, seg.at + seg.life * 1000000 AS seg_until, seg.life AS seg_life,
+             bal.at + bal.life * 1000000 AS bal_until, bal.life AS bal_life,
              CASE WHEN gone IS NULL THEN c_name END AS c_name,
              CASE WHEN gone IS NULL THEN c_nationkey END AS c_nationkey,
              CASE WHEN seg.at IS NOT NULL THEN CASE WHEN gone IS NULL OR seg.at > gone THEN seg.v END
@@ -403,7 +405,19 @@ def cell_write_times(t):
     return cells.cell_meta(_cell_table(t), CUSTOMER, ["c_mktsegment"]).drop("ttl_c_mktsegment")
 
 
-@query("cell_lifetimes")
+@query(
+    "cell_lifetimes",
+    f"""
+    WITH {CELL_CHANGES},
+    lived AS (SELECT c_custkey, c_name, c_nationkey, marker,
+                     CASE WHEN bal_life > 0 AND bal_until <= 1705795200000000 THEN NULL ELSE c_acctbal END AS c_acctbal,
+                     CASE WHEN seg_life > 0 AND seg_until <= 1705795200000000 THEN NULL ELSE c_mktsegment END AS c_mktsegment
+              FROM merged)
+    SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM lived
+    WHERE marker IS NOT NULL OR c_name IS NOT NULL OR c_nationkey IS NOT NULL OR c_acctbal IS NOT NULL
+       OR c_mktsegment IS NOT NULL
+    """,
+)
 def cell_lifetimes(t):
     moment = 1704067200000000 + 20 * 86_400_000_000
     return cells.live_rows(_cell_table(t), CUSTOMER, as_of=moment)

@@ -172,16 +172,23 @@ def inferred_types(df: DataFrame, mapping: dict[str, str] | str | None = None) -
     return {column: found[place(field)] for field, column in mapping.items()}
 
 
+def _samples(df: DataFrame, n: int, most: int = 3) -> DataFrame:
+    """(index, samples): the first texts of each column, from ``n`` rows."""
+    cells = _cells(df.limit(n).withColumn("_at", F.monotonically_increasing_id()), df.columns, ["_at"])
+    held = cells.where("text <> ''").groupBy("index").agg(F.array_sort(F.collect_list(F.struct("_at", "text"))).alias("all"))
+    return held.select("index", F.slice(F.col("all.text"), 1, most).alias("samples"))
+
+
 def _fields(df: DataFrame) -> DataFrame:
     rows = [(i, c) for i, c in enumerate(df.columns)]
     return df.sparkSession.createDataFrame(rows, "index int, field string")
 
 
-def _cells(df: DataFrame, names: list[str]) -> DataFrame:
+def _cells(df: DataFrame, names: list[str], carry: list[str] = ()) -> DataFrame:
     """One row per cell: the column's number and its trimmed text. What is done to a text is then
     compiled once, however wide the table."""
     cells = [F.struct(F.lit(i).alias("index"), F.col(f"`{c}`").cast("string").alias("raw")) for i, c in enumerate(names)]
-    return df.select(F.inline(F.array(*cells))).select("index", F.trim("raw").alias("text"))
+    return df.select(*carry, F.inline(F.array(*cells))).select(*carry, "index", F.trim("raw").alias("text"))
 
 
 # The narrower classes that a type also holds, and the bit of each class.
@@ -252,8 +259,8 @@ def preview_import(
     n: int = 20,
     row_id: str | None = None,
 ) -> ImportPreview:
-    """Field types, proposed mapping, the first ``n`` converted rows, and the conversion errors of
-    the whole source."""
+    """Field types with sample values, proposed mapping, the first ``n`` converted rows, and the conversion errors
+    and the number of rows of the whole source. Samples are the first three non-blank texts of the first ``n`` rows."""
     if isinstance(mapping, str):
         mapping = parse_mapping(mapping)
     chosen = mapping if mapping is not None else infer_mapping(source.columns, list(target))
@@ -262,7 +269,7 @@ def preview_import(
     renamed = source.select(number.alias("_row"), *[F.col(f"`{f}`").alias(c) for f, c in chosen.items()])
     converted = convert(renamed, {c: target[c] for c in mapped}, codec, carry=["_row"])
     return ImportPreview(
-        fields=infer_schema(source),
+        fields=infer_schema(source).join(_samples(source, n), "index", "left"),
         mapping=chosen,
         unmapped_fields=[f for f in source.columns if f not in chosen and f != row_id],
         missing_key_columns=[k for k in spec.key if k not in chosen.values()],

@@ -309,3 +309,10 @@ def test_truncation_bounds_numbers_only(spark):
 def test_leading_zeros_are_text(spark):
     df = spark.createDataFrame([("00123", "0", "2024-01-01", "0.5"), ("00456", "12", "0024-02-01", "1")], "zip string, n string, d string, x string")
     assert imports.inferred_types(df) == {"zip": "text", "n": "int", "d": "date", "x": "double"}
+
+
+def test_preview_shows_samples(spark):
+    df = spark.createDataFrame([("1", " x "), ("2", ""), ("3", None), ("4", "y")], "id string, t string").coalesce(1)
+    preview = imports.preview_import(df, {"id": "int", "t": "text"}, SPEC, n=4)
+    assert {r["field"]: r["samples"] for r in preview.fields.collect()} == {"id": ["1", "2", "3"], "t": ["x", "y"]}
+    assert preview.rows.first()[0] == 4 and preview.missing_key_columns == [] and preview.mapping == {"id": "id", "t": "t"}

@@ -177,3 +177,23 @@ def test_profile(spark):
     rows = {r["id"]: r for r in vectors.vector_profile(df, "v", ["id"]).collect()}
     assert rows[1]["magnitude"] == 5.0 and rows[2]["is_zero"] and not rows[1]["is_zero"]
     assert rows[3]["null_elements"] == 1 and rows[3]["dimensions"] == 2
+
+
+def test_stored_index_reads_the_visited_folders(spark, place):
+    m, df = cloud(spark)
+    path, query = place(), [float(x) for x in m[7]]
+    nn.write_ann_index(df, "v", 16, path, 4, 3)
+    stored = nn.ann_stored(spark, path, "v", query, 10, 4, 3, key=["id"])
+    direct = nn.ann(nn.build_ann_index(df, "v", 16, 4, 3), "v", query, 10, 4, 3, key=["id"])
+    assert [r["id"] for r in stored.collect()] == [r["id"] for r in direct.collect()]
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(" in plan and "_bucket" in plan
+
+
+def test_large_k_bounds_the_queries_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(nn, "HELD_RESULTS", 50)
+    m, df = cloud(spark, n=60, copies=5)
+    few = nn.knn_join(df.select("id", "v"), df.select("id", "v"), "v", 10, "id", "id")
+    monkeypatch.setattr(nn, "HELD_RESULTS", 10**6)
+    many = nn.knn_join(df.select("id", "v"), df.select("id", "v"), "v", 10, "id", "id")
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
