@@ -232,9 +232,14 @@ def _timeuuid():
     """,
 )
 def time_functions(t):
-    moment = F.col("ts").cast("timestamp")
-    return t.events.select(
-        "event_id", F.to_date(moment).cast("string").alias("day"), F.unix_millis(moment).alias("millis")
+    register_builtins(t.spark)
+    return query_scan(
+        t.spark,
+        """
+        SELECT event_id, CAST(todate(CAST(ts AS STRING)) AS STRING) AS day, tounixtimestamp(CAST(ts AS STRING)) AS millis
+        FROM events
+        """,
+        {"events": t.events},
     )
 
 
