@@ -140,11 +140,18 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     def turn(p: Column) -> Column:
         head, tail = F.regexp_extract(p, r"(?s)^<<SYS>>(.*?)<</SYS>>", 1), F.regexp_extract(p, r"(?s)^<<SYS>>.*?<</SYS>>(.*)</s>$", 1)
+
+        def said(role: Column, text: Column) -> Column:
+            return F.struct(role.alias("role"), unescape(text).alias("text"))
+
         return (
-            F.when(p.startswith("[INST] "), F.struct(F.lit("user").alias("role"), unescape(p.substr(F.lit(8), F.length(p) - 15)).alias("text")))
-            .when(p.startswith("<<SYS>>"), F.struct(unescape(head).alias("role"), unescape(tail).alias("text")))
-            .otherwise(F.struct(F.lit("assistant").alias("role"), unescape(p.substr(F.lit(1), F.length(p) - 4)).alias("text")))
+            F.when(p.startswith("[INST] "), said(F.lit("user"), p.substr(F.lit(8), F.length(p) - 15)))
+            .when(p.startswith("<<SYS>>"), said(unescape(head), tail))
+            .otherwise(said(F.lit("assistant"), p.substr(F.lit(1), F.length(p) - 4)))
         )
 
-    masked = F.transform("loss", lambda s: unescape(F.col("formatted").substr(s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int"))))
+    def under(span: Column) -> Column:
+        return F.col("formatted").substr(span["start"].cast("int") + 1, (span["end"] - span["start"]).cast("int"))
+
+    masked = F.transform("loss", lambda s: unescape(under(s)))
     return formatted.withColumn("turns", F.transform(pieces, turn)).withColumn("learned", F.array_join(masked, ""))

@@ -95,7 +95,8 @@ class Benchmark:
             for start in starts:
                 self.item.append(item_id)
                 self.at.append(start)
-                self.points.append(points[start : start + PASSAGE] if start + PASSAGE < len(points) else points[max(0, len(points) - PASSAGE) :])
+                whole = start + PASSAGE < len(points)
+                self.points.append(points[start : start + PASSAGE] if whole else points[max(0, len(points) - PASSAGE) :])
         self.size = np.array([len(p) for p in self.points], np.int64)
         # The bound must be at least 1; short passages allow fewer edits.
         self.edits = np.minimum((self.size * RATE).astype(np.int64), (self.size - Q) // Q)

@@ -336,7 +336,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
         def score(left: pa.Table, right: pa.Table) -> pa.Table:
             _, own, told_rows = opened(left, right)
-            got = {kind: {r["part"]: unpack(r["data"])[0] for r in told_rows if r["kind"] == kind} for kind in (BIGRAMS_TOLD, WEIGHTS_TOLD)}
+            got = {
+                kind: {r["part"]: unpack(r["data"])[0] for r in told_rows if r["kind"] == kind}
+                for kind in (BIGRAMS_TOLD, WEIGHTS_TOLD)
+            }
             count, weight = np.zeros(len(own.keys), np.int64), np.ones(len(own.keys))
             for p, s in own.slices():
                 count[s] = got[BIGRAMS_TOLD][p]

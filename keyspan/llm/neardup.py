@@ -95,7 +95,10 @@ def _described(docs: DataFrame) -> DataFrame:
             node += [node_of(s) if len(s) else None for s in sets]
             size += [len(s) for s in sets]
             sig += [values[j].tobytes() if len(s) else None for j, s in enumerate(sets)]
-        return {"doc_id": part.column("doc_id"), "node": pa.array(node, pa.int64()), "n": pa.array(size, pa.int32()), "sig": pa.array(sig, pa.binary())}
+        return {
+            "doc_id": part.column("doc_id"), "node": pa.array(node, pa.int64()),
+            "n": pa.array(size, pa.int32()), "sig": pa.array(sig, pa.binary()),
+        }
 
     return map_runs(docs, work, "doc_id long, node long, n int, sig binary", RUN)
 
@@ -106,11 +109,13 @@ def _trie(nodes: DataFrame) -> DataFrame:
 
     def labels(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "S%d" % (4 * DEPTH)).reshape(-1, TREES)
-            raw = [x.tobytes() for x in np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, 4 * DEPTH)]
-            node = batch.column("node").to_numpy()
+            values = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, 4 * DEPTH)
             yield pa.RecordBatch.from_pydict(
-                {"tree": np.tile(np.arange(TREES, dtype=np.int32), len(sig)), "label": pa.array(raw, pa.binary()), "node": np.repeat(node, TREES)}
+                {
+                    "tree": np.tile(np.arange(TREES, dtype=np.int32), batch.num_rows),
+                    "label": pa.array([x.tobytes() for x in values], pa.binary()),
+                    "node": np.repeat(batch.column("node").to_numpy(), TREES),
+                }
             )
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +205,8 @@ def _links(sig_a, sets_a, sig_b, sets_b, skip: np.ndarray, threshold: float) ->
         left = np.concatenate([sets_a[x] for x in a])
         right = np.concatenate([sets_b[x] for x in b])
         names = np.intersect1d(left, right)
-        row_a, row_b = np.repeat(np.arange(len(a)), [len(sets_a[x]) for x in a]), np.repeat(np.arange(len(b)), [len(sets_b[x]) for x in b])
+        row_a = np.repeat(np.arange(len(a)), [len(sets_a[x]) for x in a])
+        row_b = np.repeat(np.arange(len(b)), [len(sets_b[x]) for x in b])
         at_a, at_b = np.searchsorted(names, left), np.searchsorted(names, right)
         in_a, in_b = _hit(names, at_a, left), _hit(names, at_b, right)
         row_a, at_a, row_b, at_b = row_a[in_a], at_a[in_a], row_b[in_b], at_b[in_b]
@@ -230,11 +236,14 @@ def _verified(docs: DataFrame, members: DataFrame, threshold: float) -> DataFram
     documents more; kind 1: a and b are in one class; kind 2: b links with a similarity of a / 1000, rounded down.
     """
     mine = F.pmod(F.xxhash64("node"), "blocks")
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.struct(F.least(b, mine).alias("i"), F.greatest(b, mine).alias("j")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    pairs = F.transform(
+        every, lambda b: F.struct(F.least(b, mine).cast("int").alias("i"), F.greatest(b, mine).cast("int").alias("j"))
+    )
     spread = members.withColumn("mine", mine.cast("int")).withColumn("pair", F.explode(pairs))
     reps = members.select(F.col("rep").alias("doc_id"), "node")
     rows = _likely(docs, reps).join(reps, "doc_id").select("node", "text")
-    rows = rows.join(spread.select("node", "mult", "old", "comp", "mine", F.col("pair.i").cast("int").alias("i"), F.col("pair.j").cast("int").alias("j")), "node")
+    rows = rows.join(spread.select("node", "mult", "old", "comp", "mine", "pair.i", "pair.j"), "node")
     rows = rows.withColumn("cell", F.xxhash64("comp", "i", "j"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "cell").sortWithinPartitions("comp", "i", "j", "node")
@@ -296,7 +305,7 @@ def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = wanted.select(slot.alias("s")).select((F.col("s") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(s % 64 as int))").alias("bit"))
+    words = wanted.select(slot.alias("s")).selectExpr("CAST(s DIV 64 AS INT) AS w", "shiftleft(1L, CAST(s % 64 AS INT)) AS bit")
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     for part in words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
         bits[part["w"]] = part["bits"]
@@ -382,7 +391,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     )
     alone = described.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     unnamed = texts.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return described.select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "n_links").unionByName(alone).unionByName(unnamed)
+    named = described.select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "n_links")
+    return named.unionByName(alone).unionByName(unnamed)
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -159,7 +159,10 @@ FROM sized GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_ngram_jaccard, op2_decontamination, op3_sentencepiece, op4_toxicity, op5_top_k, op6_katz, op7_language_id, op8_token_counts, op9_secret_scans, op10_chat_formatting]
+    named = [
+        op1_ngram_jaccard, op2_decontamination, op3_sentencepiece, op4_toxicity, op5_top_k, op6_katz, op7_language_id,
+        op8_token_counts, op9_secret_scans, op10_chat_formatting,
+    ]
     return {fn.__name__: fn for fn in named}
 
 

@@ -269,4 +269,5 @@ def digests(spans: DataFrame) -> DataFrame:
         return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(kind) for kind in KINDS]
-    return spans.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    digest = F.sha2(joined(base).cast("binary"), 256).alias("base_sha256")
+    return spans.select("doc_id", *counts, digest, joined(F.col("spans")).alias("spans"))

@@ -355,13 +355,13 @@ def toxic_spans(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col:
             own = p[at : at + n]
             at += n
             hit = set(np.flatnonzero(own >= 0.5).tolist())
-            spans.append(
-                [{"start": m.start(), "end": m.end(), "p": float(own[i])} for i, m in enumerate(WORD.finditer(text)) if i in hit] if hit else []
-            )
+            found = enumerate(WORD.finditer(text)) if hit else ()
+            spans.append([{"start": m.start(), "end": m.end(), "p": float(own[i])} for i, m in found if i in hit])
         kind = pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64(), "p": pa.float64()}))
         return {"doc_id": part.column("doc_id"), "score": scores, "spans": pa.array(spans, kind)}
 
-    return map_runs(texts_of(docs, id_col, text_col), work, "doc_id long, score double, spans array<struct<start:long,end:long,p:double>>")
+    schema = "doc_id long, score double, spans array<struct<start:long,end:long,p:double>>"
+    return map_runs(texts_of(docs, id_col, text_col), work, schema)
 
 
 def clean_documents(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:

@@ -13,7 +13,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, 2_000_000)
         inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, x, np.uint64)]), dtype=np.uint64) for x in (_ODD, inverse)]
+        steps = [np.append(np.uint64(1), np.full(size - 1, x, np.uint64)) for x in (_ODD, inverse)]
+        _POWERS[:] = [np.cumprod(s, dtype=np.uint64) for s in steps]
     return _POWERS[0], _POWERS[1]
 
 
