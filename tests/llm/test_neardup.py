@@ -83,6 +83,18 @@ def test_shorter_prefixes_are_tried(spark, monkeypatch):
     assert neardup._recall([(1000, 5)], 6, 0.8) == 1.0 > neardup._recall([(800, 5)], 6, 0.8) > 0.9
 
 
+def test_a_large_group_does_not_decide_for_small_ones(spark):
+    """245,000 easy links of one group, and 500 pairs at a similarity of exactly 0.8."""
+    rnd = random.Random(7)
+    texts = near_copies(rnd, 700, 1, 60)
+    for _ in range(500):
+        words = [f"p{rnd.randrange(10**7)}" for _ in range(49)]
+        texts += [" ".join(words), " ".join(words[:-5] + [f"q{rnd.randrange(10**7)}" for _ in range(5)])]
+    links = {i: n for i, _, n in found(spark, list(enumerate(texts)))}
+    assert [i for i in range(700, 1700) if links[i] != 1] == []
+    assert neardup._recall([], neardup._depth(neardup.THRESHOLD), neardup.THRESHOLD) >= neardup.TARGET
+
+
 def test_odd_rows(spark):
     rows = [
         (1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (6, "one two three"), (7, "one two three"), (7, "one two three"),
