@@ -6,8 +6,10 @@ passage). So documents are scanned for q-grams of the benchmark; stretches in wh
 are left at once; in the others, shared q-grams are counted per passage in overlapping bands of diagonals, and the
 bands that reach the bound are verified by an edit distance that is computed inside the band only.
 
-Case and the kind and amount of white space do not count. An item is searched in passages of ``PASSAGE`` characters
-that overlap by half, so a part of an item is found too; a shorter item is one passage.
+Case and the kind and amount of white space do not count. An item is searched in passages of ``PASSAGE`` and of
+``LONG`` characters that overlap by half; a shorter item is one passage. A verbatim excerpt of 1.5 * PASSAGE - 1 = 80
+characters (13 words) or more holds a whole short passage wherever it begins; the long ones bear edits that lie close
+together.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from keyspan.llm.common import keep_rows, runs, texts_of
 Q = 10
 #: Edits allowed per character of a passage.
 RATE = 0.08
-PASSAGE = 160
+PASSAGE, LONG = 54, 160
 #: Items with fewer characters are no evidence of anything and are not searched.
 LEAST = 20
 #: Characters of benchmark text that are sent to the executors at once. A larger benchmark is searched in blocks.
@@ -91,12 +93,12 @@ class Benchmark:
             points, _ = normal(text.strip())
             if len(points) < LEAST:
                 continue
-            starts = list(range(0, max(1, len(points) - PASSAGE // 2), PASSAGE // 2))
-            for start in starts:
-                self.item.append(item_id)
-                self.at.append(start)
-                whole = start + PASSAGE < len(points)
-                self.points.append(points[start : start + PASSAGE] if whole else points[max(0, len(points) - PASSAGE) :])
+            for size in (PASSAGE, LONG) if len(points) > PASSAGE else (PASSAGE,):
+                for start in range(0, max(1, len(points) - size // 2), size // 2):
+                    self.item.append(item_id)
+                    self.at.append(start)
+                    whole = start + size < len(points)
+                    self.points.append(points[start : start + size] if whole else points[max(0, len(points) - size) :])
         self.size = np.array([len(p) for p in self.points], np.int64)
         # The bound must be at least 1; short passages allow fewer edits.
         self.edits = np.minimum((self.size * RATE).astype(np.int64), (self.size - Q) // Q)
@@ -137,18 +139,20 @@ class Benchmark:
         passage, diagonal = self.owner[entry], at[which] - self.place[entry]
         # Bands are twice as wide as their distance, which is above e: each set of e + 1 diagonals lies within one.
         step = self.edits[passage] + 1
-        band = (diagonal + PASSAGE) // step
+        band = (diagonal + LONG) // step
         key = np.concatenate([passage * (1 << 40) + band, passage * (1 << 40) + band - 1])
         key, shared = np.unique(key, return_counts=True)
         passage, band = key >> 40, key & ((1 << 40) - 1)
         ok = shared >= self.bound[passage]
         passage, band = passage[ok], band[ok]
-        low = band * (self.edits[passage] + 1) - PASSAGE
+        low = band * (self.edits[passage] + 1) - LONG
         return self.verify(points, doc, passage, low)
 
     def verify(self, points: np.ndarray, doc: np.ndarray, passage: np.ndarray, low: np.ndarray) -> list[tuple[int, int, int, int]]:
         """Banded alignment of many passages at once, each from diagonal ``low``; those within their edits."""
         out = []
+        order = np.argsort(self.size[passage], kind="stable")  # passages of one size are aligned together
+        passage, low = passage[order], low[order]
         for i in range(0, len(passage), 512):
             out += self._aligned(points, doc, passage[i : i + 512], low[i : i + 512])
         return out
@@ -208,7 +212,7 @@ class Benchmark:
 def _found(bench: Benchmark, texts: list[str]) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(number of the text, item, start, end, passages, edits), one for each text and item in it."""
     parts = [normal(t) for t in texts]
-    gap = np.zeros(Q + PASSAGE, np.uint32)  # no passage reaches over it
+    gap = np.zeros(Q + LONG, np.uint32)  # no passage reaches over it
     points = np.concatenate([x for p, _ in parts for x in (p, gap)])
     sizes = np.array([len(p) for p, _ in parts])
     starts = np.cumsum(sizes + len(gap)) - sizes - len(gap)
@@ -238,7 +242,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Documents are read in one pass without a shuffle. The benchmark goes to the executors in blocks of at most
     ``BLOCK_CHARS`` characters, whose number is known before; each block is a pass over the documents. Null texts hold
-    nothing; null, empty and very short items are not searched; repeated items and documents each give their rows; empty
+    nothing; null and empty items and those of fewer than ``LEAST`` characters are not searched; items without an id are
+    searched and share a row per document; repeated items and documents each give their rows; empty
     tables give no rows; other columns are not read. Texts are scanned whole, very long ones included.
     """
     rows = texts_of(docs, id_col, text_col)
@@ -291,7 +296,7 @@ def _blocks(benchmark: DataFrame) -> list[Broadcast]:
     """The benchmark in blocks of about ``BLOCK_CHARS`` characters, each sent to the executors; one block if it is empty."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    items = items.where("text IS NOT NULL").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
     place = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))

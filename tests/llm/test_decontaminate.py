@@ -86,6 +86,18 @@ def test_as_every_place(spark, case):
     assert len(brute(small, items)) > 15
 
 
+def test_excerpts_at_every_offset(spark):
+    """A verbatim excerpt of 80 characters is found wherever it begins, and an item without an id counts."""
+    rnd = random.Random(3)
+    item, short = words(rnd, 90), words(rnd, 60)[:150]
+    docs = [(at, item[at : at + 80]) for at in range(0, len(item) - 80)] + [(1000 + at, short[at : at + 112]) for at in range(38)]
+    docs = [(d, "zq vw " * 9 + t + " jx kp" * 9) for d, t in docs if t == t.strip()]
+    assert {r.doc_id for r in found(spark, docs, [(1, item), (None, short)])} == {d for d, _ in docs}
+    nameless = spark.createDataFrame([(None, short)], "item_id long, text string")
+    frame = spark.createDataFrame([(1, "zq " + short), (2, "jx kp " * 9)], "doc_id long, text string")
+    assert [r.doc_id for r in dec.clean_documents(frame, nameless).collect()] == [2]
+
+
 def test_places(spark, case):
     _, items = case
     text = "é" * 30 + "  " + items[3][1] + " tail of the text"
