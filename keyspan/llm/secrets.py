@@ -29,8 +29,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{16,}={0,2}")
-BASE64_URL = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9]*[_-])[A-Za-z0-9_-]{16,}={0,2}")
+#: A run of base64, over single line breaks; it may begin anew after each break and each slash.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/])([A-Za-z0-9+/]{16,}+(?:[ \t]*(?:\r\n?|\n)[ \t]*[A-Za-z0-9+/]++)*+|[A-Za-z0-9+/]++(?:[ \t]*(?:\r\n?|\n)[ \t]*[A-Za-z0-9+/]++)++)={0,2}")
+BASE64_URL = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{16,}+(?:[ \t]*(?:\r\n?|\n)[ \t]*[A-Za-z0-9_-]++)*+|[A-Za-z0-9_-]++(?:[ \t]*(?:\r\n?|\n)[ \t]*[A-Za-z0-9_-]++)++)={0,2}")
+BREAK = re.compile(r"[ \t\r\n]+")
+START = re.compile(r"[ \t\r\n]+|/")
+CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
+#: Characters of base64 that a run has at least, and the bytes they hold.
+LEAST, LEAST_BYTES = 16, 12
 #: A compressed layer is read up to so many bytes; where one is longer, the document's ``cut`` is true.
 INFLATE_BYTES = 64 << 20
 #: How a compressed stream begins, and what reads it in steps.
@@ -92,12 +98,22 @@ def inflate(data: bytes) -> tuple[bytes | None, bool]:
     """What a compressed stream holds (None: it is none), and whether the limit cut it."""
     for head, reader in STREAMS:
         if data.startswith(head):
-            stream = reader()
+            out, stream = [], reader()
+            size = 0
             try:
-                out = stream.decompress(data, INFLATE_BYTES)
+                while True:
+                    out.append(stream.decompress(data, INFLATE_BYTES - size))
+                    size += len(out[-1])
+                    if size >= INFLATE_BYTES:
+                        return b"".join(out), not stream.eof or bool(stream.unused_data)
+                    data = stream.unused_data.lstrip(b"\0")
+                    if not stream.eof or not data.startswith(head):
+                        break
+                    stream = reader()
             except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-                return None, False
-            return out, len(out) >= INFLATE_BYTES and not stream.eof
+                # What came out before stands; of a stream that breaks later in its first step, nothing did.
+                pass
+            return (b"".join(out), False) if out else (None, False)
     if data.startswith(b"\x28\xb5\x2f\xfd"):
         import zstandard
 
@@ -116,7 +132,73 @@ def readable(data: bytes) -> str | None:
         text = data.decode()
     except UnicodeDecodeError:
         return None
-    return text if text and not re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", text) else None
+    return text if text and not CONTROL.search(text) else None
+
+
+def beginning(data: bytes) -> str:
+    """The longest text that bytes begin with."""
+    try:
+        text = data.decode()
+    except UnicodeDecodeError as error:
+        text = data[: error.start].decode()
+    stop = CONTROL.search(text)
+    return text[: stop.start()] if stop else text
+
+
+def decoded(run: str) -> bytes:
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    return binascii.a2b_base64(run + "=" * (-len(run) % 4))
+
+
+def base64_in(text: str, pattern: re.Pattern, table: dict | None) -> Iterator[tuple[int, int, bytes, str]]:
+    """(start, end, bytes, their text as far as it goes) of base64 from each place where a run may begin.
+
+    A run goes on over line breaks and slashes for as long as it reads as text; a compressed one is given whole, as
+    its stream knows its end.
+    """
+    for m in pattern.finditer(text):
+        raw = m[1]
+        if len(raw) < LEAST:
+            continue
+        if table and "-" not in raw and "_" not in raw:
+            continue
+        # Characters of the run without its breaks, and the place of each in the text.
+        breaks = [(b.start(), b.end()) for b in BREAK.finditer(raw)]
+        chars = BREAK.sub("", raw) if breaks else raw
+        if len(chars) < LEAST:
+            continue
+        place = np.arange(m.start(), m.end(1))
+        if breaks:
+            keep = np.ones(len(raw), bool)
+            for a, b in breaks:
+                keep[a:b] = False
+            place = place[keep]
+        begins = np.array([0, *(b.end() for b in START.finditer(raw))]) + m.start()
+        run = chars.translate(table) if table else chars
+        reach = {}
+        for at in np.unique(np.searchsorted(place, begins)).tolist():
+            # From the same place in a group of four up to where an earlier start has read, it is the same text.
+            if len(run) - at < LEAST or at < reach.get(at % 4, 0):
+                continue
+            size = 24
+            while True:
+                data = decoded(run[at : at + size])
+                new = beginning(data)
+                read = len(new.encode())
+                if size >= len(run) - at or read < len(data) - 3:
+                    break
+                size *= 4
+            if compressed(data):
+                data = decoded(run[at:])
+                yield int(place[at]), m.end(), data, new if read >= LEAST_BYTES else ""
+            elif read >= LEAST_BYTES:
+                last = len(run) if read == len(data) else at + -(-read * 4 // 3)
+                reach[at % 4] = last
+                yield int(place[at]), m.end() if last == len(run) else int(place[last - 1]) + 1, b"", new
+
+
+def compressed(data: bytes) -> bool:
+    return data.startswith((*(head for head, _ in STREAMS), b"\x28\xb5\x2f\xfd"))
 
 
 def _escaped(m: re.Match) -> str | None:
@@ -151,15 +233,20 @@ def opened(layer: Layer) -> tuple[list[Layer], bool]:
         if parts:
             out.append(layer.replaced(parts))
     if "\\" in text or "&#" in text:
-        parts = [(m.start(), m.end(), new) for m in UNICODE.finditer(text) if (new := _escaped(m)) is not None]
+        parts = []
+        for m in UNICODE.finditer(text):
+            if (new := _escaped(m)) is not None:
+                parts.append((m.start(), m.end(), new))
+            elif m[0].startswith("\\x"):
+                bytes_in.append((m.start(), m.end(), bytes.fromhex(m[0].replace("\\x", ""))))
         if parts:
             out.append(layer.replaced(parts))
     for pattern, table in ((BASE64, None), (BASE64_URL, str.maketrans("-_", "+/"))):
-        for m in pattern.finditer(text):
-            run = m[0].rstrip("=")
-            run = run[: len(run) - (len(run) % 4 == 1)]
-            run = run.translate(table) if table else run
-            bytes_in.append((m.start(), m.end(), binascii.a2b_base64(run + "=" * (-len(run) % 4))))
+        for a, b, data, new in base64_in(text, pattern, table):
+            if new:
+                out.append(layer.region(a, b, new))
+            if data and readable(data) is None:
+                bytes_in.append((a, b, data))
     for a, b, data in bytes_in:
         if (new := readable(data)) is not None:
             out.append(layer.region(a, b, new))

@@ -1,7 +1,10 @@
 """Secret scans: base finds against a plain reading of the patterns, and finds in decoded layers."""
 
 import base64
+import bz2
 import gzip
+import hashlib
+import lzma
 import urllib.parse
 import zlib
 
@@ -88,6 +91,25 @@ def test_each_layer():
         assert any(kind == 0 and not own and (value in code or code in value) for value, kind, own in found), code
 
 
+def test_base64_over_lines_and_after_slashes():
+    long = "x" * 40 + " " + PLAIN + " y" * 60
+    noise = "".join(hashlib.sha256(b"%d" % i).hexdigest()[:20] + "\n" for i in range(40))
+    for data in (long.encode(), gzip.compress((noise + PLAIN).encode(), mtime=0), bz2.compress((noise + PLAIN).encode())):
+        wrapped = base64.encodebytes(data).decode()
+        for text in (wrapped, wrapped.replace("\n", "\r\n"), "key: " + wrapped.replace("\n", "\n  ") + "Regards\nme", "Dear\n" + wrapped.replace("=", "")):
+            assert any(kind == 0 and not own for _, kind, own in only(text)), text
+    code = base64.b64encode(PLAIN.encode()).decode().rstrip("=")
+    for text in (f"/api/{code}", f"host/a/{code}/b/c", f"https://example.org/path/to/{code}?x=1", f"one\n{code}\ntwo"):
+        assert any(kind == 0 and not own and code in value for value, kind, own in only(text)), text
+
+
+def test_all_members_and_escaped_bytes():
+    for pack in (lambda t: gzip.compress(t, mtime=0), bz2.compress, lzma.compress):
+        data = pack(b"first member ") + pack(PLAIN.encode())
+        for text in (base64.b64encode(data).decode(), "".join(f"\\x{b:02x}" for b in data)):
+            assert only(text) == [(text.rstrip("="), 0, False)] or only(text) == [(text, 0, False)]
+
+
 def test_spans_are_of_the_document():
     text = "one %70assword%3Dhunter2hunter2 two"
     assert [(a, b) for a, _, b, own in secrets.find_secrets(text)[0] if not own] == [(4, 31)]
