@@ -158,13 +158,109 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyspan.llm.merkle import tampered_proofs
+
+    return tampered_proofs(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH RECURSIVE fields AS (
+    SELECT doc_id, lang, n_chars, coalesce(strlen(text) || ':' || text, '-') AS tail,
+           coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+           xor(4294967295::UBIGINT, list_reduce(
+               list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+               lambda a, x: xor(a >> 8, list_reduce(
+                   list_prepend(xor(a, x) & 255, range(8)::UBIGINT[]),
+                   lambda b, y: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384::UBIGINT) ELSE b >> 1 END)))) AS crc
+    FROM documents
+),
+leaves AS (
+    SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+           sha256(head || coalesce(strlen((n_chars + (crc % 7 = 0)::INT)::VARCHAR) || ':' || (n_chars + (crc % 7 = 0)::INT), '-') || tail) AS changed
+    FROM fields
+),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+),
+below AS (
+    SELECT lang, 0 AS level, i, n, leaf AS h FROM placed
+    UNION ALL
+    SELECT lang, level + 1, i // 2, (n + 1) // 2, sha256(h || coalesce(other, ''))
+    FROM (SELECT *, lead(h) OVER (PARTITION BY lang ORDER BY i) AS other FROM below WHERE n > 1) WHERE i % 2 = 0
+),
+roots AS (
+    SELECT lang, h AS subroot, level AS depth, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM below WHERE n = 1
+),
+above AS (
+    SELECT 0 AS level, i, n, subroot AS h FROM roots
+    UNION ALL
+    SELECT level + 1, i // 2, (n + 1) // 2, sha256(h || coalesce(other, ''))
+    FROM (SELECT *, lead(h) OVER (ORDER BY i) AS other FROM above WHERE n > 1) WHERE i % 2 = 0
+),
+sides AS (
+    SELECT p.lang, p.i, b.level, (b.i % 2 = 1) AS is_left, s.h
+    FROM placed p JOIN below b ON b.lang IS NOT DISTINCT FROM p.lang AND b.n > 1 AND b.i = p.i >> b.level
+    LEFT JOIN below s ON s.lang IS NOT DISTINCT FROM b.lang AND s.level = b.level AND s.i = xor(b.i, 1)
+    UNION ALL
+    SELECT p.lang, p.i, r.depth + b.level, (b.i % 2 = 1), s.h
+    FROM placed p JOIN roots r ON r.lang IS NOT DISTINCT FROM p.lang JOIN above b ON b.n > 1 AND b.i = r.i >> b.level
+    LEFT JOIN above s ON s.level = b.level AND s.i = xor(b.i, 1)
+),
+paths AS (
+    SELECT lang, i, string_agg(h, '' ORDER BY level) AS proof,
+           list(CASE WHEN is_left THEN 'L' ELSE 'R' END || coalesce(h, '') ORDER BY level) AS steps
+    FROM sides GROUP BY lang, i
+),
+joined AS (
+    SELECT p.doc_id, p.leaf, r.subroot, (SELECT h FROM above WHERE n = 1) AS root, sha256(coalesce(s.proof, '')) AS proof_sha256,
+           list_reduce(
+               list_prepend(p.changed, coalesce(s.steps, [])),
+               lambda h, x: sha256(CASE WHEN x[1] = 'L' THEN substr(x, 2) || h ELSE h || substr(x, 2) END)) AS folded_root
+    FROM placed p JOIN roots r ON r.lang IS NOT DISTINCT FROM p.lang
+    LEFT JOIN paths s ON s.lang IS NOT DISTINCT FROM p.lang AND s.i = p.i
+)
+SELECT *, folded_root = root AS verified FROM joined
+"""
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyspan.llm.ranked import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS d
+    FROM documents
+),
+sizes AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS total FROM words WHERE len(w) > 0),
+postings AS (SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(w) AS t FROM words) GROUP BY d, t),
+weights AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM postings, sizes GROUP BY t, docs),
+items AS (
+    SELECT item_id, q, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM (SELECT *, row_number() OVER () AS q FROM benchmark)
+),
+scored AS (
+    SELECT q, item_id, doc_id, d, sum(weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(w) * docs) // total))))::BIGINT AS score
+    FROM items JOIN weights USING (t) JOIN postings USING (t) JOIN words USING (d), sizes GROUP BY q, item_id, doc_id, d
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0 AND doc_id IS NOT NULL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_ngram_jaccard, op2_decontamination, op3_sentencepiece, op4_toxicity, op5_top_k, op6_katz, op7_language_id,
-        op8_token_counts, op9_secret_scans, op10_chat_formatting,
+        op8_token_counts, op9_secret_scans, op10_chat_formatting, op12_merkle_manifest, op13_ranked_search,
     ]
     return {fn.__name__: fn for fn in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op5_top_k": OP5_SQL, "op10_chat_formatting": OP10_SQL}
+    return {
+        "op1_ngram_jaccard": OP1_SQL, "op5_top_k": OP5_SQL, "op10_chat_formatting": OP10_SQL, "op12_merkle_manifest": OP12_SQL,
+        "op13_ranked_search": OP13_SQL,
+    }

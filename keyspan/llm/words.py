@@ -28,17 +28,18 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str], outside: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of each word in order, number of words of each text).
 
-    Words are runs of anything but ASCII white space, with A-Z in lower case. A word's hash is a polynomial in its
-    bytes, read from one running sum over all texts, and mixed.
+    Words are runs of anything but ASCII white space, with A-Z in lower case; ``outside`` tells for each byte whether
+    it is no part of a word (line feed must be). A word's hash is a polynomial in its bytes, read from one running sum
+    over all texts, and mixed.
     """
     data = [t.encode("utf-8", "replace").lower() for t in texts]
     flat = np.frombuffer(b"\n" + b"\n".join(data) + b"\n", np.uint8)
     power, inverse = _powers(len(flat) + 1)
     total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[flat] * power[: len(flat)], dtype=np.uint64)])
-    blank = _BLANK[flat]
+    blank = outside[flat]
     edge = np.flatnonzero(blank[:-1] != blank[1:]) + 1
     start, end = edge[0::2], edge[1::2]
     word = mix((total[end] - total[start]) * inverse[start])
