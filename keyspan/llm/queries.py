@@ -158,6 +158,14 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op11_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyspan.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyspan.llm.merkle import tampered_proofs
 
@@ -254,7 +262,8 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 2
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_ngram_jaccard, op2_decontamination, op3_sentencepiece, op4_toxicity, op5_top_k, op6_katz, op7_language_id,
-        op8_token_counts, op9_secret_scans, op10_chat_formatting, op12_merkle_manifest, op13_ranked_search,
+        op8_token_counts, op9_secret_scans, op10_chat_formatting, op11_vector_packing, op12_merkle_manifest,
+        op13_ranked_search,
     ]
     return {fn.__name__: fn for fn in named}
 
