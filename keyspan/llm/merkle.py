@@ -119,8 +119,13 @@ def _paths(nodes: DataFrame, sizes: DataFrame, upper: DataFrame, wanted: DataFra
         nodes = nodes.join(keys, over, "left_semi")
     blocks = _blocks(nodes, sizes, extra)
     made = _levels(F.transform("members", lambda m: m["h"]), F.col("steps"))
-    path = lambda i: F.transform(_counting(F.col("steps")), lambda d: _sibling(F.col("made"), i, d))
-    blocks = blocks.withColumn("made", made).withColumn("paths", F.transform(_counting(F.size("members")), path)).drop("made")
+
+    def paths(levels: Column) -> Column:
+        path = lambda i: F.transform(_counting(F.col("steps")), lambda d: _sibling(levels, i, d))
+        return F.transform(_counting(F.size("members")), path)
+
+    # As the variable of a lambda, the levels are made once for a subtree; as a column they would be put in for each use.
+    blocks = blocks.withColumn("paths", F.transform(F.array(made), paths)[0])
     up = upper.select(F.col("tree").alias("_tree"), F.col("idx").alias("_idx"), F.col("path").alias("rest"))
     blocks = blocks.join(up, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("block") == F.col("_idx"))).drop("_tree", "_idx")
     each = F.explode(F.arrays_zip("members", "paths")).alias("each")
