@@ -6,11 +6,15 @@ is by range, so a prefix shared by very many texts is split over tasks.
 
 p(s) is the chance that two texts of similarity s share a prefix in some tree. Prefixes are shortened, from the full
 depth on, until p at the threshold itself reaches the target, whatever the table holds: links that are easy to find
-say nothing of those that are not. Texts that share a prefix of this length in any tree are joined into components;
-all pairs inside a component are compared by their whole signatures, and those that may reach the threshold by their
+say nothing of those that are not.
+
+Texts that share a prefix of this length in a tree are candidates. Candidates are compared by a byte of each value of
+their signatures, and only those that agree often enough to be a link join a component, so that a footer on a million
+pages, which makes many candidates and no link, makes no component. All pairs inside a component are compared by their
 exact sets of n-grams.
 
-Texts with equal sets of n-grams are one node from the start, so copies cost nothing.
+Texts with equal sets of n-grams are one node from the start, so copies cost nothing. A row is told by its number, not
+by its id, which may stand on other texts too.
 """
 
 from __future__ import annotations
@@ -20,11 +24,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyspan.llm.common import map_runs, texts_of
+from keyspan.llm.common import runs as runs_of
 from keyspan.llm.graph import _forest, components, few_files
 from keyspan.llm.words import mix, word_hashes
 from keyspan.session import materialize
@@ -41,6 +45,8 @@ AGREE = 0.58
 BLOCK = 512
 RUN = 1_000_000
 FILTER_BITS = 1 << 23
+
+
 def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of word n-grams, how many each text has), repeats included.
 
@@ -85,7 +91,7 @@ def node_of(shingle_set: np.ndarray) -> int:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n, sig): the n-gram set's 64-bit digest, its size, and its signature (null without n-grams)."""
+    """(doc_id, row, node, n, sig): the n-gram set's 64-bit digest, its size, and its signature (null without n-grams)."""
 
     def work(part: pa.RecordBatch, texts: list[str]) -> dict:
         node, size, sig = [], [], []
@@ -97,15 +103,16 @@ def _described(docs: DataFrame) -> DataFrame:
             size += [len(s) for s in sets]
             sig += [values[j].tobytes() if len(s) else None for j, s in enumerate(sets)]
         return {
-            "doc_id": part.column("doc_id"), "node": pa.array(node, pa.int64()),
+            "doc_id": part.column("doc_id"), "row": part.column("row"), "node": pa.array(node, pa.int64()),
             "n": pa.array(size, pa.int32()), "sig": pa.array(sig, pa.binary()),
         }
 
-    return map_runs(docs, work, "doc_id long, node long, n int, sig binary", RUN)
+    return map_runs(docs, work, "doc_id long, row long, node long, n int, sig binary", RUN)
 
 
-def _trie(nodes: DataFrame, depth: int) -> DataFrame:
-    """(u, v): the nodes of a run with a common prefix of ``depth`` values, linked to the first node of the run."""
+def _runs(nodes: DataFrame, depth: int) -> DataFrame:
+    """(run, node): the nodes that share a prefix of ``depth`` values with another one in some tree. A run is a digest of
+    the tree and the prefix."""
     spark = nodes.sparkSession
 
     def labels(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,68 +127,117 @@ def _trie(nodes: DataFrame, depth: int) -> DataFrame:
             )
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of a sorted part. Its first and last row come out too (negative depth), to join it with its neighbours."""
-        part = TaskContext.get().partitionId()
-        last: tuple[int, bytes] | None = None
-        head = np.int64(0)
-        first_row, tail = None, None
+        """Rows of a sorted part that a neighbour shares the prefix with. The first and the last of a batch come out
+        too, as their neighbours may stand in another one; runs of one are dropped later."""
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
-            tree, node = batch.column("tree").to_numpy(), batch.column("node").to_numpy()
-            raw = batch.column("label").to_pylist()
-            values = np.frombuffer(b"".join(raw), ">u4").reshape(n, DEPTH)
-            before = np.frombuffer(last[1], ">u4")[None] if last else values[:1] + np.uint32(1)
-            same = np.concatenate([before, values[:-1]]) == values
-            same &= (np.append(last[0] if last else -1, tree[:-1]) == tree)[:, None]
-            common = np.cumprod(same, axis=1).sum(axis=1)
-            if first_row is None:
-                first_row = (int(tree[0]), raw[0], int(node[0]))
-            at = np.maximum.accumulate(np.where(common < depth, np.arange(n), -1))
-            own = np.where(at < 0, head, node[np.maximum(at, 0)])
-            head = own[-1]
-            linked = own != node
-            found = int(linked.sum())
-            last = (int(tree[-1]), raw[-1])
-            tail = (int(tree[-1]), raw[-1], int(node[-1]))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "depth": np.full(found, depth, np.int32), "u": node[linked], "v": own[linked],
-                    "tree": pa.nulls(found, pa.int32()), "label": pa.nulls(found, pa.binary()),
-                }
-            )
-        if first_row:
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "depth": np.array([-1, -2], np.int32), "u": np.array([part, part], np.int64),
-                    "v": np.array([first_row[2], tail[2]], np.int64), "tree": np.array([first_row[0], tail[0]], np.int32),
-                    "label": pa.array([first_row[1], tail[1]], pa.binary()),
-                }
-            )
+            values = np.frombuffer(b"".join(batch.column("label").to_pylist()), ">u4").reshape(-1, DEPTH)[:, :depth]
+            run = batch.column("tree").to_numpy().astype(np.uint64)
+            for k in range(depth):
+                run = mix(run * np.uint64(0x9E3779B97F4A7C15) + values[:, k].astype(np.uint64))
+            same = np.concatenate([[True], run[1:] == run[:-1], [True]])
+            keep = same[1:] | same[:-1]
+            yield pa.RecordBatch.from_pydict({"run": run[keep].view(np.int64), "node": batch.column("node").to_numpy()[keep]})
 
     exploded = nodes.select("node", "sig").mapInArrow(labels, "tree int, label binary, node long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = exploded.repartitionByRange(parts, "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
-    runs = materialize(ordered.mapInArrow(walk, "depth int, u long, v long, tree int, label binary"), "forest")
-    # Two rows for each part of the sorted list, however long it is.
-    ends = sorted(((r["u"], r["depth"] == -2, r["tree"], bytes(r["label"]), r["v"]) for r in runs.where("depth < 0").collect()))
-    seams = []
-    for left, right in zip(ends[1:-1:2], ends[2::2]):
-        if left[2] == right[2]:
-            shared = int(np.cumprod(np.frombuffer(left[3], ">u4") == np.frombuffer(right[3], ">u4")).sum())
-            if shared >= depth and right[4] != left[4]:
-                seams.append((right[4], left[4]))
-    edges = runs.where("depth > 0").select("u", "v")
-    return edges.unionByName(spark.createDataFrame(seams, "u long, v long")) if seams else edges
+    return materialize(ordered.mapInArrow(walk, "run long, node long"), "forest")
 
 
-def _links(sig_a, sets_a, sig_b, sets_b, skip: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, similarity) of the pairs of two blocks that reach the threshold, without those in ``skip``."""
+def _spread(members: DataFrame, group: str) -> DataFrame:
+    """``members`` (group, node, blocks, ..) once for each cell (group, i, j), i <= j, that their block (``mine``) meets another in."""
+    mine = F.pmod(F.xxhash64("node"), "blocks")
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    pairs = F.transform(
+        every, lambda b: F.struct(F.least(b, mine).cast("int").alias("i"), F.greatest(b, mine).cast("int").alias("j"))
+    )
+    spread = members.withColumn("mine", mine.cast("int")).withColumn("pair", F.explode(pairs))
+    return spread.select(group, "pair.i", "pair.j", *[c for c in spread.columns if c not in (group, "pair", "blocks")])
+
+
+def _by_cell(rows: DataFrame, group: str) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, F.xxhash64(group, "i", "j"))
+    return dealt.sortWithinPartitions(group, "i", "j", "node")
+
+
+def _cells(batches: Iterable[pa.RecordBatch], group: str) -> Iterator[tuple[int, int, list[dict]]]:
+    """(i, j, rows) of each cell of rows in the order of ``_by_cell``."""
+    key, held = None, []
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            for row in batch.slice(at, 512).to_pylist():
+                own = (row[group], row["i"], row["j"])
+                if own != key:
+                    if held:
+                        yield key[1], key[2], held
+                    key, held = own, []
+                if not held or held[-1]["node"] != row["node"]:  # a text that is there twice counts in mult
+                    held.append(row)
+    if held:
+        yield key[1], key[2], held
+
+
+def _sides(held: list[dict], i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the nodes of both blocks, and the pairs to leave out: each is compared once."""
+    block = np.array([r["mine"] for r in held])
+    a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    return a, b, ~np.triu(np.ones((len(a), len(b)), bool), 1) if i == j else np.zeros((len(a), len(b)), bool)
+
+
+def _agreeing(sig_a: np.ndarray, sig_b: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that agree in enough values to be links."""
     agree = np.zeros(skip.shape, np.int16)
     for k in range(sig_a.shape[1]):
         agree += sig_a[:, k][:, None] == sig_b[:, k][None, :]
-    i, j = np.nonzero((agree >= AGREE * sig_a.shape[1]) & ~skip)
+    return np.nonzero((agree >= AGREE * sig_a.shape[1]) & ~skip)
+
+
+def _likely_edges(runs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): a forest over the candidates that agree in enough values, and whose sizes allow a link."""
+    sized = runs.groupBy("run").agg(F.count("*").alias("size")).where("size > 1")
+    sized = sized.select("run", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
+    members = runs.join(sized, "run").join(nodes.select("node", "n", "sig"), "node")
+
+    def low_bytes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Values that differ agree in their lowest byte in one case of 256, which only lets more pairs pass.
+        at = np.arange(3, 4 * TREES * DEPTH, 4)
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, 4 * TREES * DEPTH)[:, at]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.select(["run", "blocks", "node", "n"]).columns, pa.array([x.tobytes() for x in sig], pa.binary())],
+                names=["run", "blocks", "node", "n", "sig"],
+            )
+
+    members = members.select("run", "blocks", "node", "n", "sig").mapInArrow(
+        low_bytes, "run long, blocks long, node long, n int, sig binary"
+    )
+    rows = _by_cell(_spread(members, "run"), "run")
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for i, j, held in _cells(batches, "run"):
+            sig = np.frombuffer(b"".join(r["sig"] for r in held), np.uint8).reshape(len(held), -1)
+            n, node = np.array([r["n"] for r in held]), np.array([r["node"] for r in held], np.int64)
+            a, b, skip = _sides(held, i, j)
+            least, most = np.minimum(n[a][:, None], n[b][None, :]), np.maximum(n[a][:, None], n[b][None, :])
+            x, y = _agreeing(sig[a], sig[b], skip | (least < threshold * most - 1e-9))
+            if len(x):
+                out += zip(*(e.tolist() for e in _forest(node[a[x]], node[b[y]])))
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_pydict({"u": [u for u, _ in out], "v": [v for _, v in out]})
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pydict({"u": [u for u, _ in out], "v": [v for _, v in out]})
+
+    return materialize(rows.mapInArrow(work, "u long, v long"), "likely")
+
+
+def _links(sig_a, sets_a, sig_b, sets_b, skip: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, similarity) of the pairs of two blocks that reach the threshold, without those in ``skip``."""
+    i, j = _agreeing(sig_a, sig_b, skip)
     if not len(i):
         return i, j, np.empty(0)
     # Groups of texts that may be alike; their sets are compared as one product of 0/1 matrices.
@@ -229,40 +285,15 @@ def _hit(names: np.ndarray, at: np.ndarray, values: np.ndarray) -> np.ndarray:
 def _verified(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """Links inside components: rows (kind, a, b).
 
-    ``members`` has node, rep (a document), mult, comp, blocks. kind 0: node a has links to b documents more; kind 1:
+    ``members`` has node, rep (a document's id), mult, comp, blocks. kind 0: node a has links to b documents more; kind 1:
     a and b are in one class.
     """
-    mine = F.pmod(F.xxhash64("node"), "blocks")
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    pairs = F.transform(
-        every, lambda b: F.struct(F.least(b, mine).cast("int").alias("i"), F.greatest(b, mine).cast("int").alias("j"))
-    )
-    spread = members.withColumn("mine", mine.cast("int")).withColumn("pair", F.explode(pairs))
-    reps = members.select(F.col("rep").alias("doc_id"), "node")
-    rows = _likely(docs, reps).join(reps, "doc_id").select("node", "text")
-    rows = rows.join(spread.select("node", "mult", "comp", "mine", "pair.i", "pair.j"), "node")
-    rows = rows.withColumn("cell", F.xxhash64("comp", "i", "j"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "cell").sortWithinPartitions("comp", "i", "j", "node")
-
-    def cells(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
-        key, held = None, []
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                for row in batch.slice(at, 512).to_pylist():
-                    own = (row["comp"], row["i"], row["j"])
-                    if own != key:
-                        if held:
-                            yield key, held
-                        key, held = own, []
-                    if not held or held[-1]["node"] != row["node"]:  # a document that is there twice counts in mult
-                        held.append(row)
-        if held:
-            yield key, held
+    rows = _texts(docs, members.select("rep")).join(_spread(members.drop("rep"), "comp"), "node")
+    rows = _by_cell(rows.select("comp", "i", "j", "mine", "node", "mult", "text"), "comp")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int]] = []
-        for (_, i, j), held in cells(batches):
+        for i, j, held in _cells(batches, "comp"):
             hashes, counts = [], []
             for at in range(0, len(held), 500):
                 h, c = shingles([r["text"] for r in held[at : at + 500]])
@@ -271,11 +302,7 @@ def _verified(docs: DataFrame, members: DataFrame, threshold: float) -> DataFram
             hashes, counts = np.concatenate(hashes), np.concatenate(counts)
             sig, sets = signatures(hashes, counts), distinct_sets(hashes, counts)
             node, mult = (np.array([r[x] for r in held], np.int64) for x in ("node", "mult"))
-            block = np.array([r["mine"] for r in held])
-            a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            skip = np.zeros((len(a), len(b)), bool)
-            if i == j:
-                skip = ~np.triu(~skip, 1)
+            a, b, skip = _sides(held, i, j)
             x, y, _ = _links(sig[a], [sets[k] for k in a], sig[b], [sets[k] for k in b], skip, threshold)
             x, y = a[x], b[y]
             if not len(x):
@@ -289,29 +316,37 @@ def _verified(docs: DataFrame, members: DataFrame, threshold: float) -> DataFram
         if out:
             yield _batch(out)
 
-    return rows.select("comp", "i", "j", "mine", "node", "mult", "text").mapInArrow(work, "kind int, a long, b long")
+    return rows.mapInArrow(work, "kind int, a long, b long")
 
 
-def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``docs`` without most of the rows whose id is not wanted, so that the join after it moves few texts.
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of ``docs`` with most of the rows left out whose id is not wanted, each node once per task.
 
-    A bit set of fixed size (``FILTER_BITS``, 1 MiB) goes to the executors, whatever the number of ids; if there
-    are so many that it fills up, it lets all rows pass and the join sorts them out.
+    An id may stand on other texts than the wanted one, so the node is made from the text again. A bit set of fixed
+    size (``FILTER_BITS``, 1 MiB) goes to the executors, whatever the number of ids; if there are so many that it fills
+    up, it lets all rows pass and the join after it sorts them out.
     """
     spark = docs.sparkSession
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = wanted.select(slot.alias("s")).selectExpr("CAST(s DIV 64 AS INT) AS w", "shiftleft(1L, CAST(s % 64 AS INT)) AS bit")
+    words = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)).alias("s"))
+    words = words.selectExpr("CAST(s DIV 64 AS INT) AS w", "shiftleft(1L, CAST(s % 64 AS INT)) AS bit")
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     for part in words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
         bits[part["w"]] = part["bits"]
     sent = spark.sparkContext.broadcast(np.packbits(np.unpackbits(bits.view(np.uint8), bitorder="little")).tobytes())
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(np.frombuffer(sent.value, np.uint8)).view(bool)
+        known, seen = np.unpackbits(np.frombuffer(sent.value, np.uint8)).view(bool), set()
         for batch in batches:
-            yield batch.filter(pa.array(known[batch.column("slot").to_numpy()])).select(["doc_id", "text"])
+            some = batch.filter(pa.array(known[batch.column("slot").to_numpy()]))
+            for part, texts in runs_of(some, chars=RUN):
+                sets = distinct_sets(*shingles(texts))
+                node = [node_of(s) if len(s) else None for s in sets]
+                new = [n is not None and n not in seen and not seen.add(n) for n in node]
+                yield pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "text": part.column("text")}).filter(pa.array(new))
 
-    return docs.where("doc_id IS NOT NULL").withColumn("slot", slot).mapInArrow(work, "doc_id long, text string")
+    rows = docs.where("doc_id IS NOT NULL").select("text", slot.alias("slot"))
+    return rows.mapInArrow(work, "node long, text string")
 
 
 def _batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
@@ -319,25 +354,41 @@ def _batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _recall(levels: list[tuple[int, int]], depth: int, threshold: float) -> float:
-    """Links found, over the links they stand for. Without any, the chance of finding one at the threshold."""
-
-    def found(s: float) -> float:
-        return 1 - (1 - s**depth) ** TREES
-
-    if not levels:
-        return found(threshold)
-    return sum(n for _, n in levels) / sum(n / found(s / 1000) for s, n in levels)
+def _recall(depth: int, threshold: float) -> float:
+    """The chance that a link at the threshold shares a prefix of ``depth`` values in some tree."""
+    return 1 - (1 - threshold**depth) ** TREES
 
 
 def _depth(threshold: float) -> int:
     """The longest prefix at which a link at the threshold itself is found with the target's chance."""
     for depth in range(DEPTH, SHALLOWEST, -1):
-        if _recall([], depth, threshold) >= TARGET:
+        if _recall(depth, threshold) >= TARGET:
             return depth
     return SHALLOWEST
 
 
+def _classes(texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, row, node) of ``texts`` (doc_id, row, text) that have an id, and their nodes: (node, class_id, first,
+    n_links). ``first`` is the number of the class's first row, by id and number."""
+    described = materialize(_described(texts.where("doc_id IS NOT NULL")), "signatures")
+    first = F.min(F.struct("doc_id", "row", "n", "sig")).alias("first")
+    nodes = described.where("node IS NOT NULL").groupBy("node").agg(first, F.count("*").alias("mult"))
+    nodes = materialize(nodes.select("node", F.col("first.doc_id").alias("rep"), "first.row", "first.n", "first.sig", "mult"), "nodes")
+    comps = components(_likely_edges(_runs(nodes, _depth(threshold)), nodes, threshold), "likely-components")
+    size = comps.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    members = few_files(comps.join(nodes.select("node", "rep", "mult"), "node").join(size, "comp"), "members")
+    links = materialize(_verified(texts, members, threshold), "links")
+    classes = components(links.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")), "link-components")
+    least = classes.join(nodes.select("node", "rep", "row"), "node").groupBy("comp").agg(F.min(F.struct("rep", "row")).alias("least"))
+    counted = links.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
+    linked = classes.join(least, "comp").join(counted, "node", "left").select("node", "least", "links")
+    known = nodes.join(linked, "node", "left").select(
+        "node", F.coalesce("least.rep", "rep").alias("class_id"), F.coalesce("least.row", "row").alias("first"),
+        (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"),
+    )
+    return described.select("doc_id", "row", "node"), known
+
+
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links): one row per document.
 
@@ -346,42 +397,36 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     included; ``class_id`` is the least doc_id among those that links connect, directly or through others.
 
     Texts without a word (null, empty) and rows without an id are linked with nothing; class_id is then doc_id.
-    Texts of fewer than five words have one n-gram of all of them. Repeated rows with one id count as two documents
-    that are copies. An empty table gives no rows; other columns are not read.
+    Texts of fewer than five words have one n-gram of all of them. Rows that repeat an id are documents of their own,
+    whether their texts are equal or not. An empty table gives no rows; other columns are not read.
 
     Number of links is exact within the forest's recall: two texts at a similarity of 0.8 miss each other in one case
     of 13,000, at 0.85 in one of 580,000. Thresholds below 0.73 miss the target at the shortest prefix, 3 values.
 
-    Members of a component meet in blocks of bounded size, so a group of n texts that are alike but not equal takes
-    n * n / 2 comparisons inside tasks and n / BLOCK copies of its texts; no pair is ever a row.
+    Candidates, and then members of a component, meet in blocks of bounded size, so a group of n texts that are alike but
+    not equal takes n * n / 2 comparisons inside tasks and n / BLOCK copies of its texts; no pair is ever a row.
     """
-    texts = texts_of(docs, id_col, text_col)
-    described = materialize(_described(texts.where("doc_id IS NOT NULL")), "signatures")
-    nodes = materialize(
-        described.where("node IS NOT NULL")
-        .groupBy("node")
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.min(F.struct("doc_id", "sig"))["sig"].alias("sig")),
-        "nodes",
-    )
-    comps = components(_trie(nodes, _depth(threshold)), "forest-components")
-    size = comps.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    members = few_files(comps.join(nodes.select("node", "rep", "mult"), "node").join(size, "comp"), "members")
-    links = materialize(_verified(texts, members, threshold), "links")
-    classes = components(links.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")), "link-components")
-    least = classes.join(nodes.select("node", "rep"), "node").groupBy("comp").agg(F.min("rep").alias("class_id"))
-    counted = links.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
-    linked = classes.join(least, "comp").join(counted, "node", "left").select("node", "class_id", "links")
-    known = nodes.join(linked, "node", "left").select(
-        "node", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links")
-    )
+    texts = texts_of(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    described, known = _classes(texts, threshold)
     alone = described.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     unnamed = texts.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    named = described.select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "n_links")
+    named = described.join(known, "node").select("doc_id", "class_id", "n_links")
     return named.unionByName(alone).unionByName(unnamed)
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, without those whose class has a document with a smaller id."""
-    classes = jaccard_classes(docs.select("doc_id", "text"), threshold)
-    extra = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs``, all columns, one of each class: that with the least id, and of several with this id one.
+
+    Rows without a word or an id are a class each and stay. The table is written once, with the number of each row.
+    """
+    number = "row"
+    while number in docs.columns:
+        number += "_"
+    stored = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    texts = stored.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.col(number).alias("row"),
+    )
+    described, known = _classes(texts, threshold)
+    extra = described.join(known, "node").where(F.col("row") != F.col("first")).select(F.col("row").alias(number))
+    return stored.join(extra, number, "left_anti").select(*docs.columns)

@@ -71,16 +71,35 @@ def test_a_group_larger_than_a_block(spark, monkeypatch):
     assert found(spark, rows) == brute(rows)
 
 
-def test_shorter_prefixes_are_tried(spark, monkeypatch):
-    """Links close to the threshold need them; the estimate of the recall asks for it."""
-    depths = []
-    recall = neardup._recall
-    monkeypatch.setattr(neardup, "_recall", lambda levels, depth, threshold: depths.append(depth) or recall(levels, depth, threshold))
-    rnd = random.Random(5)
-    rows = list(enumerate(t for _ in range(60) for t in near_copies(rnd, 2, 5, 100)))
+def test_prefixes_are_shortened_until_the_target():
+    """Links close to the threshold need shorter prefixes, whatever the table holds."""
+    depths = [neardup._depth(t) for t in (0.95, 0.9, 0.8, 0.75)]
+    assert depths == sorted(depths, reverse=True) and depths[0] == neardup.DEPTH and depths[-1] < neardup._depth(0.95)
+    for threshold, depth in zip((0.95, 0.9, 0.8, 0.75), depths):
+        assert neardup._recall(depth, threshold) >= neardup.TARGET
+        assert depth == neardup.DEPTH or neardup._recall(depth + 1, threshold) < neardup.TARGET
+
+
+def test_ids_that_repeat_under_other_texts(spark):
+    """Near copies whose ids also stand on texts of their own, and one id on a third of the rows."""
+    rnd = random.Random(11)
+    rows = [(k, t) for k in range(20) for t in near_copies(rnd, 2, 4, 80)]
+    rows += [(k % 20, " ".join(f"v{rnd.randrange(10**6)}" for _ in range(60))) for k in range(60)]
+    rows += [(3, " ".join(f"z{rnd.randrange(10**6)}" for _ in range(40))) for _ in range(60)]
+    rnd.shuffle(rows)
     assert found(spark, rows) == brute(rows)
-    assert len(depths) > 1
-    assert neardup._recall([(1000, 5)], 6, 0.8) == 1.0 > neardup._recall([(800, 5)], 6, 0.8) > 0.9
+
+
+def test_a_shared_footer_makes_no_component(spark, monkeypatch):
+    """Pages that share a fifth of their words are candidates of each other, and none is a link."""
+    rnd = random.Random(12)
+    footer = " ".join(f"foot{k}" for k in range(40))
+    rows = [(i, " ".join(f"b{rnd.randrange(10**6)}" for _ in range(rnd.randint(60, 90))) + " " + footer) for i in range(1500)]
+    sizes = []
+    made = neardup.components
+    monkeypatch.setattr(neardup, "components", lambda edges, label: sizes.append(edges.count()) or made(edges, label))
+    assert {(i, c, n) for i, c, n in found(spark, rows)} == {(i, i, 0) for i, _ in rows}
+    assert sizes[0] <= 5
 
 
 def test_a_large_group_does_not_decide_for_small_ones(spark):
@@ -92,7 +111,7 @@ def test_a_large_group_does_not_decide_for_small_ones(spark):
         texts += [" ".join(words), " ".join(words[:-5] + [f"q{rnd.randrange(10**7)}" for _ in range(5)])]
     links = {i: n for i, _, n in found(spark, list(enumerate(texts)))}
     assert [i for i in range(700, 1700) if links[i] != 1] == []
-    assert neardup._recall([], neardup._depth(neardup.THRESHOLD), neardup.THRESHOLD) >= neardup.TARGET
+    assert neardup._recall(neardup._depth(neardup.THRESHOLD), neardup.THRESHOLD) >= neardup.TARGET
 
 
 def test_odd_rows(spark):
@@ -113,6 +132,19 @@ def test_one_of_each(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 5, 6, 7]
 
 
+def test_one_of_each_keeps_one_row_of_each_class_and_no_text_is_lost(spark):
+    """An id on several texts, equal rows with one id, and columns with names of the operator's own."""
+    rnd = random.Random(13)
+    pair = near_copies(rnd, 2, 2, 300)
+    rows = [(1, pair[0], 0, "a"), (2, pair[1], 0, "b"), (2, "a text of its own under the same id", 0, "c")]
+    rows += [(4, "the very same row twice over here", 0, "d")] * 2 + [(None, "without an id", 0, "e")] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string, row int, node string").repartition(3)
+    kept = neardup.one_of_each(frame)
+    assert kept.columns == frame.columns
+    assert sorted(r.node for r in kept.collect()) == ["a", "c", "d", "e", "e"]
+    assert neardup.one_of_each(frame.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 4, 5, 6, 30])
 def test_shingles_and_exact_similarity(n):
     texts = [" ".join(f"w{i}" for i in range(n)), "", "w0 w1", " ".join(f"w{i % 3}" for i in range(n))]
