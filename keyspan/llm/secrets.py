@@ -4,13 +4,18 @@ A worklist holds layers of a document: the text itself, then what its URL escape
 and compressed bytes decode to, and so on until no new layer appears. Every layer is scanned with the same
 patterns; each character of a layer knows the part of the document that it came from, so a find in a deep
 layer is reported as a span of the document. Layers seen before (cycles included) are not opened again.
+
+Compressed bytes are inflated in steps. A long layer is scanned piece by piece, each ending after a character that no
+pattern and no code runs over, so that nothing is missed between two pieces and nothing long is held whole.
 """
 
 from __future__ import annotations
 
 import binascii
 import bz2
+import codecs
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -18,6 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,22 +35,22 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
-#: A run of base64, over single line breaks; it may begin anew after each break and each slash.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])([A-Za-z0-9+/]{16,}+(?:[ \t]*(?:\r\n?|\n)[ \t]*[A-Za-z0-9+/]++)*+|[A-Za-z0-9+/]++(?:[ \t]*(?:\r\n?|\n)[ \t]*[A-Za-z0-9+/]++)++)={0,2}")
-BASE64_URL = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{16,}+(?:[ \t]*(?:\r\n?|\n)[ \t]*[A-Za-z0-9_-]++)*+|[A-Za-z0-9_-]++(?:[ \t]*(?:\r\n?|\n)[ \t]*[A-Za-z0-9_-]++)++)={0,2}")
-BREAK = re.compile(r"[ \t\r\n]+")
-START = re.compile(r"[ \t\r\n]+|/")
+#: A run of base64, over single line breaks, also where they are written as escapes; it may begin anew after each break and each slash.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/])([A-Za-z0-9+/]{16,}+(?:[ \t]*(?:\r\n?|\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/]++)*+|[A-Za-z0-9+/]++(?:[ \t]*(?:\r\n?|\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/]++)++)={0,2}")
+BASE64_URL = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{16,}+(?:[ \t]*(?:\r\n?|\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9_-]++)*+|[A-Za-z0-9_-]++(?:[ \t]*(?:\r\n?|\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9_-]++)++)={0,2}")
+BREAK = re.compile(r"(?:[ \t\r\n]|(?:\\r)?\\n)+")
+START = re.compile(r"(?:[ \t\r\n]|(?:\\r)?\\n)+|/")
 CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
 #: Characters of base64 that a run has at least, and the bytes they hold.
 LEAST, LEAST_BYTES = 16, 12
-#: A compressed layer is read up to so many bytes; where one is longer, the document's ``cut`` is true.
-INFLATE_BYTES = 64 << 20
-#: How a compressed stream begins, and what reads it in steps.
-STREAMS = (
-    (b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"x\x01", zlib.decompressobj), (b"x^", zlib.decompressobj),
-    (b"x\x9c", zlib.decompressobj), (b"x\xda", zlib.decompressobj), (b"BZh", bz2.BZ2Decompressor),
-    (b"\xfd7zXZ\x00", lzma.LZMADecompressor),
-)
+#: Characters of a piece of a long layer (more where no place to cut comes), and bytes that are decompressed in one step.
+PIECE, STEP = 1 << 20, 1 << 20
+#: Characters that no pattern and no code goes over.
+CUT = re.compile(r"[^A-Za-z0-9+/_.=\"':%\\&#; \t\r\n-]")
+#: How a compressed stream begins. Those of zlib are read without their checksums, which may be wrong.
+GZIP, ZLIB, BZIP, XZ, ZSTD = b"\x1f\x8b\x08", (b"x\x01", b"x^", b"x\x9c", b"x\xda"), b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd"
+#: Layers of compression directly inside one another that are opened, so that a stream that holds itself ends.
+NESTED = 16
 
 Span = tuple[int, int, int]
 
@@ -91,50 +97,135 @@ class Layer:
 
     def region(self, start: int, end: int, text: str) -> Layer:
         low, high = self.place(start, end)
-        return Layer(text, np.full(len(text), low), np.full(len(text), high))
-
-
-def inflate(data: bytes) -> tuple[bytes | None, bool]:
-    """What a compressed stream holds (None: it is none), and whether the limit cut it."""
-    for head, reader in STREAMS:
-        if data.startswith(head):
-            out, stream = [], reader()
-            size = 0
-            try:
-                while True:
-                    out.append(stream.decompress(data, INFLATE_BYTES - size))
-                    size += len(out[-1])
-                    if size >= INFLATE_BYTES:
-                        return b"".join(out), not stream.eof or bool(stream.unused_data)
-                    data = stream.unused_data.lstrip(b"\0")
-                    if not stream.eof or not data.startswith(head):
-                        break
-                    stream = reader()
-            except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-                # What came out before stands; of a stream that breaks later in its first step, nothing did.
-                pass
-            return (b"".join(out), False) if out else (None, False)
-    if data.startswith(b"\x28\xb5\x2f\xfd"):
-        import zstandard
+        return Layer(text, np.broadcast_to(np.int64(low), len(text)), np.broadcast_to(np.int64(high), len(text)))
+
+
+def _member(data: bytes) -> tuple[object, int] | None:
+    """What reads the stream that ``data`` begins with, and the bytes before its body. None: it is no known stream."""
+    if data.startswith(GZIP) and len(data) > 10:
+        flags, at = data[3], 10
+        if flags & 4:
+            at += 2 + int.from_bytes(data[at : at + 2], "little")
+        for bit in (8, 16):
+            if flags & bit:
+                at = data.find(b"\0", at) + 1 or len(data)
+        return zlib.decompressobj(-15), at + (2 if flags & 2 else 0)
+    if data.startswith(ZLIB):
+        return zlib.decompressobj(-15), 2
+    if data.startswith(BZIP):
+        return bz2.BZ2Decompressor(), 0
+    if data.startswith(XZ):
+        return lzma.LZMADecompressor(), 0
+    if data.startswith(ZSTD):
+        return zstandard.ZstdDecompressor().decompressobj(), 0
+    return None
+
+
+def inflated(data: bytes, raw: bool = False) -> Iterator[bytes]:
+    """What all members of a compressed stream hold, in steps. Where one breaks, what came out before stands.
+
+    ``raw``: bytes without a known beginning are read as a deflate stream.
+    """
+    while True:
+        found = _member(data) or ((zlib.decompressobj(-15), 0) if raw else None)
+        if found is None:
+            return
+        stream, at = found
+        kind, raw = type(stream).__module__, False
+        data = memoryview(data)[at:]
+        # A few bytes of zstd may hold very many, and it gives them all at once.
+        width = 256 if kind not in ("zlib", "bz2", "lzma", "_bz2", "_lzma") else 1 << 16
+        at = 0
+        try:
+            while not stream.eof and at < len(data):
+                part = data[at : at + width]
+                at += len(part)
+                if kind == "zlib":
+                    while part and not stream.eof:
+                        yield stream.decompress(part, STEP)
+                        part = stream.unconsumed_tail
+                elif width == 256:
+                    yield stream.decompress(bytes(part))
+                else:
+                    yield stream.decompress(part, STEP)
+                    while not stream.eof and not stream.needs_input:
+                        yield stream.decompress(b"", STEP)
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError, zstandard.ZstdError):
+            return
+        if not stream.eof:
+            return
+        rest = bytes(stream.unused_data) + bytes(data[at:])
+        if kind == "zlib":  # after the checksum and its length, or zeros that fill up a block
+            rest = rest[8:] if rest[8:].lstrip(b"\0").startswith(GZIP) else rest[4:]
+        data = rest.lstrip(b"\0")
+
 
+def compressed(data: bytes) -> bool:
+    return data.startswith((GZIP, *ZLIB, BZIP, XZ, ZSTD))
+
+
+def coding(data: bytes) -> str:
+    """The encoding that bytes seem to have: UTF-8, or UTF-16 where they begin with its mark or every second one is 0."""
+    if data.startswith((b"\xff\xfe", b"\xfe\xff")):
+        return "utf-16"
+    head = data[:64]
+    if len(head) >= 8 and b"\0" in head:
+        if not any(head[1::2]):
+            return "utf-16-le"
+        if not any(head[0::2]):
+            return "utf-16-be"
+    return "utf-8"
+
+
+def pieces(parts: Iterable[bytes]) -> Iterator[str]:
+    """The text that bytes hold, in pieces; it ends where they are no text, and a beginning that is none gives nothing."""
+    decoder, held = None, ""
+    for part in parts:
+        if not part:
+            continue
+        if decoder is None:
+            decoder = codecs.getincrementaldecoder(coding(part))()
         try:
-            reader = zstandard.ZstdDecompressor().stream_reader(data)
-            out = reader.read(INFLATE_BYTES)
-            return out, len(out) >= INFLATE_BYTES
-        except zstandard.ZstdError:
-            return None, False
-    return None, False
+            new = decoder.decode(part)
+        except UnicodeDecodeError:
+            return
+        if CONTROL.search(new):
+            return
+        held += new
+        if len(held) > PIECE:
+            for at in range(len(held), len(held) - PIECE // 2, -256):  # the last place where the text can be cut
+                if places := [m.end() for m in CUT.finditer(held, at - 256, at)]:
+                    yield held[: places[-1]]
+                    held = held[places[-1] :]
+                    break
+    if held:
+        yield held
 
 
 def readable(data: bytes) -> str | None:
     """The text that bytes hold, or None if they are not text."""
     try:
-        text = data.decode()
+        text = data.decode(coding(data))
     except UnicodeDecodeError:
         return None
     return text if text and not CONTROL.search(text) else None
 
 
+def unpacked(data: bytes) -> Iterator[str]:
+    """The text inside compressed bytes, however often they are compressed, in pieces."""
+    stream, raw = data, not compressed(data)
+    for _ in range(NESTED):
+        parts = inflated(stream, raw)
+        first = next((p for p in parts if p), b"")
+        if not compressed(first):
+            if raw and len(first) < LEAST_BYTES:
+                return
+            yield from pieces(itertools.chain([first], parts))
+            return
+        # A stream inside a stream is held whole; it is smaller than what it holds.
+        stream, raw = first + b"".join(parts), False
+
+
 def beginning(data: bytes) -> str:
     """The longest text that bytes begin with."""
     try:
@@ -188,7 +279,7 @@ def base64_in(text: str, pattern: re.Pattern, table: dict | None) -> Iterator[tu
                 if size >= len(run) - at or read < len(data) - 3:
                     break
                 size *= 4
-            if compressed(data):
+            if compressed(data) or coding(data) != "utf-8" or (at == 0 and read < LEAST_BYTES):
                 data = decoded(run[at:])
                 yield int(place[at]), m.end(), data, new if read >= LEAST_BYTES else ""
             elif read >= LEAST_BYTES:
@@ -197,10 +288,6 @@ def base64_in(text: str, pattern: re.Pattern, table: dict | None) -> Iterator[tu
                 yield int(place[at]), m.end() if last == len(run) else int(place[last - 1]) + 1, b"", new
 
 
-def compressed(data: bytes) -> bool:
-    return data.startswith((*(head for head, _ in STREAMS), b"\x28\xb5\x2f\xfd"))
-
-
 def _escaped(m: re.Match) -> str | None:
     code = m[0]
     try:
@@ -218,9 +305,9 @@ def _escaped(m: re.Match) -> str | None:
         return None
 
 
-def opened(layer: Layer) -> tuple[list[Layer], bool]:
-    """The layers directly below one, and whether the size limit cut one of them."""
-    text, out, cut = layer.text, [], False
+def opened(layer: Layer) -> Iterator[Layer]:
+    """The layers directly below one, made one at a time."""
+    text = layer.text
     bytes_in: list[tuple[int, int, bytes]] = []
     if "%" in text:
         parts = []
@@ -231,7 +318,7 @@ def opened(layer: Layer) -> tuple[list[Layer], bool]:
             else:
                 bytes_in.append((m.start(), m.end(), data))
         if parts:
-            out.append(layer.replaced(parts))
+            yield layer.replaced(parts)
     if "\\" in text or "&#" in text:
         parts = []
         for m in UNICODE.finditer(text):
@@ -240,48 +327,42 @@ def opened(layer: Layer) -> tuple[list[Layer], bool]:
             elif m[0].startswith("\\x"):
                 bytes_in.append((m.start(), m.end(), bytes.fromhex(m[0].replace("\\x", ""))))
         if parts:
-            out.append(layer.replaced(parts))
+            yield layer.replaced(parts)
     for pattern, table in ((BASE64, None), (BASE64_URL, str.maketrans("-_", "+/"))):
         for a, b, data, new in base64_in(text, pattern, table):
             if new:
-                out.append(layer.region(a, b, new))
-            if data and readable(data) is None:
+                yield layer.region(a, b, new)
+            if data and (not new or readable(data) is None):
                 bytes_in.append((a, b, data))
     for a, b, data in bytes_in:
         if (new := readable(data)) is not None:
-            out.append(layer.region(a, b, new))
+            yield layer.region(a, b, new)
         else:
-            plain, over = inflate(data)
-            cut |= over
-            while plain is not None and (new := readable(plain)) is None:
-                below, over = inflate(plain)
-                cut |= over
-                plain = below if below != plain else None
-            if plain is not None:
-                out.append(layer.region(a, b, new))
-    return out, cut
-
-
-def find_secrets(text: str) -> tuple[list[tuple[int, int, int, bool]], bool]:
-    """(start, kind number, end, found in the text itself) of all finds in order, and whether a layer was cut."""
+            for new in unpacked(data):
+                yield layer.region(a, b, new)
+
+
+def find_secrets(text: str) -> list[tuple[int, int, int, bool]]:
+    """(start, kind number, end, found in the text itself) of all finds in order."""
     base = set(scan(text))
-    found, cut = set(base), False
+    found = set(base)
     seen = {hashlib.sha256(text.encode("utf-8", "replace")).digest()}
-    work = [Layer(text)]
+    work = [opened(Layer(text))]
     while work:
-        layers, over = opened(work.pop())
-        cut |= over
-        for layer in layers:
-            # A layer is the same if its text is and if it stands for the same place.
-            key = layer.text.encode("utf-8", "replace") + b"%d:%d" % layer.place(0, len(layer.text))
-            digest = hashlib.sha256(key).digest()
-            if digest not in seen:
-                seen.add(digest)
-                work.append(layer)
-                for start, kind, end in scan(layer.text):
-                    low, high = layer.place(start, end)
-                    found.add((low, kind, high))
-    return [(*span, span in base) for span in sorted(found)], cut
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        # A layer is the same if its text is and if it stands for the same place.
+        key = layer.text.encode("utf-8", "replace") + b"%d:%d" % layer.place(0, len(layer.text))
+        digest = hashlib.sha256(key).digest()
+        if digest not in seen:
+            seen.add(digest)
+            for start, kind, end in scan(layer.text):
+                low, high = layer.place(start, end)
+                found.add((low, kind, high))
+            work.append(opened(layer))
+    return [(*span, span in base) for span in sorted(found)]
 
 
 def redacted(text: str, spans: list[tuple[int, int, int, bool]], mark: str) -> str:
@@ -295,11 +376,11 @@ def redacted(text: str, spans: list[tuple[int, int, int, bool]], mark: str) -> s
 
 
 def secret_spans(docs: DataFrame, mark: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Secrets of every whole text: (doc_id, spans, cut), and with ``mark`` the text without them as ``clean``.
+    """Secrets of every whole text: (doc_id, spans), and with ``mark`` the text without them as ``clean``.
 
     ``spans`` holds (kind, start, end, base) in code points, end exclusive, ordered by start, kind (assign, access,
     hex) and end; ``base`` tells finds in the text itself from those in decoded layers. ``clean`` is null where
-    nothing was found. ``cut`` is true if a compressed layer was longer than 64 MiB, of which that much is read.
+    nothing was found. Layers are read whole, however long.
 
     One pass without a shuffle. Null texts count as empty and have no spans; repeated rows stay as they are; an
     empty table gives no rows; other columns are not read. Bytes that decode to no text are no layer.
@@ -307,15 +388,15 @@ def secret_spans(docs: DataFrame, mark: str | None = None, id_col: str = "doc_id
 
     def work(part: pa.RecordBatch, texts: list[str]) -> dict:
         got = [find_secrets(t) for t in texts]
-        spans = [[{"kind": KINDS[k], "start": a, "end": b, "base": own} for a, k, b, own in found] for found, _ in got]
+        spans = [[{"kind": KINDS[k], "start": a, "end": b, "base": own} for a, k, b, own in found] for found in got]
         kind = pa.list_(pa.struct({"kind": pa.string(), "start": pa.int64(), "end": pa.int64(), "base": pa.bool_()}))
-        out = {"doc_id": part.column("doc_id"), "spans": pa.array(spans, kind), "cut": [c for _, c in got]}
+        out = {"doc_id": part.column("doc_id"), "spans": pa.array(spans, kind)}
         if mark is not None:
-            clean = [redacted(t, found, mark) if found else None for t, (found, _) in zip(texts, got)]
+            clean = [redacted(t, found, mark) if found else None for t, found in zip(texts, got)]
             out["clean"] = pa.array(clean, pa.string())
         return out
 
-    schema = "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>, cut boolean"
+    schema = "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>"
     return map_runs(texts_of(docs, id_col, text_col), work, schema + (", clean string" if mark is not None else ""))
 
 
@@ -330,7 +411,7 @@ def redacted_documents(docs: DataFrame, mark: str = "[SECRET]", text_col: str =
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in runs(batch, text_col):
-                found = [find_secrets(t)[0] if t else [] for t in texts]
+                found = [find_secrets(t) if t else [] for t in texts]
                 if any(found):
                     columns = part.columns
                     columns[at] = pa.array([redacted(t, f, mark) if f else t for t, f in zip(texts, found)], columns[at].type)

@@ -8,6 +8,8 @@ import lzma
 import urllib.parse
 import zlib
 
+import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -67,7 +69,7 @@ PART = st.sampled_from(
 @given(st.lists(PART, max_size=12).map("".join))
 def test_base_as_by_hand(text):
     assert sorted(secrets.scan(text)) == brute(text)
-    kept = [s[:3] for s in secrets.find_secrets(text)[0] if s[3]]
+    kept = [s[:3] for s in secrets.find_secrets(text) if s[3]]
     assert kept == brute(text)
 
 
@@ -75,7 +77,7 @@ PLAIN = "password=hunter2hunter2"
 
 
 def only(text):
-    return [(text[a:b], k, own) for a, k, b, own in secrets.find_secrets(text)[0]]
+    return [(text[a:b], k, own) for a, k, b, own in secrets.find_secrets(text)]
 
 
 def test_each_layer():
@@ -112,21 +114,54 @@ def test_all_members_and_escaped_bytes():
 
 def test_spans_are_of_the_document():
     text = "one %70assword%3Dhunter2hunter2 two"
-    assert [(a, b) for a, _, b, own in secrets.find_secrets(text)[0] if not own] == [(4, 31)]
+    assert [(a, b) for a, _, b, own in secrets.find_secrets(text) if not own] == [(4, 31)]
     code = base64.b64encode(PLAIN.encode()).decode()
-    assert [(a, b) for a, _, b, own in secrets.find_secrets(f"é {code}")[0] if not own] == [(2, 2 + len(code))]
+    assert [(a, b) for a, _, b, own in secrets.find_secrets(f"é {code}") if not own] == [(2, 2 + len(code))]
 
 
 def test_layers_that_repeat_end():
     text = "%2525252541" * 50 + base64.b64encode(b"A" * 300).decode() * 3
-    assert secrets.find_secrets(text) == ([], False)
-
-
-def test_too_long_a_layer_is_told(monkeypatch):
-    monkeypatch.setattr(secrets, "INFLATE_BYTES", 1000)
-    code = base64.b64encode(zlib.compress(PLAIN.encode() + b" " * 100_000)).decode()
-    found, cut = secrets.find_secrets(code)
-    assert cut and len(found) == 1
+    assert secrets.find_secrets(text) == []
+
+
+@pytest.mark.parametrize("filler", ["line of plain words, and more\n", "ä ö ü, "])
+def test_long_layers_are_read_whole(filler):
+    """70 MiB of text with a secret at the beginning, one in the middle over the end of a step, and one at the end."""
+    head = PLAIN + ", "
+    half = (35 << 20) // len(filler.encode())
+    inside = head + filler * half + "token=" + "q" * (3 << 20) + ", " + filler * half + "secret = tail12345678"
+    code = base64.b64encode(zlib.compress(inside.encode(), 1)).decode()
+    assert [s[1:] for s in secrets.find_secrets(code)] == [(0, len(code), False)]
+    for only_one in (head + filler * (2 * half), filler * (2 * half) + "secret = tail12345678", filler * half + "token=" + "q" * (3 << 20)):
+        code = base64.b64encode(zlib.compress(only_one.encode(), 1)).decode()
+        assert [s[1:] for s in secrets.find_secrets(code)] == [(0, len(code), False)]
+
+
+def test_more_streams_and_encodings():
+    frames = zstandard.compress(b"first frame, ") + zstandard.compress(PLAIN.encode())
+    broken = bytearray(gzip.compress(PLAIN.encode() + b", and some more words", mtime=0))
+    broken[-6] ^= 255
+    raw = zlib.compressobj(9, zlib.DEFLATED, -15)
+    deflated = raw.compress(PLAIN.encode() + b" " + PLAIN.encode()) + raw.flush()
+    named = bytearray(gzip.compress(PLAIN.encode(), mtime=0))
+    named[3] |= 8
+    named[10:10] = b"file.txt\0"
+    twice = gzip.compress(bz2.compress(zstandard.compress(PLAIN.encode())), mtime=0)
+    for data in (frames, bytes(broken), deflated, bytes(named), twice, PLAIN.encode("utf-16"), PLAIN.encode("utf-16-le"), zlib.compress(PLAIN.encode("utf-16"))):
+        code = base64.b64encode(data).decode()
+        assert any(kind == 0 and not own for _, kind, own in only(f"see {code} there")), data[:8]
+    wrapped = base64.encodebytes(b"a longer text before it so that lines break here " + PLAIN.encode() + b" and after it")
+    for brk in ("\\n", "\\r\\n"):
+        text = '{"key": "' + wrapped.decode().replace("\n", brk) + '"}'
+        assert any(kind == 0 and not own for _, kind, own in only(text)), text
+
+
+def test_cut_streams_and_bytes_that_are_no_text():
+    data = gzip.compress(b"".join(hashlib.sha256(b"%d" % i).digest().hex().encode()[:20] + b", " for i in range(99)) + PLAIN.encode(), mtime=0)
+    for cut in range(20, len(data), 7):
+        secrets.find_secrets(base64.b64encode(data[:cut]).decode())
+    noise = b"".join(hashlib.sha256(b"%d" % i).digest() for i in range(200))
+    assert secrets.find_secrets(base64.b64encode(noise).decode()) == []
 
 
 def test_documents_and_digest(spark):
