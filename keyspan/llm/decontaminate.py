@@ -6,7 +6,7 @@ passage). So documents are scanned for q-grams of the benchmark; stretches in wh
 are left at once; in the others, shared q-grams are counted per passage in overlapping bands of diagonals, and the
 bands that reach the bound are verified by an edit distance that is computed inside the band only.
 
-Case and the kind and amount of white space do not count. An item is searched in passages of ``PASSAGE`` and of
+Equal passages of many items (a template) are searched once. Case and the kind and amount of white space do not count. An item is searched in passages of ``PASSAGE`` and of
 ``LONG`` characters that overlap by half; a shorter item is one passage. A verbatim excerpt of 1.5 * PASSAGE - 1 = 80
 characters (13 words) or more holds a whole short passage wherever it begins; the long ones bear edits that lie close
 together.
@@ -14,6 +14,7 @@ together.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyspan.llm.common import keep_rows, runs, texts_of
+from keyspan.session import materialize
 
 Q = 10
 #: Edits allowed per character of a passage.
@@ -32,8 +34,8 @@ PASSAGE, LONG = 54, 160
 LEAST = 20
 #: Characters of benchmark text that are sent to the executors at once. A larger benchmark is searched in blocks.
 BLOCK_CHARS = 8_000_000
-#: Characters of documents that are worked on at once.
-RUN = 1_000_000
+#: Characters of documents that are worked on at once, and shared q-grams that are counted at once.
+RUN, HITS = 1_000_000, 2_000_000
 BITS = 22
 _FOLD: list[np.ndarray] = []
 
@@ -85,20 +87,28 @@ def _slot(grams: np.ndarray) -> np.ndarray:
 
 
 class Benchmark:
-    """Passages of some items and the places of their q-grams."""
+    """Different passages of some items, the items each belongs to, and the places of their q-grams."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.item, self.at, self.points = [], [], []
+        self.ids: list[int | None] = []
+        self.points: list[np.ndarray] = []
+        self.owners: list[list[int]] = []
+        places: dict[bytes, int] = {}
         for item_id, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])):
             points, _ = normal(text.strip())
             if len(points) < LEAST:
                 continue
+            self.ids.append(item_id)
             for size in (PASSAGE, LONG) if len(points) > PASSAGE else (PASSAGE,):
                 for start in range(0, max(1, len(points) - size // 2), size // 2):
-                    self.item.append(item_id)
-                    self.at.append(start)
                     whole = start + size < len(points)
-                    self.points.append(points[start : start + size] if whole else points[max(0, len(points) - size) :])
+                    part = points[start : start + size] if whole else points[max(0, len(points) - size) :]
+                    at = places.setdefault(part.tobytes(), len(self.points))
+                    if at == len(self.points):
+                        self.points.append(part)
+                        self.owners.append([])
+                    if not self.owners[at] or self.owners[at][-1] != len(self.ids) - 1:
+                        self.owners[at].append(len(self.ids) - 1)
         self.size = np.array([len(p) for p in self.points], np.int64)
         # The bound must be at least 1; short passages allow fewer edits.
         self.edits = np.minimum((self.size * RATE).astype(np.int64), (self.size - Q) // Q)
@@ -133,20 +143,35 @@ class Benchmark:
         slot = np.searchsorted(self.grams, grams[at])
         real = (slot < len(self.grams)) & (self.grams[np.minimum(slot, len(self.grams) - 1)] == grams[at])
         at, slot = at[real], slot[real]
+        passage, band = self._bands(at, slot)
+        return self.verify(points, doc, passage, band * (self.edits[passage] + 1) - LONG)
+
+    def _bands(self, at: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, band) of the bands of diagonals that reach the bound, from q-grams at places ``at``, in slices.
+
+        Bands are twice as wide as their distance, which is above e: each set of e + 1 diagonals lies within one.
+        """
         times = self.count[slot]
-        which = np.repeat(np.arange(len(at)), times)
-        entry = self.first[slot][which] + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-        passage, diagonal = self.owner[entry], at[which] - self.place[entry]
-        # Bands are twice as wide as their distance, which is above e: each set of e + 1 diagonals lies within one.
-        step = self.edits[passage] + 1
-        band = (diagonal + LONG) // step
-        key = np.concatenate([passage * (1 << 40) + band, passage * (1 << 40) + band - 1])
-        key, shared = np.unique(key, return_counts=True)
-        passage, band = key >> 40, key & ((1 << 40) - 1)
-        ok = shared >= self.bound[passage]
-        passage, band = passage[ok], band[ok]
-        low = band * (self.edits[passage] + 1) - LONG
-        return self.verify(points, doc, passage, low)
+        part = np.cumsum(times) // HITS
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(at)]
+        held, counts, found = np.empty(0, np.int64), np.empty(0, np.int64), []
+        for a, b in zip(cuts, cuts[1:]):
+            own, spots, n = slot[a:b], at[a:b], times[a:b]
+            which = np.repeat(np.arange(len(spots)), n)
+            entry = self.first[own][which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            passage = self.owner[entry]
+            band = (spots[which] - self.place[entry] + LONG) // (self.edits[passage] + 1)
+            key = passage * (1 << 40) + band
+            new, shared = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+            held, where = np.unique(np.concatenate([held, new]), return_inverse=True)
+            counts = np.bincount(where, np.concatenate([counts, shared]), len(held)).astype(np.int64)
+            # Bands that lie before what comes next are complete.
+            passage, band = held >> 40, held & ((1 << 40) - 1)
+            done = (band + 3) * (self.edits[passage] + 1) + LONG < at[b] if b < len(at) else np.ones(len(held), bool)
+            found.append(held[done & (counts >= self.bound[passage])])
+            held, counts = held[~done], counts[~done]
+        key = np.concatenate(found) if found else held
+        return key >> 40, key & ((1 << 40) - 1)
 
     def verify(self, points: np.ndarray, doc: np.ndarray, passage: np.ndarray, low: np.ndarray) -> list[tuple[int, int, int, int]]:
         """Banded alignment of many passages at once, each from diagonal ``low``; those within their edits."""
@@ -209,69 +234,87 @@ class Benchmark:
         return out
 
 
-def _found(bench: Benchmark, texts: list[str]) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(number of the text, item, start, end, passages, edits), one for each text and item in it."""
+def _found(bench: Benchmark, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(number of the text, passage, start, end, edits) of each passage in each text."""
     parts = [normal(t) for t in texts]
     gap = np.zeros(Q + LONG, np.uint32)  # no passage reaches over it
     points = np.concatenate([x for p, _ in parts for x in (p, gap)])
     sizes = np.array([len(p) for p, _ in parts])
     starts = np.cumsum(sizes + len(gap)) - sizes - len(gap)
     doc = np.repeat(np.arange(len(texts)), sizes + len(gap))
-    merged: dict[tuple[int, int], list[int]] = {}
-    passages: dict[tuple[int, int], set[int]] = {}
+    merged: dict[tuple[int, int], tuple[int, int, int]] = {}
     for passage, a, b, edits in bench.find(points, doc):
         i = int(doc[a])
         place = parts[i][1]
         a, b = a - starts[i], min(b - starts[i], sizes[i])
-        if b <= a:
-            continue
-        key = (i, bench.item[passage])
-        span = [int(place[a]), int(place[b - 1]) + 1, edits]
-        old = merged.setdefault(key, span)
-        merged[key] = [min(old[0], span[0]), max(old[1], span[1]), min(old[2], edits)]
-        passages.setdefault(key, set()).add(passage)
-    for (i, item), (a, b, edits) in merged.items():
-        yield i, item, a, b, len(passages[i, item]), edits
+        if b > a:
+            span = (int(place[a]), int(place[b - 1]) + 1, edits)
+            old = merged.get((i, passage), span)
+            merged[i, passage] = (min(old[0], span[0]), max(old[1], span[1]), min(old[2], edits))
+    for (i, passage), (a, b, edits) in merged.items():
+        yield i, passage, a, b, edits
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, start, end, passages, edits): each document and benchmark item with a passage of it inside.
 
-    ``start`` and ``end`` are code points around all that was found of the item; ``passages`` counts its passages,
-    ``edits`` is the least number of edits of one. Documents without a find have no row.
+    ``start`` and ``end`` are code points around all that was found of the item; ``passages`` counts its different
+    passages, ``edits`` is the least number of edits of one. Documents without a find have no row.
 
-    Documents are read in one pass without a shuffle. The benchmark goes to the executors in blocks of at most
-    ``BLOCK_CHARS`` characters, whose number is known before; each block is a pass over the documents. Null texts hold
+    Documents are not shuffled, finds are. The benchmark goes to the executors in blocks of about ``BLOCK_CHARS``
+    characters, made and released one after the other; each block is a pass over the documents, and the result is the
+    same for any number of blocks. Null texts hold
     nothing; null and empty items and those of fewer than ``LEAST`` characters are not searched; items without an id are
     searched and share a row per document; repeated items and documents each give their rows; empty
     tables give no rows; other columns are not read. Texts are scanned whole, very long ones included.
     """
-    rows = texts_of(docs, id_col, text_col)
+    rows = texts_of(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    items, blocks = _items(benchmark)
+    if blocks > 1:
+        rows = materialize(rows, "decontamination-rows")  # one number for a row in all passes
     out = None
-    for sent in _blocks(benchmark):
+    for n in range(blocks):
+        sent = _sent(items, blocks, n)
 
         def work(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             bench = Benchmark(sent.value)
             for batch in batches:
                 for part, texts in runs(batch, chars=RUN):
-                    ids = part.column("doc_id").to_pylist()
-                    columns = list(zip(*_found(bench, texts))) or [()] * 6
+                    found = [(i, bench.ids[o], p, a, b, e) for i, p, a, b, e in _found(bench, texts) for o in bench.owners[p]]
+                    columns = list(zip(*found)) or [()] * 6
+                    at = pa.array(columns[0], pa.int64())
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "doc_id": pa.array([ids[i] for i in columns[0]], pa.int64()), "item_id": pa.array(columns[1], pa.int64()),
-                            "start": pa.array(columns[2], pa.int64()), "end": pa.array(columns[3], pa.int64()),
-                            "passages": pa.array(columns[4], pa.int32()), "edits": pa.array(columns[5], pa.int32()),
+                            "row": part.column("row").take(at), "doc_id": part.column("doc_id").take(at),
+                            "item_id": pa.array(columns[1], pa.int64()),
+                            "passage": pa.array([hash_of(bench.points[p]) for p in columns[2]], pa.int64()),
+                            "start": pa.array(columns[3], pa.int64()), "end": pa.array(columns[4], pa.int64()),
+                            "edits": pa.array(columns[5], pa.int32()),
                         }
                     )
 
-        part = rows.mapInArrow(work, "doc_id long, item_id long, start long, end long, passages int, edits int")
+        schema = "row long, doc_id long, item_id long, passage long, start long, end long, edits int"
+        part = rows.mapInArrow(work, schema)
+        if blocks > 1:  # one block of the benchmark is held at a time
+            part = materialize(part, "decontamination-found")
+            sent.destroy()
         out = part if out is None else out.unionByName(part)
-    return out
+    merged = out.groupBy("row", "doc_id", "item_id").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.size(F.collect_set("passage")).alias("passages"),
+        F.min("edits").alias("edits"),
+    )
+    return merged.drop("row")
+
+
+def hash_of(points: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(points.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that hold no passage of the benchmark. Same rules as ``contaminated``."""
-    for sent in _blocks(benchmark):
+    items, blocks = _items(benchmark)
+    for n in range(blocks):
+        sent = _sent(items, blocks, n)
 
         def keep(texts: list[str], sent=sent) -> np.ndarray:
             out = np.ones(len(texts), bool)
@@ -279,6 +322,9 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
             return out
 
         docs = keep_rows(docs, keep, text_col, RUN)
+        if blocks > 1:
+            docs = materialize(docs, "decontamination-clean")
+            sent.destroy()
     return docs
 
 
@@ -292,12 +338,15 @@ def _opened(sent: Broadcast) -> Benchmark:
     return _OPEN[0][1]
 
 
-def _blocks(benchmark: DataFrame) -> list[Broadcast]:
-    """The benchmark in blocks of about ``BLOCK_CHARS`` characters, each sent to the executors; one block if it is empty."""
-    spark = benchmark.sparkSession
+def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """Different (item_id, text) with a text, and the number of blocks of about ``BLOCK_CHARS`` characters they make, at least 1."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.where("text IS NOT NULL").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // BLOCK_CHARS))
+    return items, max(1, -(-chars // BLOCK_CHARS))
+
+
+def _sent(items: DataFrame, blocks: int, n: int) -> Broadcast:
+    """Block ``n`` of the items, sent to the executors."""
     place = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return [spark.sparkContext.broadcast([(r[0], r[1]) for r in items.where(place == n).collect()]) for n in range(blocks)]
+    return items.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in items.where(place == n).collect()])

@@ -106,10 +106,36 @@ def test_places(spark, case):
 
 
 def test_benchmark_in_blocks(spark, case, monkeypatch):
+    """Whole rows are equal for any number of blocks, with an item of several texts and two items without an id."""
     docs, items = case
-    want = {(r.doc_id, r.item_id) for r in found(spark, docs, items)}
-    monkeypatch.setattr(dec, "BLOCK_CHARS", 500)
-    assert {(r.doc_id, r.item_id) for r in found(spark, docs, items)} == want
+    items = [*items, (3, items[5][1]), (3, items[3][1][:90]), (None, items[7][1]), (200, items[4][1])]
+    docs = [*docs, (2000, items[3][1] + " and " + items[5][1] + " so " + items[7][1])]
+    want = sorted(tuple(r) for r in found(spark, docs, items) if r.item_id is not None)
+    nameless = sorted(tuple(r) for r in found(spark, docs, items) if r.item_id is None)
+    assert len({r[:2] for r in want}) == len(want) and any(r[0] == 2000 for r in nameless)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    clean = sorted(r.doc_id for r in dec.clean_documents(frame, bench).collect())
+    for chars in (500, 2000):
+        monkeypatch.setattr(dec, "BLOCK_CHARS", chars)
+        got = found(spark, docs, items)
+        assert sorted(tuple(r) for r in got if r.item_id is not None) == want
+        assert sorted(tuple(r) for r in got if r.item_id is None) == nameless
+        assert sorted(r.doc_id for r in dec.clean_documents(frame, bench).collect()) == clean
+
+
+def test_templates_are_searched_once_and_in_slices(monkeypatch):
+    """Items that begin alike against a text that is full of their beginning."""
+    rnd = random.Random(21)
+    template = "which of the following statements about the subject named below is the right one: "
+    items = [(i, template + words(rnd, 12)) for i in range(200)]
+    text = (template + "none. ") * 60 + items[7][1] + " " + template
+    bench = dec.Benchmark(items)
+    assert sum(len(o) for o in bench.owners) > 1.3 * len(bench.points)
+    whole = sorted(dec._found(bench, [text, words(rnd, 50)]))
+    monkeypatch.setattr(dec, "HITS", 1000)
+    assert sorted(dec._found(bench, [text, words(rnd, 50)])) == whole
+    assert {o for _, p, *_ in whole for o in bench.owners[p]} == set(range(200)) and {i for i, *_ in whole} == {0}
 
 
 def test_clean_documents(spark, case):
