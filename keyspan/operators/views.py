@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import unicodedata
+from decimal import Context, Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -73,14 +75,48 @@ def _unicode_folded(ascii: bool):
 
 
 def _listed(values, dtype: T.DataType) -> list:
-    """The values of a list as the column's type has them; those no value of the column can equal are left out."""
-    if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return [float(v) for v in values if v is not None]
-    if isinstance(dtype, T.IntegralType):
-        held = [v for v in values if v is not None and v == v and v not in (float("inf"), float("-inf"))]
-        bits = {"tinyint": 7, "smallint": 15, "int": 31}.get(dtype.simpleString(), 63)
-        return [int(v) for v in held if int(v) == v and -(2**bits) <= v < 2**bits]
-    return [v for v in values if v is not None]
+    """The values of a list as the column's type has them, text included; those no value of the column can equal are left out."""
+    out = [_as_type(v, dtype) for v in values if v is not None]
+    return [v for v in out if v is not None]
+
+
+def _as_type(value, dtype: T.DataType):
+    """A value as the column's type has it, None if no value of the column equals it."""
+    try:
+        if isinstance(dtype, (T.DoubleType, T.FloatType)):
+            return float(value)
+        if isinstance(dtype, (T.IntegralType, T.DecimalType)):
+            number = value if isinstance(value, Decimal) else Decimal(str(value).strip())
+            if not number.is_finite():
+                return None
+            scale = dtype.scale if isinstance(dtype, T.DecimalType) else 0
+            digits = dtype.precision if isinstance(dtype, T.DecimalType) else 19
+            whole = number.scaleb(scale, _WIDE)
+            if whole != whole.to_integral_value() or abs(whole) >= 10**digits:
+                return None
+            if isinstance(dtype, T.DecimalType):
+                return Decimal(int(whole)).scaleb(-scale, _WIDE)
+            bits = {"tinyint": 7, "smallint": 15, "int": 31}.get(dtype.simpleString(), 63)
+            return int(whole) if -(2**bits) <= whole < 2**bits else None
+        if isinstance(dtype, T.DateType):
+            if isinstance(value, str):
+                value = dt.datetime.fromisoformat(value.strip())
+            if isinstance(value, dt.datetime):
+                return value.date() if value.time() == dt.time() and value.tzinfo is None else None
+            return value if isinstance(value, dt.date) else None
+        if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+            if isinstance(value, str):
+                value = dt.datetime.fromisoformat(value.strip())
+            return value if isinstance(value, dt.datetime) else dt.datetime.combine(value, dt.time())
+        if isinstance(dtype, T.StringType):
+            return value if isinstance(value, str) else str(value)
+    except (ValueError, TypeError, ArithmeticError):
+        return None
+    return value
+
+
+# Digits enough for any decimal column.
+_WIDE = Context(prec=200)
 
 
 def predicate(df: DataFrame, column: str, op: str, value, text_options: dict | None = None) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from keyspan.functions import vectors
 from keyspan.operators import knn as nn
-from keyspan.operators import views
+from keyspan.operators import vector_cells, views
 from keyspan.plans.registry import query
 from keyspan.session import work_path
 
@@ -530,3 +530,68 @@ def ann_recall(t):
     near = nn.ann(index, "embedding", vector, 10, ANN_TABLES, ANN_BITS, key=["vec_id"])
     exact = nn.knn(t.embeddings, "embedding", vector, 10, key=["vec_id"])
     return nn.ann_recall(exact, near, ["vec_id"])
+
+
+def _cells(t, metric: str = "cosine"):
+    return vector_cells.write_vector_cells(t.embeddings, "embedding", work_path(t.spark, "cells"), ["vec_id"], metric)
+
+
+@query(
+    "vector_cells_knn_10",
+    f"SELECT vec_id, round({COSINE}, 6) AS cosine_score FROM embeddings ORDER BY {COSINE} DESC, vec_id LIMIT 10",
+)
+def vector_cells_knn_10(t):
+    found = _cells(t).knn(_row_vector(t), 10, select=["vec_id"])
+    return found.withColumn("cosine_score", F.round("cosine_score", 6))
+
+
+@query("vector_cells_join_5", JOIN_SQL)
+def vector_cells_join_5(t):
+    return _cells(t).knn_join(t.embeddings, "embedding", 5, "vec_id").withColumn("score", F.round("score", 6))
+
+
+@query(
+    "vector_cells_recall",
+    """
+    SELECT count(*) AS queries, 10 * count(*) AS expected, true AS recall_reached, true AS read_in_part
+    FROM embeddings WHERE vec_id % 20 = 0
+    """,
+)
+def vector_cells_recall(t):
+    """Recall at 0.9 over every row whose id 20 divides, against the exact join; a search reads a part of the cells."""
+    asked = t.embeddings.where("vec_id % 20 = 0").select("vec_id", "embedding")
+    index = _cells(t)
+    near = index.knn_join(asked, "embedding", 10, "vec_id", recall=0.9)
+    exact = nn.knn_join(asked, t.embeddings, "embedding", 10, "vec_id", "vec_id")
+    told = nn.ann_recall(exact, near, ["vec_id", "neighbor_vec_id"])
+    part = index.probes(0.9) < len(index.count)
+    return told.select(
+        F.lit(asked.count()).cast("long").alias("queries"), "expected", (F.col("recall") >= 0.9).alias("recall_reached"),
+        F.lit(part).alias("read_in_part"),
+    )
+
+
+@query(
+    "in_list_of_dates",
+    """
+    SELECT o_orderkey, o_orderdate::DATE AS day FROM orders
+    WHERE o_orderdate::DATE IN (SELECT DATE '1970-01-01' + (3 * range)::INTEGER FROM range(12000))
+    """,
+)
+def in_list_of_dates(t):
+    listed = [str(dt.date(1970, 1, 1) + dt.timedelta(days=3 * i)) for i in range(12_000)]
+    days = t.orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    return views.apply_predicates(days, [("day", "IN", listed)])
+
+
+@query(
+    "in_list_of_decimals",
+    """
+    SELECT o_orderkey FROM orders
+    WHERE round(o_totalprice)::DECIMAL(12, 1) IN (SELECT (7 * range)::DECIMAL(12, 1) FROM range(80000))
+    """,
+)
+def in_list_of_decimals(t):
+    rounded = t.orders.withColumn("price", F.round("o_totalprice").cast("decimal(12,1)"))
+    listed = [7 * i if i % 2 else 7.0 * i for i in range(80_000)] + [0.25, "no number", None]
+    return views.apply_predicates(rounded, [("price", "IN", listed)]).select("o_orderkey")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from keyspan.functions import vectors
 from keyspan.model import KeyspanError
 from keyspan.operators import knn as nn
+from keyspan.operators import vector_cells
 
 # Golden scores: metric, left, right, score.
 GOLDEN = [
@@ -197,3 +198,63 @@ def test_large_k_bounds_the_queries_of_a_task(spark, monkeypatch):
     monkeypatch.setattr(nn, "HELD_RESULTS", 10**6)
     many = nn.knn_join(df.select("id", "v"), df.select("id", "v"), "v", 10, "id", "id")
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def clusters(spark, n=1200, groups=12, dims=8, hot=400):
+    """Points around centres; a third of the rows are one vector."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 10, (groups, dims))
+    m = (centres[rng.integers(0, groups, n)] + rng.normal(0, 0.3, (n, dims))).astype("float32")
+    m[:hot] = m[0]
+    return m, spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id bigint, v array<float>")
+
+
+@pytest.mark.parametrize("metric", vectors.METRICS)
+def test_cells_find_the_nearest_and_compare_few_pairs(spark, place, metric):
+    m, df = clusters(spark)
+    index = vector_cells.write_vector_cells(df, "v", place(), ["id"], metric, cells=24)
+    asked = df.where("id % 60 = 0 OR id = 1199")
+    pairs = []
+    got = index.knn_join(asked, "v", 5, "id", report=pairs).collect()
+    wanted = {}
+    for q in sorted(r["id"] for r in asked.select("id").collect()):
+        scores = brute(m, m[q], metric)
+        wanted[q] = sorted(range(len(m)), key=lambda j: (-scores[j], j))[:5]
+        mine = sorted((r["rank"], r["neighbor_id"], r["score"]) for r in got if r["id"] == q)
+        assert np.allclose([s for _, _, s in mine], [scores[j] for j in wanted[q]])
+    if metric == "euclidean":
+        assert sum(pairs) < 0.6 * len(m) * asked.count()
+        single = index.knn([float(x) for x in m[700]], 5, select=["id"]).collect()
+        scores = brute(m, m[700], metric)
+        assert np.allclose([r["euclidean_score"] for r in single], sorted(scores, reverse=True)[:5])
+        assert len(index.visited([float(x) for x in m[700]], 5)) < len(index.count)
+
+
+def test_cells_reach_a_recall_where_vectors_lie_evenly(spark, place):
+    m, df = cloud(spark, 3000, 24, copies=1)
+    path = place()
+    vector_cells.write_vector_cells(df, "v", path, ["id"], sample=1500)
+    index = vector_cells.VectorCells(spark, path)
+    asked = df.where("id % 20 = 0").select("id", "v")
+    pairs = []
+    near = index.knn_join(asked, "v", 10, "id", recall=0.9, report=pairs)
+    exact = nn.knn_join(asked, df.select("id", "v"), "v", 10, "id", "id")
+    assert nn.ann_recall(exact, near, ["id", "neighbor_id"]).first()["recall"] >= 0.9
+    assert sum(pairs) < 0.8 * 3000 * 150 and index.probes(0.9) < len(index.count)
+
+
+def test_cells_with_predicates_and_odd_tables(spark, place):
+    m, df = cloud(spark, 400, 8, copies=1)
+    index = vector_cells.write_vector_cells(df, "v", place(), ["id"], cells=9)
+    query = [float(x) for x in m[3]]
+    for where in ([("cat", "=", 2)], [("id", "<", 7)], [("id", "<", 0)]):
+        want = nn.knn(df, "v", query, 10, key=["id"], where=where, select=["id"]).collect()
+        assert index.knn(query, 10, where=where, select=["id"]).collect() == want
+    one = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (1, [0.0, 0.0])], "id bigint, v array<float>")
+    index = vector_cells.write_vector_cells(one, "v", place(), ["id"])
+    assert [r["id"] for r in index.knn([1.0, 0.0], 5, select=["id"]).collect()] == [1, 1]
+    assert index.knn_join(one.where("id = 2"), "v", 5, "id").count() == 0
+    with pytest.raises(KeyspanError):
+        vector_cells.write_vector_cells(one.where("id = 2"), "v", place(), ["id"])
+    with pytest.raises(KeyspanError):
+        vector_cells.VectorCells(spark, place())

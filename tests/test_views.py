@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 from decimal import Decimal
 
@@ -235,3 +236,20 @@ def test_a_word_is_folded_like_the_text(spark):
     df = spark.createDataFrame([("Création du monde",), ("creation",), ("recreation",)], "t string")
     for word in ("création", "CREATION", "Creátion"):
         assert views.apply_predicates(df, [("t", ":", word)], {"ascii": True}).count() == 2
+
+
+@pytest.mark.parametrize("n", [50, 12_000])
+def test_lists_of_any_type_on_both_ways(spark, n):
+    df = spark.range(300).selectExpr(
+        "id", "date_add(DATE'2020-01-01', CAST(id AS INT)) AS d", "CAST(id AS DECIMAL(12,2)) / 4 AS x", "CAST(id AS STRING) AS s",
+        "CAST(date_add(DATE'2020-01-01', CAST(id AS INT)) AS TIMESTAMP) AS t", "CAST(id AS DECIMAL(12,2)) AS p", "CAST(id AS TINYINT) AS b",
+    )
+    days = [(dt.date(2020, 1, 1) + dt.timedelta(days=2 * i)).isoformat() for i in range(n)]
+    count = len({d for d in days} & {(dt.date(2020, 1, 1) + dt.timedelta(days=i)).isoformat() for i in range(300)})
+    filler = ["no value", None, float("nan"), "1e400"]
+    assert views.apply_predicates(df, [("d", "IN", days + filler)]).count() == count
+    assert views.apply_predicates(df, [("t", "IN", [dt.date.fromisoformat(d) for d in days])]).count() == count
+    assert views.apply_predicates(df, [("p", "IN", [2 * i for i in range(n)] + [1.005, *filler])]).count() == count
+    assert views.apply_predicates(df, [("p", "IN", [float(2 * i) for i in range(n)])]).count() == count
+    assert views.apply_predicates(df, [("id", "IN", [str(2 * i) for i in range(n)] + filler)]).count() == count
+    assert views.apply_predicates(df, [("s", "IN", [2 * i for i in range(n)])]).count() == count
