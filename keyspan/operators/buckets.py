@@ -2,8 +2,15 @@
 
 A row's bucket is a hash of its partition key. Such a table is plain Parquet partitioned by
 ``_bucket``; a lookup by partition key reads one folder, and a small change set leaves most of a
-large table as it is on disk. The number of buckets and the key are kept in a file of the table,
-because a write that counted otherwise would replace folders it has not read.
+large table as it is on disk. What the table is made of is kept in a file of the table, because a
+write that counted otherwise would replace folders it has not read.
+
+The number of buckets grows with the rows by linear hashing: buckets are split one after the other,
+in order, each into itself and one new folder, so that a table that grows by a tenth rewrites a
+tenth of its folders. A split first writes the new folders, which no reader looks into yet, then
+the layout file, which lets them in, and then takes the moved rows out of the old folders, which
+readers leave out by their hash until that is done. A split that dies in between is finished or
+begun again by the next write.
 """
 
 from __future__ import annotations
@@ -15,15 +22,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyspan.model import KeyspanError, TableSpec
-from keyspan.operators.writes import apply_counters, upsert
-from keyspan.session import path_exists, read_text, write_text
+from keyspan.operators.writes import apply_counters, delete_cells, delete_rows, upsert
+from keyspan.session import delete_path, file_names, path_exists, read_text, write_text
 
 BUCKET = "_bucket"
 LAYOUT = "_layout.json"  # readers of Parquet skip names that begin with an underscore
 
 
-def bucket_of(spec: TableSpec, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*spec.partition_key), F.lit(buckets)).cast("int")
+#: Rows of a bucket, about, above which buckets are split.
+BUCKET_ROWS = 1_000_000
+
+
+def doubled(buckets: int, first: int) -> int:
+    """The largest first * 2**k up to ``buckets``: all buckets below it were split equally often."""
+    while first * 2 <= buckets:
+        first *= 2
+    return first
+
+
+def bucket_of(spec: TableSpec, buckets: int, first: int | None = None) -> Column:
+    """The bucket of a row in a table that began with ``first`` buckets and has ``buckets`` now."""
+    token = F.xxhash64(*spec.partition_key)
+    whole = doubled(buckets, first or buckets)
+    fine, coarse = F.pmod(token, F.lit(2 * whole)), F.pmod(token, F.lit(whole))
+    return (coarse if whole == buckets else F.when(fine < buckets, fine).otherwise(coarse)).cast("int")
+
+
+def source_of(bucket: int, buckets: int, first: int) -> int:
+    """The bucket, of ``buckets``, whose rows a later bucket gets."""
+    while bucket >= buckets:
+        bucket -= doubled(bucket, first)
+    return bucket
 
 
 def layout(spark: SparkSession, path: str) -> dict | None:
@@ -32,20 +61,24 @@ def layout(spark: SparkSession, path: str) -> dict | None:
     return None if text is None else json.loads(text)
 
 
-def _buckets(spark: SparkSession, path: str, spec: TableSpec, asked: int | None = None) -> int:
-    """The table's number of buckets; another number or key than the table's is refused."""
+def _held(spark: SparkSession, path: str, spec: TableSpec, asked: int | None = None) -> dict:
+    """The table's layout; another number of buckets or key than the table's is refused."""
     held = layout(spark, path)
     if held is None:
         raise KeyspanError(f"{path} is not a bucketed table")
     if [k.lower() for k in spec.partition_key] != [k.lower() for k in held["partition_key"]]:
         raise KeyspanError(f"{path} is laid out by {', '.join(held['partition_key'])}, not {', '.join(spec.partition_key)}")
-    if asked is not None and asked != held["buckets"]:
+    held = {"first": held["buckets"], "bucket_rows": 0, "rows": {}, "unclean": []} | held
+    if asked is not None and asked not in (held["first"], held["buckets"]):
         raise KeyspanError(f"{path} has {held['buckets']} buckets, not {asked}")
-    return held["buckets"]
+    return held
+
 
+def _placed(df: DataFrame, spec: TableSpec, held: dict) -> DataFrame:
+    return df.withColumn(BUCKET, bucket_of(spec, held["buckets"], held["first"]))
 
-def _write(df: DataFrame, path: str, spec: TableSpec, buckets: int) -> None:
-    placed = df.withColumn(BUCKET, bucket_of(spec, buckets))
+
+def _write(placed: DataFrame, path: str) -> None:
     # Rebalancing gathers the rows of a bucket, and splits a bucket that is too large for one task.
     (
         placed.hint("rebalance", BUCKET).write.mode("overwrite")
@@ -53,31 +86,60 @@ def _write(df: DataFrame, path: str, spec: TableSpec, buckets: int) -> None:
     )
 
 
-def write_buckets(df: DataFrame, path: str, spec: TableSpec, buckets: int) -> DataFrame:
-    """Write a new bucketed table; a path that exists is refused."""
+def _counts(spark: SparkSession, path: str, held: dict, buckets: list[int]) -> dict[str, int]:
+    """Rows of some buckets, from the footers of their files; empty ones are left out."""
+    rows = _stored(spark, path, held).where(F.col(BUCKET).isin(buckets)).groupBy(BUCKET).agg(F.count("*").alias("n"))
+    return {str(r[BUCKET]): r["n"] for r in rows.collect()}
+
+
+def write_buckets(df: DataFrame, path: str, spec: TableSpec, buckets: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Write a new bucketed table; a path that exists is refused.
+
+    It begins with ``buckets`` buckets, or more where the rows need them, and gets more as it grows beyond ``bucket_rows``
+    rows for each (0: it never does).
+    """
     spark = df.sparkSession
     if path_exists(spark, path):
         raise KeyspanError(f"{path} exists")
     if buckets < 1:
         raise KeyspanError("a table needs at least one bucket")
-    _write(df, path, spec, buckets)
-    write_text(spark, f"{path}/{LAYOUT}", _described(df, spec, buckets))
+    held = {
+        "buckets": buckets, "first": buckets, "bucket_rows": bucket_rows, "unclean": [], "rows": {},
+        "partition_key": list(spec.partition_key), "schema": df.schema.jsonValue(),
+    }
+    _write(_placed(df, spec, held), path)
+    held["rows"] = _counts(spark, path, held, list(range(buckets)))
+    _told(spark, path, held)
+    _grow(spark, path, spec, held)
     return read_buckets(spark, path)
 
 
-def _described(df: DataFrame, spec: TableSpec, buckets: int) -> str:
-    return json.dumps({"buckets": buckets, "partition_key": list(spec.partition_key), "schema": df.schema.jsonValue()})
+def _told(spark: SparkSession, path: str, held: dict) -> None:
+    write_text(spark, f"{path}/{LAYOUT}", json.dumps(held))
 
 
-def _with_bucket(spark: SparkSession, path: str) -> DataFrame:
-    """A bucketed table with its bucket column. Its types are kept with it, so a table without a row has them too."""
-    schema = T.StructType.fromJson(layout(spark, path)["schema"])
+def _stored(spark: SparkSession, path: str, held: dict) -> DataFrame:
+    """All stored rows with their folder's number. Types are kept with the table, so one without a row has them too."""
+    schema = T.StructType.fromJson(held["schema"])
     return spark.read.schema(schema.add(BUCKET, T.IntegerType())).parquet(path)
 
 
+def _with_bucket(spark: SparkSession, path: str, held: dict) -> DataFrame:
+    """The table's rows with their bucket: folders beyond its buckets are not read, and rows that a split has moved are left out."""
+    rows = _stored(spark, path, held)
+    if "first" in held:
+        rows = rows.where(F.col(BUCKET) < held["buckets"])
+    if held.get("unclean"):
+        spec = TableSpec(tuple(held["partition_key"]))
+        moved = F.col(BUCKET).isin(held["unclean"]) & (bucket_of(spec, held["buckets"], held["first"]) != F.col(BUCKET))
+        rows = rows.where(~moved)
+    return rows
+
+
 def read_buckets(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a table, bucketed or not."""
-    return _with_bucket(spark, path).drop(BUCKET) if layout(spark, path) else spark.read.parquet(path)
+    held = layout(spark, path)
+    return _with_bucket(spark, path, held).drop(BUCKET) if held else spark.read.parquet(path)
 
 
 def lookup_partition(spark: SparkSession, path: str, spec: TableSpec, key: dict) -> DataFrame:
@@ -85,12 +147,12 @@ def lookup_partition(spark: SparkSession, path: str, spec: TableSpec, key: dict)
     missing = [k for k in spec.partition_key if k not in key]
     if missing:
         raise KeyspanError("the partition key is incomplete; missing " + ", ".join(missing))
-    buckets = _buckets(spark, path, spec)
-    table = _with_bucket(spark, path)
+    held = _held(spark, path, spec)
+    table = _with_bucket(spark, path, held)
     named = spark.range(1).select(
         *[F.lit(key[k]).cast(table.schema[k].dataType).alias(k) for k in spec.partition_key]
     )
-    number = named.select(bucket_of(spec, buckets)).first()[0]
+    number = _placed(named, spec, held).select(BUCKET).first()[0]
     rows = table.where(F.col(BUCKET) == number)
     for k in spec.partition_key:
         rows = rows.where(F.col(k) == F.lit(key[k]))
@@ -104,20 +166,78 @@ def upsert_buckets(
 
     Only touched buckets are read and written. Spark writes them beside the table and moves each in
     when the job commits; a job that fails before leaves the table as it was. A counter table adds
-    its increments instead. The table knows its buckets; naming another number is refused.
+    its increments instead. The table knows its buckets; naming another number is refused. Where the
+    table has grown beyond its rows per bucket, some buckets are split afterwards.
     """
-    spec.require_key(changes.columns)
-    buckets = _buckets(spark, path, spec, buckets)
-    numbers = changes.select(bucket_of(spec, buckets).alias(BUCKET)).distinct()
+    return _rewritten(
+        spark, path, changes, spec, buckets,
+        lambda base: (
+            apply_counters(base, changes, spec.key, [c for c in base.columns if c not in spec.key and c in changes.columns], options.get("delta_id"))
+            if spec.counter else upsert(base, changes, spec, **options)
+        ),
+    )
+
+
+def delete_from_buckets(spark: SparkSession, path: str, keys: DataFrame, spec: TableSpec, columns: list[str] | None = None) -> list[int]:
+    """Delete the rows named by complete keys, or only their cells in ``columns``, in place; returns the buckets that were
+    rewritten. Buckets are never joined again."""
+    change = (lambda base: delete_cells(base, keys, spec, columns)) if columns else (lambda base: delete_rows(base, keys, spec))
+    return _rewritten(spark, path, keys, spec, None, change)
+
+
+def _rewritten(spark: SparkSession, path: str, named: DataFrame, spec: TableSpec, buckets: int | None, change) -> list[int]:
+    """Rewrite the buckets that the rows of ``named`` belong to as ``change`` makes them of their rows."""
+    spec.require_key(named.columns)
+    held = _cleaned(spark, path, spec, _held(spark, path, spec, buckets))
     # At most one row per bucket.
-    touched = sorted(r[0] for r in numbers.collect())
+    touched = sorted(r[0] for r in _placed(named, spec, held).select(BUCKET).distinct().collect())
     if not touched:
         return []
-    base = _with_bucket(spark, path).where(F.col(BUCKET).isin(touched)).drop(BUCKET)
-    if spec.counter:
-        counters = [c for c in base.columns if c not in spec.key and c in changes.columns]
-        merged = apply_counters(base, changes, spec.key, counters, options.get("delta_id"))
-    else:
-        merged = upsert(base, changes, spec, **options)
-    _write(merged, path, spec, buckets)
+    base = _with_bucket(spark, path, held).where(F.col(BUCKET).isin(touched)).drop(BUCKET)
+    _replaced(spark, path, _placed(change(base), spec, held), held, touched)
+    _told(spark, path, held)
+    _grow(spark, path, spec, held)
     return touched
+
+
+def _replaced(spark: SparkSession, path: str, placed: DataFrame, held: dict, touched: list[int]) -> None:
+    """Write buckets anew and count their rows. One without a row left is not written, so its old files are removed."""
+    before = {bucket: file_names(spark, f"{path}/{BUCKET}={bucket}") for bucket in touched}
+    _write(placed, path)
+    for bucket, files in before.items():
+        if files and file_names(spark, f"{path}/{BUCKET}={bucket}") == files:
+            delete_path(spark, f"{path}/{BUCKET}={bucket}")
+    counted = _counts(spark, path, held, touched)
+    for bucket in touched:
+        held["rows"].pop(str(bucket), None)
+    held["rows"] |= counted
+
+
+def _grow(spark: SparkSession, path: str, spec: TableSpec, held: dict) -> None:
+    """Split buckets, in order, until there is one for each ``bucket_rows`` rows."""
+    rows = sum(held["rows"].values())
+    wanted = -(-rows // held["bucket_rows"]) if held["bucket_rows"] else 0
+    if wanted <= held["buckets"]:
+        return
+    new = list(range(held["buckets"], wanted))
+    for bucket in new:  # left by a split that died before it was told
+        if path_exists(spark, f"{path}/{BUCKET}={bucket}"):
+            delete_path(spark, f"{path}/{BUCKET}={bucket}")
+    sources = sorted({source_of(b, held["buckets"], held["first"]) for b in new})
+    rows_of = _with_bucket(spark, path, held).where(F.col(BUCKET).isin(sources)).drop(BUCKET)
+    grown = held | {"buckets": wanted, "unclean": sources}
+    _write(_placed(rows_of, spec, grown).where(F.col(BUCKET) >= held["buckets"]), path)
+    grown["rows"] = held["rows"] | _counts(spark, path, grown, new)
+    _told(spark, path, grown)
+    held.update(_cleaned(spark, path, spec, grown))
+
+
+def _cleaned(spark: SparkSession, path: str, spec: TableSpec, held: dict) -> dict:
+    """Take the rows that a split has moved out of the folders they came from."""
+    sources = held["unclean"]
+    if sources:
+        stay = _with_bucket(spark, path, held).where(F.col(BUCKET).isin(sources)).drop(BUCKET)
+        _replaced(spark, path, _placed(stay, spec, held), held, sources)
+        held = held | {"unclean": []}
+        _told(spark, path, held)
+    return held

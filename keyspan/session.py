@@ -89,6 +89,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def file_names(spark: SparkSession, path: str) -> set[str]:
+    """Names of the files directly in a folder; none if it is not there."""
+    fs, name = _file(spark, path)
+    return {status.getPath().getName() for status in fs.listStatus(name)} if fs.exists(name) else set()
+
+
 def _file(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop

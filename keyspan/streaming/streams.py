@@ -27,20 +27,24 @@ def stream_load(
     files_per_batch: int | None = None,
     reports: list | None = None,
     buckets: int | None = None,
+    multiline: bool = True,
+    delimiter: str = ",",
+    null_value: str = "",
 ) -> DataStreamWriter:
     """Load files as they arrive into a keyed table; start the returned writer.
 
     Each micro-batch is one ``load``: rejects are kept, and a batch beyond its error budget fails
     the query instead of being skipped. A batch that is run again after a failure upserts the same
     rows, so the table ends up the same; increments of a counter table would count twice and are
-    refused. A batch rewrites only the buckets it has rows for (see ``load``).
+    refused. A batch rewrites only the buckets it has rows for (see ``load``). CSV files known to hold one record
+    per line are split over tasks with ``multiline`` off; ``null_value`` is the text of a null.
     """
     if spec.counter:
         raise KeyspanError("a replayed batch would count increments twice; use stream_counters")
     text = ", ".join(f"`{c}` string" for c in schema)
     reader = spark.readStream.format(fmt).schema(text)
     if fmt == "csv":
-        reader = reader.options(header=header, quote='"', escape='"', multiLine=True)
+        reader = reader.options(header=header, quote='"', escape='"', multiLine=multiline, sep=delimiter, nullValue=null_value)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 

@@ -111,3 +111,72 @@ def test_stream_into_buckets(spark, place):
         spark, incoming, path, {"id": "int", "v": "text"}, TableSpec("id"), place("checkpoint"), buckets=4, files_per_batch=1
     ).start().awaitTermination()
     assert {tuple(r) for r in buckets.read_buckets(spark, path).collect()} == {(1, "a"), (2, "b")}
+
+
+def test_buckets_grow_with_the_table(spark, place):
+    """A hundredfold growth in steps; then a small load rewrites a small part, and all rows are those of a plain upsert."""
+    path, spec = place("table"), TableSpec("k", "id")
+
+    def rows(n):
+        return spark.range(n).select(F.concat(F.lit("k"), F.col("id") % 997).alias("k"), "id", F.lit("old").alias("v"))
+
+    buckets.write_buckets(rows(600), path, spec, 2, bucket_rows=200)
+    numbers = [buckets.layout(spark, path)["buckets"]]
+    for n in (1500, 9000, 60_000):
+        buckets.upsert_buckets(spark, path, rows(n), spec)
+        numbers.append(buckets.layout(spark, path)["buckets"])
+    assert numbers == [3, 8, 45, 300]
+    held = buckets.layout(spark, path)
+    assert held["unclean"] == [] and sum(held["rows"].values()) == 60_000
+    before = {f: os.path.getsize(f) for f in files_of(path)}
+    changes = spark.range(1000).select(F.concat(F.lit("k"), F.col("id") % 4).alias("k"), (F.col("id") + 59_500).alias("id"), F.lit("new").alias("v"))
+    assert len(buckets.upsert_buckets(spark, path, changes, spec)) <= 4
+    kept = sum(size for f, size in before.items() if os.path.exists(f))
+    assert kept > 0.95 * sum(before.values())
+    got = buckets.read_buckets(spark, path)
+    assert tables.reconcile(got, writes.upsert(rows(60_000), changes, spec), spec.key).count() == 0
+    some = buckets.lookup_partition(spark, path, spec, {"k": "k5"})
+    assert some.count() == got.where("k = 'k5'").count() > 50
+
+
+@pytest.mark.parametrize("dies", [1, 2])
+def test_a_split_that_dies_is_finished_by_the_next_write(spark, place, monkeypatch, dies):
+    path, spec = place("table"), TableSpec("k")
+    rows = spark.range(4000).select(F.col("id").alias("k"), F.lit("old").alias("v"))
+    buckets.write_buckets(rows.where("k < 900"), path, spec, 3, bucket_rows=300)
+    calls, told = [], buckets._told
+
+    def failing(*args):
+        calls.append(1)
+        if len(calls) == dies + 1:  # after the rows are in: before or after the new folders are let in
+            raise RuntimeError("gone")
+        told(*args)
+
+    monkeypatch.setattr(buckets, "_told", failing)
+    with pytest.raises(RuntimeError):
+        buckets.upsert_buckets(spark, path, rows, spec)
+    monkeypatch.setattr(buckets, "_told", told)
+    assert tables.reconcile(buckets.read_buckets(spark, path), rows, spec.key).count() == 0
+    assert buckets.lookup_partition(spark, path, spec, {"k": 3999}).count() == 1
+    change = rows.where("k = 5").withColumn("v", F.lit("new"))
+    buckets.upsert_buckets(spark, path, change, spec)
+    held = buckets.layout(spark, path)
+    assert held["buckets"] == 14 and held["unclean"] == [] and sum(held["rows"].values()) == 4000
+    assert tables.reconcile(buckets.read_buckets(spark, path), writes.upsert(rows, change, spec), spec.key).count() == 0
+
+
+def test_deletes_in_place(spark, place):
+    path = place("table")
+    buckets.write_buckets(base(spark), path, SPEC, 16)
+    gone = base(spark).where("k = 'k1'").select("k", "id")
+    assert len(buckets.delete_from_buckets(spark, path, gone, SPEC)) == 1
+    want = writes.delete_rows(base(spark), gone, SPEC)
+    assert tables.reconcile(buckets.read_buckets(spark, path), want, SPEC.key).count() == 0
+    cells_of = base(spark).where("id < 9").select("k", "id")
+    buckets.delete_from_buckets(spark, path, cells_of, SPEC, ["v"])
+    got = buckets.read_buckets(spark, path)
+    assert got.where("v IS NULL").count() == 9 - gone.where("id < 9").count()
+    buckets.delete_from_buckets(spark, path, base(spark).select("k", "id"), SPEC)
+    assert buckets.read_buckets(spark, path).count() == 0 and sum(buckets.layout(spark, path)["rows"].values()) == 0
+    buckets.upsert_buckets(spark, path, base(spark), SPEC)
+    assert buckets.read_buckets(spark, path).count() == 2000

@@ -1,5 +1,7 @@
+import csv
 import datetime as dt
 import os
+import random
 import uuid
 from decimal import Decimal
 
@@ -316,3 +318,47 @@ def test_preview_shows_samples(spark):
     preview = imports.preview_import(df, {"id": "int", "t": "text"}, SPEC, n=4)
     assert {r["field"]: r["samples"] for r in preview.fields.collect()} == {"id": ["1", "2", "3"], "t": ["x", "y"]}
     assert preview.rows.first()[0] == 4 and preview.missing_key_columns == [] and preview.mapping == {"id": "id", "t": "t"}
+
+
+@pytest.mark.parametrize("size", [64, 300, 1 << 20])
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_split_csv_equals_whole_files(spark, place, size, ending):
+    """Fields with line breaks, quotes and delimiters, cut at every place by small blocks."""
+    rnd, folder = random.Random(3), place("csv")
+    os.makedirs(folder)
+    for n in range(3):
+        rows = [["id", "text", "more"]]
+        for i in range(120):
+            text = "".join(rnd.choice(["a", "bc ", '"', ",", "\n", "\r\n", "é", ""]) for _ in range(rnd.choice([0, 2, 9, 60])))
+            rows.append([str(i), text, rnd.choice(["", "x", "1\n2\n3"])])
+        with open(f"{folder}/f{n}.csv", "w", newline="") as file:
+            csv.writer(file, lineterminator=ending).writerows(rows)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for header in (True, False):
+            whole = files.read_csv(spark, folder, header=header)
+            split = files.read_csv(spark, folder, header=header, split=True)
+            assert split.columns == whole.columns
+            got, want = sorted(map(str, split.collect())), sorted(map(str, whole.collect()))
+            assert got == want and len(got) >= 360
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_split_csv_of_one_file_in_many_tasks(spark, place):
+    path = place("csv")
+    rows = spark.range(60_000).select("id", F.concat(F.lit("a line\nanother, "), F.repeat(F.lit("x"), 100)).alias("t"))
+    rows.coalesce(1).write.csv(path, header=True, escape='"')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 20))
+        got = files.read_csv(spark, path, split=True)
+        assert got.rdd.getNumPartitions() >= 8
+        assert got.where("t LIKE 'a line\nanother, x%' AND length(t) = 116").count() == got.count() == 60_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    with pytest.raises(KeyspanError):
+        files.read_csv(spark, path, split=True, comment="#")
