@@ -14,6 +14,7 @@ from keyspan.functions.rendering import grid_text
 from keyspan.functions.tokens import in_range as token_in_range
 from keyspan.functions.tokens import token
 from keyspan.model import KeyspanError, MissingKeyError
+from keyspan.operators.first_rows import before_cut, codes, cuts
 from keyspan.session import work_path
 
 # Page size limits, and the longest IN list kept as a plain filter.
@@ -309,11 +310,17 @@ def per_partition_limit(df: DataFrame, partition_key: list[str], order: list, n:
     """The first ``n`` rows of each partition in clustering order.
 
     Up to the optimizer's group limit Spark cuts every map task's rows to ``n`` per key before the
-    shuffle. Above it the same is done here: a first cut per key and slice, then the final one.
+    shuffle. Above it the place of the n-th row of large partitions is found first (see
+    ``first_rows``, which runs jobs), so that about ``n`` rows of each are shuffled. Where the order begins with no
+    number, time or text, a first cut per key and slice is done instead.
     """
     columns = order_columns(order)
     limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if n > limit:
+    if n > limit and codes(df, order):
+        found = cuts(df, partition_key, order, n)
+        if found is not None:
+            df = before_cut(df, found, partition_key, order)
+    elif n > limit:
         slices = [F.pmod(F.xxhash64(*[f"`{c}`" for c in _hashable(df)]), F.lit(64)).alias("_slice")]
         df = df.withColumn("_slice", slices[0])
         part = Window.partitionBy(*partition_key, "_slice").orderBy(*columns)

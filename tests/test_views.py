@@ -3,11 +3,12 @@ import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keyspan.functions.rendering import grid_text, render_text, render_wire, row_json
 from keyspan.model import KeyspanError, MissingKeyError
-from keyspan.operators import views
+from keyspan.operators import first_rows, views
 
 
 def rendered(spark, ddl, value):
@@ -165,6 +166,62 @@ def test_partition_limit_uses_the_group_limit_and_a_large_one_is_cut_twice(spark
     assert large.where("k = 1").agg(F.max("id")).first()[0] == 4497
 
 
+_ORDERS = [
+    ["whole", "id"], ["whole desc", "id desc"], ["number", "id"], ["number desc", "id"], ["word", "id"], ["word desc", "id"],
+    ["same", "day desc", "id"], ["flag", "small desc", "time", "id"], ["local desc", "id"], ["amount desc", "id"], ["same", "id"],
+]
+
+
+@pytest.fixture(scope="module")
+def mixed_order(spark):
+    """A key with most of the rows, a null key, nulls, ties, extremes and values that need more than 53 bits."""
+    i = F.col("id")
+    null = lambda c, every: F.when(i % every != 0, c)
+    df = spark.range(6000).select(
+        F.when(i % 5 < 3, "HOT").when(i % 5 == 3, None).otherwise(F.concat(F.lit("k"), i % 40)).alias("k"), "id",
+        null(F.when(i % 3 == 0, F.lit(2**62) + i % 50).otherwise((i * 7919) % 1000 - 500), 11).alias("whole"),
+        null(F.when(i % 97 == 0, F.lit(float("nan"))).when(i % 89 == 0, F.lit(float("-inf")))
+             .when(i % 83 == 0, F.lit(1.7e308)).otherwise(F.pow(F.lit(1.5), (i % 300).cast("double"))), 13).alias("number"),
+        null(F.concat(F.lit("prefix" * 2), (i * 31 % 700).cast("string")), 17).alias("word"), F.lit(1).alias("same"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (i % 9).cast("int")).alias("day"), (i % 2 == 0).alias("flag"),
+        (i % 7).cast("tinyint").alias("small"), F.timestamp_micros(i * 1_000_003 % 999_983).alias("time"),
+        null(F.timestamp_micros((i * 61 % 500 - 250) * 123_456_789).cast("timestamp_ntz"), 19).alias("local"),
+        (i % 1000 / 7).cast("decimal(20,6)").alias("amount"),
+    )
+    df.cache()
+    yield df
+    df.unpersist()
+
+
+@pytest.mark.parametrize("order", _ORDERS, ids=lambda o: "-".join(o).replace(" ", "_"))
+def test_cuts_of_hot_partitions_hold_their_first_rows(spark, mixed_order, order):
+    n = 20
+    found = first_rows.cuts(mixed_order, ["k"], order, n)
+    assert {r["k"] for r in found.collect()} == {"HOT", None}
+    left = first_rows.before_cut(mixed_order, found, ["k"], order)
+    assert left.columns == mixed_order.columns
+    window = Window.partitionBy("k").orderBy(*views.order_columns(order))
+    first = lambda df: {tuple(r) for r in df.withColumn("n", F.row_number().over(window)).where(f"n <= {n}").select("k", "id", "n").collect()}
+    assert first(left) == first(mixed_order)
+    hot = left.where("k = 'HOT'").count()
+    assert hot == found.where("k = 'HOT'").first()["_kept"]
+    if not order[0].startswith(("word", "number")):  # those codes do not tell all values apart
+        assert n <= hot <= first_rows.ENOUGH * n
+
+
+def test_no_cut_without_hot_partitions_or_numbers(spark):
+    df = spark.range(100).select((F.col("id") % 2).alias("k"), "id", F.array("id").alias("a"))
+    assert first_rows.cuts(df, ["k"], ["id"], 50) is None and first_rows.codes(df, ["a", "id"]) == []
+    assert first_rows.cuts(df.limit(0), ["k"], ["id"], 5) is None
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "3")
+    try:
+        assert views.per_partition_limit(df, ["k"], ["a", "id"], 4).count() == 8
+        plain = {r["id"] for r in views.per_partition_limit(df, ["k"], ["id desc"], 4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+    assert plain == set(range(92, 100))
+
+
 def test_cluster_sort_keeps_order_and_spreads_a_hot_partition(spark, many_tasks):
     df = spark.range(8000).select(F.lit("HOT").alias("k"), (F.col("id") * 7919 % 8000).alias("ts"))
     laid = views.cluster_sort(df, ["k"], ["ts desc"])
