@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,11 @@ from keyspan.functions.parsing import declared_type
 from keyspan.functions.rendering import blob_text, is_tuple, timestamp_text
 from keyspan.model import KeyspanError, TableSpec
 from keyspan.operators.views import order_columns
-from keyspan.session import path_exists, rename_path
+from keyspan.session import materialize, path_exists, rename_path
+
+#: A differing range of keys is cut into 2 ** FAN_BITS by the next level of digests, up to RANGES ranges, until at most
+#: FEW_ROWS rows lie in differing ones.
+FAN_BITS, RANGES, FEW_ROWS = 12, 2**20, 1_000_000
 
 
 def build_view(
@@ -153,17 +158,67 @@ def _pieces(value: Column) -> list[Column]:
     ]
 
 
+def _range_digests(df: DataFrame, keys: list[str], compared: list[str], bits: int, side: str) -> DataFrame:
+    """For each range of key hashes, told by the first ``bits`` of them, the rows and a sum of their hashes."""
+    one, two = _row_hashes(df, [*keys, *compared])
+    place = F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), 64 - bits)
+    lost = reduce(Column.__or__, [F.col(f"`{k}`").isNull() for k in keys])
+    hashed = df.select(place.alias("_range"), one.alias("_one"), two.alias("_two"), lost.alias("_lost"))
+    pieces = [F.sum(p) for p in (*_pieces(F.col("_one")), *_pieces(F.col("_two")))]
+    return hashed.groupBy("_range").agg(
+        F.count(F.lit(1)).alias(f"{side}_rows"), F.array(*pieces).alias(f"{side}_digest"), F.max("_lost").alias(f"{side}_lost")
+    )
+
+
+def _inside(df: DataFrame, keys: list[str], ranges: DataFrame, bits: int) -> DataFrame:
+    place = F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), 64 - bits)
+    # At most RANGES numbers.
+    return df.join(F.broadcast(ranges), place == F.col("_range"), "left_semi")
+
+
+def differing_ranges(
+    a: DataFrame, b: DataFrame, keys: list[str], compared: list[str], fan_bits: int = FAN_BITS, few_rows: int = FEW_ROWS
+) -> tuple[DataFrame, int, int]:
+    """Ranges of key hashes in which two tables differ, by a tree of digests from its root down.
+
+    A level gives each range of the level above that differs ``2 ** fan_bits`` ranges of its own; the next one is made while
+    more than ``few_rows`` rows lie in differing ranges and it has at most ``RANGES`` ranges. Only digests are
+    shuffled: at most one row per range and task. Returns the ranges (``_range``), how many there are, and the
+    bits that tell them.
+    """
+    bits, left, right = 0, a, b
+    while True:
+        bits += fan_bits
+        both = _range_digests(left, keys, compared, bits, "left").join(
+            _range_digests(right, keys, compared, bits, "right"), "_range", "full_outer"
+        )
+        same = F.col("left_rows").eqNullSafe(F.col("right_rows")) & F.col("left_digest").eqNullSafe(F.col("right_digest"))
+        # Rows whose key holds a null stand in no pair, so their ranges differ always.
+        same = same & ~F.col("left_lost") & ~F.col("right_lost")
+        rows = F.coalesce("left_rows", F.lit(0)) + F.coalesce("right_rows", F.lit(0))
+        found = materialize(both.where(~F.coalesce(same, F.lit(False))).select("_range", rows.alias("_rows")), "ranges")
+        count, held = found.agg(F.count(F.lit(1)), F.sum("_rows")).first()
+        ranges = found.select("_range")
+        if not count or held <= few_rows or count << fan_bits > RANGES or bits + fan_bits > 63:
+            return ranges, count, bits
+        left, right = _inside(a, keys, ranges, bits), _inside(b, keys, ranges, bits)
+
+
 def reconcile(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
     """Keys that differ between two tables: ``status`` is missing, extra or changed.
 
-    Each side is reduced to one row per key (row count and a sum of row hashes, so repeated keys
-    and the order of rows do not matter); the join reuses that partitioning. Only keys and hashes
-    are shuffled, not the rows.
+    Digests of key ranges are compared first (a job), and only rows of ranges that differ go on: equal tables shuffle
+    digests alone. Then each side is reduced to one row per key (row count and a sum of row hashes, so repeated
+    keys and the order of rows do not matter); the join reuses that partitioning. Only keys and hashes are
+    shuffled, not the rows. Keys with a null differ from all others; keys of unlike types are joined without digests.
     """
     compared = columns if columns is not None else [c for c in a.columns if c not in keys]
     missing = [c for c in compared if c not in b.columns]
     if missing:
         raise KeyspanError("columns only on one side: " + ", ".join(missing))
+    if [a.schema[k].dataType for k in keys] == [b.schema[k].dataType for k in keys]:
+        ranges, count, bits = differing_ranges(a, b, keys, compared)
+        a, b = (_inside(df, keys, ranges, bits) if count else df.limit(0) for df in (a, b))
 
     marks = [f"_{h}{i}" for h in (1, 2) for i in range(3)]
 

@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from keyspan.model import Codec, KeyspanError, TableSpec
 from keyspan.sources.imports import MAX_ERRORS, load
 
+#: Bytes of reduced rows that a task of ``stream_latest`` holds at once.
+HELD_BYTES = 32 * 1024 * 1024
+_AT, _TIE = "_latest_at", "_latest_tie"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 def stream_load(
     spark: SparkSession,
@@ -81,42 +88,108 @@ def stream_partition_counts(
     )
 
 
-def stream_latest(changes: DataFrame, keys: list[str], event_time: str, ttl_seconds: int, delay: str = "10 minutes") -> DataFrame:
+def stream_latest(
+    changes: DataFrame, keys: list[str], event_time: str, ttl_seconds: int, delay: str = "10 minutes", lifetime: str = "event"
+) -> DataFrame:
     """The latest row per key, forgotten ``ttl_seconds`` after its time; write in update mode.
 
-    A row is emitted whenever it becomes the latest of its key; one that is older than the row held,
-    or expired on arrival, is ignored. Time is event time: a key expires when the watermark passes
-    the row's time plus its lifetime, so a replay gives the same result. The rows of a key pass
-    through its task in Arrow batches; state per key is a single row.
+    A row is emitted whenever it becomes the latest of its key; one that is older than the row held, or
+    expired on arrival, is ignored, as is one without a time. Equal times are decided by a hash of the row, so a replay
+    gives the same result. With ``lifetime="event"`` a key expires when the watermark passes the row's time plus its
+    lifetime (a timer of the state); with ``"arrival"`` the state itself forgets the row that long after it was stored.
+    Spark then runs batches without data for ever, so ``availableNow`` ends only with
+    ``spark.sql.streaming.noDataMicroBatches.enabled`` off.
+
+    Every task first reduces its rows to one per key, so a hot key is one row per task in the shuffle. State per key is a
+    single row, kept in RocksDB: the session's state store provider is set to it, for queries started from now on.
     """
+    if lifetime not in ("event", "arrival"):
+        raise KeyspanError("a lifetime counts from event or arrival")
+    conf = changes.sparkSession.conf
+    if conf.get(_PROVIDER, None) != _ROCKSDB:
+        conf.set(_PROVIDER, _ROCKSDB)
     names = changes.columns
-    at = names.index(event_time)
+    hashable = [F.col(f"`{f.name}`") for f in changes.schema if not isinstance(f.dataType, T.MapType)]
+    at = F.unix_micros(F.col(f"`{event_time}`").cast("timestamp"))
+    ranked = changes.where(F.col(f"`{event_time}`").isNotNull()).select(
+        *[F.col(f"`{c}`") for c in names], at.alias(_AT), F.xxhash64(*hashable).alias(_TIE)
+    )
+    reduced = ranked.mapInArrow(partial(_latest_of_task, keys=keys), ranked.schema)
+    kept = (
+        reduced.withWatermark(event_time, delay)
+        .groupBy(*keys)
+        .transformWithState(
+            _Latest(names, reduced.schema, ttl_seconds, lifetime == "event"), changes.schema, "update",
+            "eventTime" if lifetime == "event" else "processingTime",
+        )
+    )
+    return kept
 
-    def keep(key, batches: Iterator, state):
-        import pandas as pd
 
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = tuple(state.get) if state.exists else None
-        best = None
-        for batch in batches:
-            row = batch.sort_values(event_time, kind="stable").iloc[-1:]
-            if best is None or row[event_time].iloc[0] >= best[event_time].iloc[0]:
-                best = row
-        if best is None:
-            return
-        plain = [None if pd.isna(v) else v for v in best.astype(object).iloc[0].tolist()]
-        newest = tuple(v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in plain)
-        if held is not None and (newest[at] < held[at] or newest == held):
-            return
-        expires = int(best[event_time].iloc[0].timestamp() * 1000) + ttl_seconds * 1000
-        if expires <= state.getCurrentWatermarkMs():
-            return
-        state.update(newest)
-        state.setTimeoutTimestamp(expires)
-        yield best
+def _latest_of_task(batches: Iterator, keys: list[str]) -> Iterator:
+    """One row per key of what a task reads; where its keys pass ``HELD_BYTES``, they are passed on and it begins anew."""
+    import pyarrow as pa
 
-    return changes.withWatermark(event_time, delay).groupBy(*keys).applyInPandasWithState(
-        keep, changes.schema, changes.schema, "update", GroupStateTimeout.EventTimeTimeout
-    )
+    held, waiting, grown = [], 0, 0
+    for batch in batches:
+        held.append(_latest_of(pa.Table.from_batches([batch]), keys))
+        waiting += held[-1].nbytes
+        # Reduced again whenever the waiting rows have doubled, so the work stays in proportion.
+        if waiting > max(2 * grown, HELD_BYTES // 4):
+            held = [_latest_of(pa.concat_tables(held), keys)]
+            waiting = grown = held[0].nbytes
+            if grown > HELD_BYTES:
+                yield from held[0].to_batches()
+                held, waiting, grown = [], 0, 0
+    if held:
+        yield from _latest_of(pa.concat_tables(held), keys).to_batches()
+
+
+def _latest_of(table, keys: list[str]):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    order = pc.sort_indices(table, sort_keys=[(_AT, "descending"), (_TIE, "descending")])
+    # Only the keys are sorted and grouped; rows that lose are never moved.
+    ids = pa.table([table.column(k).take(order) for k in keys] + [np.arange(len(table))], names=[f"k{i}" for i in range(len(keys))] + ["i"])
+    first = ids.group_by([f"k{i}" for i in range(len(keys))]).aggregate([("i", "min")]).column("i_min")
+    return table.take(order.take(first))
+
+
+class _Latest(StatefulProcessor):
+    """Holds the latest row of a key with its time and tie-break."""
+
+    def __init__(self, names: list[str], schema: T.StructType, ttl_seconds: int, by_event: bool):
+        self.names, self.schema, self.ttl, self.by_event = names, schema, ttl_seconds * 1000, by_event
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("latest", self.schema, None if self.by_event else self.ttl)
+
+    def expiry(self, at: int) -> int:
+        return at // 1000 + self.ttl
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        best = max(rows, key=lambda r: (r[_AT], r[_TIE]))
+        if self.by_event and self.expiry(best[_AT]) <= timerValues.getCurrentWatermarkInMs():
+            return
+        held = self.held.get()
+        if held is not None:
+            # State values come back as a row in the order of the schema.
+            was = held[len(self.names)], held[len(self.names) + 1]
+            if (best[_AT], best[_TIE]) <= was:
+                return
+            if self.by_event:
+                self.handle.deleteTimer(self.expiry(was[0]))
+        self.held.update(tuple(best))
+        if self.by_event:
+            self.handle.registerTimer(self.expiry(best[_AT]))
+        yield Row(*self.names)(*[best[n] for n in self.names])
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        self.held.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass

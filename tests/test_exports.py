@@ -228,6 +228,44 @@ def test_stream_latest_ignores_older_rows_and_forgets(spark, place):
     assert [(r["k"], r["v"]) for r in updates] == [("a", 2), ("b", 3), ("c", 4), ("c", 5)]
 
 
+def test_latest_by_arrival_decides_ties_by_row_and_ignores_rows_without_a_time(spark, place):
+    import datetime as dt
+
+    t = dt.datetime(2024, 1, 1)
+    ddl = "k string, at timestamp, v int, m map<string,int>"
+    rows = [("a", t, 1, {"x": 1}), ("a", t, 2, None), ("a", None, 9, None), (None, t, 4, None), (None, t + dt.timedelta(days=900), 5, None)]
+    seen = []
+    # Time of arrival passes without data, so a run to the end must not wait for batches without any.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        for batches in ([rows], [rows[1:], rows[:1]]):
+            source = file_stream(spark, place, batches, ddl)
+            out = collect_updates(streams.stream_latest(source, ["k"], "at", 3600, lifetime="arrival"), place)
+            seen.append({r["k"]: (r["v"], r["at"]) for b in out for r in b})
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    assert all(s == seen[0] for s in seen) and seen[0][None][0] == 5 and seen[0]["a"][0] in (1, 2)
+    with pytest.raises(KeyspanError):
+        streams.stream_latest(source, ["k"], "at", 3600, lifetime="never")
+
+
+def test_a_task_passes_on_one_row_per_key(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    key = np.where(rng.random(50_000) < 0.33, -1, rng.integers(0, 3000, 50_000))
+    table = pa.table({"k": key, streams._AT: rng.integers(0, 1000, 50_000), streams._TIE: rng.integers(0, 9, 50_000), "v": np.arange(50_000)})
+    frame = table.to_pandas().sort_values([streams._AT, streams._TIE])
+    want = frame.groupby("k")[[streams._AT, streams._TIE]].last().sort_index()
+    for limit, hot in ((1 << 25, 1), (40_000, 50)):
+        monkeypatch.setattr(streams, "HELD_BYTES", limit)
+        got = pa.Table.from_batches(streams._latest_of_task(iter(table.to_batches(1000)), ["k"])).to_pandas()
+        assert (got["k"] == -1).sum() <= hot
+        top = got.sort_values([streams._AT, streams._TIE]).groupby("k")[[streams._AT, streams._TIE]].last().sort_index()
+        assert top.equals(want)
+
+
 def test_stream_load_keeps_rejects_and_resumes(spark, place):
     incoming, target, checkpoint = place("in"), place("table"), place("checkpoint")
     types = {"id": "int", "v": "double"}

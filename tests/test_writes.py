@@ -296,6 +296,31 @@ def test_reconcile_sees_nulls_and_maps(spark):
         tables.reconcile(a, b.drop("m"), ["k"])
 
 
+def test_digests_lead_to_the_ranges_that_differ(spark):
+    a = spark.range(50_000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"))
+    b = a.where("k <> 123").withColumn("v", F.when(F.col("k") == 456, 99).otherwise(F.col("v")))
+    ranges, count, bits = tables.differing_ranges(a, b, ["k"], ["v"], fan_bits=4, few_rows=50)
+    assert count == 2 and bits >= 12
+    assert tables._inside(a, ["k"], ranges, bits).count() < 60
+    assert {(r["k"], r["status"]) for r in tables.reconcile(a, b, ["k"]).collect()} == {(123, "missing"), (456, "changed")}
+    assert tables.differing_ranges(a, a.repartition(7), ["k"], ["v"])[1] == 0
+
+
+def test_equal_tables_are_compared_by_digests_alone(spark):
+    a = spark.range(5000).select("id", (F.col("id") % 7).alias("v"))
+    plan = tables.reconcile(a, a.repartition(3), ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan
+
+
+def test_reconcile_with_null_keys_repeated_rows_and_unlike_key_types(spark):
+    a = spark.createDataFrame([(None, 1), (2, 2), (2, 2), (3, 3)], "k int, v int")
+    got = lambda x, y: sorted((r["k"] or 0, r["status"]) for r in tables.reconcile(x, y, ["k"]).collect())
+    assert got(a, a) == [(0, "extra"), (0, "missing")]
+    assert got(a, a.distinct()) == [(0, "extra"), (0, "missing"), (2, "changed")]
+    assert got(a.where("k > 1"), a.where("k > 1").withColumn("k", F.col("k").cast("bigint"))) == []
+    assert got(a.where("k > 1"), a.limit(0)) == [(2, "missing"), (3, "missing")]
+
+
 def test_projection_check():
     spec = TableSpec("a", "b")
     assert tables.check_projection(["*"], spec)["editable"]
