@@ -9,8 +9,9 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +24,8 @@ from keyspan.sources.files import csv_records
 
 FORMATS = ("csv", "jsonl", "json", "parquet", "xml")
 ROW_GROUP_BYTES = 128 * 1024 * 1024
+#: Records that make a file which is rolled by its bytes; a task holds one of them at a time.
+PIECES = 8
 
 # Neither mark can begin an element name, so a column is never taken for an attribute.
 XML_NULL, XML_TEXT = "@null", "#text"
@@ -55,8 +58,9 @@ def export(
     must hold as many. With ``split_keys`` the counts of every key range are compared as well (the
     formats that keep those columns' values: Parquet and JSON). A difference is an error.
 
-    Spark rolls to a new file by rows; ``max_file_bytes`` is turned into rows by the mean length of
-    a row as text, so files are about that size before compression.
+    With ``max_file_bytes`` CSV and JSON files end before the row that would take them beyond it, counted in the
+    bytes that are written (before compression); only a row longer than that makes a longer file. Parquet and XML
+    roll by rows, as many as the mean length of all rows as text allows, at the cost of a pass over the table.
     """
     fmt = fmt.lower()
     # Everything that can be refused is refused before a file is written.
@@ -71,10 +75,9 @@ def export(
     seen = Observation(f"export-{uuid.uuid4().hex}")
     watched = out.observe(seen, F.count(F.lit(1)).alias("rows"))
     warnings: list[str] = []
-    if max_file_bytes and not max_records_per_file:
-        # Sizes are about: the mean length of a thousand rows, so that the table is not read twice.
-        shown = out.select(F.octet_length(row_json(out, wire=False)).alias("bytes")).limit(1000)
-        mean = shown.agg(F.avg("bytes")).first()[0]
+    rolled = max_file_bytes if fmt in ("csv", "jsonl", "json") and not max_records_per_file else 0
+    if max_file_bytes and not rolled and not max_records_per_file:
+        mean = out.agg(F.avg(F.octet_length(row_json(out, wire=False)))).first()[0]
         max_records_per_file = max(1, int(max_file_bytes / mean)) if mean else 0
     options = {"maxRecordsPerFile": max_records_per_file}
     if compression:
@@ -85,12 +88,21 @@ def export(
         empty = '""' if len(out.columns) == 1 else ""
         if not null_string:
             warnings.append("null and empty text look alike; set null_string to tell them apart")
-        render_text(watched).write.mode(mode).options(
-            header=header, sep=delimiter, nullValue=null_string or empty, emptyValue=empty, quote='"', escape='"',
-            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n",
-            # The writer would quote a first field that begins with its comment mark, by default "#".
-            comment="\x01", **options,
-        ).csv(path)
+        if rolled:
+            texts = render_text(watched)
+            first = csv_header(out.columns, delimiter) if header else None
+            line = csv_line(texts, delimiter, null_string or empty, empty)
+            _write_rolled(texts.select(line), path, mode, options, rolled, first)
+        else:
+            render_text(watched).write.mode(mode).options(
+                header=header, sep=delimiter, nullValue=null_string or empty, emptyValue=empty, quote='"', escape='"',
+                ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n",
+                # The writer would quote a first field that begins with its comment mark, by default "#".
+                comment="\x01", **options,
+            ).csv(path)
+    elif rolled:
+        lines = watched.select(row_json(watched, wire=False, pretty=pretty and fmt == "json").alias("value"))
+        _write_rolled(lines, path, mode, options, rolled, array=fmt == "json")
     elif fmt == "jsonl":
         watched.select(row_json(watched, wire=False).alias("value")).write.mode(mode).options(**options).text(path)
     elif fmt == "json":
@@ -147,7 +159,7 @@ def read_back(
     if fmt == "parquet":
         return reader.parquet(path)
     if fmt == "jsonl" and not values:
-        return reader.text(path)
+        return reader.text(path).where("value <> ''")
     if fmt == "csv" and not values:
         return csv_records(reader.text(path, lineSep="\n"), header=header)
     if fmt == "json" and schema is not None and not (values and pretty):
@@ -171,6 +183,97 @@ def read_back(
     return reader.option("multiLine", str(fmt == "json").lower()).json(path)
 
 
+def csv_line(texts: DataFrame, delimiter: str, null: str, empty: str) -> Column:
+    """One CSV record of text columns, written as Spark's writer does: quotes only where they are needed."""
+
+    def field(name: str) -> Column:
+        text = F.col("`" + name.replace("`", "``") + "`")
+        needs = reduce(Column.__or__, [F.contains(text, F.lit(mark)) for mark in (delimiter, '"', "\n", "\r")])
+        quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.when(text.isNull(), F.lit(null)).when(text == "", F.lit(empty)).when(needs, quoted).otherwise(text)
+
+    return F.concat_ws(delimiter, *[field(c) for c in texts.columns]).alias("value")
+
+
+def csv_header(names: list[str], delimiter: str) -> str:
+    marks = (delimiter, '"', "\n", "\r")
+    return delimiter.join('"' + n.replace('"', '""') + '"' if any(m in n for m in marks) else n for n in names)
+
+
+def _write_rolled(
+    lines: DataFrame, path: str, mode: str, options: dict, limit: int, header: str | None = None, array: bool = False
+) -> None:
+    """Write lines of text to files of at most ``limit`` bytes: a file is ``PIECES`` records, each of many lines."""
+    pieces = lines.mapInArrow(_rolled(limit, header, array), "value string")
+    pieces.write.mode(mode).options(**{**options, "maxRecordsPerFile": PIECES}).text(path)
+
+
+def _rolled(limit: int, header: str | None, array: bool):
+    """Join the lines of a task to ``PIECES`` texts a file, by their running bytes.
+
+    A piece ends once the file has reached its share of the limit, the last one where the next line would pass the limit.
+    A file with fewer lines than pieces ends in blank lines, which readers skip.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        room = limit - (2 if array else 0)  # the line that closes an array
+        held: list[str] = []  # lines of the open piece
+        size, rows, done = 0, 0, 0  # of the open file: bytes, rows, pieces passed on
+
+        def begin() -> None:
+            nonlocal size
+            if header is not None:
+                held.append(header)
+                size = len(header.encode()) + 1
+
+        def end(padded: bool):
+            nonlocal size, rows, done
+            if array:
+                held.append("]" if rows else "[]")
+            out = ["\n".join(held)] + ([""] * (PIECES - done - 1) if padded else [])
+            held.clear()
+            size = rows = done = 0
+            return pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+
+        any_row = False
+        for batch in batches:
+            values = batch.column(0)
+            upto = np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64) + 1 + array)
+            at = 0
+            while at < len(values):
+                any_row = True
+                before = int(upto[at - 1]) if at else 0
+                if not rows and not held:
+                    begin()
+                fits = int(np.searchsorted(upto, before + room - size, "right"))
+                if fits <= at and rows:
+                    yield end(padded=True)
+                    continue
+                share = len(values) + 1
+                if done < PIECES - 1:
+                    share = int(np.searchsorted(upto, before + (done + 1) * room / PIECES - size, "left")) + 1
+                stop = min(max(fits, at + 1), max(share, at + 1), len(values))
+                part = values.slice(at, stop - at).to_pylist()
+                held += [("," if rows or i else "[") + text for i, text in enumerate(part)] if array else part
+                size, rows, at = size + int(upto[stop - 1]) - before, rows + len(part), stop
+                if done < PIECES - 1 and size >= (done + 1) * room / PIECES:
+                    yield pa.RecordBatch.from_arrays([pa.array(["\n".join(held)], pa.string())], names=["value"])
+                    held.clear()
+                    done += 1
+        if held or array and (rows or not any_row):
+            yield end(padded=False)
+        elif not any_row and header is not None and TaskContext.get().partitionId() == 0:
+            begin()
+            yield end(padded=False)
+
+    return run
+
+
 def _array_documents(rows: int):
     """Turn the JSON rows of one task into the lines of array documents of at most ``rows`` rows (0: one document)."""
 

@@ -319,3 +319,34 @@ def test_files_roll_at_about_the_asked_size(spark, place):
     exports.export(df, path, "jsonl", max_file_bytes=20_000)
     sizes = [len(t) for t in read(path)]
     assert len(sizes) == 10 and max(sizes) <= 22_000
+
+
+@pytest.mark.parametrize("fmt", ["csv", "jsonl", "json"])
+def test_files_end_before_the_row_that_would_pass_the_limit(spark, place, fmt):
+    i = F.col("id")
+    texts = F.when(i % 50 == 0, None).when(i % 50 == 1, "").when(i % 50 == 2, 'a,"b"\nc\r').when(i % 50 == 3, "\u00e9" * 40)
+    df = spark.range(3000).select(
+        "id", texts.otherwise(F.repeat(F.lit("x"), F.when(i > 2500, 400).otherwise(9).cast("int"))).alias("t, u")
+    ).coalesce(1)
+    plain, rolled = place(), place()
+    exports.export(df, plain, fmt)
+    assert exports.export(df, rolled, fmt, max_file_bytes=20_000).rows == 3000
+    sizes = [len(t.encode()) for t in read(rolled)]
+    assert max(sizes) <= 20_000 and sorted(sizes)[1] >= 18_000 and len(sizes) > 10
+    if fmt == "json":
+        docs = [json.loads(t) for t in read(rolled)]
+        assert sorted((r for d in docs for r in d), key=lambda r: r["id"]) == json.loads(read(plain)[0])
+    else:
+        head = read(plain)[0].split("\n", 1)[0] + "\n" if fmt == "csv" else ""
+        body = sorted(t.removeprefix(head) for t in read(rolled))
+        assert sorted("".join(body)) == sorted(read(plain)[0].removeprefix(head))
+        assert all(t.removeprefix(head) in read(plain)[0] and t.startswith(head) for t in read(rolled))
+
+
+@pytest.mark.parametrize("fmt", ["csv", "jsonl", "json"])
+def test_rows_longer_than_a_file_and_no_rows_at_all(spark, place, fmt):
+    df = spark.range(5).select("id", F.repeat(F.lit("y"), 500).alias("t")).coalesce(1)
+    path = place()
+    assert exports.export(df, path, fmt, max_file_bytes=100).rows == 5 and len(read(path)) == 5
+    path = place()
+    assert exports.export(df.limit(0), path, fmt, max_file_bytes=100).rows == 0
