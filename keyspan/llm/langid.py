@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyspan.llm.common import fold, map_runs, texts_of
+from keyspan.operators.views import per_partition_limit
+from keyspan.session import materialize
 
 FOLDS = 5
 #: Training documents per language at most: those with the least hash of their id.
@@ -132,13 +134,13 @@ def train(docs: DataFrame) -> Filters:
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
     known = known.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(fold(F.col("doc_id"), FOLDS) != 0).distinct()
-    names = [r[0] for r in known.select("lang").distinct().collect()]
-    if not names:
+    known = materialize(known.withColumn("place", F.xxhash64("doc_id")), "langid-known")
+    if known.isEmpty():
         return build({})
-    chosen = None
-    for name in sorted(names):
-        part = known.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    # One plan for any number of languages; the cut of a language with very many documents is found by counts.
+    chosen = per_partition_limit(known, ["lang"], ["place", "doc_id"], SAMPLE).drop("place")
+    # Written, so that Spark sees its size: it is broadcast where that is small, whatever the number of languages.
+    chosen = materialize(chosen, "langid-sample")
 
     def count(part: pa.RecordBatch, texts: list[str]) -> dict:
         langs = np.array(part.column("lang").to_pylist(), object)
@@ -155,7 +157,7 @@ def train(docs: DataFrame) -> Filters:
             "times": pa.array(np.concatenate([times for *_, times in out]).astype(np.int64), pa.int64()),
         }
 
-    texts = texts_of(docs).join(F.broadcast(chosen), "doc_id").select("lang", "text")
+    texts = texts_of(docs).join(chosen, "doc_id").select("lang", "text")
     counted = map_runs(texts, count, "lang string, n int, gram long, times long")
     counted = counted.groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
     totals = counted.groupBy("lang", "n").agg(F.sum("times").alias("total"))

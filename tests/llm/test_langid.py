@@ -92,3 +92,24 @@ def test_held_out_accuracy(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{directory}/documents.parquet").collect()}
     rows = [r for r in op7_language_id(spark, directory).collect() if r.held_out and truth[r.doc_id]]
     assert len(rows) > 100 and np.mean([r.lang_pred == truth[r.doc_id] for r in rows]) > 0.98
+
+
+def test_training_over_many_lang_values_takes_the_least_hashes_of_each(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(langid, "SAMPLE", 3)
+    i = F.col("id")
+    docs = spark.range(4000).select(
+        i.alias("doc_id"), F.when(i % 4 != 0, "common").otherwise(F.concat(F.lit("l"), i % 500)).alias("lang"),
+        F.concat(F.lit("word"), F.translate(i.cast("string"), "0123456789", "abcdefghij")).alias("text"),
+    )
+    kept, write = [], langid.materialize
+    monkeypatch.setattr(langid, "materialize", lambda df, label: kept.append((label, write(df, label))) or kept[-1][1])
+    filters = langid.train(docs)
+    known = docs.where(langid.fold(F.col("doc_id"), langid.FOLDS) != 0)
+    assert filters.languages == sorted(r[0] for r in known.select("lang").distinct().collect()) and len(filters.languages) > 100
+    want = {}
+    for r in known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).collect():
+        want.setdefault(r["lang"], []).append((r["h"], r["doc_id"]))
+    got = {(r["lang"], r["doc_id"]) for r in dict(kept)["langid-sample"].collect()}
+    assert got == {(lang, d) for lang, rows in want.items() for _, d in sorted(rows)[:3]}
