@@ -57,6 +57,21 @@ def csv_round_trip(t):
     return good
 
 
+@query("csv_rolled_by_bytes", "SELECT doc_id, text, lang, source, n_chars, 0::BIGINT AS files_too_long FROM documents")
+def csv_rolled_by_bytes(t):
+    # Files end before the row that would pass the limit; one longer than it holds a single row.
+    path, limit = work_path(t.spark, "csv"), 200_000
+    exports.export(t.documents, path, "csv", header=True, max_file_bytes=limit)
+    good, _ = imports.typed_import(
+        files.read_csv(t.spark, path),
+        {"doc_id": "bigint", "text": "text", "lang": "text", "source": "text", "n_chars": "bigint"},
+    )
+    sizes = t.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("length")
+    longest = t.documents.agg(F.max(F.octet_length("text"))).first()[0] or 0
+    over = sizes.where(F.col("length") > max(limit, 2 * longest + 200)).count()
+    return good.withColumn("files_too_long", F.lit(over).cast("bigint"))
+
+
 @query(
     "jsonl_lines",
     """
