@@ -57,43 +57,3 @@ def splits_per_range(ranges: int, target: int = 10_000) -> int:
     if ranges <= 0 or target <= ranges:
         return 1
     return -(-target // ranges)
-
-
-def tile_ring(ranges: list[tuple[int, int]], target: int = 10_000) -> list[tuple[int, int]]:
-    """Cut given ranges into even pieces that together cover the same tokens once.
-
-    The list is cluster layout (a few thousand entries), not data. A wrapping range is cut at the
-    end of the ring first; a range too small to cut stays whole; empty pieces are dropped.
-    """
-    pieces = splits_per_range(len(ranges), target)
-    out: list[tuple[int, int]] = []
-    for start, end in ranges:
-        spans = [(start, end)] if start < end else [(start, MAX_TOKEN), (MIN_TOKEN, end)]
-        for lo, hi in spans:
-            width = hi - lo
-            if width <= 0:
-                continue
-            n = pieces if width >= pieces else 1
-            cuts = [lo + width * i // n for i in range(n)] + [hi]
-            out.extend(zip(cuts[:-1], cuts[1:]))
-    return sorted(out)
-
-
-def ranges_frame(spark: SparkSession, tiles: list[tuple[int, int]]) -> DataFrame:
-    rows = [(i, str(lo), str(hi)) for i, (lo, hi) in enumerate(tiles)]
-    return spark.createDataFrame(rows, "split_id int, range_start string, range_end string")
-
-
-def tile_of(tok: Column, tiles: list[tuple[int, int]]) -> Column:
-    """Number of the tile that holds a token, for tiles of unequal width."""
-    ends = [hi for _, hi in tiles]
-
-    @F.arrow_udf("int")
-    def find(values):
-        import numpy as np
-        import pyarrow as pa
-
-        found = np.searchsorted(np.array(ends, dtype="int64"), values.to_numpy(), side="left")
-        return pa.array(found.astype("int32"))
-
-    return find(tok)

@@ -15,6 +15,7 @@ begun again by the next write.
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,12 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyspan.model import KeyspanError, TableSpec
+from keyspan.operators.stats import table_statistics
 from keyspan.operators.writes import apply_counters, delete_cells, delete_rows, upsert
 from keyspan.session import delete_path, file_names, path_exists, read_text, write_text
 
 BUCKET = "_bucket"
 LAYOUT = "_layout.json"  # readers of Parquet skip names that begin with an underscore
-
+COUNTS, COUNTED = "_counts", "_counted.json"
+ROWS = "_rows"  # rows of a key in the counts
 
 #: Rows of a bucket, about, above which buckets are split.
 BUCKET_ROWS = 1_000_000
@@ -142,6 +145,63 @@ def read_buckets(spark: SparkSession, path: str) -> DataFrame:
     return _with_bucket(spark, path, held).drop(BUCKET) if held else spark.read.parquet(path)
 
 
+def _digests(spark: SparkSession, path: str, held: dict) -> dict[str, str]:
+    """For each bucket a digest of the names of its files. Names are never used twice, so it tells whether a bucket was rewritten."""
+    files: dict[str, list[str]] = {}
+    for file in _stored(spark, path, held).inputFiles():
+        folder, name = file.rsplit("/", 2)[1:]
+        if folder.startswith(f"{BUCKET}="):
+            files.setdefault(folder.split("=")[1], []).append(name)
+    made = {}
+    for bucket, names in files.items():
+        if int(bucket) < held["buckets"]:
+            made[bucket] = hashlib.sha256("/".join(sorted(names)).encode()).hexdigest()
+    return made
+
+
+def refresh_counts(spark: SparkSession, path: str, spec: TableSpec) -> list[int]:
+    """Bring the stored rows per partition key up to date; returns the buckets that were counted again.
+
+    Only buckets whose files are others than when they were last counted are read, whoever rewrote them.
+    A run that dies leaves counts that the next one makes again.
+    """
+    held = _held(spark, path, spec)
+    text = read_text(spark, f"{path}/{COUNTED}")
+    known, now = json.loads(text) if text else {}, _digests(spark, path, held)
+    # A split that is not cleaned up changes what a bucket holds without changing its files.
+    unclean = {str(b) for b in held["unclean"]}
+    stale = sorted(int(b) for b in now if b in unclean or known.get(b) != now[b])
+    gone = [b for b in known if b not in now]
+    for bucket in gone:
+        delete_path(spark, f"{path}/{COUNTS}/{BUCKET}={bucket}")
+    if stale:
+        for bucket in stale:  # a bucket may be left without a row of its own
+            if path_exists(spark, f"{path}/{COUNTS}/{BUCKET}={bucket}"):
+                delete_path(spark, f"{path}/{COUNTS}/{BUCKET}={bucket}")
+        rows = _with_bucket(spark, path, held).where(F.col(BUCKET).isin(stale))
+        counts = rows.groupBy(BUCKET, *spec.partition_key).agg(F.count(F.lit(1)).alias(ROWS))
+        _write(counts, f"{path}/{COUNTS}")
+    if stale or gone or text is None:
+        write_text(spark, f"{path}/{COUNTED}", json.dumps({b: d for b, d in now.items() if b not in unclean}))
+    return stale
+
+
+def stored_statistics(spark: SparkSession, path: str, spec: TableSpec, identity: str, **options) -> DataFrame:
+    """``stats.table_statistics`` of a bucketed table from its stored counts: one row per partition key is read, after
+    the buckets that have changed since were counted again. Options are those of ``table_statistics``."""
+    refresh_counts(spark, path, spec)
+    held = _held(spark, path, spec)
+    kept = T.StructType.fromJson(held["schema"])
+    by_name = {f.name.lower(): f for f in kept}
+    keys = [T.StructField(k, by_name[k.lower()].dataType) for k in spec.partition_key]
+    schema = T.StructType([*keys, T.StructField(ROWS, T.LongType()), T.StructField(BUCKET, T.IntegerType())])
+    if path_exists(spark, f"{path}/{COUNTS}"):
+        counts = spark.read.schema(schema).parquet(f"{path}/{COUNTS}").drop(BUCKET)
+    else:
+        counts = spark.createDataFrame([], schema).drop(BUCKET)
+    return table_statistics(counts, list(spec.partition_key), identity, weight=ROWS, **options)
+
+
 def lookup_partition(spark: SparkSession, path: str, spec: TableSpec, key: dict) -> DataFrame:
     """The rows of one partition; only its bucket is read."""
     missing = [k for k in spec.partition_key if k not in key]

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyspan.functions.rendering import key_text
-from keyspan.functions.tokens import split_of, split_ranges, tile_of, token
+from keyspan.functions.tokens import split_of, split_ranges, token
 from keyspan.model import KeyspanError, TableSpec
+from keyspan.session import materialize
 
 # Report sections, their order and the cap of a detail section.
 MODES = ("global", "hosts", "ranges", "partitions")
@@ -39,11 +40,6 @@ def split_scan(df: DataFrame, keys: list[str], splits: int) -> DataFrame:
     return df.withColumn("split_id", split_of(token(*keys), splits))
 
 
-def tile_scan(df: DataFrame, keys: list[str], tiles: list[tuple[int, int]]) -> DataFrame:
-    """``split_scan`` over given tiles, see ``tile_ring``."""
-    return df.withColumn("split_id", tile_of(token(*keys), tiles))
-
-
 def partition_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows per partition key: the key columns, ``partition_key`` as text, ``rows``."""
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
@@ -74,18 +70,19 @@ def distinct_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys).distinct()
 
 
-def ring_owners(spark: SparkSession, splits: int, owners: int, rf: int) -> DataFrame:
-    """Placement rule: split ``s`` lives on owners ``s, s+1, .. s+rf-1`` modulo ``owners``."""
-    if not 0 < rf <= owners:
-        raise KeyspanError("the replication factor must be between 1 and the number of owners")
-    return (
-        spark.range(0, splits, 1, 1)
-        .select(
-            F.col("id").cast("int").alias("split_id"),
-            F.explode(F.sequence(F.lit(0), F.lit(rf - 1))).alias("replica"),
-        )
-        .select("split_id", ((F.col("split_id") + F.col("replica")) % F.lit(owners)).alias("owner"))
+def key_tiles(df: DataFrame, keys: list[str], tiles: int) -> DataFrame:
+    """Ranges of the key itself, of about equally many keys: tile, keys, rows, lo, hi. Empty tiles have no row.
+
+    Rows are counted per key before keys are dealt to ranges, so a hot key is one row. The tiles are written, because
+    bounds are sampled and another run may choose others.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    ranged = counts.repartitionByRange(tiles, *keys).withColumn("tile", F.spark_partition_id())
+    key = F.struct(*keys)
+    found = ranged.groupBy("tile").agg(
+        F.count(F.lit(1)).alias("keys"), F.sum("_rows").alias("rows"), F.min(key).alias("lo"), F.max(key).alias("hi")
     )
+    return materialize(found, "key-tiles")
 
 
 def rows_per_range(counts: DataFrame, splits: int) -> DataFrame:
@@ -125,7 +122,7 @@ def width_range_counts(df: DataFrame, column: str, splits: int) -> DataFrame:
 
 
 def replica_counts(ranges: DataFrame, owners: DataFrame) -> DataFrame:
-    """Rows per owner from rows per range; the sum is rows times the replication factor."""
+    """Rows per owner from rows per range and a table of (split_id, owner): a range counts for each of its owners."""
     total = ranges.select(F.sum("rows")).scalar()
     return (
         ranges.select("split_id", "rows")
@@ -144,23 +141,26 @@ def count_stats(
     top: int = 10,
     owners: DataFrame | None = None,
     has_clustering: bool = True,
+    weight: str | None = None,
 ) -> DataFrame:
     """The statistics report: one row per figure with ``section``, ``item``, range, rows, percent.
 
     Only the asked sections are computed. ``global`` and ``ranges`` need no grouping by key; with
     ``partitions`` every section reads the same grouped count, so the table is scanned once.
+    A row of ``df`` stands for as many rows as its column ``weight`` says, if one is named.
     """
     wanted = normalise_modes(modes, has_clustering)
     if "hosts" in wanted and owners is None:
         raise KeyspanError("the hosts mode needs the owners of each split")
     spark = df.sparkSession
-    narrow = df.select(*keys)
+    narrow = df.select(*keys, *_named(weight))
     split = split_of(token(*keys), splits).alias("split_id")
-    by_key = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")) if "partitions" in wanted else None
+    counted = _counted(weight).alias("rows")
+    by_key = narrow.groupBy(*keys).agg(counted) if "partitions" in wanted else None
     if by_key is not None:
         by_split = by_key.groupBy(split).agg(F.sum("rows").alias("rows"))
     else:
-        by_split = narrow.groupBy(split).agg(F.count(F.lit(1)).alias("rows"))
+        by_split = narrow.groupBy(split).agg(counted)
     ranges = rows_per_range(by_split, splits)
     none = F.lit(None).cast("string")
     parts = []
@@ -169,7 +169,7 @@ def count_stats(
             source = (
                 by_split.agg(F.coalesce(F.sum("rows"), F.lit(0).cast("bigint")).alias("rows"))
                 if len(wanted) > 1
-                else narrow.agg(F.count(F.lit(1)).alias("rows"))
+                else narrow.agg(F.coalesce(counted, F.lit(0)).alias("rows"))
             )
             parts.append(
                 source.select(
@@ -206,6 +206,14 @@ def count_stats(
     return out
 
 
+def _named(weight: str | None) -> list[str]:
+    return [weight] if weight else []
+
+
+def _counted(weight: str | None) -> Column:
+    return F.sum(weight) if weight else F.count(F.lit(1))
+
+
 def total_rows(stats: DataFrame) -> DataFrame:
     """The total of a report: the global figure, else the sum of the ranges, else of the hosts."""
 
@@ -234,6 +242,7 @@ def table_statistics(
     owners: DataFrame | None = None,
     computed_at: Column | None = None,
     detail_cap: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """A statistics snapshot ready to be stored: the report plus identity, partition count and time.
 
@@ -241,8 +250,8 @@ def table_statistics(
     ``truncated`` say so, and the total and the partition count are always those of the whole table.
     """
     modes = ["global", "ranges", "partitions"] + (["hosts"] if owners is not None else [])
-    report = count_stats(df, keys, modes, splits, top, owners)
-    by_key = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    report = count_stats(df, keys, modes, splits, top, owners, weight=weight)
+    by_key = df.select(*keys, *_named(weight)).groupBy(*keys).agg(_counted(weight).alias("rows"))
     none = F.lit(None).cast("string")
     # Counting the rows column, not only the keys, lets Spark reuse the shuffle of the report.
     partitions = by_key.agg(F.count(F.when(F.col("rows") > 0, 1)).alias("rows")).select(
@@ -314,14 +323,16 @@ def audit_splits(df: DataFrame, keys: list[str], splits: int) -> DataFrame:
     per_split = scanned.select("split_id", token(*keys).alias("token")).groupBy("split_id").agg(
         F.count(F.lit(1)).alias("rows"), F.min("token").alias("lo"), F.max("token").alias("hi")
     )
-    # The window runs over the list of ranges, whose length is the split count, never over rows.
-    order = Window.orderBy("split_id")
     ranges = (
         split_ranges(spark, splits)
         .withColumn("start", F.col("range_start").cast("bigint"))
         .withColumn("end", F.col("range_end").cast("bigint"))
-        .withColumn("expected", F.coalesce(F.lag("end").over(order), F.expr("-9223372036854775807L - 1L")))
-        .withColumn("next", F.lead("start").over(order))
+    )
+    # A split is joined to its neighbours by their numbers.
+    ends = ranges.select((F.col("split_id") + 1).alias("split_id"), F.col("end").alias("ended"))
+    starts = ranges.select((F.col("split_id") - 1).alias("split_id"), F.col("start").alias("next"))
+    ranges = ranges.join(ends, "split_id", "left").join(starts, "split_id", "left").withColumn(
+        "expected", F.coalesce("ended", F.expr("-9223372036854775807L - 1L"))
     )
     at_end = F.col("next").isNotNull() | (F.col("end") == F.lit(2**63 - 1))
     above = (F.col("lo") > F.col("start")) | (F.col("split_id") == 0)

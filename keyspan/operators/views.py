@@ -15,11 +15,14 @@ from keyspan.functions.tokens import in_range as token_in_range
 from keyspan.functions.tokens import token
 from keyspan.model import KeyspanError, MissingKeyError
 from keyspan.operators.first_rows import before_cut, codes, cuts
+from keyspan.operators.order_statistics import rows_around
 from keyspan.session import work_path
 
 # Page size limits, and the longest IN list kept as a plain filter.
 DEFAULT_PAGE = 500
 MAX_PAGE = 10_000
+#: ``one_page`` sorts once at most this many rows are left around the page.
+SORTED_ROWS = 100_000
 IN_LIST_LIMIT = 10_000
 
 
@@ -389,7 +392,10 @@ class Pages:
 
     def page(self, number: int) -> DataFrame:
         """One page. The filter is on stored columns, so all other partitions are skipped."""
-        lo, hi = (number - 1) * self.size, number * self.size
+        return self.between((number - 1) * self.size, number * self.size)
+
+    def between(self, lo: int, hi: int) -> DataFrame:
+        """The rows at the places lo .. hi - 1, from 0."""
         hit = F.lit(False)
         for part, offset, n in self.offsets:
             if offset < hi and offset + n > lo:
@@ -403,6 +409,22 @@ def paginate(df: DataFrame, order: list, size: int = DEFAULT_PAGE) -> DataFrame:
     return Pages(df, order, size).frame()
 
 
+def one_page(df: DataFrame, order: list, number: int, size: int = DEFAULT_PAGE, enough: int = SORTED_ROWS) -> DataFrame:
+    """One page of ``Pages`` without sorting the table: only rows near the page are written and sorted.
+
+    ``order`` must end in a unique column. Where the order begins with no number, time or text, this is ``Pages``.
+    The order columns are read once for a sketch (once more for each further column a hot value makes necessary) and the table
+    once to write about a thousandth of it, which is narrowed again while it holds more than ``enough`` rows.
+    """
+    if not 0 < size <= MAX_PAGE:
+        raise KeyspanError(f"the page size must be between 1 and {MAX_PAGE}")
+    if number < 1:
+        raise KeyspanError("pages count from 1")
+    lo, hi = (number - 1) * size, number * size
+    near, skipped = rows_around(df, order, lo, hi, max(enough, 4 * size))
+    return Pages(near, order, size).between(lo - skipped, hi - skipped)
+
+
 def limit_rows(df: DataFrame, n: int) -> DataFrame:
     """A row cap; a negative one means no cap."""
     return df if n < 0 else df.limit(n)

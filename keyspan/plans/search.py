@@ -229,6 +229,20 @@ def page_3(t):
     return views.Pages(t.orders, ["o_orderdate", "o_orderkey"], 500).page(3)
 
 
+@query(
+    "one_page",
+    """
+    SELECT l_returnflag, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem
+    ORDER BY l_returnflag DESC, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 500 OFFSET 2500
+    """,
+)
+def one_page(t):
+    # Three values fill the first column, so the page is found by the second and the third one.
+    order = ["l_returnflag", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    named = t.lineitem.select(*order)
+    return views.one_page(named, ["l_returnflag desc", *order[1:]], 6, 500, enough=2000)
+
+
 @query(
     "page_backwards",
     "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id LIMIT 100 OFFSET 300",

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keyspan.functions.tokens import MAX_TOKEN, MIN_TOKEN, tile_ring
+from keyspan.functions.tokens import MAX_TOKEN, MIN_TOKEN
 from keyspan.model import TableSpec
-from keyspan.operators import stats
+from keyspan.operators import buckets, stats
 from keyspan.operators.views import in_range
 from keyspan.plans.registry import query
+from keyspan.session import work_path
 
 EVENTS = TableSpec(("user_id",), ("ts", "event_id"))
 CONVERSATIONS = TableSpec(("conv_id",), ("turn",))
@@ -34,30 +35,41 @@ def count_by_key_range(t):
     return stats.width_range_counts(t.orders, "o_orderkey", 16).withColumn("percent", F.round("percent", 6))
 
 
+def _nations(t):
+    """A table that places 25 ranges: the range of a nation's number belongs to its region."""
+    return t.nation.select(F.col("n_nationkey").alias("split_id"), F.col("n_regionkey").alias("owner"))
+
+
 @query(
     "replica_counts",
     """
     WITH b AS (SELECT min(o_orderkey) lo, max(o_orderkey) hi FROM orders),
-    c AS (SELECT least(15, floor((o_orderkey - lo) * 16 / (hi - lo + 1)))::BIGINT AS split_id, count(*) AS n
+    c AS (SELECT least(24, floor((o_orderkey - lo) * 25 / (hi - lo + 1)))::BIGINT AS split_id, count(*) AS n
           FROM orders, b GROUP BY 1)
-    SELECT ((split_id + r.range) % 6)::INTEGER AS owner, sum(n)::BIGINT AS rows,
-           round(100.0 * sum(n) / (SELECT count(*) FROM orders), 6)::DOUBLE AS percent
-    FROM c, range(3) r GROUP BY 1
+    SELECT n_regionkey AS owner, sum(coalesce(n, 0))::BIGINT AS rows,
+           round(100.0 * sum(coalesce(n, 0)) / (SELECT count(*) FROM orders), 6)::DOUBLE AS percent
+    FROM nation LEFT JOIN c ON split_id = n_nationkey GROUP BY 1
     """,
 )
 def replica_counts(t):
-    owners = stats.ring_owners(t.spark, 16, owners=6, rf=3)
-    ranges = stats.width_range_counts(t.orders, "o_orderkey", 16)
-    return stats.replica_counts(ranges, owners).withColumn("percent", F.round("percent", 6))
+    ranges = stats.width_range_counts(t.orders, "o_orderkey", 25)
+    return stats.replica_counts(ranges, _nations(t)).withColumn("percent", F.round("percent", 6))
 
 
 @query(
     "replica_conservation",
-    "SELECT count(*) AS rows, (3 * count(*))::BIGINT AS replicated, 6::BIGINT AS owners FROM lineitem",
+    """
+    WITH b AS (SELECT min(l_orderkey) lo, max(l_orderkey) hi FROM lineitem),
+    c AS (SELECT least(24, floor((l_orderkey - lo) * 25 / (hi - lo + 1)))::BIGINT AS split_id, count(*) AS n
+          FROM lineitem, b GROUP BY 1)
+    SELECT (SELECT count(*) FROM lineitem) AS rows, sum(coalesce(n, 0))::BIGINT AS replicated, count(DISTINCT s_suppkey) AS owners
+    FROM supplier LEFT JOIN c ON split_id = s_nationkey
+    """,
 )
 def replica_conservation(t):
-    owners = stats.ring_owners(t.spark, 64, owners=6, rf=3)
-    ranges = stats.range_counts(t.lineitem, ["l_orderkey"], 64)
+    # A range is held by all suppliers of its nation.
+    owners = t.supplier.select(F.col("s_nationkey").alias("split_id"), F.col("s_suppkey").alias("owner"))
+    ranges = stats.width_range_counts(t.lineitem, "l_orderkey", 25)
     total = ranges.select(F.sum("rows")).scalar()
     return stats.replica_counts(ranges, owners).agg(
         F.sum("rows").alias("replicated"), F.count(F.lit(1)).alias("owners")
@@ -104,12 +116,11 @@ def split_audit(t):
     "SELECT count(*) AS rows, 0::BIGINT AS outside FROM orders",
 )
 def tile_conservation(t):
-    # A ring cut at uneven places, one range wrapping around its end.
-    cuts = [-(2**62), -(2**61), 12345, 2**60, 2**62]
-    tiles = tile_ring(list(zip(cuts, [*cuts[1:], cuts[0]])), target=100)
-    scanned = stats.tile_scan(t.orders.select("o_orderkey"), ["o_orderkey"], tiles)
-    return scanned.groupBy("split_id").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.sum("n").alias("rows"), F.count(F.when(F.col("split_id") >= len(tiles), 1)).alias("outside")
+    tiles = stats.key_tiles(t.orders, ["o_orderkey"], 16)
+    # A tile begins after the one before it has ended.
+    ended = tiles.select((F.col("tile") + 1).alias("tile"), F.col("hi").alias("ended"))
+    return tiles.join(ended, "tile", "left").agg(
+        F.sum("rows").alias("rows"), F.count(F.when(F.col("lo") <= F.col("ended"), 1)).alias("outside")
     )
 
 
@@ -199,8 +210,8 @@ def count_report(t):
 
 @query("total_from_ranges", "SELECT count(*) AS rows FROM orders")
 def total_from_ranges(t):
-    owners = stats.ring_owners(t.spark, 32, 4, 2)
-    return stats.total_rows(stats.count_stats(t.orders, ["o_custkey"], ["ranges", "hosts"], 32, owners=owners))
+    report = stats.count_stats(t.orders, ["o_custkey"], ["ranges", "hosts"], 25, owners=_nations(t))
+    return stats.total_rows(report)
 
 
 @query(
@@ -221,6 +232,27 @@ def table_statistics(t):
     )
 
 
+@query(
+    "stored_statistics",
+    """
+    WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1)
+    SELECT 'events' AS identity, 'global' AS section, 'total' AS item, sum(n)::BIGINT AS rows, 1::BIGINT AS reported FROM c
+    UNION ALL SELECT 'events', 'partition_count', 'total', count(*), 1 FROM c
+    UNION ALL SELECT * FROM (SELECT 'events', 'partitions', CAST(user_id AS VARCHAR), n, 10 FROM c ORDER BY n DESC, user_id LIMIT 10)
+    """,
+)
+def stored_statistics(t):
+    # Three loads; after each only the buckets that it rewrote are counted again.
+    spark, path = t.spark, work_path(t.spark, "counted")
+    loads = [t.events.where("event_type = 'view'"), t.events.where("event_type = 'click'"), t.events.where("event_type NOT IN ('view', 'click')")]
+    buckets.write_buckets(loads[0], path, EVENTS, 8)
+    for more in loads[1:]:
+        buckets.refresh_counts(spark, path, EVENTS)
+        buckets.upsert_buckets(spark, path, more, EVENTS)
+    told = buckets.stored_statistics(spark, path, EVENTS, "events", splits=32)
+    return told.where("section <> 'ranges'").select("identity", "section", "item", "rows", "reported")
+
+
 @query(
     "aggregate_by_key",
     """

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyspan.model import KeyspanError, TableSpec
-from keyspan.operators import buckets, tables, writes
+from keyspan.operators import buckets, stats, tables, writes
 from keyspan.sources import imports
 from keyspan.streaming import streams
 
@@ -180,3 +180,36 @@ def test_deletes_in_place(spark, place):
     assert buckets.read_buckets(spark, path).count() == 0 and sum(buckets.layout(spark, path)["rows"].values()) == 0
     buckets.upsert_buckets(spark, path, base(spark), SPEC)
     assert buckets.read_buckets(spark, path).count() == 2000
+
+
+def _figures(df):
+    return sorted((r["section"], r["item"], r["rows"], r["reported"], round(r["percent"] or 0, 6)) for r in df.collect())
+
+
+def test_stored_statistics_recount_only_buckets_that_changed(spark, place):
+    path = place("table")
+    buckets.write_buckets(base(spark), path, SPEC, 8)
+    assert len(buckets.refresh_counts(spark, path, SPEC)) == 8 and buckets.refresh_counts(spark, path, SPEC) == []
+    for number, key in enumerate(["k1", "fresh", "HOT"]):
+        changes = spark.createDataFrame([(key, 5000 + number, "new"), (key, 6000 + number, "new")], "k string, id bigint, v string")
+        touched = buckets.upsert_buckets(spark, path, changes, SPEC)
+        assert buckets.refresh_counts(spark, path, SPEC) == touched and len(touched) == 1
+    table = buckets.read_buckets(spark, path)
+    want = stats.table_statistics(table, ["k"], "t", 16, 5)
+    assert _figures(buckets.stored_statistics(spark, path, SPEC, "t", splits=16, top=5)) == _figures(want)
+    # Reading the table does not see the counts, and a bucket without rows leaves none behind.
+    assert table.columns == ["k", "id", "v"] and table.count() == 2006
+    buckets.delete_from_buckets(spark, path, table.select("k", "id"), SPEC)
+    empty = buckets.stored_statistics(spark, path, SPEC, "t", splits=16, top=5)
+    assert empty.where("section = 'global'").first()["rows"] == 0 and empty.where("section = 'partitions'").count() == 0
+
+
+def test_stored_statistics_follow_growing_buckets(spark, place):
+    path = place("table")
+    buckets.write_buckets(base(spark), path, SPEC, 2, bucket_rows=400)
+    buckets.refresh_counts(spark, path, SPEC)
+    more = spark.range(3000).select(F.concat(F.lit("m"), F.col("id") % 70).alias("k"), "id", F.lit("new").alias("v"))
+    buckets.upsert_buckets(spark, path, more, SPEC)
+    assert buckets.layout(spark, path)["buckets"] > 6
+    want = stats.table_statistics(buckets.read_buckets(spark, path), ["k"], "t", 16, 200)
+    assert _figures(buckets.stored_statistics(spark, path, SPEC, "t", splits=16, top=200)) == _figures(want)

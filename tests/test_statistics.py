@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from keyspan.functions.tokens import MAX_TOKEN, MIN_TOKEN, split_of, split_ranges, splits_per_range, tile_ring, token
+from keyspan.functions.tokens import MAX_TOKEN, MIN_TOKEN, split_of, split_ranges, splits_per_range, token
 from keyspan.model import KeyspanError, TableSpec
 from keyspan.operators import stats
 from keyspan.operators.views import in_range
@@ -42,18 +42,11 @@ def test_splits_per_range():
     assert splits_per_range(16) == 625
 
 
-@pytest.mark.parametrize("seed", range(20))
-def test_given_ranges_are_tiled_once(seed):
-    rng = random.Random(seed)
-    cuts = sorted({rng.randint(-(2**63) + 1, 2**63 - 2) for _ in range(rng.randint(1, 64))})
-    ranges = list(zip(cuts, [*cuts[1:], cuts[0]]))
-    tiles = tile_ring(ranges, rng.choice([1, 10, 500, 10_000]))
-    assert tiles[0][0] == MIN_TOKEN and tiles[-1][1] == MAX_TOKEN
-    assert all(a[1] == b[0] and a[0] < a[1] for a, b in zip(tiles, tiles[1:]))
-
-
-def test_range_too_small_to_split_is_used_whole():
-    assert tile_ring([(0, 3)], 10) == [(0, 3)]
+def test_tiles_of_the_key_cover_every_row_once(spark):
+    df = skewed(spark, 20_000, 500, 4)
+    tiles = stats.key_tiles(df, ["sensor"], 8).orderBy("tile").collect()
+    assert sum(t["rows"] for t in tiles) == 22_000 and sum(t["keys"] for t in tiles) == 501 and len(tiles) > 4
+    assert all(a["hi"] < b["lo"] for a, b in zip(tiles, tiles[1:]))
 
 
 def test_in_range_wraps_around(spark):
@@ -77,10 +70,12 @@ def test_skewed_count_finds_the_hot_key(spark):
 def test_counts_are_conserved(spark, seed):
     rng = random.Random(seed)
     splits, owners, rf = rng.randint(1, 64), rng.randint(3, 12), 3
+    placed = [(s, (s + i) % owners) for s in range(splits) for i in range(rf)]
+    held = spark.createDataFrame(placed, "split_id int, owner int")
     df = skewed(spark, rng.choice([0, 10_000]), rng.randint(1, 200), rng.randint(1, 20))
     n = df.count()
     ranges = stats.range_counts(df, ["sensor"], splits)
-    hosts = stats.replica_counts(ranges, stats.ring_owners(spark, splits, owners, rf))
+    hosts = stats.replica_counts(ranges, held)
     assert ranges.agg(F.sum("rows")).first()[0] == n
     assert hosts.agg(F.sum("rows")).first()[0] == n * rf
     assert abs(ranges.agg(F.sum("percent")).first()[0] - 100) < 1e-6

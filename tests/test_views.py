@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from keyspan.functions.rendering import grid_text, render_text, render_wire, row_json
 from keyspan.model import KeyspanError, MissingKeyError
 from keyspan.operators import first_rows, views
+from keyspan.operators.order_statistics import rows_around
 
 
 def rendered(spark, ddl, value):
@@ -310,3 +311,32 @@ def test_lists_of_any_type_on_both_ways(spark, n):
     assert views.apply_predicates(df, [("p", "IN", [float(2 * i) for i in range(n)])]).count() == count
     assert views.apply_predicates(df, [("id", "IN", [str(2 * i) for i in range(n)] + filler)]).count() == count
     assert views.apply_predicates(df, [("s", "IN", [2 * i for i in range(n)])]).count() == count
+
+
+def _page_rows(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([7, 7, 7, None, rng.randint(-50, 50)]), rng.choice(["a", "b", None]), rng.choice([0.5, None, float("nan"), rng.random()]), i) for i in range(30_000)]
+    return spark.createDataFrame(rows, "whole int, word string, part double, id int").repartition(6)
+
+
+@pytest.mark.parametrize("order", [["id desc"], ["whole desc", "word", "id"], ["part", "id"], ["word desc", "whole", "id desc"]])
+def test_one_page_is_the_page_of_the_sorted_table(spark, order):
+    df = _page_rows(spark).persist()
+    want = [r["id"] for r in df.orderBy(*views.order_columns(order)).select("id").collect()]
+    for number in (1, 173, 300, 301):
+        got = views.one_page(df, order, number, 100, enough=1000)
+        assert sorted(r["id"] for r in got.collect()) == sorted(want[(number - 1) * 100 : number * 100]), (order, number)
+    df.unpersist()
+
+
+def test_one_page_keeps_few_rows_beside_a_hot_value(spark):
+    df = _page_rows(spark).persist()
+    # Most rows hold 7: their place is told by the next column.
+    near, skipped = rows_around(df, ["whole", "id"], 20_000, 20_100, 1000)
+    assert near.count() <= 1000 and skipped <= 20_000 and near.select("whole").distinct().count() == 1
+    whole, none = rows_around(df, [F.col("id")], 20_000, 20_100, 1000)
+    assert none == 0 and whole.count() == 30_000
+    assert views.one_page(df.where("id < 0"), ["id"], 1, 100).count() == 0
+    with pytest.raises(KeyspanError):
+        views.one_page(df, ["id"], 0)
+    df.unpersist()
