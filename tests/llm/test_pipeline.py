@@ -3,6 +3,7 @@
 import pytest
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
@@ -75,6 +76,47 @@ def test_encoded(kept):
     assert sorted(((r.doc_id, r.n_tokens) for r in kept[5].collect()), key=str) == want
 
 
+CLASHES = (
+    "score toxic quality label held_out predicted class class_id n_links node row rows id part chunk kind data item_id item spans "
+    "train fold h n least copies keep _row _node _n Text_ sig signature prefix run place edge src dst data_ marked cut"
+).split()
+
+
+def staged(spark, docs, folder):
+    out = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(folder / name)
+        stage(spark, out[-1], DIRECTORY).write.parquet(path)
+        out.append(spark.read.parquet(path))
+    return out
+
+
+def test_an_empty_table_stays_empty(spark, tmp_path):
+    docs = spark.read.parquet(f"{DIRECTORY}/documents.parquet").where("false")
+    out = staged(spark, docs, tmp_path)
+    assert all(df.count() == 0 for df in out) and all(df.columns == docs.columns for df in out[:5])
+
+
+def test_repeated_ids_and_clashing_columns(spark, tmp_path):
+    rows = spark.read.parquet(f"{DIRECTORY}/documents.parquet").where("doc_id < 60")
+    words = " ".join(f"word{i}" for i in range(40))
+    # One id under two texts, one of them a copy of another row's, and one row twice.
+    more = [(7_000, words, "en", "s", 1), (7_001, words, "en", "s", 1), (7_001, "a text of its own", "en", "s", 2), (7_002, "twice there", None, None, None), (7_002, "twice there", None, None, None)]
+    docs = rows.unionByName(spark.createDataFrame(more, rows.schema))
+    plain = staged(spark, docs, tmp_path / "plain")
+    for i, name in enumerate(CLASHES):
+        docs = docs.withColumn(name, F.lit(f"x{i}"))
+    out = staged(spark, docs, tmp_path / "more")
+    assert all(df.columns == docs.columns for df in out[:5])
+    # The extra columns change no decision and are carried as they are.
+    for a, b in zip(plain, out):
+        assert texts(a) == texts(b) if "text" in a.columns else a.count() == b.count()
+    held = out[4].select(*CLASHES).distinct().collect()
+    assert [tuple(r) for r in held] == [tuple(f"x{i}" for i in range(len(CLASHES)))]
+    kept = [(r.doc_id, r.text) for r in out[4].where("doc_id >= 7000").collect()]
+    assert sorted(kept) == [(7_000, words), (7_001, "a text of its own"), (7_002, "twice there")]
+
+
 def test_run_is_the_stages_in_turn(spark):
     rows = corpus_pipeline.run(spark, DIRECTORY).collect()
     assert 0 < len(rows) <= spark.read.parquet(f"{DIRECTORY}/documents.parquet").count()
