@@ -2,7 +2,7 @@
 
 A quantile sketch of the order's codes gives two bounds between which the wanted places surely lie. The next pass
 keeps the rows between them and counts those before the lower one, so that places stay known. That is repeated
-on what was kept, a thousandth or so, until it is small enough to be sorted.
+on what was kept, two thousandths or so, until it is small enough to be sorted.
 """
 
 from __future__ import annotations

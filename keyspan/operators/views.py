@@ -414,7 +414,7 @@ def one_page(df: DataFrame, order: list, number: int, size: int = DEFAULT_PAGE,
 
     ``order`` must end in a unique column. Where the order begins with no number, time or text, this is ``Pages``.
     The order columns are read once for a sketch (once more for each further column a hot value makes necessary) and the table
-    once to write about a thousandth of it, which is narrowed again while it holds more than ``enough`` rows.
+    once to write about two thousandths of it, which is narrowed again while it holds more than ``enough`` rows.
     """
     if not 0 < size <= MAX_PAGE:
         raise KeyspanError(f"the page size must be between 1 and {MAX_PAGE}")
