@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from keyspan.functions.vectors import check_metric, check_vector, score_against, score_name
 from keyspan.model import KeyspanError
+from keyspan.operators import nearest
 from keyspan.operators.views import apply_predicates, lookup
 
 # The limits of k, and the dimension above which projecting a vector is reported.
@@ -23,6 +24,11 @@ LARGE_VECTOR = 256
 # Query vectors are sent to every task up to this size; larger sets go through the grid join.
 QUERY_BYTES = 32 * 1024 * 1024
 CELL_BYTES = 64 * 1024 * 1024
+# Vectors of each side that a task of the grid join holds, and the parts each side is dealt into at least.
+TASK_BYTES = 32 * 1024 * 1024
+PARTS = 8
+# For more queries than this, scoring a row takes far longer than sending it, so rows are dealt out evenly.
+MANY_QUERIES = 4096
 
 
 def check_k(k: int | None) -> int:
@@ -113,9 +119,10 @@ def knn_join(
 ) -> DataFrame:
     """For every query row the ``k`` most similar corpus rows: query_key, corpus_key, score, rank.
 
-    Up to ``query_bytes`` the query vectors travel to the tasks that scan the corpus, which is not
-    shuffled. A larger set is met cell by cell: both sides are cut into blocks of bounded size and
-    each pair of blocks is one task. Both ways keep k per query and task before the last ranking.
+    Up to ``query_bytes`` the query vectors travel to the tasks that scan the corpus, which is shuffled
+    only to spread the work of many queries. A larger set is met part by part: both sides are dealt into
+    parts that fit a task, which compares them by cells of at most ``cell_bytes``. Both ways keep k per
+    query and task before the last ranking.
     """
     k, metric = check_k(k), check_metric(metric)
     spark = corpus.sparkSession
@@ -136,6 +143,8 @@ def knn_join(
     # Reads at most one row more than fits, so a large query set never reaches the driver.
     held = asked.limit(fit + 1).toArrow()
     if held.num_rows <= fit:
+        if held.num_rows > MANY_QUERIES:
+            rows = rows.repartition(max(PARTS, 2 * spark.sparkContext.defaultParallelism))
         local = _best_per_batch(held, k, metric, dims)
         part = rows.mapInArrow(local, schema)
     else:
@@ -156,109 +165,40 @@ def _ranked(part: DataFrame, query_key: str, corpus_key: str, k: int) -> DataFra
 
 
 def _grid(asked: DataFrame, rows: DataFrame, k: int, metric: str, dims: int, cell_bytes: int, schema: str) -> DataFrame:
-    per_cell = max(1, cell_bytes // (4 * dims + 16))
-    blocks = -(-asked.count() // max(1, min(per_cell, HELD_RESULTS // k)))
-    chunks = -(-rows.count() // per_cell)
-    left = asked.withColumn("_b", F.pmod(F.xxhash64("_qid"), F.lit(blocks))).withColumn(
+    """Both sides are dealt into ``PARTS`` parts, or more where these would not fit a task. A task meets one part of each, cell
+    by cell of at most ``cell_bytes`` of vectors; so a row is sent ``PARTS`` times, however small the cells are."""
+    per_cell, per_task = max(1, cell_bytes // (4 * dims + 16)), max(1, TASK_BYTES // (4 * dims + 16))
+    blocks = max(PARTS, -(-asked.count() // max(1, min(per_task, HELD_RESULTS // k))))
+    chunks = max(PARTS, -(-rows.count() // per_task))
+    left = asked.withColumn("_b", F.pmod(F.xxhash64("_qid", "_qvec"), F.lit(blocks))).withColumn(
         "_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint")))
     )
-    right = rows.withColumn("_c", F.pmod(F.xxhash64("_cid"), F.lit(chunks))).withColumn(
+    right = rows.withColumn("_c", F.pmod(F.xxhash64("_cid", "_cvec"), F.lit(chunks))).withColumn(
         "_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
     )
-    kernel = _best_per_batch(None, k, metric, dims)
 
-    def cell(query_table, corpus_table):
-        import pyarrow as pa
-
-        found = list(kernel(corpus_table.to_batches(max_chunksize=8192), query_table))
-        return pa.Table.from_batches(found) if found else pa.table(
-            {"_qid": query_table["_qid"].slice(0, 0), "_cid": corpus_table["_cid"].slice(0, 0),
-             "score": pa.array([], pa.float64())}
-        )
+    def part(query_table, row_table):
+        row_ids, found = row_table["_cid"], nearest.NOTHING
+        if query_table.num_rows and row_table.num_rows:
+            place, held = nearest.places(row_ids), nearest.Vectors(row_table["_cvec"], dims, metric)
+            kept = nearest.without_copies(held.given, place, k)
+            row_ids = row_ids.take(kept)
+            found = nearest.Nearest(query_table["_qvec"], dims, k, metric, block=per_cell).add(held.take(kept), place[kept])
+        return nearest.found_table(query_table["_qid"], row_ids, found)
 
-    return left.groupBy("_b", "_c").cogroup(right.groupBy("_b", "_c")).applyInArrow(cell, schema)
+    return left.groupBy("_b", "_c").cogroup(right.groupBy("_b", "_c")).applyInArrow(part, schema)
 
 
 def _best_per_batch(held, k: int, metric: str, dims: int):
     """Scorer of corpus batches against a table of queries that keeps the best ``k`` per query."""
 
-    def run(batches, query_table=None):
-        import numpy as np
-        import pyarrow as pa
-
-        asked = (held if query_table is None else query_table).combine_chunks()
-        if asked.num_rows == 0:
-            return
-
-        def matrix(column):
-            column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-            flat = column.flatten()
-            if flat.null_count or len(flat) != len(column) * dims:
-                raise ValueError(f"every vector needs {dims} elements, none of them null")
-            return flat.to_numpy().astype("float64").reshape(len(column), dims)
-
-        def lengths(m):
-            return np.sqrt((m * m).sum(axis=1))
-
-        q = matrix(asked["_qvec"])
-        q_size, q_square = lengths(q), (q * q).sum(axis=1)
-
-        def score(m):
-            dot = m @ q.T
-            if metric == "dot_product":
-                return (1.0 + dot) / 2.0
-            if metric == "euclidean":
-                # Differences are taken directly: the expanded square loses digits near zero.
-                square = np.empty_like(dot)
-                for i in range(len(q)):
-                    delta = m - q[i]
-                    square[:, i] = np.einsum("ij,ij->i", delta, delta)
-                return 1.0 / (1.0 + square)
-            size = np.outer(lengths(m), q_size)
-            return (1.0 + np.divide(dot, size, out=np.zeros_like(dot), where=size != 0)) / 2.0
-
-        def best(q_at, scores, ids):
-            """Keep k per query, ties by id."""
-            order = np.lexsort((ids, -scores, q_at))
-            q_at, scores, ids = q_at[order], scores[order], ids[order]
-            starts = np.flatnonzero(np.r_[True, q_at[1:] != q_at[:-1]])
-            sizes = np.diff(np.r_[starts, len(q_at)])
-            keep = np.arange(len(q_at)) - np.repeat(starts, sizes) < k
-            return q_at[keep], scores[keep], ids[keep]
-
-        step = max(1, 4_000_000 // len(q))
-        kept, pending, waiting = None, [], 0
-        id_type = None
-        for batch in batches:
-            ids = batch.column("_cid") if hasattr(batch, "column") else batch["_cid"]
-            id_type = ids.type
-            id_values = ids.to_numpy(zero_copy_only=False)
-            m = matrix(batch.column("_cvec"))
-            for at in range(0, len(m), step):
-                s = score(m[at : at + step])
-                names = id_values[at : at + step]
-                if len(s) > k:
-                    bound = np.partition(s, len(s) - k, axis=0)[len(s) - k]
-                    r, c = np.nonzero(s >= bound)
-                else:
-                    r, c = np.nonzero(np.ones_like(s, dtype=bool))
-                pending.append(best(c, s[r, c], names[r]))
-                waiting += len(pending[-1][0])
-                if waiting > 4 * k * len(q):
-                    joined = pending + ([kept] if kept is not None else [])
-                    kept = best(*[np.concatenate(x) for x in zip(*joined)])
-                    pending, waiting = [], 0
-        joined = pending + ([kept] if kept is not None else [])
-        if not joined:
+    def run(batches):
+        if not held.num_rows:
             return
-        q_at, scores, names = best(*[np.concatenate(x) for x in zip(*joined)])
-        asked_ids = asked["_qid"].combine_chunks() if isinstance(asked["_qid"], pa.ChunkedArray) else asked["_qid"]
-        for at in range(0, len(q_at), 50_000):
-            cut = slice(at, at + 50_000)
-            yield pa.RecordBatch.from_arrays(
-                [asked_ids.take(pa.array(q_at[cut])), pa.array(names[cut], type=id_type), pa.array(scores[cut])],
-                names=["_qid", "_cid", "score"],
-            )
+        asking = nearest.Nearest(held["_qvec"], dims, k, metric)
+        for table in nearest.tables(batches):
+            rows, place = nearest.Vectors(table["_cvec"], dims, metric), nearest.places(table["_cid"])
+            yield from nearest.found_batches(held["_qid"], table["_cid"], asking.add(rows, place))
 
     return run
 

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from keyspan.functions.vectors import check_metric, check_vector, score_name
 from keyspan.model import KeyspanError
-from keyspan.operators.knn import CELL_BYTES, HELD_RESULTS, _best_per_batch, check_k, knn
+from keyspan.operators import nearest
+from keyspan.operators.knn import HELD_RESULTS, PARTS, TASK_BYTES, check_k, knn
 from keyspan.session import materialize, path_exists, read_text, write_text
 
 #: Rows of the sample on which centroids are fitted and recall is measured; cells at most; queries measured.
@@ -29,6 +30,8 @@ SAMPLE, MAX_CELLS, MEASURED = 20_000, 1024, 200
 ROUNDS, NEIGHBOURS = 12, 10
 #: A first look reads the nearest cells that hold so many times k rows together.
 FIRST = 4
+#: Vectors whose distances from all centroids are held at a time, and pairs from which on a stripe's queries are dealt to several tasks.
+SLICE, TASK_PAIRS = 1024, 200_000_000
 
 
 def _space(m, metric: str, top: float):
@@ -58,6 +61,25 @@ def _distances(a, b):
     return np.sqrt(np.maximum(square, 0))
 
 
+def _closest(points, centroids):
+    """The nearest centroid of each point and its distance."""
+    import numpy as np
+
+    cell, far = np.empty(len(points), np.int64), np.empty(len(points))
+    for at in range(0, len(points), SLICE):
+        away = _distances(points[at : at + SLICE], centroids)
+        own = away.argmin(axis=1)
+        cell[at : at + SLICE], far[at : at + SLICE] = own, away[np.arange(len(own)), own]
+    return cell, far
+
+
+def _bits(marks):
+    """The bytes of packed bits of equal length, a row for each value."""
+    import numpy as np
+
+    return np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(len(marks), -1)
+
+
 def _matrix(column, dims: int):
     import pyarrow as pa
 
@@ -75,14 +97,13 @@ def fit_centroids(points, cells: int):
     rng = np.random.default_rng(7)
     centroids = points[rng.choice(len(points), min(cells, len(points)), replace=False)].copy()
     for _ in range(ROUNDS):
-        away = _distances(points, centroids)
-        nearest = away.argmin(axis=1)
-        count = np.bincount(nearest, minlength=len(centroids))
+        own, away = _closest(points, centroids)
+        count = np.bincount(own, minlength=len(centroids))
         total = np.zeros_like(centroids)
-        np.add.at(total, nearest, points)
+        np.add.at(total, own, points)
         full = count > 0
         centroids[full] = total[full] / count[full, None]
-        far = np.argsort(-away[np.arange(len(points)), nearest])[: int((~full).sum())]
+        far = np.argsort(-away)[: int((~full).sum())]
         centroids[~full] = points[far]
     return centroids
 
@@ -96,7 +117,7 @@ def _needed(points, centroids):
     k = min(NEIGHBOURS + 1, len(points))
     near = np.argpartition(away, k - 1, axis=1)[:, :k]
     near = np.take_along_axis(near, np.argsort(np.take_along_axis(away, near, axis=1), axis=1), axis=1)[:, 1:]
-    cell = _distances(points, centroids).argmin(axis=1)
+    cell = _closest(points, centroids)[0]
     place = np.argsort(np.argsort(_distances(queries, centroids), axis=1), axis=1)
     return np.sort(np.take_along_axis(place, cell[near], axis=1).ravel()) + 1
 
@@ -168,11 +189,9 @@ class VectorCells:
     def knn_join(self, queries: DataFrame, query_vec: str, k: int, query_key: str, recall: float | None = None, report: list | None = None) -> DataFrame:
         """(query key, row key, score, rank) for a table of queries: each meets only the cells that may hold a neighbour.
 
-        The first look goes to the nearest cells; its k-th score bounds the cells of the second. A cell and the queries
-        that read it meet in blocks of bounded size. ``report`` gets the number of pairs that are compared.
+        The first look goes to the nearest cells; its k-th score bounds the cells of the second. Cells lie in stripes of bounded
+        size, and a query is sent once to each stripe that has a cell it reads. ``report`` gets the number of pairs that are compared.
         """
-        import numpy as np
-
         k, key = check_k(k), self.key[0]
         if len(self.key) != 1:
             raise KeyspanError("a join needs an index with one key column")
@@ -181,41 +200,47 @@ class VectorCells:
         )
         asked = materialize(asked, "cells-asked")
         metric, dims, radius, probes = self.metric, self.dims, self.radius, self.probes(recall)
-        count, centroids, top = self.count, self.centroids, self.top
+        count, centroids, top, marked = self.count, self.centroids, self.top, self._marked()
+
+        def slices(batches):
+            """Some queries at a time: the batch, its vectors, their distances from the centroids and the cells they may visit, nearest first."""
+            import numpy as np
+
+            for whole in batches:
+                for at in range(0, whole.num_rows, SLICE):
+                    batch = whole.slice(at, SLICE)
+                    m = _matrix(batch.column("_qvec"), dims)
+                    away = _distances(_query_space(m, metric), centroids)
+                    yield batch, m, away, np.argsort(away, axis=1)[:, :probes]
 
         def near(batches):
-            import pyarrow as pa
+            import numpy as np
 
-            for batch in batches:
-                away = _distances(_query_space(_matrix(batch.column("_qvec"), dims), metric), centroids)
-                order = np.argsort(away, axis=1)[:, :probes]
-                enough = np.cumsum(count[order], axis=1) - count[order] < FIRST * k
-                cells = [o[e].tolist() for o, e in zip(order, enough)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=[*batch.schema.names, "_cells"])
+            for batch, _, away, order in slices(batches):
+                reads = np.zeros(away.shape, bool)
+                np.put_along_axis(reads, order, np.cumsum(count[order], axis=1) - count[order] < FIRST * k, axis=1)
+                yield marked(batch, reads)
+
+        def rest(batches):
+            import numpy as np
+
+            for batch, m, away, order in slices(batches):
+                scores, square = batch.column("score").to_pylist(), (m**2).sum(axis=1).tolist()
+                far = np.array([np.inf if s is None else _reach(metric, top, s, q) for s, q in zip(scores, square)])
+                reads = np.zeros(away.shape, bool)
+                np.put_along_axis(reads, order, True, axis=1)
+                reads &= away - radius <= far[:, None]
+                seen = np.unpackbits(_bits(batch.column("_cells")), axis=1, count=len(count)).astype(bool)
+                yield marked(batch, reads & ~seen)
 
         vector = asked.schema["_qvec"].dataType.simpleString()
-        named = asked.select("_q", "_qvec").mapInArrow(near, f"_q long, _qvec {vector}, _cells array<int>")
+        schema = f"_q long, _qvec {vector}, score double, _cells binary, _stripes array<int>, _pairs array<long>"
+        named = asked.select("_q", "_qvec", F.lit(None).cast("double").alias("score")).mapInArrow(near, schema)
         named = materialize(named, "cells-first")
         first = materialize(self._met(named, k, key, report), "cells-first-found")
         ranks = Window.partitionBy("_qid").orderBy(F.desc("score"))
         bound = first.withColumn("_r", F.row_number().over(ranks)).where(F.col("_r") == k).select(F.col("_qid").alias("_q"), "score")
-
-        def rest(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                m = _matrix(batch.column("_qvec"), dims)
-                away = _distances(_query_space(m, metric), centroids)
-                cells = []
-                for i, (score, seen) in enumerate(zip(batch.column("score").to_pylist(), batch.column("_cells").to_pylist())):
-                    far = np.inf if score is None else _reach(metric, top, score, float((m[i] ** 2).sum()))
-                    near = np.argsort(away[i])[:probes]
-                    cells.append(np.setdiff1d(near[(away[i] - radius)[near] <= far], seen).tolist())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("_q"), batch.column("_qvec"), pa.array(cells, pa.list_(pa.int32()))], names=["_q", "_qvec", "_cells"]
-                )
-
-        second = named.join(bound, "_q", "left").mapInArrow(rest, f"_q long, _qvec {vector}, _cells array<int>")
+        second = named.select("_q", "_qvec", "_cells").join(bound, "_q", "left").mapInArrow(rest, schema)
         found = first.unionByName(self._met(materialize(second, "cells-second"), k, key, report))
         window = Window.partitionBy("_qid").orderBy(F.desc("score"), "_cid")
         best = found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
@@ -223,38 +248,98 @@ class VectorCells:
         joined = best.join(asked.select(F.col("_q").alias("_qid"), "_asked"), "_qid")
         return joined.select(F.col("_asked").alias(query_key), F.col("_cid").alias(out_key), "score", "rank")
 
+    def _stripes(self):
+        """Cells in order, put together to about ``PARTS`` stripes, or more where these would not fit a task: the stripe of each cell."""
+        import numpy as np
+
+        most = max(1, TASK_BYTES // (4 * self.dims + 16))
+        size = min(most, -(-int(self.count.sum()) // PARTS))
+        out, stripe, held = [], 0, 0
+        for n in self.count.tolist():
+            if held and held + n > size:
+                stripe, held = stripe + 1, 0
+            out.append(stripe)
+            held += n
+        return np.array(out, np.int32)
+
+    def _marked(self):
+        """Makes of queries and a matrix of the cells they read the rows that ``_met`` takes."""
+        import numpy as np
+
+        count, stripes = self.count, self._stripes()
+        starts = np.flatnonzero(np.append(True, stripes[1:] != stripes[:-1]))
+
+        def marked(batch, reads):
+            import pyarrow as pa
+
+            reads = reads & (count > 0)
+            pairs = np.add.reduceat(reads * count, starts, axis=1)
+            of, stripe = np.nonzero(pairs)
+            ends = pa.array(np.searchsorted(of, np.arange(len(reads) + 1)).astype("int32"))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(stripe.astype("int32"))), pa.ListArray.from_arrays(ends, pa.array(pairs[of, stripe]))]
+            cells = pa.array([row.tobytes() for row in np.packbits(reads, axis=1)], pa.binary())
+            columns = [batch.column("_q"), batch.column("_qvec"), batch.column("score"), cells, *lists]
+            return pa.RecordBatch.from_arrays(columns, names=["_q", "_qvec", "score", "_cells", "_stripes", "_pairs"])
+
+        return marked
+
     def _met(self, asked: DataFrame, k: int, key: str, report: list | None) -> DataFrame:
-        """The k best of each cell for the queries (_q, _qvec, _cells) that read it."""
-        each = asked.select("_q", "_qvec", F.explode("_cells").alias("_cell"))
-        per = max(1, CELL_BYTES // (4 * self.dims + 16))
+        """The k best rows of each stripe for the queries that read cells of it (``_cells`` has a bit for each cell), among those
+        that reach the query's ``score``, if it has one.
+
+        A task meets a part of a stripe's queries and a part of its rows, cell by cell.
+        """
+        each = asked.select("_q", "_qvec", "score", "_cells", F.explode(F.arrays_zip("_stripes", "_pairs")).alias("_s"))
+        each = each.select("*", F.col("_s._stripes").alias("_stripe"), F.col("_s._pairs").alias("_compared")).drop("_s")
+        metric, dims, stripes = self.metric, self.dims, self._stripes()
+        per = max(1, TASK_BYTES // (4 * dims + 16))
         fit = max(1, min(per, HELD_RESULTS // k))
-        counts = self.spark.createDataFrame([(i, int(n)) for i, n in enumerate(self.count)], "_cell int, _rows long")
-        sizes = each.groupBy("_cell").agg(F.count("*").alias("_asked")).join(counts, "_cell")
+        sizes = each.groupBy("_stripe").agg(F.count("*").alias("_n"), F.sum("_compared").alias("_compared"))
+        sizes = materialize(sizes, "cells-sizes")
         if report is not None:
-            report.append(sizes.agg(F.sum(F.col("_asked") * F.col("_rows"))).first()[0] or 0)
-        sizes = materialize(sizes.select("_cell", F.ceil(F.col("_asked") / fit).alias("_bs"), F.ceil(F.col("_rows") / per).alias("_cs")), "cells-sizes")
+            report.append(sizes.agg(F.sum("_compared")).first()[0] or 0)
+        held = self.spark.createDataFrame(
+            [(i, int(s), int(self.count[stripes == s].sum())) for i, s in enumerate(stripes)], "_cell int, _stripe int, _rows long"
+        )
+        dealt = F.least(F.lit(PARTS), F.ceil(F.col("_compared") / F.lit(TASK_PAIRS)))
+        sizes = sizes.join(held.groupBy("_stripe").agg(F.max("_rows").alias("_rows")), "_stripe").select(
+            "_stripe", F.greatest(F.ceil(F.col("_n") / fit), dealt).cast("long").alias("_bs"), F.ceil(F.col("_rows") / per).cast("long").alias("_cs")
+        )
 
         def blocks(n: str):
             return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
-        left = each.join(sizes, "_cell").select(
-            F.col("_q").alias("_qid"), "_qvec", "_cell", F.pmod(F.xxhash64("_q"), "_bs").alias("_b"), blocks("_cs").alias("_c")
+        left = each.join(F.broadcast(sizes), "_stripe").select(
+            F.col("_q").alias("_qid"), "_qvec", "score", "_cells", "_stripe", F.pmod(F.xxhash64("_q"), "_bs").alias("_b"), blocks("_cs").alias("_c")
         )
-        rows = self.rows().select(F.col(key).alias("_cid"), F.col(self.vec).alias("_cvec"), "_cell").join(sizes, "_cell")
-        right = rows.select("_cid", "_cvec", "_cell", F.pmod(F.xxhash64("_cid"), "_cs").alias("_c"), blocks("_bs").alias("_b"))
-        kernel = _best_per_batch(None, k, self.metric, self.dims)
-
-        def cell(query_table, row_table):
-            import pyarrow as pa
-
-            found = list(kernel(row_table.to_batches(max_chunksize=8192), query_table))
-            return pa.Table.from_batches(found) if found else pa.table(
-                {"_qid": query_table["_qid"].slice(0, 0), "_cid": row_table["_cid"].slice(0, 0), "score": pa.array([], pa.float64())}
-            )
+        rows = self.rows().select(F.col(key).alias("_cid"), F.col(self.vec).alias("_cvec"), "_cell")
+        rows = rows.join(F.broadcast(held.select("_cell", "_stripe").join(sizes, "_stripe")), "_cell")
+        right = rows.select("_cid", "_cvec", "_cell", "_stripe", F.pmod(F.xxhash64("_cid", "_cvec"), "_cs").alias("_c"), blocks("_bs").alias("_b"))
+
+        def part(query_table, row_table):
+            import numpy as np
+
+            row_ids, found = row_table["_cid"], [nearest.NOTHING]
+            if query_table.num_rows and row_table.num_rows:
+                place, held = nearest.places(row_ids), nearest.Vectors(row_table["_cvec"], dims, metric)
+                score = query_table["score"].fill_null(-np.inf).to_numpy()
+                asking = nearest.Nearest(query_table["_qvec"], dims, k, metric, np.where(np.isnan(score), np.inf, score))
+                reads, cell = _bits(query_table["_cells"]), row_table["_cell"].to_numpy()
+                order = np.argsort(cell, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+                    own = own[nearest.without_copies(held.given[own], place[own], k)]
+                    at, bit = divmod(int(cell[own[0]]), 8)
+                    readers = np.flatnonzero(reads[:, at] >> (7 - bit) & 1)
+                    of, row, score = asking.add(held.take(own), place[own], readers)
+                    found.append((of, own[row], score))
+            of, row, score = [np.concatenate(x) for x in zip(*found)]
+            # Later cells may have shown that what earlier ones gave is not wanted.
+            kept = np.flatnonzero(~(score < asking.least[of])) if len(of) else of
+            return nearest.found_table(query_table["_qid"], row_ids, (of[kept], row[kept], score[kept]))
 
         schema = f"_qid long, _cid {right.schema['_cid'].dataType.simpleString()}, score double"
-        keys = ["_cell", "_b", "_c"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, schema)
+        keys = ["_stripe", "_b", "_c"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(part, schema)
 
 
 def write_vector_cells(
@@ -284,10 +369,9 @@ def write_vector_cells(
         import pyarrow as pa
 
         for batch in batches:
-            away = _distances(_space(_matrix(batch.column(vec), dims), metric, top), centroids)
-            near = away.argmin(axis=1)
+            near, away = _closest(_space(_matrix(batch.column(vec), dims), metric, top), centroids)
             # A little longer, as distances are rounded.
-            own = away[np.arange(len(near)), near] * (1 + 1e-9) + 1e-7
+            own = away * (1 + 1e-9) + 1e-7
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(near.astype("int32")), pa.array(own)], names=[*batch.schema.names, "_cell", "_away"]
             )

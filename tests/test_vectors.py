@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from keyspan.functions import vectors
 from keyspan.model import KeyspanError
 from keyspan.operators import knn as nn
-from keyspan.operators import vector_cells
+from keyspan.operators import nearest, vector_cells
 
 # Golden scores: metric, left, right, score.
 GOLDEN = [
@@ -258,3 +258,44 @@ def test_cells_with_predicates_and_odd_tables(spark, place):
         vector_cells.write_vector_cells(one.where("id = 2"), "v", place(), ["id"])
     with pytest.raises(KeyspanError):
         vector_cells.VectorCells(spark, place())
+
+
+def joined(rows, key="id"):
+    return sorted((r[0], r["rank"], r[1], round(r["score"], 9)) for r in rows.collect())
+
+
+@pytest.mark.parametrize("metric", vectors.METRICS)
+def test_many_queries_are_spread_and_few_pairs_are_ranked(spark, monkeypatch, metric):
+    m, df = cloud(spark, 700, 8, copies=90)
+    want = joined(nn.knn_join(df, df.select("id", "v"), "v", 6, "id", "id", metric))
+    monkeypatch.setattr(nn, "MANY_QUERIES", 100)
+    got = nn.knn_join(df, df.coalesce(1).select("id", "v"), "v", 6, "id", "id", metric)
+    assert joined(got) == want and len(want) == 700 * 6
+    # One file or not, the scoring is done by many tasks.
+    assert "RoundRobinPartitioning" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_of_all_pairs_are_scored_exactly(monkeypatch):
+    import pyarrow as pa
+
+    m = np.random.default_rng(3).standard_normal((3000, 16)).astype("float32")
+    m[:1500] = m[0]
+    column, scored, score = pa.array(list(m), pa.list_(pa.float32())), [], nearest.Nearest._score
+    monkeypatch.setattr(nearest.Nearest, "_score", lambda self, of, *rest: scored.append(len(of)) or score(self, of, *rest))
+    for block in (1 << 30, 40):
+        scored.clear()
+        held, place = nearest.Vectors(column, 16, "cosine"), np.arange(3000)[::-1]
+        kept = nearest.without_copies(held.given, place, 5)
+        of, row, got = nearest.Nearest(column, 16, 5, "cosine", block=block).add(held.take(kept), place[kept])
+        assert len(kept) == 1505 and len(of) == 15_000 and sum(scored) < 0.05 * 3000 * 3000
+        # Of the copies those with the least places, which are the last rows here.
+        assert kept[row[of == 7]].tolist() == [1499, 1498, 1497, 1496, 1495] and len(set(got[of == 7])) == 1
+
+
+def test_repeated_and_null_keys_and_odd_vectors_in_both_ways(spark):
+    rows = [(None, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [0.0, 0.0]), (2, [1.0, 0.0]), (9, None), (8, [-1.0, 0.5])]
+    df = spark.createDataFrame(rows, "id bigint, v array<float>")
+    small = nn.knn_join(df, df, "v", 2, "id", "id").collect()
+    grid = nn.knn_join(df, df, "v", 2, "id", "id", query_bytes=1, cell_bytes=1).collect()
+    assert sorted(map(str, small)) == sorted(map(str, grid)) and len(small) == 2 * 4
+    assert {r["neighbor_id"] for r in small if r["id"] == 2} == {None, 2}
