@@ -226,32 +226,45 @@ def natural_key(text: Column) -> Column:
     return F.collate(F.array_join(F.transform(chunks, part), ""), "UNICODE")
 
 
-def number_key(text: Column) -> Column:
-    """Sort key of a number kept as text, for any number of digits, with or without an exponent. Compares the
-    whole number: its sign, the place of its first digit, its digits."""
-    mantissa = r"^\s*[+-]?([0-9]*)\.?([0-9]*)"
-    whole, fraction = F.regexp_extract(text, mantissa, 1), F.regexp_extract(text, mantissa, 2)
-    exponent = F.coalesce(F.regexp_extract(text, r"[0-9.][eE]([+-]?[0-9]+)\s*$", 1).try_cast("bigint"), F.lit(0))
-    joined = F.concat(whole, fraction)
-    significant = F.regexp_replace(joined, "^0+", "")
-    digits = F.regexp_replace(significant, "0+$", "")
-    place = F.length(whole) - (F.length(joined) - F.length(significant)) + exponent
-    zero, negative = digits == "", text.rlike(r"^\s*-")
-    flipped = F.concat(F.translate(digits, "0123456789", "9876543210"), F.lit("~"))
-    return F.when(text.isNotNull(), F.struct(
-        F.when(zero, 0).when(negative, -1).otherwise(1).alias("sign"),
-        F.when(zero, 0).when(negative, -place).otherwise(place).alias("place"),
-        F.when(negative & ~zero, flipped).otherwise(digits).alias("digits"),
-    ))
-
-
-def sort_key(df: DataFrame, column: str, numeric_text: bool = False) -> Column:
+def number_key(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """Add the sort key of a number kept as text, for any number of digits, with or without an exponent. Compares the whole
+    number: its sign, the place of its first digit, its digits, in columns ``<name>_sign``, ``<name>_place``, ``<name>_digits``.
+
+    Each part is a column, so the next one does not work it out again at each mention.
+    """
+    mantissa, c = r"^\s*[+-]?([0-9]*)\.?([0-9]*)", lambda part: F.col(f"{name}_{part}")
+    exponent = F.regexp_extract(c("text"), r"[0-9.][eE]([+-]?[0-9]+)\s*$", 1).try_cast("bigint")
+    parts = [
+        {"text": text},
+        {
+            "whole": F.regexp_extract(c("text"), mantissa, 1), "fraction": F.regexp_extract(c("text"), mantissa, 2),
+            "exponent": F.coalesce(exponent, F.lit(0)), "negative": c("text").rlike(r"^\s*-"),
+        },
+        {"joined": F.concat(c("whole"), c("fraction"))},
+        {"significant": F.ltrim(c("joined"), F.lit("0"))},
+        {"digits": F.rtrim(c("significant"), F.lit("0")), "first": F.length(c("whole")) - (F.length(c("joined")) - F.length(c("significant"))) + c("exponent")},
+    ]
+    out = df
+    for step in parts:
+        out = out.withColumns({f"{name}_{part}": value for part, value in step.items()})
+    zero, flipped = c("digits") == "", F.concat(F.translate(c("digits"), "0123456789", "9876543210"), F.lit("~"))
+    return out.select(
+        *[F.col(f"`{x}`") for x in df.columns],
+        F.when(c("text").isNotNull(), F.when(zero, 0).when(c("negative"), -1).otherwise(1)).alias(f"{name}_sign"),
+        F.when(zero, 0).when(c("negative"), -c("first")).otherwise(c("first")).alias(f"{name}_place"),
+        F.when(c("negative") & ~zero, flipped).otherwise(c("digits")).alias(f"{name}_digits"),
+    )
+
+
+# Types that Spark sorts as they are shown.
+_ORDERED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def sort_key(df: DataFrame, column: str) -> Column:
     dtype = df.schema[column].dataType
     c = F.col(f"`{column}`")
-    if isinstance(dtype, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+    if isinstance(dtype, _ORDERED):
         return c
-    if numeric_text:
-        return number_key(c)
     text = c if isinstance(dtype, T.StringType) else F.when(c.isNotNull(), grid_text(c, dtype))
     return natural_key(text)
 
@@ -264,27 +277,38 @@ def sort_view(
     A tie-break is always added (the named columns, else a hash of the row), so equal values get a
     repeatable order and Spark's range partitioner can spread one frequent value over many tasks.
     """
-    return df.orderBy(*_sort_columns(df, column, direction, numeric_text, tie))
+    keyed, columns, made = _keyed(df, column, direction, numeric_text, tie)
+    return keyed.orderBy(*columns).drop(*made)
 
 
 def sorted_places(
     df: DataFrame, column: str, direction: str = "asc", numeric_text: bool = False, tie: list[str] | None = None
 ) -> DataFrame:
     """Every row with its ``place`` (from 1) in the order of ``sort_view``."""
-    return Pages(df, _sort_columns(df, column, direction, numeric_text, tie)).places()
-
+    keyed, columns, made = _keyed(df, column, direction, numeric_text, tie)
+    return Pages(keyed, columns, without=made).places()
 
-def _sort_columns(df: DataFrame, column: str, direction: str, numeric_text: bool, tie: list[str] | None) -> list[Column]:
-    key = sort_key(df, column, numeric_text)
-    first = key.asc_nulls_last() if direction == "asc" else key.desc_nulls_first()
-    return [first, *_tie_break(df, tie)]
 
+def _keyed(
+    df: DataFrame, column: str, direction: str, numeric_text: bool, tie: list[str] | None
+) -> tuple[DataFrame, list[Column], list[str]]:
+    """The table with its sort key in columns of their own, the order, and the names of those columns.
 
-def _tie_break(df: DataFrame, tie: list[str] | None) -> list[Column]:
+    A sort evaluates an expression each time it compares two rows; a column is made once for each row.
+    """
+    if numeric_text and not isinstance(df.schema[column].dataType, _ORDERED):
+        held, made = number_key(df, F.col(f"`{column}`"), "_key"), ["_key_sign", "_key_place", "_key_digits"]
+    else:
+        held, made = df.withColumn("_key", sort_key(df, column)), ["_key"]
+    ordered = [F.col(c).asc_nulls_last() if direction == "asc" else F.col(c).desc_nulls_first() for c in made]
     if tie:
-        return [F.col(t) for t in tie]
-    hashable = [f"`{f.name}`" for f in df.schema if not isinstance(f.dataType, T.MapType)]
-    return [F.xxhash64(*hashable)]
+        return held, [*ordered, *[F.col(t) for t in tie]], made
+    held = held.withColumn("_tie", _tie_break(df))
+    return held, [*ordered, F.col("_tie")], [*made, "_tie"]
+
+
+def _tie_break(df: DataFrame) -> Column:
+    return F.xxhash64(*[f"`{f.name}`" for f in df.schema if not isinstance(f.dataType, T.MapType)])
 
 
 def cluster_sort(df: DataFrame, partition_key: list[str], order: list) -> DataFrame:
@@ -342,16 +366,17 @@ class Pages:
     ``order`` must end in a unique column. The rows are range-partitioned, sorted and written once
     to ``path`` (else the work folder) with their position in their partition; a count per partition then gives
     each its offset. No task sees more than its own range, and the write fixes the sampled bounds.
+    Columns ``without`` which the pages shall be are only sorted by.
     """
 
-    def __init__(self, df: DataFrame, order: list, size: int = DEFAULT_PAGE, path: str | None = None):
+    def __init__(self, df: DataFrame, order: list, size: int = DEFAULT_PAGE, path: str | None = None, without: list[str] = ()):
         columns = order_columns(order)
         ranged = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
         numbered = ranged.withColumn("_id", F.monotonically_increasing_id()).withColumns(
             {"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit(2**33 - 1))}
         )
         path = path or work_path(df.sparkSession, "pages")
-        numbered.drop("_id").write.parquet(path)
+        numbered.drop("_id", *without).write.parquet(path)
         self._open(df.sparkSession, path, size)
 
     @classmethod

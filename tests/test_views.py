@@ -340,3 +340,14 @@ def test_one_page_keeps_few_rows_beside_a_hot_value(spark):
     with pytest.raises(KeyspanError):
         views.one_page(df, ["id"], 0)
     df.unpersist()
+
+
+def test_sort_keys_are_columns_before_the_sort(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["10", "9", "1e1", None, "-3", "0009"])], "i int, t string")
+    for number in (True, False):
+        plan = views.sort_view(df, "t", "desc", numeric_text=number, tie=["i"])._jdf.queryExecution().sparkPlan().toString()
+        sorts = [line for line in plan.splitlines() if "Sort [" in line]
+        # An expression in a sort is evaluated for each comparison.
+        assert sorts and not any(name in line for line in sorts for name in ("regexp", "struct", "transform"))
+    places = views.sorted_places(df, "t", "desc", numeric_text=True, tie=["i"])
+    assert [r["i"] for r in places.orderBy("place").collect()] == [3, 0, 2, 1, 5, 4] and places.columns == ["i", "t", "place"]
