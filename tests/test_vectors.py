@@ -292,6 +292,16 @@ def test_few_of_all_pairs_are_scored_exactly(monkeypatch):
         assert kept[row[of == 7]].tolist() == [1499, 1498, 1497, 1496, 1495] and len(set(got[of == 7])) == 1
 
 
+def test_cells_of_a_grid_are_not_sent_one_by_one(spark, monkeypatch):
+    m, df = cloud(spark, 300, 8, copies=40)
+    sent, group = [], type(df).groupBy
+    monkeypatch.setattr(type(df), "groupBy", lambda self, *c: sent.append(self.count()) or group(self, *c))
+    got = nn.knn_join(df, df.select("id", "v"), "v", 4, "id", "id", query_bytes=100, cell_bytes=100)
+    assert sum(sent) <= 2 * 300 * nn.PARTS
+    monkeypatch.undo()
+    assert joined(got) == joined(nn.knn_join(df, df.select("id", "v"), "v", 4, "id", "id"))
+
+
 def test_repeated_and_null_keys_and_odd_vectors_in_both_ways(spark):
     rows = [(None, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [0.0, 0.0]), (2, [1.0, 0.0]), (9, None), (8, [-1.0, 0.5])]
     df = spark.createDataFrame(rows, "id bigint, v array<float>")
