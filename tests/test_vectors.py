@@ -309,3 +309,15 @@ def test_repeated_and_null_keys_and_odd_vectors_in_both_ways(spark):
     grid = nn.knn_join(df, df, "v", 2, "id", "id", query_bytes=1, cell_bytes=1).collect()
     assert sorted(map(str, small)) == sorted(map(str, grid)) and len(small) == 2 * 4
     assert {r["neighbor_id"] for r in small if r["id"] == 2} == {None, 2}
+
+
+def test_a_join_sends_queries_to_stripes_and_not_to_each_cell(spark, place, monkeypatch):
+    m, df = cloud(spark, 600, 24, copies=1)
+    index = vector_cells.write_vector_cells(df, "v", place(), ["id"], cells=100)
+    sent, group = [], type(df).groupBy
+    monkeypatch.setattr(type(df), "groupBy", lambda self, *c: (len(c) == 3 and sent.append(self.count())) or group(self, *c))
+    got = index.knn_join(df, "v", 5, "id")
+    # Two looks; in each a query goes to a stripe once, and a row to the parts of the queries.
+    assert len(sent) == 4 and sum(sent) <= 2 * 600 * (2 * nn.PARTS + 1)
+    monkeypatch.undo()
+    assert joined(got) == joined(nn.knn_join(df, df.select("id", "v"), "v", 5, "id", "id"))
