@@ -321,3 +321,13 @@ def test_a_join_sends_queries_to_stripes_and_not_to_each_cell(spark, place, monk
     assert len(sent) == 4 and sum(sent) <= 2 * 600 * (2 * nn.PARTS + 1)
     monkeypatch.undo()
     assert joined(got) == joined(nn.knn_join(df, df.select("id", "v"), "v", 5, "id", "id"))
+
+
+def test_distances_from_centroids_are_held_for_a_slice_of_vectors(monkeypatch):
+    m, away, held = np.random.default_rng(2).standard_normal((5000, 8)), vector_cells._distances, []
+    monkeypatch.setattr(vector_cells, "_distances", lambda a, b: held.append(len(a)) or away(a, b))
+    centroids = vector_cells.fit_centroids(m, 70)
+    vector_cells._needed(m, centroids)
+    cell, far = vector_cells._closest(m, centroids)
+    assert max(held) <= vector_cells.SLICE < 5000
+    assert (cell == away(m, centroids).argmin(axis=1)).all() and np.allclose(far, away(m, centroids).min(axis=1))
