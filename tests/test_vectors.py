@@ -302,6 +302,18 @@ def test_cells_of_a_grid_are_not_sent_one_by_one(spark, monkeypatch):
     assert joined(got) == joined(nn.knn_join(df, df.select("id", "v"), "v", 4, "id", "id"))
 
 
+def test_what_a_grid_sends_grows_as_the_table(spark, monkeypatch):
+    frame, ranked, sent = type(spark.range(0)), nn._ranked, []
+    group = frame.groupBy
+    monkeypatch.setattr(frame, "groupBy", lambda self, *c: sent.append(self.count()) or group(self, *c))
+    monkeypatch.setattr(nn, "_ranked", lambda part, *rest: sent.append(part.count()) or ranked(part, *rest))
+    for n in (200, 800):
+        df = cloud(spark, n, 8, copies=1)[1].select("id", "v")
+        nn.knn_join(df, df, "v", 4, "id", "id", query_bytes=100, cell_bytes=480)
+    # Queries, rows and pairs found: four times the table, four times of each, while there are sixteen times the cells.
+    assert len(sent) == 6 and sum(sent[3:]) < 4.5 * sum(sent[:3])
+
+
 def test_repeated_and_null_keys_and_odd_vectors_in_both_ways(spark):
     rows = [(None, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [0.0, 0.0]), (2, [1.0, 0.0]), (9, None), (8, [-1.0, 0.5])]
     df = spark.createDataFrame(rows, "id bigint, v array<float>")
