@@ -34,12 +34,18 @@ WHOLE = 8
 CELL, SPREAD = 2000, 8
 #: One in so many of the small groups is placed last.
 LAST = 16
+#: Rows of a file of a work table, about: tables that follow a shuffle get as many tasks and files as their rows need.
+FILE_ROWS = 20_000
 DIMENSIONS = ("bytes", "tokens", "rows")
 
 
 def words(text: Column) -> Column:
-    """The default count of tokens: runs of anything but ASCII white space."""
-    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    """The default count of tokens: runs of anything but ASCII white space.
+
+    Each becomes one letter, together with the white space before it: counting matches would make an object of each word.
+    """
+    ended = F.rtrim(text, F.lit(" \t\n\v\f\r"))
+    return F.length(F.regexp_replace(ended, r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", "w")).cast("long")
 
 
 def choose(residual: np.ndarray, demand: np.ndarray) -> tuple[int, bool]:
@@ -99,6 +105,7 @@ def _cells(groups: DataFrame, cells: int, capacity: np.ndarray, residual: np.nda
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cell = F.pmod(F.xxhash64("digest"), F.lit(cells))
     dealt = groups.withColumn("cell", cell).repartition(parts, "cell").sortWithinPartitions("cell", F.desc("bytes"), "digest")
+    dealt = dealt.coalesce(_files(cells * CELL))  # a cell's groups stay side by side
 
     def placed(cell: int, demand: np.ndarray) -> np.ndarray:
         # A shard's part of a cell: its part of what is still to be placed. Cells begin at different shards.
@@ -134,6 +141,10 @@ def _cells(groups: DataFrame, cells: int, capacity: np.ndarray, residual: np.nda
     return dealt.mapInArrow(work, "digest binary, bytes long, tokens long, rows long, shard int")
 
 
+def _files(rows: int) -> int:
+    return max(1, -(-rows // FILE_ROWS))
+
+
 def _sums(groups: DataFrame) -> np.ndarray:
     row = groups.agg(*[F.sum(d).alias(d) for d in DIMENSIONS]).first()
     return np.array([row[d] or 0 for d in DIMENSIONS], float)
@@ -194,7 +205,7 @@ def _slots(rows: DataFrame) -> DataFrame:
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counted = numbered.groupBy("shard", "part").agg(F.count("*").alias("n"))
     offsets = counted.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    joined = numbered.join(offsets, ["shard", "part"])
+    joined = numbered.join(F.broadcast(offsets), ["shard", "part"])
     return joined.withColumn("slot", F.col("before") + F.col("at")).drop("before", "at", "part")
 
 
@@ -222,7 +233,8 @@ def pack(
     )
     rows = materialize(measured, "packing-rows")
     groups = rows.groupBy("digest").agg(F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
-    groups = materialize(groups, "packing-groups")
+    files = _files(rows.count())
+    groups = materialize(groups.coalesce(files), "packing-groups")
     total = _sums(groups)
     capacity = np.maximum(total / shards, 1e-9)
     residual = np.tile(capacity, (shards, 1))
@@ -257,6 +269,6 @@ def pack(
     out = whole.unionByName(small.select(*rows.columns, "shard"))
     if any(len(p) > 1 for p in pieces.values()):
         out = out.unionByName(_split_rows(rows, {d: p for d, p in pieces.items() if len(p) > 1}))
-    return _slots(out.select("row", "bytes", "crc", "shard")).select(
+    return _slots(out.select("row", "bytes", "crc", "shard").coalesce(files)).select(
         *[F.col("row")[c].alias(c) for c in keep], F.col("bytes").alias("size"), F.col("crc").alias("text_crc32"), "shard", "slot"
     )

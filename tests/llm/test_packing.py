@@ -2,11 +2,14 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keyspan.llm import packing
 
@@ -83,6 +86,46 @@ def test_placing_equals_a_plain_loop(spark):
         assert out[i] == best or abs((left[0] - left[1]) @ (1 / capacity)) < 1e-2
 
 
+def test_work_tables_have_as_many_files_as_their_rows_need(spark, monkeypatch):
+    """Not one for each shuffle partition: a small table in 40 of them leaves one file, or one for each 400 rows."""
+    from keyspan.session import work_dir
+
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    monkeypatch.setattr(packing, "LARGE", 8)
+    monkeypatch.setattr(packing, "CELL", 200)
+    rows = texts(1800)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        shards = []
+        for size, most in ((20_000, 1), (400, 6)):
+            monkeypatch.setattr(packing, "FILE_ROWS", size, raising=False)
+            here = Path(work_dir(spark).removeprefix("file:"))
+            before = set(here.glob("keyspan/*/packing-*"))
+            out = packed(spark, rows)
+            check(rows, out)
+            shards.append({r["doc_id"]: r["shard"] for r in out})
+            files = defaultdict(int)
+            for p in set(here.glob("keyspan/*/packing-*")) - before:
+                name = p.name.rsplit("-", 1)[0]
+                files[name] = max(files[name], len(list(p.glob("part-*"))))
+            assert set(files) == {"packing-rows", "packing-groups", "packing-cells", "packing-slots"}
+            assert all(n <= most for name, n in files.items() if name != "packing-rows"), files
+        assert shards[0] == shards[1]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_words_are_runs_of_anything_but_white_space(spark):
+    odd = ["", " ", "\n \r\n", "a", " a", "a ", "\ta b\x0b\x0cc \r\n", "a\u00a0b\u2003c d", "\U0001f600 \U0001f600x\n\n", "\x1c \x00 \x85", "$1 \\w\n", "a\n" * 5000]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").select("i", packing.words(F.col("t")).alias("n"), F.regexp_count("t", F.lit(r"[^\x20\x09-\x0D]+")).alias("m"))
+    want = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in enumerate(odd)}
+    assert {r["i"]: r["n"] for r in got.collect()} == {r["i"]: r["m"] for r in got.collect()} == want
+    assert dict(got.dtypes)["n"] == "bigint"
+
+
 def test_odd_tables(spark):
     assert packed(spark, []) == []
     for rows in ([(1, None)], [(None, "a"), (None, "a"), (3, "a")], [(1, "x" * 500_000), (2, ""), (2, "")]):
